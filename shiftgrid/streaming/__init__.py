@@ -1,0 +1 @@
+"""Intentionally empty: every computation of this engine is a batch computation over tables."""
