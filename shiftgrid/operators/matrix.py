@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from shiftgrid.operators.filters import GuardError
 from shiftgrid.operators.ordered import attach, numbered
+from shiftgrid.operators.ranks import top_rows
 
 
 def ln_cp10k(counts: DataFrame, sample: Sequence[str], value: str = "count", out: str = "value") -> DataFrame:
@@ -111,16 +112,13 @@ def top_variable(
         F.try_divide(F.col("_d") - F.col("_mu"), F.col("_sd"))
     )
     t = t.select(batch, gene, norm.alias("_norm"))
-    placed = Window.partitionBy(batch).orderBy(F.col("_norm").desc_nulls_last(), gene)
-    top = t.where(F.col("_norm").isNotNull()).withColumn("_r", F.row_number().over(placed)).where(
-        F.col("_r") <= int(n_top)
-    ).select(batch, gene, F.lit(1).alias("_in"))
+    top = top_rows(t.where(F.col("_norm").isNotNull()), [batch], ["-_norm", gene], n_top).select(
+        batch, gene, F.lit(1).alias("_in")
+    )
     joined = attach(t, top, [batch, gene])
     per_gene = joined.groupBy(gene).agg(
         F.sum(F.coalesce("_in", F.lit(0))).alias("n_batches"), F.avg("_norm").alias("dispersion_norm")
     )
-    from shiftgrid.operators.ranks import top_rows
-
     known = per_gene.where(F.col("dispersion_norm").isNotNull())
     return top_rows(known.withColumn("_all", F.lit(1)), ["_all"], ["-n_batches", "-dispersion_norm", gene], n_top, "rank").drop("_all")
 
