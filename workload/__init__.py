@@ -1,0 +1,16 @@
+"""Check queries over the driver tables, one module per operator family."""
+
+from __future__ import annotations
+
+import importlib
+
+MODULES = ("ranking", "genome", "cells")
+
+
+def load():
+    """All registered queries by name."""
+    from workload.registry import QUERIES
+
+    for m in MODULES:
+        importlib.import_module(f"workload.{m}")
+    return QUERIES
