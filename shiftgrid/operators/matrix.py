@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA, StandardScaler
@@ -35,6 +36,67 @@ def quantile_normalise(
     return attach(placed, means, [*by, "_k"]).drop("_k")
 
 
+@dataclass
+class Network:
+    """A weight table restricted to the expressed genes, with the sums every activity needs."""
+
+    scope: list[str]
+    rows: DataFrame  # scope, _g, _row
+    totals: DataFrame  # scope, _G, _mean_row, _sum_row
+    edges: DataFrame  # scope, tf, _g, weight
+    cols: DataFrame  # scope, tf, _col
+
+
+EPS = 1e-6
+
+
+def network(edges: DataFrame, genes: DataFrame, scope: Sequence[str], min_genes: int) -> Network:
+    """``genes``: scope, _g. Fewer than ``min_genes`` shared genes in a scope is an error."""
+    scope = list(scope)
+    rows = edges.groupBy(*scope, F.col("target").alias("_g")).agg(F.sum("weight").alias("_row"))
+    rows = rows.join(genes.select(*scope, "_g").distinct(), [*scope, "_g"], "left_semi")
+    totals = rows.groupBy(*scope).agg(
+        F.count(F.lit(1)).alias("_G"), F.avg("_row").alias("_mean_row"), F.sum("_row").alias("_sum_row")
+    )
+    short = totals.where(F.col("_G") < int(min_genes)).limit(5).collect()
+    if short:
+        raise GuardError(f"fewer than {min_genes} shared genes: {[tuple(r) for r in short]}")
+    kept = edges.select(*scope, "tf", F.col("target").alias("_g"), "weight").join(
+        rows.select(*scope, "_g"), [*scope, "_g"], "left_semi"
+    )
+    cols = kept.groupBy(*scope, "tf").agg(F.sum("weight").alias("_col"))
+    mean_col = cols.groupBy(*scope).agg(F.avg("_col").alias("_mean_col"))
+    cols = attach(cols, mean_col, scope).select(
+        *scope, "tf", (F.col("_col") + F.col("_mean_col") * F.lit(EPS)).alias("_col")
+    )
+    return Network(scope, rows, totals, kept, cols)
+
+
+def linear_parts(x: DataFrame, net: Network, sample: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """What the activity takes from an expression table, all of it linear in the values.
+
+    Per sample: ``_tot`` = sum x, ``_rx`` = sum row * x. Per sample and factor: ``_num`` = sum weight * x.
+    Only non-zero entries take part, so sparse tables stay sparse.
+    """
+    key = [*net.scope, *sample]
+    shared = x.where(F.col("_x") != 0).join(net.rows, [*net.scope, "_g"])
+    per_sample = shared.groupBy(*key).agg(F.sum("_x").alias("_tot"), F.sum(F.col("_row") * F.col("_x")).alias("_rx"))
+    nums = shared.select(*key, "_g", "_x").join(net.edges, [*net.scope, "_g"]).groupBy(*key, "tf").agg(
+        F.sum(F.col("weight") * F.col("_x")).alias("_num")
+    )
+    return per_sample, nums
+
+
+def activity_expr():
+    """``(num - E) / E`` from _tot, _rx, _num, _col and the network totals."""
+    row_share = F.try_divide(
+        F.col("_rx") + F.col("_mean_row") * F.lit(EPS) * F.col("_tot"),
+        F.col("_tot") * (F.col("_sum_row") + F.col("_G") * F.col("_mean_row") * F.lit(EPS)),
+    )
+    expected = F.col("_col") * row_share
+    return F.try_divide(F.try_divide("_num", "_tot") - expected, expected)
+
+
 def regulon_activity(
     expr: DataFrame, edges: DataFrame, scope: Sequence[str], sample: str, gene: str, value: str, min_genes: int = 1000
 ) -> DataFrame:
@@ -44,41 +106,48 @@ def regulon_activity(
     activity = ``(num - E) / E``; rows and columns are sums of T over the shared genes plus a millionth of their mean.
     A factor that meets no expressed gene of a sample still has num = 0, so every (sample, factor) pair is returned.
     """
+    scope = list(scope)
     x = expr.select(*scope, sample, F.col(gene).alias("_g"), F.coalesce(F.col(value), F.lit(0.0)).alias("_x"))
-    rows = edges.groupBy(*scope, F.col("target").alias("_g")).agg(F.sum("weight").alias("_row"))
-    rows = rows.join(x.select(*scope, "_g").distinct(), [*scope, "_g"], "left_semi")
-    n_genes = rows.groupBy(*scope).agg(
-        F.count(F.lit(1)).alias("_G"), F.avg("_row").alias("_mean_row"), F.sum("_row").alias("_sum_row")
-    )
-    short = n_genes.where(F.col("_G") < int(min_genes)).limit(5).collect()
-    if short:
-        raise GuardError(f"fewer than {min_genes} shared genes: {[tuple(r) for r in short]}")
-    shared_x = x.join(rows, [*scope, "_g"])
-    per_sample = attach(
-        shared_x.groupBy(*scope, sample).agg(
-            F.sum("_x").alias("_tot"), F.sum(F.col("_row") * F.col("_x")).alias("_rx")
-        ), n_genes, scope,
-    )
-    eps = F.lit(1e-6)
-    # row + mean * eps, summed against x and over genes
-    top = F.try_divide(F.col("_rx") + F.col("_mean_row") * eps * F.col("_tot"), F.col("_tot"))
-    per_sample = per_sample.select(
-        *scope, sample, "_tot",
-        F.try_divide(top, F.col("_sum_row") + F.col("_G") * F.col("_mean_row") * eps).alias("_q"),
-    )
-    e = edges.select(*scope, "tf", F.col("target").alias("_g"), "weight").join(rows.select(*scope, "_g"), [*scope, "_g"])
-    cols = e.groupBy(*scope, "tf").agg(F.sum("weight").alias("_col"))
-    mean_col = cols.groupBy(*scope).agg(F.avg("_col").alias("_mean_col"))
-    cols = attach(cols, mean_col, scope).select(*scope, "tf", (F.col("_col") + F.col("_mean_col") * eps).alias("_col"))
-    nums = e.join(shared_x.select(*scope, sample, "_g", "_x").where(F.col("_x") != 0), [*scope, "_g"]).groupBy(
-        *scope, sample, "tf"
-    ).agg(F.sum(F.col("weight") * F.col("_x")).alias("_num"))
+    net = network(edges, x, scope, min_genes)
+    per_sample, nums = linear_parts(x, net, [sample])
+    sized = attach(per_sample, net.totals, scope)
     # samples x factors is the result itself
-    grid = per_sample.join(cols, list(scope)) if scope else per_sample.crossJoin(cols)
-    j = attach(grid, nums, [*scope, sample, "tf"])
-    expected = F.col("_col") * F.col("_q")
-    num = F.try_divide(F.coalesce("_num", F.lit(0.0)), F.col("_tot"))
-    return j.select(*scope, sample, "tf", F.try_divide(num - expected, expected).alias("activity"))
+    grid = sized.join(net.cols, scope) if scope else sized.crossJoin(net.cols)
+    j = attach(grid, nums, [*scope, sample, "tf"]).withColumn("_num", F.coalesce("_num", F.lit(0.0)))
+    return j.select(*scope, sample, "tf", activity_expr().alias("activity"))
+
+
+def activity_of_shifts(
+    baseline: DataFrame, shifts: DataFrame, edges: DataFrame, scope: Sequence[str], variant: str, gene: str, value: str,
+    shift: str, min_genes: int = 1000,
+) -> DataFrame:
+    """Activity of (baseline + shift) minus activity of the baseline, for every variant and factor.
+
+    All sums behind the activity are linear, so those of a variant are the baseline's plus those of its non-zero shifts:
+    no variant's expression is ever written out over all genes.
+    """
+    scope = list(scope)
+    b = baseline.select(*scope, F.col(gene).alias("_g"), F.coalesce(F.col(value), F.lit(0.0)).alias("_x"))
+    s = shifts.select(*scope, variant, F.col(gene).alias("_g"), F.coalesce(F.col(shift), F.lit(0.0)).alias("_x"))
+    s = s.join(b.select(*scope, "_g"), [*scope, "_g"], "left_semi")
+    net = network(edges, b, scope, min_genes)
+    base, base_nums = linear_parts(b, net, [])
+    moved, moved_nums = linear_parts(s, net, [variant])
+    variants = attach(shifts.select(*scope, variant).distinct(), moved, [*scope, variant]).withColumnsRenamed(
+        {"_tot": "_dtot", "_rx": "_drx"}
+    )
+    # factors of a scope with the baseline's sums; then variants x factors, which is the result itself
+    cols = attach(attach(attach(net.cols, base_nums, [*scope, "tf"]), base, scope), net.totals, scope).withColumn(
+        "_num", F.coalesce("_num", F.lit(0.0))
+    )
+    cols = cols.withColumn("_a0", activity_expr())
+    grid = attach(variants.join(cols, scope), moved_nums.withColumnRenamed("_num", "_dnum"), [*scope, variant, "tf"])
+    zero = F.lit(0.0)
+    summed = grid.withColumns({
+        "_tot": F.col("_tot") + F.coalesce("_dtot", zero), "_rx": F.col("_rx") + F.coalesce("_drx", zero),
+        "_num": F.col("_num") + F.coalesce("_dnum", zero),
+    })
+    return summed.select(*scope, variant, "tf", (activity_expr() - F.col("_a0")).alias("shift"))
 
 
 def top_variable(
