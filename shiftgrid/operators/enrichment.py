@@ -12,6 +12,7 @@ from shiftgrid.operators.ordered import SLICE, attach, group_size, numbered, run
 from shiftgrid.operators.ranks import top_rows
 from shiftgrid.operators.resample import replicate
 from shiftgrid.operators.stats import finite
+from shiftgrid.session import cut
 
 
 def ranked_list(df: DataFrame, by: Sequence[str], gene: str, score: str) -> DataFrame:
@@ -52,7 +53,11 @@ def scores_of_hits(hits: DataFrame, group: Sequence[str]) -> DataFrame:
 
 def enrichment(df: DataFrame, by: Sequence[str], gene: str, score: str, sets: DataFrame, min_hits: int = 5) -> DataFrame:
     """Enrichment score per group and set; sets with too few hits or too few misses are skipped."""
-    hits = ranked_list(df, by, gene, score).join(
+    return enrichment_of_list(ranked_list(df, by, gene, score), by, gene, sets, min_hits)
+
+
+def enrichment_of_list(listed: DataFrame, by: Sequence[str], gene: str, sets: DataFrame, min_hits: int) -> DataFrame:
+    hits = listed.join(
         sets.select("set_name", F.col("gene").alias(gene)).distinct(), gene
     )
     scored = scores_of_hits(hits, [*by, "set_name"])
@@ -67,10 +72,13 @@ def set_null(
     One random order of the list per replicate serves all sizes: its first k genes are a random set of size k. Only the
     genes up to the largest size leave each task.
     """
-    listed = ranked_list(df, by, gene, score)
+    return null_of_list(ranked_list(df, by, gene, score), by, gene, sizes, B, seed)
+
+
+def null_of_list(listed: DataFrame, by: Sequence[str], gene: str, sizes: DataFrame, B: int, seed: int) -> DataFrame:
     distinct = sizes.select(*by, F.col("size").alias("_size")).distinct()
     largest = distinct.agg(F.max("_size").alias("m")).first()["m"]
-    hashed = replicate(listed, B).withColumn(
+    hashed = replicate(listed, B, [*by, gene]).withColumn(
         "_h", hash_key(F.lit(seed), *[F.col(c) for c in by], F.col("b"), F.col(gene))
     )
     taken = top_rows(hashed, [*by, "b"], ["_h", gene], int(largest or 0), "_at")
@@ -88,8 +96,9 @@ def normalised_enrichment(
     df: DataFrame, by: Sequence[str], gene: str, score: str, sets: DataFrame, B: int, seed: int, min_hits: int = 5
 ) -> DataFrame:
     """ES divided by the mean magnitude of the null scores of its sign and size."""
-    es = enrichment(df, by, gene, score, sets, min_hits)
-    null = set_null(df, by, gene, score, es, B, seed)
+    listed = cut(ranked_list(df, by, gene, score))
+    es = cut(enrichment_of_list(listed, by, gene, sets, min_hits))
+    null = null_of_list(listed, by, gene, es, B, seed)
     per_size = null.groupBy(*by, F.col("set_size").alias("size")).agg(
         F.avg(F.when(F.col("null_es") >= 0, F.abs("null_es"))).alias("_pos"),
         F.avg(F.when(F.col("null_es") < 0, F.abs("null_es"))).alias("_neg"),

@@ -4,8 +4,8 @@
 one group holds a large part of the data. Every rank, percentile, precision curve and interval merge here is a running
 sum or maximum, so they all share this module's two-level form:
 
-1. range-partition by (group, order), so that a hot group spreads over many slices, and fix the slice number by a
-   checkpoint (a recomputed range partitioning could give other numbers);
+1. range-partition by (group, order), so that a hot group spreads over many slices, and fix the slice numbers in a
+   written table (a recomputed range partitioning could give other numbers);
 2. running totals inside each (group, slice);
 3. totals per (group, slice), a few rows per group, give each slice its offset.
 

@@ -29,12 +29,16 @@ def _ranked(df, value, by, out, weight, descending, formula) -> DataFrame:
     w = F.lit(1.0) if weight is None else F.col(weight).cast("double")
     present = F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))
     if bounded(df):
-        order = F.col(value).desc() if descending else F.col(value).asc()
-        counted = F.when(present, w).otherwise(F.lit(0.0))
-        group = Window.partitionBy(*by, F.when(present, F.lit(1)).otherwise(F.lit(0))).orderBy(order)
-        up_to = F.sum(counted).over(group.rangeBetween(Window.unboundedPreceding, Window.currentRow))
-        block = F.sum(counted).over(group.rangeBetween(Window.currentRow, Window.currentRow))
-        return df.withColumn(out, F.when(present, formula(up_to, block)))
+        keyed = df.withColumns({"_key": -F.col(value) if descending else F.col(value), "_in": present.cast("int")})
+        group = Window.partitionBy(*by, "_in").orderBy("_key")
+        if weight is None:
+            # first and last position of the tie block, from one window
+            last = F.count(F.lit(1)).over(group).cast("double")
+            block = last - F.rank().over(group) + F.lit(1.0)
+        else:
+            last = F.sum(w).over(group)
+            block = F.sum(w).over(Window.partitionBy(*by, "_in", "_key"))
+        return keyed.withColumn(out, F.when(present, formula(last, block))).drop("_key", "_in")
     ties = tie_totals(df.where(present), by, value, {"_n": w}, descending)
     ranks = ties.select(*by, value, formula(F.col("cum__n"), F.col("_n")).alias(out))
     return attach(df, ranks, [*by, value])

@@ -19,9 +19,14 @@ from shiftgrid.operators.ranks import average_rank
 from shiftgrid.operators.stats import corr_expr, finite, rel_rmse_expr, weighted_corr_expr
 
 
-def replicate(df: DataFrame, B: int, out: str = "b") -> DataFrame:
-    """Every row once per replicate number 1..B."""
-    return df.select("*", F.explode(F.sequence(F.lit(1), F.lit(int(B)))).alias(out))
+def replicate(df: DataFrame, B: int, spread: Sequence[str], out: str = "b") -> DataFrame:
+    """Every row once per replicate number 1..B.
+
+    The rows are spread over all tasks first: few input partitions may hold little data and B times as much work.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    even = df.repartition(n, *[F.col(c) for c in spread])
+    return even.select("*", F.explode(F.sequence(F.lit(1), F.lit(int(B)))).alias(out))
 
 
 def _group_text(by: Sequence[str]) -> list[Column]:
@@ -37,7 +42,7 @@ def bootstrap(
     leaves the data partitioned by (group, position), which the multiplicity count reuses without another shuffle.
     """
     rows = group_size(numbered(df.select(*by, key, *values), by, [key], "_pos"), by, "_n")
-    draws = replicate(rows.select(*by, "_pos", "_n"), B).select(
+    draws = replicate(rows.select(*by, "_pos", "_n"), B, [*by, "_pos"]).select(
         *[F.col(c).alias(f"_d_{c}") for c in by], "b",
         (draw(F.col("_n"), F.lit(seed), *_group_text(by), F.col("b"), F.col("_pos")) + 1).alias("_idx"),
     )
@@ -95,7 +100,7 @@ def permuted_pairs(
 ) -> DataFrame:
     """Every replicate pairs the fixed columns of a row with the moved column of the row at its shuffled position."""
     rows = numbered(df.select(*by, key, *fixed, moved), by, [key], "_pos")
-    shuffled = replicate(rows.select(*by, key, moved), B).withColumn(
+    shuffled = replicate(rows.select(*by, key, moved), B, [*by, key]).withColumn(
         "_h", hash_key(F.lit(seed), *_group_text(by), F.col("b"), F.col(key))
     )
     placed = numbered(shuffled, [*by, "b"], ["_h", key], "_pos").select(*by, "b", F.col(moved).alias(out), "_pos")
@@ -127,7 +132,7 @@ def permuted_labels(
     y = F.coalesce((F.col(label) == 1).cast("bigint"), F.lit(0))
     counts = df.groupBy(*by, stratum).agg(F.sum(y).alias("_pos_n"))
     rows = attach(df, counts, [*by, stratum]).where(F.col("_pos_n") > 0)
-    hashed = replicate(rows, B).withColumn("_h", hash_key(F.lit(seed), *_group_text(by), F.col("b"), F.col(key)))
+    hashed = replicate(rows, B, [*by, key]).withColumn("_h", hash_key(F.lit(seed), *_group_text(by), F.col("b"), F.col(key)))
     placed = numbered(hashed, [*by, stratum, "b"], ["_h", key], "_at")
     return placed.where(F.col("_at") <= F.col("_pos_n")).drop("_at", "_h", "_pos_n", label)
 
@@ -150,7 +155,7 @@ def matched_sets(
     One row per (group, b). The pool is addressed by position, so a draw is one keyed lookup.
     """
     pool = group_size(numbered(df, [*by, stratum], [key], "_pos"), [*by, stratum], "_n")
-    wanted = replicate(pool.where(in_panel).select(*by, stratum, key, "_n"), B).select(
+    wanted = replicate(pool.where(in_panel).select(*by, stratum, key, "_n"), B, [*by, key]).select(
         *by, stratum, "b",
         (draw(F.col("_n"), F.lit(seed), *_group_text(by), F.col("b"), F.col(key)) + 1).alias("_pos"),
     )

@@ -15,6 +15,7 @@ from shiftgrid.operators.resample import (
     bootstrap_mean, bootstrap_panels, bootstrap_projection, intervals, matched_sets, shuffle_null,
 )
 from shiftgrid.operators.stats import finite, project, spearman, zscore
+from shiftgrid.session import cut
 
 
 def panel_members(df: DataFrame, panels: DataFrame, gene: str) -> DataFrame:
@@ -34,12 +35,12 @@ def panel_indices(
     """
     by = list(by)
     clean = shifts.where(finite(shift, level))
-    tested = floor_filter(clean, level, by, floor)
+    tested = cut(floor_filter(clean, level, by, floor).select(*by, gene, shift, level))
     size = tested.groupBy(*by).agg(F.count(F.lit(1)).alias("n_genes_tested"), F.stddev_samp(shift).alias("_sd"))
     enough = F.col("n_genes_tested") >= int(min_tested)
     flat = F.coalesce(F.col("_sd"), F.lit(0.0)) == 0
-    z = deciles(zscore(tested, shift, by, "z"), level, by, gene, "decile")
-    members = panel_members(z, panels, gene)
+    z = cut(deciles(zscore(tested, shift, by, "z"), level, by, gene, "decile").select(*by, gene, "z", "decile"))
+    members = cut(panel_members(z, panels, gene))
     means = members.groupBy(*by).agg(
         *[F.sum((F.col("panel") == p).cast("bigint")).alias(f"n_{n}") for n, p in
           (("first", first), ("second", second), ("damage", damage))],
@@ -88,6 +89,7 @@ def panel_indices(
 def rejuvenation(pairs: DataFrame, by: Sequence[str], item: str, shift: str, vector: str, B: int, seed: int,
                  min_items: int = 10) -> DataFrame:
     """Negative projection on the unit vector, its interval, and the null of shuffled vector entries."""
+    pairs = cut(pairs.select(*by, item, shift, vector))
     point = project(pairs, shift, vector, by)
     boot = bootstrap_projection(pairs, by, item, shift, vector, B, seed).select(*by, "b", (-F.col("projection")).alias("r"))
     null = shuffle_null(pairs, by, item, shift, vector, B, seed + 1).select(*by, (-F.col("projection")).alias("_r0"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shiftgrid.functions.scalars import region_chrom, region_end, region_start
@@ -12,14 +12,15 @@ from shiftgrid.operators.enrichment import normalised_enrichment
 from shiftgrid.operators.intervals import overlaps_any
 from shiftgrid.operators.joins import leave_source_out
 from shiftgrid.operators.ordered import attach, numbered
-from shiftgrid.operators.ranks import deciles, percent_of_rank, percentiles, top_abs
+from shiftgrid.operators.ranks import deciles, percent_of_rank, top_abs
 from shiftgrid.operators.resample import (
     bootstrap, intervals, null_summary, permutation_null, permuted_labels,
 )
 from shiftgrid.operators.stats import (
     agree_expr, corr_expr, curve_of, finite, hit_positions, positional_metrics, rel_rmse_expr, roc_pr, sign_accuracy,
-    sign_concordance, spearman, weighted_corr_expr, zscore_many,
+    spearman, weighted_corr_expr, zscore_many,
 )
+from shiftgrid.session import cut
 
 
 def standardised(shifts: DataFrame, by: Sequence[str], loco: bool = False) -> DataFrame:
@@ -34,7 +35,7 @@ def standardised(shifts: DataFrame, by: Sequence[str], loco: bool = False) -> Da
 
 def baselines(shifts: DataFrame, by: Sequence[str], gene: str, ks: Sequence[int] = (100, 300), loco: bool = False) -> DataFrame:
     """Model, no-change, level-only and leave-one-out values of correlation, relative error and sign concordance."""
-    z = standardised(shifts, by, loco)
+    z = cut(standardised(shifts, by, loco))
     r, p, s = F.col("zr"), F.col("zp"), F.col("zs")
     aggs = [
         F.count(F.lit(1)).alias("n_genes"), corr_expr(p, r).alias("pcc"), rel_rmse_expr(p, r).alias("rel_rmse"),
@@ -86,10 +87,10 @@ def contrast_metrics(
     ks: Sequence[int] = (100, 300), min_genes: int = 200, loco: bool = False,
 ) -> DataFrame:
     """One row per contrast: model, four baselines, intervals; too small or constant ones carry a note only."""
-    known = shifts.where(finite("real_shift", "predicted_shift", "level"))
+    known = cut(shifts.where(finite("real_shift", "predicted_shift", "level")))
     size = known.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), F.stddev_pop("predicted_shift").alias("_sd"))
     ok = (F.col("_n") >= int(min_genes)) & (F.col("_sd") > 0)
-    used = known.join(size.where(ok).select(*by), list(by), "left_semi")
+    used = cut(known.join(size.where(ok).select(*by), list(by), "left_semi"))
     z = zscore_many(used, {"zr": "real_shift", "zp": "predicted_shift"}, by)
     out = attach(size.select(*by, F.when(~ok, F.lit("too few genes or a no-op prediction")).alias("note")),
                  baselines(used, by, gene, ks, loco), by)
@@ -99,7 +100,7 @@ def contrast_metrics(
 
 def interaction_metrics(residuals: DataFrame, by: Sequence[str], gene: str, real: str, pred: str, B: int, seed: int) -> DataFrame:
     """Correlation of predicted with measured interaction residuals, its interval, and the size of the residual."""
-    known = residuals.where(finite(real, pred))
+    known = cut(residuals.where(finite(real, pred)))
     point = known.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n_genes"), F.stddev_pop(real).alias("real_eps_sd"), F.stddev_pop(pred).alias("pred_eps_sd"),
         corr_expr(F.col(pred), F.col(real)).alias("pcc_eps"),
@@ -115,10 +116,10 @@ def pathway_agreement(
     shifts: DataFrame, by: Sequence[str], gene: str, sets: DataFrame, B: int, seed: int, strong: float = 1.5
 ) -> DataFrame:
     """Agreement of the normalised enrichment of measured and predicted shifts over gene sets."""
-    z = zscore_many(shifts, {"zr": "real_shift", "zp": "predicted_shift"}, by)
+    z = cut(zscore_many(shifts, {"zr": "real_shift", "zp": "predicted_shift"}, by).select(*by, gene, "zr", "zp"))
     a = normalised_enrichment(z, by, gene, "zr", sets, B, seed).select(*by, "set_name", F.col("nes").alias("_a"))
     b = normalised_enrichment(z, by, gene, "zp", sets, B, seed + 1).select(*by, "set_name", F.col("nes").alias("_b"))
-    j = a.join(b, [*by, "set_name"]).where(finite("_a", "_b"))
+    j = cut(a.join(b, [*by, "set_name"]).where(finite("_a", "_b")))
     rho = spearman(j, "_a", "_b", by, "nes_spearman", min_n=4).withColumnRenamed("n", "n_sets")
     big = F.abs("_a") >= F.lit(strong)
     extra = j.groupBy(*by).agg(
@@ -178,7 +179,7 @@ CASE = ["scope", "tier", "direction", "subset"]
 def rank_against_gold(cases: DataFrame, ks: Sequence[int] = (10, 20, 50), B_null: int = 1000, seed: int = 0,
                       min_tier: int = 10) -> DataFrame:
     """Average precision, nDCG, recall, and the null with labels permuted inside centrality deciles."""
-    placed = deciles(cases, "centrality", CASE, "tf", "_decile")
+    placed = cut(deciles(cases, "centrality", CASE, "tf", "_decile"))
     point = positional_metrics(placed, "y", "rank_score", CASE, "tf", ks)
     null = null_precision(placed, CASE, "_decile", "tf", B_null, seed)
     summary = null_summary(point.where(F.col("ap").isNotNull()), null, CASE, "ap")
@@ -204,11 +205,11 @@ def recall_report(cases: DataFrame, kmax: int, B_null: int, seed: int) -> DataFr
     """Observed recall curve with the mean and the 5th / 95th percentile of the permuted ones."""
     whole = cases.where(F.col("subset") == "all")
     by = ["scope", "tier", "direction"]
-    placed = deciles(whole, "centrality", by, "tf", "_decile")
+    placed = cut(deciles(whole, "centrality", by, "tf", "_decile"))
     hits, totals = hit_positions(placed, "y", "rank_score", by, "tf")
     observed = curve_of(hits, totals, by, kmax)
     listed = numbered(placed, by, ["-rank_score", "tf"], "position")
-    moved = permuted_labels(listed, by, "_decile", "tf", "y", B_null, seed)
+    moved = cut(permuted_labels(listed, by, "_decile", "tf", "y", B_null, seed).select(*by, "b", "position"))
     replicas = attach(
         moved.select(*by, "b").distinct(), totals, by, "inner"
     )

@@ -14,6 +14,7 @@ from shiftgrid.operators.ordered import attach
 from shiftgrid.operators.ranks import top_abs_label
 from shiftgrid.operators.resample import bootstrap_spearman, intervals
 from shiftgrid.operators.stats import finite, roc_pr, spearman
+from shiftgrid.session import cut
 
 
 def pick_cells(clusters: DataFrame, plate: str, names: Sequence[str], side: str) -> DataFrame:
@@ -76,7 +77,7 @@ def excess(
     pred: str = "predicted_shift", level: str = "level",
 ) -> DataFrame:
     """Correlation, level-only null, their difference, and bootstrap intervals of correlation and difference."""
-    known = shifts.where(finite(real, pred, level))
+    known = cut(shifts.where(finite(real, pred, level)).select(*by, gene, real, pred, level))
     sizes = known.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n_genes"), F.stddev_samp(pred).alias("pred_shift_sd")
     )

@@ -1,13 +1,14 @@
 """Session settings, and the two decisions that depend on the data volume.
 
 * ``bounded`` tells whether the inputs under a plan are small enough for one window group to be sorted by one task;
-* ``cut`` ends a lineage in the shared folder that the session names in ``spark.checkpoint.dir``.
+* ``cut`` ends a lineage with a table in the shared folder that the session names in ``spark.checkpoint.dir``.
 """
 
 from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,6 +29,9 @@ def get_session(app: str = "shiftgrid", **conf: str) -> SparkSession:
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
     )
+    if conf.get("spark__master", "").startswith("local"):
+        # on one machine a handful of partitions is already right, and merging them would leave cores idle
+        builder = builder.config("spark.sql.adaptive.coalescePartitions.enabled", "false")
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)
     return builder.getOrCreate()
@@ -43,12 +47,22 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` reliably, so that a lost executor can never change values already used elsewhere."""
+    """Materialise ``df`` as a table in the shared folder and go on from there.
+
+    Used where several branches read one intermediate result, and where values must not change when a lost executor's work
+    is done again. The table is columnar, so each branch reads its own columns, and its size is known to ``bounded``.
+    """
     spark = df.sparkSession
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(checkpoint_dir(spark))
-    return df.checkpoint(eager=True)
+    path = f"{checkpoint_dir(spark).rstrip('/')}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Remove the tables this application cut. Call it when no DataFrame built from them is needed any more."""
+    folder = f"{checkpoint_dir(spark).rstrip('/')}/{spark.sparkContext.applicationId}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def slices(spark: SparkSession) -> int:
