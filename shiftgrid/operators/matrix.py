@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from shiftgrid.operators.filters import GuardError
 from shiftgrid.operators.ordered import attach, numbered
 from shiftgrid.operators.ranks import top_rows
+from shiftgrid.session import cut
 
 
 def ln_cp10k(counts: DataFrame, sample: Sequence[str], value: str = "count", out: str = "value") -> DataFrame:
@@ -53,8 +54,9 @@ EPS = 1e-6
 def network(edges: DataFrame, genes: DataFrame, scope: Sequence[str], min_genes: int) -> Network:
     """``genes``: scope, _g. Fewer than ``min_genes`` shared genes in a scope is an error."""
     scope = list(scope)
+    edges = cut(edges.select(*scope, "tf", "target", "weight"))
     rows = edges.groupBy(*scope, F.col("target").alias("_g")).agg(F.sum("weight").alias("_row"))
-    rows = rows.join(genes.select(*scope, "_g").distinct(), [*scope, "_g"], "left_semi")
+    rows = cut(rows.join(genes.select(*scope, "_g").distinct(), [*scope, "_g"], "left_semi"))
     totals = rows.groupBy(*scope).agg(
         F.count(F.lit(1)).alias("_G"), F.avg("_row").alias("_mean_row"), F.sum("_row").alias("_sum_row")
     )
@@ -127,7 +129,8 @@ def activity_of_shifts(
     no variant's expression is ever written out over all genes.
     """
     scope = list(scope)
-    b = baseline.select(*scope, F.col(gene).alias("_g"), F.coalesce(F.col(value), F.lit(0.0)).alias("_x"))
+    b = cut(baseline.select(*scope, F.col(gene).alias("_g"), F.coalesce(F.col(value), F.lit(0.0)).alias("_x")))
+    shifts = cut(shifts.select(*scope, variant, gene, shift))
     s = shifts.select(*scope, variant, F.col(gene).alias("_g"), F.coalesce(F.col(shift), F.lit(0.0)).alias("_x"))
     s = s.join(b.select(*scope, "_g"), [*scope, "_g"], "left_semi")
     net = network(edges, b, scope, min_genes)

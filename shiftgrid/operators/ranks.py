@@ -24,39 +24,49 @@ def tie_totals(
     return running(ties, by, order, totals).drop(SLICE)
 
 
-def _ranked(df, value, by, out, weight, descending, formula) -> DataFrame:
-    """Shared body: ``formula(cum, ties)`` gives the rank from the running total and the size of the tie block."""
-    w = F.lit(1.0) if weight is None else F.col(weight).cast("double")
+def _ranked(df, value, by, out, descending, formula) -> DataFrame:
+    """Shared body: ``formula(last, block)`` gives the rank from the last position and the size of the tie block."""
     present = F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))
     if bounded(df):
-        keyed = df.withColumns({"_key": -F.col(value) if descending else F.col(value), "_in": present.cast("int")})
-        group = Window.partitionBy(*by, "_in").orderBy("_key")
-        if weight is None:
-            # first and last position of the tie block, from one window
-            last = F.count(F.lit(1)).over(group).cast("double")
-            block = last - F.rank().over(group) + F.lit(1.0)
-        else:
-            last = F.sum(w).over(group)
-            block = F.sum(w).over(Window.partitionBy(*by, "_in", "_key"))
+        order = F.col("_key").desc() if descending else F.col("_key").asc()
+        group = Window.partitionBy(*by, "_in").orderBy(order)
+        # first and last position of the tie block, from one window
+        last = F.count(F.lit(1)).over(group).cast("double")
+        block = last - F.rank().over(group) + F.lit(1.0)
+        keyed = df.withColumns({"_key": F.col(value), "_in": present.cast("int")})
         return keyed.withColumn(out, F.when(present, formula(last, block))).drop("_key", "_in")
-    ties = tie_totals(df.where(present), by, value, {"_n": w}, descending)
+    ties = tie_totals(df.where(present), by, value, {"_n": F.lit(1.0)}, descending)
     ranks = ties.select(*by, value, formula(F.col("cum__n"), F.col("_n")).alias(out))
     return attach(df, ranks, [*by, value])
 
 
+def weighted_rank(df: DataFrame, value: str, by: Sequence[str], out: str, weight: str) -> DataFrame:
+    """Average-tie rank where a row counts ``weight`` times; whole-number values without NULL.
+
+    Windows over several columns with the same ``by`` share one exchange, and whole numbers need one sort per column.
+    """
+    half = F.lit(2.0)
+    if bounded(df):
+        up_to = F.sum(weight).over(Window.partitionBy(*by).orderBy(value))
+        block = F.sum(weight).over(Window.partitionBy(*by, value))
+        return df.withColumn(out, up_to - (block - F.lit(1.0)) / half)
+    ties = tie_totals(df, by, value, {"_n": F.col(weight)})
+    rank = F.col("cum__n") - (F.col("_n") - F.lit(1.0)) / half
+    return attach(df, ties.select(*by, value, rank.alias(out)), [*by, value])
+
+
 def average_rank(
-    df: DataFrame, value: str, by: Sequence[str] = (), out: str = "rank", weight: str | None = None,
-    descending: bool = False,
+    df: DataFrame, value: str, by: Sequence[str] = (), out: str = "rank", descending: bool = False
 ) -> DataFrame:
-    """Average-tie rank per group; NULL and NaN get no rank. ``weight`` counts a row several times."""
-    return _ranked(df, value, by, out, weight, descending, lambda cum, n: cum - (n - F.lit(1.0)) / F.lit(2.0))
+    """Average-tie rank per group; NULL and NaN get no rank."""
+    return _ranked(df, value, by, out, descending, lambda cum, n: cum - (n - F.lit(1.0)) / F.lit(2.0))
 
 
 def min_rank(
     df: DataFrame, value: str, by: Sequence[str] = (), out: str = "rank", descending: bool = True
 ) -> DataFrame:
     """Minimum-tie rank per group (1 = largest by default); NULL gets no rank."""
-    ranked = _ranked(df, value, by, out, None, descending, lambda cum, n: cum - n + F.lit(1.0))
+    ranked = _ranked(df, value, by, out, descending, lambda cum, n: cum - n + F.lit(1.0))
     return ranked.withColumn(out, F.col(out).cast("bigint"))
 
 

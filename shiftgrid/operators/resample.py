@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 
 from shiftgrid.functions.scalars import draw, hash_key
 from shiftgrid.operators.ordered import attach, group_size, numbered
-from shiftgrid.operators.ranks import average_rank
+from shiftgrid.operators.ranks import average_rank, weighted_rank
 from shiftgrid.operators.stats import corr_expr, finite, rel_rmse_expr, weighted_corr_expr
+from shiftgrid.session import bounded, cut
 
 
 def replicate(df: DataFrame, B: int, spread: Sequence[str], out: str = "b") -> DataFrame:
@@ -38,10 +39,11 @@ def bootstrap(
 ) -> DataFrame:
     """n of n rows with replacement, B times: one row per (group, b, drawn row) with its multiplicity.
 
-    Draw j of a replicate belongs to the row at position j, so the draw list is as distributed as the rows. The join
-    leaves the data partitioned by (group, position), which the multiplicity count reuses without another shuffle.
+    Draw j of a replicate belongs to the row at position j, so the draw list is as distributed as the rows. Small inputs:
+    the draws of a replicate meet in one task, where everything later done per replicate finds them. Large inputs: draws
+    meet the rows by position first, and the multiplicity count reuses that partitioning.
     """
-    rows = group_size(numbered(df.select(*by, key, *values), by, [key], "_pos"), by, "_n")
+    rows = cut(group_size(numbered(df.select(*by, key, *values), by, [key], "_pos"), by, "_n"))
     draws = replicate(rows.select(*by, "_pos", "_n"), B, [*by, "_pos"]).select(
         *[F.col(c).alias(f"_d_{c}") for c in by], "b",
         (draw(F.col("_n"), F.lit(seed), *_group_text(by), F.col("b"), F.col("_pos")) + 1).alias("_idx"),
@@ -49,8 +51,17 @@ def bootstrap(
     match = F.col("_idx") == F.col("_pos")
     for c in by:
         match = match & F.col(f"_d_{c}").eqNullSafe(F.col(c))
-    picked = draws.join(rows.select(*by, key, *values, "_pos"), match)
-    return picked.groupBy(*by, "_pos", "b", key, *values).agg(F.count(F.lit(1)).cast("double").alias(weight)).drop("_pos")
+    count = F.count(F.lit(1)).cast("double").alias(weight)
+    groups = [f"_d_{c}" for c in by]
+    if bounded(rows):
+        n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        together = draws.repartition(n, *[F.col(c) for c in groups], F.col("b"))
+        counted = together.groupBy(*groups, "b", "_idx").agg(count)
+        return counted.join(rows.drop("_n"), match).select(
+            *[F.col(g).alias(c) for g, c in zip(groups, by)], "b", key, *values, weight
+        )
+    picked = draws.join(rows.drop("_n"), match)
+    return picked.groupBy(*by, "_pos", "b", key, *values).agg(count).drop("_pos")
 
 
 def intervals(
@@ -67,9 +78,14 @@ def bootstrap_spearman(
 ) -> DataFrame:
     """Spearman correlations of named column pairs in every replicate: one row per (group, b)."""
     columns = sorted({c for p in pairs.values() for c in p})
-    drawn = bootstrap(df, by, key, columns, B, seed)
+    # twice the average rank is a whole number with the order and the ties of the value: ranked once, compared cheaply
+    base = df.select(*by, key, *columns)
     for c in columns:
-        drawn = average_rank(drawn, c, [*by, "b"], f"_r_{c}", weight="w")
+        base = average_rank(base, c, by, f"_o_{c}")
+    base = base.select(*by, key, *[(F.col(f"_o_{c}") * 2).cast("bigint").alias(f"_o_{c}") for c in columns])
+    drawn = bootstrap(base, by, key, [f"_o_{c}" for c in columns], B, seed)
+    for c in columns:
+        drawn = weighted_rank(drawn, f"_o_{c}", [*by, "b"], f"_r_{c}", "w")
     return drawn.groupBy(*by, "b").agg(
         *[
             weighted_corr_expr(F.col(f"_r_{x}"), F.col(f"_r_{y}"), F.col("w")).alias(name)
