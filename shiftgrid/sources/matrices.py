@@ -70,10 +70,11 @@ def read_mtx(spark: SparkSession, folder: str, pattern: str = "*", lines=read_li
 
 
 def read_mtx_pseudobulk(
-    spark: SparkSession, folder: str, pattern: str = "*", exclude: str | None = None, name: str | None = None
+    spark: SparkSession, folder: str, pattern: str = "*", exclude: str | None = None, name: str | None = None,
+    lines=read_lines,
 ) -> DataFrame:
     """Each trio collapsed to one summed column named by its prefix; all trios must share one ordered feature list."""
-    counts, features = read_mtx(spark, folder, pattern)
+    counts, features = read_mtx(spark, folder, pattern, lines)
     if exclude:
         keep = ~F.concat(F.col("prefix"), F.lit("matrix.mtx")).rlike(exclude)
         counts, features = counts.where(keep), features.where(keep)

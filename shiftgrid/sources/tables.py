@@ -68,9 +68,9 @@ def read_fragments(
 def read_many_rows(
     spark: SparkSession, path: str | list[str], kind: str = "tsv", exclude: str | None = None, schema: str | None = None
 ) -> DataFrame:
-    """One-row summaries (JSON or TSV) as one table; ``exclude`` is a pattern on the file path."""
-    if kind == "json":
-        reader = spark.read.option("multiLine", True)
+    """One-row summaries (JSON documents, JSON lines or TSV) as one table; ``exclude`` is a pattern on the file path."""
+    if kind in ("json", "lines"):
+        reader = spark.read.option("multiLine", kind == "json")
         df = (reader.schema(schema) if schema else reader).json(path)
     else:
         reader = spark.read.option("sep", "\t").option("header", True)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("ranking", "genome", "cells", "resampling", "scores")
+MODULES = ("ranking", "genome", "cells", "resampling", "scores", "reports", "files")
 
 
 def load():
