@@ -71,22 +71,34 @@ def network(edges: DataFrame, genes: DataFrame, scope: Sequence[str], min_genes:
     cols = attach(cols, mean_col, scope).select(
         *scope, "tf", (F.col("_col") + F.col("_mean_col") * F.lit(EPS)).alias("_col")
     )
+    cols = cut(cols)
     return Network(scope, rows, totals, kept, cols)
 
 
 def linear_parts(x: DataFrame, net: Network, sample: Sequence[str]) -> tuple[DataFrame, DataFrame]:
     """What the activity takes from an expression table, all of it linear in the values.
 
-    Per sample: ``_tot`` = sum x, ``_rx`` = sum row * x. Per sample and factor: ``_num`` = sum weight * x.
+    Per sample: ``_tot`` = sum x, ``_rx`` = sum row * x. Per sample and factor: terms ``_num`` = weight * x, not yet summed.
     Only non-zero entries take part, so sparse tables stay sparse.
     """
     key = [*net.scope, *sample]
     shared = x.where(F.col("_x") != 0).join(net.rows, [*net.scope, "_g"])
     per_sample = shared.groupBy(*key).agg(F.sum("_x").alias("_tot"), F.sum(F.col("_row") * F.col("_x")).alias("_rx"))
-    nums = shared.select(*key, "_g", "_x").join(net.edges, [*net.scope, "_g"]).groupBy(*key, "tf").agg(
-        F.sum(F.col("weight") * F.col("_x")).alias("_num")
+    terms = shared.select(*key, "_g", "_x").join(net.edges, [*net.scope, "_g"]).select(
+        *key, "tf", (F.col("weight") * F.col("_x")).alias("_num")
     )
-    return per_sample, nums
+    return per_sample, terms
+
+
+def summed_terms(terms: DataFrame, samples: DataFrame, net: Network, sample: Sequence[str]) -> DataFrame:
+    """``_num`` for every (sample, factor), zero where they never meet.
+
+    The pairs enter the sum as zeros: one aggregation gives the dense result, and no large table is joined.
+    """
+    key = [*net.scope, *sample]
+    grid = samples.join(net.cols.select(*net.scope, "tf"), net.scope) if net.scope else samples.crossJoin(net.cols.select("tf"))
+    zeros = grid.select(*key, "tf", F.lit(0.0).alias("_num"))
+    return terms.unionByName(zeros).groupBy(*key, "tf").agg(F.sum("_num").alias("_num"))
 
 
 def activity_expr():
@@ -111,11 +123,11 @@ def regulon_activity(
     scope = list(scope)
     x = expr.select(*scope, sample, F.col(gene).alias("_g"), F.coalesce(F.col(value), F.lit(0.0)).alias("_x"))
     net = network(edges, x, scope, min_genes)
-    per_sample, nums = linear_parts(x, net, [sample])
-    sized = attach(per_sample, net.totals, scope)
+    per_sample, terms = linear_parts(x, net, [sample])
+    per_sample = cut(per_sample)
     # samples x factors is the result itself
-    grid = sized.join(net.cols, scope) if scope else sized.crossJoin(net.cols)
-    j = attach(grid, nums, [*scope, sample, "tf"]).withColumn("_num", F.coalesce("_num", F.lit(0.0)))
+    nums = summed_terms(terms, per_sample.select(*scope, sample), net, [sample])
+    j = attach(attach(attach(nums, per_sample, [*scope, sample]), net.cols, [*scope, "tf"]), net.totals, scope)
     return j.select(*scope, sample, "tf", activity_expr().alias("activity"))
 
 
@@ -134,21 +146,19 @@ def activity_of_shifts(
     s = shifts.select(*scope, variant, F.col(gene).alias("_g"), F.coalesce(F.col(shift), F.lit(0.0)).alias("_x"))
     s = s.join(b.select(*scope, "_g"), [*scope, "_g"], "left_semi")
     net = network(edges, b, scope, min_genes)
-    base, base_nums = linear_parts(b, net, [])
-    moved, moved_nums = linear_parts(s, net, [variant])
-    variants = attach(shifts.select(*scope, variant).distinct(), moved, [*scope, variant]).withColumnsRenamed(
-        {"_tot": "_dtot", "_rx": "_drx"}
-    )
-    # factors of a scope with the baseline's sums; then variants x factors, which is the result itself
-    cols = attach(attach(attach(net.cols, base_nums, [*scope, "tf"]), base, scope), net.totals, scope).withColumn(
-        "_num", F.coalesce("_num", F.lit(0.0))
-    )
-    cols = cols.withColumn("_a0", activity_expr())
-    grid = attach(variants.join(cols, scope), moved_nums.withColumnRenamed("_num", "_dnum"), [*scope, variant, "tf"])
-    zero = F.lit(0.0)
-    summed = grid.withColumns({
-        "_tot": F.col("_tot") + F.coalesce("_dtot", zero), "_rx": F.col("_rx") + F.coalesce("_drx", zero),
-        "_num": F.col("_num") + F.coalesce("_dnum", zero),
+    base, base_terms = linear_parts(b, net, [])
+    moved, moved_terms = linear_parts(s, net, [variant])
+    # one row per factor with everything of the baseline, one row per variant with its sums of shifts
+    cols = attach(attach(attach(net.cols, summed_terms(base_terms, base.select(*scope), net, []), [*scope, "tf"]), base, scope),
+                  net.totals, scope)
+    cols = cut(cols.withColumn("_a0", activity_expr()))
+    variants = cut(attach(shifts.select(*scope, variant).distinct(), moved, [*scope, variant]).select(
+        *scope, variant, F.coalesce("_tot", F.lit(0.0)).alias("_dtot"), F.coalesce("_rx", F.lit(0.0)).alias("_drx")
+    ))
+    nums = summed_terms(moved_terms, variants.select(*scope, variant), net, [variant]).withColumnRenamed("_num", "_dnum")
+    j = attach(attach(nums, cols, [*scope, "tf"]), variants, [*scope, variant])
+    summed = j.withColumns({
+        "_tot": F.col("_tot") + F.col("_dtot"), "_rx": F.col("_rx") + F.col("_drx"), "_num": F.col("_num") + F.col("_dnum"),
     })
     return summed.select(*scope, variant, "tf", (activity_expr() - F.col("_a0")).alias("shift"))
 

@@ -237,26 +237,34 @@ def curve_of(hits: DataFrame, totals: DataFrame, by: Sequence[str], kmax: int) -
 
 # ---------------------------------------------------------------------------------------------------------- geometry
 def project(
-    pairs: DataFrame, shift: str, vector: str, by: Sequence[str] = (), exclude: Column | None = None
+    pairs: DataFrame, shift: str, vector: str, by: Sequence[str] = (), exclude: dict[str, Column] | None = None
 ) -> DataFrame:
     """Projection of a shift on the unit vector, cosine, norm and number of shared finite items.
 
-    ``exclude`` drops items from both sides before the vector is normalised again. NULL below two shared items or for a
-    zero vector.
+    ``exclude = {suffix: condition}`` adds projections without some items; these leave both sides, so the vector is
+    normalised again. NULL below two shared items or for a zero vector. All in one aggregation; ``shift_l2`` is the norm
+    over every finite shift, also of items that the vector does not hold.
     """
-    # Rows stay in the group even when all of them are excluded or not finite, so that the group is reported.
-    usable = finite(shift, vector) if exclude is None else finite(shift, vector) & ~exclude
-    s, a = F.when(usable, F.col(shift)), F.when(usable, F.col(vector))
-    sums = pairs.groupBy(*by).agg(
-        F.sum(s * a).alias("_sa"), F.sum(a * a).alias("_aa"), F.sum(s * s).alias("_ss"),
-        F.count(s).alias("n_common"),
-    )
-    enough = (F.col("n_common") >= 2) & (F.col("_aa") > 0)
-    proj = F.when(enough, F.try_divide(F.col("_sa"), F.sqrt("_aa")))
-    return sums.select(
-        *by, proj.alias("projection"), F.try_divide(proj, F.sqrt("_ss")).alias("cosine"),
-        F.sqrt("_ss").alias("shift_norm"), "n_common",
-    )
+    usable = finite(shift, vector)
+    cases = {"": usable, **{suffix: usable & ~cond for suffix, cond in (exclude or {}).items()}}
+    aggs = [F.sqrt(F.sum(F.when(finite(shift), F.col(shift) * F.col(shift)))).alias("shift_l2")]
+    for suffix, ok in cases.items():
+        # rows stay in the group even when none of them is usable, so that the group is reported
+        s, a = F.when(ok, F.col(shift)), F.when(ok, F.col(vector))
+        aggs += [
+            F.sum(s * a).alias(f"_sa{suffix}"), F.sum(a * a).alias(f"_aa{suffix}"), F.sum(s * s).alias(f"_ss{suffix}"),
+            F.count(s).alias(f"n_common{suffix}"),
+        ]
+    sums = pairs.groupBy(*by).agg(*aggs)
+    out = [*by, "shift_l2"]
+    for suffix in cases:
+        enough = (F.col(f"n_common{suffix}") >= 2) & (F.col(f"_aa{suffix}") > 0)
+        proj = F.when(enough, F.try_divide(F.col(f"_sa{suffix}"), F.sqrt(f"_aa{suffix}")))
+        out += [
+            proj.alias(f"projection{suffix}"), F.try_divide(proj, F.sqrt(f"_ss{suffix}")).alias(f"cosine{suffix}"),
+            F.sqrt(f"_ss{suffix}").alias(f"shift_norm{suffix}"), f"n_common{suffix}",
+        ]
+    return sums.select(*out)
 
 
 def norm_share(vec: DataFrame, value: str, listed: Column, by: Sequence[str] = (), out: str = "share") -> DataFrame:

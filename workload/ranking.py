@@ -244,7 +244,7 @@ def _(t):
     FROM (SELECT scope, predicted_shift AS s, real_shift AS a FROM shifts) GROUP BY scope""",
        "projection cosine shift_norm", "shifts")
 def _(t):
-    return stats.project(S.shifts(t), "predicted_shift", "real_shift", ["scope"])
+    return stats.project(S.shifts(t), "predicted_shift", "real_shift", ["scope"]).drop("shift_l2")
 
 
 @query("st16_norm_share", """
