@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shiftgrid.operators.filters import GuardError
-from shiftgrid.operators.ordered import attach, group_size, numbered
-from shiftgrid.operators.ranks import average_rank, percent_of_rank, tie_totals
+from shiftgrid.operators.ordered import attach, attach_stats, numbered, with_each
+from shiftgrid.operators.ranks import average_rank, percent_of_rank
 
 
 def pseudobulk(counts: DataFrame, sample: Sequence[str], feature: str, value: str = "count") -> DataFrame:
@@ -40,7 +40,7 @@ def marker_means(
     sums = wanted.groupBy(cluster, gene).agg(F.sum(value).alias("_s"))
     present = expr.select(gene).distinct().join(markers.select(gene), gene, "left_semi")
     # clusters x markers is the size of the report itself; every present marker is reported for every cluster
-    grid = sizes.crossJoin(present)
+    grid = with_each(present, sizes)
     means = attach(grid, sums, [cluster, gene]).select(
         cluster, gene, (F.coalesce("_s", F.lit(0.0)) / F.col("n_cells")).alias("mean_expr"), F.lit(True).alias("present")
     )
@@ -55,7 +55,7 @@ def mean_profile(expr: DataFrame, by: Sequence[str], gene: str, sample: Sequence
     """Mean over all samples of a group per gene; a sample without the gene counts as zero."""
     n = expr.groupBy(*by).agg(F.countDistinct(*sample).alias("n_samples"))
     sums = expr.groupBy(*by, gene).agg(F.sum(value).alias("_s"))
-    return attach(sums, n, by).select(*by, gene, (F.col("_s") / F.col("n_samples")).alias("mean"), "n_samples")
+    return attach_stats(sums, n, by).select(*by, gene, (F.col("_s") / F.col("n_samples")).alias("mean"), "n_samples")
 
 
 def crosstab(cells: DataFrame, rows: str, column: str, values: Sequence) -> DataFrame:
@@ -255,14 +255,13 @@ def rank_genes(expr: DataFrame, cells: DataFrame, cell: Sequence[str], group: st
     """
     from shiftgrid.operators.ranks import top_rows
 
-    total = cells.groupBy().agg(F.count(F.lit(1)).alias("_N"))
-    sizes = cells.groupBy(group).agg(F.count(F.lit(1)).alias("_ng"))
+    total = cells.agg(F.count(F.lit(1)).alias("_N"))
+    sizes = attach(cells.groupBy(group).agg(F.count(F.lit(1)).alias("_ng")), total, [])
     seen = expr.where(F.col(value) > 0).join(cells, list(cell))
     ranked = average_rank(seen, value, [gene], "_r")
     per_gene = seen.groupBy(gene).agg(F.count(F.lit(1)).alias("_nz"))
     sums = ranked.groupBy(group, gene).agg(F.sum("_r").alias("_s"), F.count(F.lit(1)).alias("_k"))
-    grid = per_gene.crossJoin(F.broadcast(sizes)).crossJoin(F.broadcast(total))
-    j = attach(grid, sums, [group, gene])
+    j = attach(with_each(per_gene, sizes), sums, [group, gene])
     zeros = F.col("_N") - F.col("_nz")
     k_in = F.coalesce("_k", F.lit(0))
     rank_sum = F.coalesce("_s", F.lit(0.0)) + k_in * zeros + (F.col("_ng") - k_in) * (zeros + 1) / F.lit(2.0)

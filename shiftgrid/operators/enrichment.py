@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shiftgrid.functions.scalars import hash_key
-from shiftgrid.operators.ordered import SLICE, attach, group_size, numbered, running
+from shiftgrid.operators.ordered import SLICE, attach, attach_stats, group_size, numbered, running
 from shiftgrid.operators.ranks import top_rows
 from shiftgrid.operators.resample import replicate
 from shiftgrid.operators.stats import finite
@@ -37,7 +37,7 @@ def scores_of_hits(hits: DataFrame, group: Sequence[str]) -> DataFrame:
     totals = hits.groupBy(*group).agg(
         F.sum("weight").alias("_nr"), F.count(F.lit(1)).alias("size"), F.max("n_list").alias("_n")
     )
-    j = attach(walked, totals, group)
+    j = attach_stats(walked, totals, group)
     miss = F.try_divide((F.col("position") - F.col("_i")).cast("double"), (F.col("_n") - F.col("size")).cast("double"))
     up = F.try_divide(F.col("_w"), F.col("_nr")) - miss
     down = F.try_divide(F.col("_w") - F.col("weight"), F.col("_nr")) - miss

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shiftgrid.functions.scalars import is_erythroid, is_mitochondrial
-from shiftgrid.operators.ordered import attach
+from shiftgrid.operators.ordered import attach, attach_stats
 from shiftgrid.operators.ranks import percentiles
 from shiftgrid.operators.stats import finite
 
@@ -95,11 +95,11 @@ def flag_doublets(cells: DataFrame, sample: str, score: str, thresholds: DataFra
 
     ``thresholds``: sample, manual, automatic, fallback (NULL = not given).
     """
-    joined = attach(cells, thresholds, [sample])
+    joined = attach_stats(cells, thresholds, [sample])
     by_auto = joined.groupBy(sample).agg(
         F.sum((F.col(score) > F.col("automatic")).cast("bigint")).alias("_auto_n")
     )
-    j = attach(joined, by_auto, [sample])
+    j = attach_stats(joined, by_auto, [sample])
     auto_works = F.coalesce(F.col("_auto_n"), F.lit(0)) > 0
     source = (
         F.when(F.col("manual").isNotNull(), "manual")
@@ -136,7 +136,7 @@ def usable_variants(variants: DataFrame, edges: DataFrame, scope: Sequence[str]
 def floor_filter(df: DataFrame, level: str, by: Sequence[str], pct: float = 0.25) -> DataFrame:
     """Rows at or above the given percentile of the level."""
     floor = percentiles(df, level, by, {"_floor": pct})
-    return attach(df, floor, by, "inner").where(F.col(level) >= F.col("_floor")).drop("_floor")
+    return attach_stats(df, floor, by, "inner").where(F.col(level) >= F.col("_floor")).drop("_floor")
 
 
 def min_support(df: DataFrame, key: Sequence[str], n: int) -> DataFrame:

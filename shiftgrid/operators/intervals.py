@@ -1,4 +1,4 @@
-"""Half-open genomic intervals: merging, overlap, counting and distance joins on position bins."""
+"""Half-open genomic intervals: merging and any-match by running maxima, counting and distance joins by position bins."""
 
 from __future__ import annotations
 
@@ -7,8 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shiftgrid.operators.ordered import SLICE, order_once, running
-from shiftgrid.operators.ranks import percentiles
+from shiftgrid.operators.ordered import SLICE, attach, order_once, running
+from shiftgrid.operators.ranks import percentiles, tie_totals
 from shiftgrid.session import bounded
 
 BIN = "_bin"
@@ -31,10 +31,14 @@ def merge_intervals(df: DataFrame, by: Sequence[str] = ("chrom",), gap: int = 0)
     ).drop("_island")
 
 
-def bin_width(df: DataFrame, at_least: int = 1) -> int:
-    """A bin about as wide as the wider intervals, so that most fall into one or two bins (one small aggregate job)."""
-    row = df.agg(F.percentile_approx(F.col("end") - F.col("start"), F.lit(0.9), F.lit(100)).alias("w")).first()
-    return max(int(at_least), int(row["w"] or 1))
+def bin_width(df: DataFrame, most_bins: int = 10_000) -> int:
+    """A bin about as wide as the wider intervals, so that most fall into one or two bins (one small aggregate job).
+
+    The widest interval still falls into at most ``most_bins`` bins.
+    """
+    w = F.col("end") - F.col("start")
+    row = df.agg(F.percentile_approx(w, F.lit(0.9), F.lit(100)).alias("w"), F.max(w).alias("m")).first()
+    return max(1, int(row["w"] or 1), int(row["m"] or 1) // most_bins)
 
 
 def _bins(start: Column, end: Column, width: int) -> Column:
@@ -46,30 +50,50 @@ def binned(df: DataFrame, width: int) -> DataFrame:
     return df.select("*", F.explode(_bins(F.col("start"), F.col("end"), width)).alias(BIN))
 
 
-def overlaps_any(
-    edges: DataFrame, truth: DataFrame, by: Sequence[str] = ("chrom",), out: str = "hit", width: int | None = None
-) -> DataFrame:
-    """1 when the row's interval overlaps any truth interval of its chromosome, else 0.
+def reach_of(regions: DataFrame, truth: DataFrame, by: Sequence[str], cases: dict[str, Column]) -> DataFrame:
+    """Distinct regions with, per case, the largest end among the truth intervals that start before the region ends.
 
-    The truth is fused first (a union of overlapping intervals gives the same answer), so a bin holds few of them even
-    where replicates pile up. Regions are tested once each, however many edges share them.
+    A region overlaps some truth interval exactly when that end lies beyond its start. So one running maximum over starts
+    and ends in position order answers any-match: no bins, no pairs, and a crowded chromosome spreads over many slices.
+    ``cases = {name: condition on truth rows}`` asks about several truth sets in the same pass.
     """
-    width = width or bin_width(truth)
-    # Only truly overlapping truth intervals are fused: touching ones differ for an empty region between them.
-    fused = merge_intervals(truth, by, gap=-1).select(
-        *[F.col(c).alias(f"_t_{c}") for c in by], F.col("start").alias("_ts"), F.col("end").alias("_te"),
-        F.explode(_bins(F.col("start"), F.col("end"), width)).alias("_tb"),
+    ends = regions.select(*by, "start", "end").distinct().select(
+        *by, F.col("end").alias("_pos"), F.lit(0).alias("_kind"), "start", "end",
+        *[F.lit(None).cast("bigint").alias(name) for name in cases],
     )
-    regions = binned(edges.select(*by, "start", "end").distinct(), width)
-    match = (F.col(BIN) == F.col("_tb")) & (F.col("start") < F.col("_te")) & (F.col("end") > F.col("_ts"))
-    for c in by:
-        match = match & (F.col(c) == F.col(f"_t_{c}"))
-    hits = regions.join(fused, match, "left_semi").select(*by, "start", "end").distinct().withColumn("_hit", F.lit(1))
+    # truth intervals with one start act as the longest of them; at equal positions regions come first (start < end)
+    starts = truth.groupBy(*by, F.col("start").alias("_pos")).agg(
+        *[F.max(F.when(cond, F.col("end"))).cast("bigint").alias(name) for name, cond in cases.items()]
+    ).select(*by, "_pos", F.lit(1).alias("_kind"), F.lit(0).cast("bigint").alias("start"),
+             F.lit(0).cast("bigint").alias("end"), *cases)
+    laid = ends.unionByName(starts)
+    walked = running(laid, by, ["_pos", "_kind", "start"], {f"_reach_{n}": ("max", F.col(n)) for n in cases})
+    return walked.where(F.col("_kind") == 0).select(
+        *by, "start", "end", *[F.coalesce(F.col(f"_reach_{n}") > F.col("start"), F.lit(False)).alias(n) for n in cases]
+    )
+
+
+def overlaps_any(edges: DataFrame, truth: DataFrame, by: Sequence[str] = ("chrom",), out: str = "hit") -> DataFrame:
+    """1 when the row's interval overlaps any truth interval of its chromosome, else 0.
+
+    Regions are tested once each, however many edges share them.
+    """
+    hits = reach_of(edges, truth, by, {"_hit": F.lit(True)})
     return edges.join(hits, [*by, "start", "end"], "left").select(
-        *edges.columns, F.coalesce(F.col("_hit"), F.lit(0)).alias(out)
+        *edges.columns, F.coalesce(F.col("_hit").cast("int"), F.lit(0)).alias(out)
     )
 
 
+def overlap_sets(
+    regions: DataFrame, truth: DataFrame, set_name: str, names: Sequence[str], by: Sequence[str] = ("chrom",)
+) -> DataFrame:
+    """The named truth sets that each distinct region overlaps, as rows (region, set); regions without any do not appear."""
+    cases = {f"_set{i}": F.col(set_name) == F.lit(n) for i, n in enumerate(names)}
+    found = reach_of(regions, truth, by, cases)
+    listed = F.filter(F.array(*[F.when(F.col(c), F.lit(n)) for c, n in zip(cases, names)]), lambda x: x.isNotNull())
+    return found.select(*by, "start", "end", F.explode(listed).alias(set_name))
+
+
 def overlap_pairs(
     a: DataFrame, b: DataFrame, by: Sequence[str], keep_a: Sequence[str], keep_b: Sequence[str], width: int
 ) -> DataFrame:
@@ -141,14 +165,11 @@ def width_stats(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     rest = wide.groupBy(*by).agg(
         F.min("_w").alias("width_min"), F.max("_w").alias("width_max"), F.avg("_w").alias("width_mean")
     )
-    return rest.join(middle, list(by)) if by else rest.crossJoin(F.broadcast(middle))
+    return attach(rest, middle, by)
 
 
 def lower_median(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """The element at position ``int(n / 2)`` of the sorted widths (NULL when there is one interval only)."""
-    from shiftgrid.operators.ranks import tie_totals
-    from shiftgrid.operators.ordered import attach
-
     wide = df.select(*by, (F.col("end") - F.col("start")).alias("_w"))
     ties = tie_totals(wide, by, "_w", {"_n": F.lit(1).cast("bigint")})
     sized = attach(ties, ties.groupBy(*by).agg(F.sum("_n").alias("_total")), by)

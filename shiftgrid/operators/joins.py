@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shiftgrid.operators.filters import GuardError, require_empty
-from shiftgrid.operators.ordered import attach
+from shiftgrid.operators.ordered import attach, attach_stats
 
 
 def align(a: DataFrame, b: DataFrame, key: Sequence[str]) -> DataFrame:
@@ -172,7 +172,7 @@ def first_per_scope(df: DataFrame, scope: Sequence[str], value: str, order: Sequ
 
 def attach_scope(df: DataFrame, scalars: DataFrame, scope: Sequence[str]) -> DataFrame:
     """Per-scope scalars onto every row. Spark broadcasts the scalar table when its measured size allows."""
-    return attach(df, scalars, scope)
+    return attach_stats(df, scalars, scope)
 
 
 def columns_of_group(expr: DataFrame, cells: DataFrame, sample: str, group: str):

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shiftgrid.operators.filters import GuardError
-from shiftgrid.operators.ordered import attach, numbered
+from shiftgrid.operators.ordered import attach, attach_stats, numbered, with_each
 from shiftgrid.operators.ranks import top_rows
 from shiftgrid.session import cut
 
@@ -96,7 +96,9 @@ def summed_terms(terms: DataFrame, samples: DataFrame, net: Network, sample: Seq
     The pairs enter the sum as zeros: one aggregation gives the dense result, and no large table is joined.
     """
     key = [*net.scope, *sample]
-    grid = samples.join(net.cols.select(*net.scope, "tf"), net.scope) if net.scope else samples.crossJoin(net.cols.select("tf"))
+    # a few thousand samples may sit in one partition and fan out to millions of pairs: spread them first
+    even = samples.repartition(int(samples.sparkSession.conf.get("spark.sql.shuffle.partitions")), *key) if key else samples
+    grid = even.join(net.cols.select(*net.scope, "tf"), net.scope) if net.scope else with_each(even, net.cols.select("tf"))
     zeros = grid.select(*key, "tf", F.lit(0.0).alias("_num"))
     return terms.unionByName(zeros).groupBy(*key, "tf").agg(F.sum("_num").alias("_num"))
 
@@ -175,20 +177,20 @@ def top_variable(
     n = cells.groupBy(batch).agg(F.countDistinct(*cell).alias("_n"))
     x = F.expm1(F.col(value))
     sums = expr.groupBy(batch, gene).agg(F.sum(x).alias("_s"), F.sum(x * x).alias("_ss"))
-    m = attach(sums, n, [batch])
+    m = attach_stats(sums, n, [batch])
     mean = F.col("_s") / F.col("_n")
     var = F.try_divide(F.col("_ss") - F.col("_n") * mean * mean, F.col("_n") - F.lit(1.0))
     # an excess over the mean that rounding alone explains is no dispersion
     disp = F.when(var > F.lit(1e-12) * mean * mean, F.log(F.try_divide(var, mean)))
     t = m.select(batch, gene, F.log1p(mean).alias("_m"), disp.alias("_d"))
     span = t.groupBy(batch).agg(F.min("_m").alias("_lo"), F.max("_m").alias("_hi"))
-    t = attach(t, span, [batch])
+    t = attach_stats(t, span, [batch])
     width = F.nullif((F.col("_hi") - F.col("_lo")) / F.lit(float(bins)), F.lit(0.0))
     # right-closed equal-width bins, the first one closed on both sides
     slot = F.greatest(F.lit(1), F.least(F.lit(bins), F.ceil((F.col("_m") - F.col("_lo")) / width)))
     t = t.withColumn("_bin", F.coalesce(slot, F.lit(1)))
     stats = t.groupBy(batch, "_bin").agg(F.avg("_d").alias("_mu"), F.stddev_samp("_d").alias("_sd"))
-    t = attach(t, stats, [batch, "_bin"])
+    t = attach_stats(t, stats, [batch, "_bin"])
     # a bin with one feature has no spread: its feature gets 1
     norm = F.when(F.col("_sd").isNull(), F.when(F.col("_d").isNotNull(), F.lit(1.0))).otherwise(
         F.try_divide(F.col("_d") - F.col("_mu"), F.col("_sd"))
@@ -231,7 +233,7 @@ def cluster(df: DataFrame, features: str, batch: str, k: int, seed: int = 0, out
     """Clusters of an embedding after each batch is moved to a common centre (k-means; a contract cell -> cluster)."""
     vec = df.withColumn("_v", array_to_vector(F.col(features).cast("array<double>")))
     centre = vec.groupBy(batch).agg(vector_to_array(Summarizer.mean(F.col("_v"))).alias("_mu"))
-    moved = attach(vec, centre, [batch]).withColumn(
+    moved = attach_stats(vec, centre, [batch]).withColumn(
         "_x", array_to_vector(F.zip_with(vector_to_array("_v"), "_mu", lambda a, b: a - b))
     )
     model = KMeans(k=int(k), seed=int(seed), featuresCol="_x", predictionCol=out, maxIter=20).fit(moved)
@@ -250,7 +252,7 @@ def density_valley(
         F.count(score).cast("double").alias("_n"), F.stddev_samp(score).alias("_sd"), F.max(score).alias("_max")
     )
     ties = scores.where(F.col(score).isNotNull()).groupBy(*by, score).agg(F.count(F.lit(1)).alias("_k"))
-    j = attach(ties, stats, by, "inner").where((F.col("_max") >= F.lit(lo)) & (F.col("_sd") > 0))
+    j = attach_stats(ties, stats, by, "inner").where((F.col("_max") >= F.lit(lo)) & (F.col("_sd") > 0))
     grid = j.select("*", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("_i"))
     x = F.lit(lo) + (F.least(F.lit(hi), F.col("_max")) - F.lit(lo)) * F.col("_i") / F.lit(float(points - 1))
     h = F.col("_sd") * F.pow(F.col("_n"), F.lit(-0.2))

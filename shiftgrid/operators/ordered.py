@@ -70,7 +70,8 @@ def running(
         *[calls[f](f"_t_{name}").over(before).alias(f"_o_{name}") for name, (f, _) in totals.items()],
     )
     match = [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in keys]
-    joined = local.join(offsets, match, "left")
+    # at most one row per slice and group; written, so that its size is known before the join is planned
+    joined = local.join(cut(offsets), match, "left")
     out = []
     for c in local.columns:
         if c not in totals:
@@ -91,9 +92,28 @@ def numbered(df: DataFrame, by: Sequence[str], order: Sequence[str], out: str) -
 
 
 def group_size(df: DataFrame, by: Sequence[str], out: str, value: Column | None = None) -> DataFrame:
-    """Broadcastable per-group count joined back; unlike a window it never gathers a group in one task."""
+    """Per-group count joined back; unlike a window it never gathers a group in one task."""
     size = df.groupBy(*by).agg((F.count(F.lit(1)) if value is None else F.sum(value)).alias(out))
-    return attach(df, size, by)
+    return attach_stats(df, size, by)
+
+
+def attach_stats(df: DataFrame, stats: DataFrame, by: Sequence[str], how: str = "left") -> DataFrame:
+    """Join of a few figures per group.
+
+    An aggregate looks as large as its input to the planner, which would shuffle ``df`` by a possibly hot group key. On
+    large inputs the figures are written first: their size is then known, and Spark broadcasts them if that is small.
+    """
+    return attach(df, stats if bounded(df) else cut(stats), by, how)
+
+
+def with_each(df: DataFrame, labels: DataFrame) -> DataFrame:
+    """Every row with every row of a label table (clusters, scopes, samples): the grid of a dense report.
+
+    The labels travel as one array in a one-row table.
+    """
+    one = labels.agg(F.collect_list(F.struct(*labels.columns)).alias("_labels"))
+    grid = attach(df, one, []).select(*df.columns, F.explode("_labels").alias("_label"))
+    return grid.select(*df.columns, *[F.col(f"_label.{c}").alias(c) for c in labels.columns])
 
 
 def attach(df: DataFrame, right: DataFrame, by: Sequence[str], how: str = "left") -> DataFrame:

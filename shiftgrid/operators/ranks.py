@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shiftgrid.operators.ordered import SLICE, attach, group_size, numbered, running, sort_keys
+from shiftgrid.operators.ordered import SLICE, attach, attach_stats, group_size, numbered, running, sort_keys
 from shiftgrid.session import bounded
 
 
@@ -158,7 +158,7 @@ def percentiles(
         )
     ties = tie_totals(present, by, value, {"_n": F.lit(1).cast("bigint")})
     total = ties.groupBy(*by).agg(F.sum("_n").alias("_total"))
-    sized = attach(ties, total, by)
+    sized = attach_stats(ties, total, by)
     picks = []
     for name, q in quantiles.items():
         at = F.lit(float(q)) * (F.col("_total") - F.lit(1))

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shiftgrid.functions.scalars import draw, hash_key
-from shiftgrid.operators.ordered import attach, group_size, numbered
+from shiftgrid.operators.ordered import attach, attach_stats, group_size, numbered
 from shiftgrid.operators.ranks import average_rank, weighted_rank
 from shiftgrid.operators.stats import corr_expr, finite, rel_rmse_expr, weighted_corr_expr
 from shiftgrid.session import bounded, cut
@@ -147,7 +147,7 @@ def permuted_labels(
     """
     y = F.coalesce((F.col(label) == 1).cast("bigint"), F.lit(0))
     counts = df.groupBy(*by, stratum).agg(F.sum(y).alias("_pos_n"))
-    rows = attach(df, counts, [*by, stratum]).where(F.col("_pos_n") > 0)
+    rows = attach_stats(df, counts, [*by, stratum]).where(F.col("_pos_n") > 0)
     hashed = replicate(rows, B, [*by, key]).withColumn("_h", hash_key(F.lit(seed), *_group_text(by), F.col("b"), F.col(key)))
     placed = numbered(hashed, [*by, stratum, "b"], ["_h", key], "_at")
     return placed.where(F.col("_at") <= F.col("_pos_n")).drop("_at", "_h", "_pos_n", label)

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shiftgrid.operators.ordered import SLICE, attach, numbered, running
+from shiftgrid.operators.ordered import SLICE, attach, attach_stats, running
 from shiftgrid.operators.ranks import average_rank, tie_totals, top_abs
 
 
@@ -59,7 +59,7 @@ def zscore(df: DataFrame, value: str, by: Sequence[str] = (), out: str = "z") ->
     """Population z-score per group; a constant group gives zeros."""
     stats = df.groupBy(*by).agg(F.avg(value).alias("_mu"), F.stddev_pop(value).alias("_sd"))
     scaled = F.when(F.col("_sd") > 0, F.try_divide(F.col(value) - F.col("_mu"), F.col("_sd")))
-    return attach(df, stats, by).withColumn(
+    return attach_stats(df, stats, by).withColumn(
         out, F.when(F.col(value).isNotNull(), F.coalesce(scaled, F.lit(0.0)))
     ).drop("_mu", "_sd")
 
@@ -70,7 +70,7 @@ def zscore_many(df: DataFrame, values: dict[str, str], by: Sequence[str] = ()) -
         *[F.avg(c).alias(f"_mu_{o}") for o, c in values.items()],
         *[F.stddev_pop(c).alias(f"_sd_{o}") for o, c in values.items()],
     )
-    joined = attach(df, stats, by)
+    joined = attach_stats(df, stats, by)
     scaled = {
         o: F.when(
             F.col(c).isNotNull(),
@@ -156,7 +156,7 @@ def roc_pr(df: DataFrame, label: str, score: str, by: Sequence[str] = ()) -> Dat
     y = (F.col(label) == 1).cast("double")
     table = tie_totals(known, by, score, {"_p": y, "_all": F.lit(1.0)}, descending=True)
     size = table.groupBy(*by).agg(F.sum("_p").alias("_ptot"), F.sum("_all").alias("_atot"))
-    t = attach(table, size, by)
+    t = attach_stats(table, size, by)
     negatives_below = F.col("_atot") - F.col("_ptot") - (F.col("cum__all") - F.col("cum__p"))
     negatives_here = F.col("_all") - F.col("_p")
     agg = t.groupBy(*by).agg(

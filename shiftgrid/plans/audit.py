@@ -18,7 +18,7 @@ def audit_mixing(
 ) -> DataFrame:
     """Per entry: barcode-like names, prefix clusters, condition tokens, and a status.
 
-    Prefixes, buckets and ages are counted as distinct values per entry; only those distinct values reach the text lists.
+    Prefixes and ages are counted (``prefix_clusters`` and ``age_values`` list them as rows); only named buckets become text.
     ``columns``: entry, column, n_distinct (see ``column_cardinality``). A condition-shaped column has 2 to 30 values.
     """
     n = F.col(name)
@@ -31,14 +31,15 @@ def audit_mixing(
         F.count_distinct("_prefix").alias("n_prefixes"),
     )
 
-    def distinct_of(c: str, out: str) -> DataFrame:
+    def buckets(c: str, out: str) -> DataFrame:
+        # a handful of named buckets
         each = flagged.select(entry, F.explode(c).alias("_x")).distinct()
         return each.groupBy(entry).agg(F.array_join(F.array_sort(F.collect_list("_x")), ",").alias(out),
                                        F.count(F.lit(1)).alias(f"_n_{out}"))
 
-    j = base
-    for c, out in (("_g", "genotype"), ("_t", "treatment"), ("_a", "age")):
-        j = attach(j, distinct_of(c, out), [entry])
+    j = attach(attach(base, buckets("_g", "genotype"), [entry]), buckets("_t", "treatment"), [entry])
+    ages = flagged.select(entry, F.explode("_a").alias("_x")).groupBy(entry).agg(F.count_distinct("_x").alias("_ages"))
+    j = attach(j, ages, [entry])
     if columns is not None:
         shaped = columns.where(F.col("n_distinct").between(2, 30)).groupBy(entry).agg(F.count(F.lit(1)).alias("n_shaped"))
         j = attach(j, shaped, [entry])
@@ -49,7 +50,8 @@ def audit_mixing(
     def axis(out: str) -> Column:
         return F.when(~bc & (F.coalesce(f"_n_{out}", F.lit(0)) >= 2), F.col(out)).otherwise(F.lit(""))
 
-    tokens = (axis("genotype") != "") | (axis("treatment") != "") | (axis("age") != "")
+    n_ages = F.when(bc, F.lit(0)).otherwise(F.coalesce("_ages", F.lit(0)))
+    tokens = (axis("genotype") != "") | (axis("treatment") != "") | (n_ages >= 2)
     prefix = ~bc & (F.col("n_prefixes") >= 2)
     shaped = F.coalesce("n_shaped", F.lit(0)) > 0
     status = (
@@ -58,11 +60,16 @@ def audit_mixing(
     )
     return j.select(
         entry, "n_samples", "looks_like_barcodes", F.when(bc, F.lit(0)).otherwise(F.col("n_prefixes")).alias("n_prefixes"),
-        axis("genotype").alias("genotype"), axis("treatment").alias("treatment"), axis("age").alias("age"),
+        axis("genotype").alias("genotype"), axis("treatment").alias("treatment"), n_ages.alias("n_ages"),
         F.coalesce("n_shaped", F.lit(0)).alias("n_shaped"), status.alias("status"),
     )
 
 
+def age_values(names: DataFrame, entry: str, name: str) -> DataFrame:
+    """The distinct age texts per entry, one per row (their number has no bound)."""
+    return names.select(entry, F.explode(ages_of(F.col(name))).alias("age")).distinct()
+
+
 def prefix_clusters(names: DataFrame, entry: str, name: str) -> DataFrame:
     return names.groupBy(entry, name_prefix(F.col(name)).alias("prefix")).agg(F.count(F.lit(1)).alias("n"))
 

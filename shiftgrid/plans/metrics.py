@@ -9,15 +9,15 @@ from pyspark.sql import functions as F
 
 from shiftgrid.functions.scalars import region_chrom, region_end, region_start
 from shiftgrid.operators.enrichment import normalised_enrichment
-from shiftgrid.operators.intervals import overlaps_any
+from shiftgrid.operators.intervals import overlap_sets
 from shiftgrid.operators.joins import leave_source_out
-from shiftgrid.operators.ordered import attach, numbered
-from shiftgrid.operators.ranks import deciles, percent_of_rank, top_abs
+from shiftgrid.operators.ordered import attach, attach_stats, numbered, running, with_each
+from shiftgrid.operators.ranks import deciles, percent_of_rank, tie_totals, top_abs
 from shiftgrid.operators.resample import (
     bootstrap, intervals, null_summary, permutation_null, permuted_labels,
 )
 from shiftgrid.operators.stats import (
-    agree_expr, corr_expr, curve_of, finite, hit_positions, positional_metrics, rel_rmse_expr, roc_pr, sign_accuracy,
+    agree_expr, corr_expr, curve_of, finite, hit_positions, positional_metrics, rel_rmse_expr, sign_accuracy,
     spearman, weighted_corr_expr, zscore_many,
 )
 from shiftgrid.session import cut
@@ -28,7 +28,7 @@ def standardised(shifts: DataFrame, by: Sequence[str], loco: bool = False) -> Da
     columns = {"zr": "real_shift", "zp": "predicted_shift", "zl": "level", **({"zc": "loco"} if loco else {})}
     z = zscore_many(shifts, columns, by)
     side = z.groupBy(*by).agg(corr_expr(F.col("zl"), F.col("zr")).alias("_pl"))
-    return attach(z, side, by).withColumn(
+    return attach_stats(z, side, by).withColumn(
         "zs", F.when(F.coalesce(F.col("_pl"), F.lit(0.0)) >= 0, F.col("zl")).otherwise(-F.col("zl"))
     ).drop("_pl")
 
@@ -150,8 +150,7 @@ def tier_cases(scores: DataFrame, gold: DataFrame, min_ranked: int = 50) -> Data
     known = scores.where(finite("score")).select("scope", "tf", "score", "centrality")
     enough = known.groupBy("scope").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= int(min_ranked))
     known = known.join(enough.select("scope"), "scope", "left_semi")
-    tiers = gold.select("tier").distinct()
-    base = known.crossJoin(F.broadcast(tiers))
+    base = with_each(known, gold.select("tier").distinct())
     labelled = attach(base, gold.select("tier", "tf", "expected_ko_sign"), ["tier", "tf"])
     cases = F.when(F.col("tier") == "D", F.array(F.struct(
         F.lit("membership").alias("direction"), F.abs("score").alias("rank_score"),
@@ -223,23 +222,37 @@ def recall_report(cases: DataFrame, kmax: int, B_null: int, seed: int) -> DataFr
 
 # ------------------------------------------------------------------------------------------------------------- edges
 def benchmark_edges(
-    edges: DataFrame, truth: DataFrame, scope: str, region: str, score: str, truth_set: str, kind: str = "edge_type"
+    edges: DataFrame, truth: DataFrame, scope: str, region: str, score: str, truth_set: str, names: Sequence[str],
+    kind: str = "edge_type",
 ) -> DataFrame:
     """AUROC / AUPR of edge scores against overlap with each truth set, per scope and edge type; one-class cases drop out.
 
-    ``edges``: scope, edge_type, region text, score. ``truth``: set name, chrom, start, end.
+    ``edges``: scope, edge_type, region text, score. ``truth``: set name, chrom, start, end. The scores are laid out once
+    for all truth sets; each set then adds its positives only, so edges are never repeated per set.
     """
-    parsed = edges.select(
-        scope, kind, score, region_chrom(F.col(region)).alias("chrom"), region_start(F.col(region)).alias("start"),
+    case = [scope, kind]
+    place = ["chrom", "start", "end"]
+    parsed = cut(edges.select(
+        *case, F.col(score).alias("_s"), region_chrom(F.col(region)).alias("chrom"), region_start(F.col(region)).alias("start"),
         region_end(F.col(region)).alias("end"),
-    ).where(F.col("chrom").isNotNull())
-    sets = truth.select(F.col(truth_set).alias("_set")).distinct()
-    crossed = parsed.crossJoin(F.broadcast(sets))
-    labelled = overlaps_any(
-        crossed, truth.select(F.col(truth_set).alias("_set"), "chrom", "start", "end"), ["_set", "chrom"], "hit"
-    )
-    found = roc_pr(labelled, "hit", score, [scope, kind, "_set"])
-    return found.where(F.col("auroc").isNotNull()).select(
-        scope, kind, F.col("_set").alias("ground_truth"), F.col("n").alias("n_edges"), F.col("n_pos").alias("n_hits"),
-        "auroc", "aupr",
+    ).where(F.col("chrom").isNotNull() & finite("_s")))
+    ties = tie_totals(parsed, case, "_s", {"_all": F.lit(1.0)}, descending=True)
+    hits = overlap_sets(parsed, truth, truth_set, names)
+    positives = parsed.join(hits, place).groupBy(*case, truth_set, "_s").agg(F.count(F.lit(1)).cast("double").alias("_p"))
+    by = [*case, truth_set]
+    at = cut(attach(positives, ties, [*case, "_s"]))
+    walked = running(at, by, ["-_s"], {"_cum_p": ("sum", F.col("_p"))})
+    n = parsed.groupBy(*case).agg(F.count(F.lit(1)).cast("double").alias("_all_n"))
+    sizes = attach(at.groupBy(*by).agg(F.sum("_p").alias("_pos_n")), n, case)
+    j = attach_stats(walked, sizes, by)
+    below = (F.col("_all_n") - F.col("cum__all")) - (F.col("_pos_n") - F.col("_cum_p"))
+    wins = F.col("_p") * (below + (F.col("_all") - F.col("_p")) * F.lit(0.5))
+    found = j.groupBy(*by).agg(
+        F.max("_all_n").alias("_all_n"), F.max("_pos_n").alias("_pos_n"), F.sum(wins).alias("_wins"),
+        F.sum(F.col("_p") * F.col("_cum_p") / F.col("cum__all")).alias("_area"),
+    ).where(F.col("_pos_n") < F.col("_all_n"))
+    return found.select(
+        *case, F.col(truth_set).alias("ground_truth"), F.col("_all_n").cast("bigint").alias("n_edges"),
+        F.col("_pos_n").cast("bigint").alias("n_hits"), (F.col("_wins") / (F.col("_pos_n") * (F.col("_all_n") - F.col("_pos_n")))).alias("auroc"),
+        (F.col("_area") / F.col("_pos_n")).alias("aupr"),
     )

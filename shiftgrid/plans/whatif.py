@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shiftgrid.operators.filters import GuardError, require_empty
-from shiftgrid.operators.ordered import attach
+from shiftgrid.operators.ordered import attach, with_each
 from shiftgrid.operators.ranks import percentiles
 from shiftgrid.operators.stats import zscore_ref
 
@@ -69,10 +69,9 @@ def whatif_response(
     w = weights.where(F.col(feature) != F.col(target)).select(feature, target, weight)
     change = inputs.groupBy("variant", feature).agg(F.sum("z_shift").alias("_dz"))
     total = change.join(w, feature).groupBy("variant", target).agg(F.sum(F.col("_dz") * F.col(weight)).alias("_s"))
-    out = total.crossJoin(F.broadcast(n_samples)).select(
+    return attach(total, n_samples, []).select(
         "variant", F.col(target).alias("gene"), F.try_divide("_s", "n_samples").alias("shift")
     )
-    return out
 
 
 def baseline_response(
@@ -84,9 +83,10 @@ def baseline_response(
     n = expr.agg(F.countDistinct(sample).alias("_n"))
     zsum = z.groupBy(feature).agg(F.sum("_z").alias("_zs"))
     w = weights.where(F.col(feature) != F.col(target))
-    return w.join(zsum, feature).groupBy(F.col(target).alias("gene")).agg(
+    total = w.join(zsum, feature).groupBy(F.col(target).alias("gene")).agg(
         F.sum(F.col("_zs") * F.col(weight)).alias("_s")
-    ).crossJoin(F.broadcast(n)).select("gene", F.try_divide("_s", "_n").alias("baseline"))
+    )
+    return attach(total, n, []).select("gene", F.try_divide("_s", "_n").alias("baseline"))
 
 
 def whatif_status(inputs: DataFrame, response: DataFrame, noop_below: float = 1e-6) -> DataFrame:
@@ -136,7 +136,7 @@ def eligibility(
     )
     net = edges.groupBy("scope", F.col("tf").alias(gene)).agg(F.sum(F.abs("weight")).alias("_w"))
     cap = percentiles(reference, value, [gene], {"oe_cap": q})
-    grid = genes.select(gene).distinct().crossJoin(F.broadcast(n_samples))
+    grid = with_each(genes.select(gene).distinct(), n_samples)
     j = attach(attach(attach(grid, stats, ["scope", gene]), net, ["scope", gene]), cap, [gene])
     mean, frac = F.col("_s") / F.col("n_samples"), F.col("_pos") / F.col("n_samples")
     in_net = F.coalesce(F.col("_w"), F.lit(0.0)) > 0

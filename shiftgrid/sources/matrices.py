@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shiftgrid.operators.filters import GuardError, require_empty
-from shiftgrid.operators.ordered import numbered
+from shiftgrid.operators.ordered import attach_stats, numbered, with_each
 from shiftgrid.sources.text import find_header, read_lines
 
 # File name endings of a coordinate-matrix trio (fixed values).
@@ -54,8 +54,7 @@ def read_mtx(spark: SparkSession, folder: str, pattern: str = "*", lines=read_li
         .when((r == F.col("_nc")) & (c == F.col("_nf")), "cells_by_features").alias("_way"),
     )
     require_empty(shape.where(F.col("_way").isNull()).select("prefix"), "matrix shape fits neither orientation")
-    # one row per trio
-    entries = data.join(F.broadcast(shape), "prefix").where(F.col("place") != F.col("head_place"))
+    entries = attach_stats(data, shape, ["prefix"], "inner").where(F.col("place") != F.col("head_place"))
     first, second = F.element_at(fields, 1).cast("bigint"), F.element_at(fields, 2).cast("bigint")
     straight = F.col("_way") == "features_by_cells"
     triples = entries.select(
@@ -164,7 +163,7 @@ def read_per_sample(
     found = F.regexp_extract("file_name", name, 1) if name else F.lit("")
     sample = F.when(found != "", found).otherwise(F.regexp_replace("file_name", r"\.gz$", ""))
     fields = F.split("line", "\t")
-    rows = raw.join(F.broadcast(where), "file_name").where(
+    rows = attach_stats(raw, where, ["file_name"], "inner").where(
         (F.col("place") > F.col("header_place")) & (F.trim("line") != "")
     )
     table = rows.select(
@@ -184,7 +183,7 @@ def rollup_sum(df: DataFrame, key: Sequence[str], value: str, extra: Sequence[Co
 
 def densify(long: DataFrame, gene: str = "gene", sample: str = "sample", value: str = "value") -> DataFrame:
     """Zero rows for missing (gene, sample) pairs; only for a sink that wants the full matrix."""
-    grid = long.select(gene).distinct().crossJoin(long.select(sample).distinct())
+    grid = with_each(long.select(gene).distinct(), long.select(sample).distinct())
     return grid.join(long, [gene, sample], "left").withColumn(value, F.coalesce(value, F.lit(0.0)))
 
 

@@ -29,8 +29,7 @@ def test_merge_output_is_disjoint(spark, mode):
     assert covered.sum() == sum(e - a for a, e in out)
 
 
-@pytest.mark.parametrize("width", [3, 50, None])
-def test_overlaps_any_against_brute_force(spark, mode, width):
+def test_overlaps_any_against_brute_force(spark, mode):
     rng = np.random.default_rng(2)
 
     def make(n):
@@ -38,7 +37,7 @@ def test_overlaps_any_against_brute_force(spark, mode, width):
         return [("c%d" % (i % 2), int(a), int(a + w)) for i, (a, w) in enumerate(zip(s, rng.integers(1, 25, n)))]
 
     edges, truth = make(80), make(15)
-    got = iv.overlaps_any(frame(spark, edges).distinct(), frame(spark, truth), width=width).collect()
+    got = iv.overlaps_any(frame(spark, edges).distinct(), frame(spark, truth)).collect()
     for r in got:
         want = any(c == r["chrom"] and r["start"] < e and r["end"] > s for c, s, e in truth)
         assert r["hit"] == int(want)
@@ -47,7 +46,14 @@ def test_overlaps_any_against_brute_force(spark, mode, width):
 def test_touching_is_no_overlap(spark, mode):
     e = frame(spark, [("c", 10, 20), ("c", 5, 6)])
     t = frame(spark, [("c", 20, 30), ("c", 0, 5)])
-    assert {r["hit"] for r in iv.overlaps_any(e, t, width=7).collect()} == {0}
+    assert {r["hit"] for r in iv.overlaps_any(e, t).collect()} == {0}
+
+
+def test_overlap_sets(spark, mode):
+    regions = frame(spark, [("c", 0, 10), ("c", 20, 30), ("d", 0, 10)])
+    truth = frame(spark, [("c", 5, 6, "x"), ("c", 9, 25, "y"), ("c", 30, 40, "x")], ", s string")
+    got = sorted((r["start"], r["s"]) for r in iv.overlap_sets(regions, truth, "s", ["x", "y"]).collect())
+    assert got == [(0, "x"), (0, "y"), (20, "y")]
 
 
 @pytest.mark.parametrize("unit,salt", [("fragment", 1), ("fragment", 4), ("insertion", 3)])

@@ -121,4 +121,4 @@ def _(t):
     edges = iv.select(F.col("event_type").alias("scope"), F.lit("cis").alias("edge_type"),
                       scalars.format_region(F.col("chrom"), F.col("start"), F.col("end")).alias("re"), "value")
     truth = iv.where(F.col("event_type").isin("error", "purchase")).withColumnRenamed("event_type", "truth_set")
-    return metrics.benchmark_edges(edges, truth, "scope", "re", "value", "truth_set")
+    return metrics.benchmark_edges(edges, truth, "scope", "re", "value", "truth_set", ["error", "purchase"])
