@@ -12,6 +12,16 @@ from shiftgrid.operators.filters import GuardError, require_empty
 from shiftgrid.operators.ordered import attach, attach_stats
 
 
+# ---- fixed values: final texts of the units that are not scored -----------------------------------------------------
+UNSCORED_TEXT = {
+    "epsilon_exploratory": "epsilon only: see metrics_epsilon.tsv",
+    "tf_not_in_network": "N/A: TF not in trained network (descriptive only)",
+    "not_a_tf": "N/A: not a transcription factor",
+    "not_run_array": "N/A: array data not supported",
+}
+# ---- end fixed values ------------------------------------------------------------------------------------------------
+
+
 def align(a: DataFrame, b: DataFrame, key: Sequence[str]) -> DataFrame:
     """Inner join on the labels; everything that compares two vectors starts here."""
     return a.join(b, list(key))
@@ -152,12 +162,10 @@ def coverage(
         F.when(scored & (F.size(verdicts) == 0),
                F.concat(F.col(status), F.lit(": panel row missing ("), F.array_join(missing, ","), F.lit(")")))
         .when(scored, F.concat(F.col(status), F.lit(": "), F.array_join(verdicts, "/")))
-        .when(F.col(status) == "epsilon_exploratory", "epsilon only: see metrics_epsilon.tsv")
-        .when(F.col(status) == "tf_not_in_network", "N/A: TF not in trained network (descriptive only)")
-        .when(F.col(status) == "not_a_tf", "N/A: not a transcription factor")
-        .when(F.col(status) == "not_run_array", "N/A: array data not supported")
-        .otherwise(F.col(status))
     )
+    for code, words in UNSCORED_TEXT.items():
+        final = final.when(F.col(status) == code, words)
+    final = final.otherwise(F.col(status))
     return j.select(
         *units.columns, final.alias("final_status"), F.array_join(verdicts, ";").alias("verdicts"),
         F.array_join(F.coalesce("_x", F.array().cast("array<string>")), ";").alias("values"),

@@ -150,7 +150,10 @@ def gate(rows: DataFrame, call: str = "verdict", passed: str = "sanity_pass") ->
 
 
 def vector_support(reference: DataFrame, others: DataFrame, scope: str, item: str, value: str, k: int = 200) -> DataFrame:
-    """Each other vector against the reference vector: correlation, and recovery of the reference's largest items."""
+    """Each other vector against the reference vector: correlation, and recovery of the reference's largest items.
+
+    ``shiftgrid.functions.pvalue.with_p_value`` adds the test of zero correlation to any such report row.
+    """
     ref = reference.select(item, F.col(value).alias("_ref"))
     pairs = others.select(scope, item, F.col(value).alias("_own")).join(ref, item)
     rho = spearman(pairs, "_ref", "_own", [scope], "rho", min_n=10)

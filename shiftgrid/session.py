@@ -6,7 +6,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -37,13 +36,23 @@ def get_session(app: str = "shiftgrid", **conf: str) -> SparkSession:
     return builder.getOrCreate()
 
 
+_private: dict[str, str] = {}
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a private one only where none is configured (tests, local runs)."""
+    """The shared folder the session names; a private one only where none is configured (tests, local runs)."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder is None:
-        folder = os.path.join(tempfile.gettempdir(), f"shiftgrid-{os.getpid()}")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+        app = spark.sparkContext.applicationId
+        if app not in _private:
+            _private[app] = tempfile.mkdtemp(prefix="shiftgrid-")
+        folder = _private[app]
+    return folder.rstrip("/")
+
+
+def scratch_folder(spark: SparkSession) -> str:
+    """This application's own part of the shared folder."""
+    return f"{checkpoint_dir(spark)}/{spark.sparkContext.applicationId}"
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -53,15 +62,14 @@ def cut(df: DataFrame) -> DataFrame:
     is done again. The table is columnar, so each branch reads its own columns, and its size is known to ``bounded``.
     """
     spark = df.sparkSession
-    path = f"{checkpoint_dir(spark).rstrip('/')}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    path = f"{scratch_folder(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def release(spark: SparkSession) -> None:
     """Remove the tables this application cut. Call it when no DataFrame built from them is needed any more."""
-    folder = f"{checkpoint_dir(spark).rstrip('/')}/{spark.sparkContext.applicationId}"
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path = spark._jvm.org.apache.hadoop.fs.Path(scratch_folder(spark))
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 

@@ -2,7 +2,6 @@ from __future__ import annotations
 
 import os
 import sys
-import tempfile
 
 import pytest
 
@@ -18,8 +17,6 @@ def spark():
         spark__driver__memory="4g", spark__ui__showConsoleProgress="false",
     )
     s.sparkContext.setLogLevel("OFF")
-    if s.conf.get("spark.checkpoint.dir", None) is None:
-        s.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="shiftgrid-tests-"))
     return s
 
 

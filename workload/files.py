@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from shiftgrid.operators.ordered import numbered
-from shiftgrid.session import checkpoint_dir
+from shiftgrid.session import scratch_folder
 from shiftgrid.sources import matrices, sinks, tables, text
 from workload import standins as S
 from workload.registry import query
@@ -15,8 +15,7 @@ from workload.registry import query
 
 def scratch(t) -> str:
     """A new folder under the shared one."""
-    spark = t.spark
-    return f"{checkpoint_dir(spark).rstrip('/')}/{spark.sparkContext.applicationId}/files-{uuid.uuid4().hex}"
+    return f"{scratch_folder(t.spark)}/files-{uuid.uuid4().hex}"
 
 
 def put_lines(df, folder: str, name: str, columns, sep: str = "\t", header: bool = False) -> str:

@@ -132,6 +132,13 @@ def _(t):
     return stats.spearman(S.shifts(t), "real_shift", "predicted_shift", ["scope"])
 
 
+@query("rp6_correlation_p_value")
+def _(t):
+    from shiftgrid.functions.pvalue import with_p_value
+
+    return with_p_value(stats.spearman(S.shifts(t), "real_shift", "predicted_shift", ["scope"]), "rho", "n")
+
+
 @query("st3_pearson", "SELECT scope, corr(real_shift, predicted_shift) AS pearson, count(*) AS n FROM shifts GROUP BY scope",
        "pearson", "shifts")
 def _(t):
