@@ -8,52 +8,58 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
-def _log_beta(a: float, b: float) -> float:
-    return math.lgamma(a) + math.lgamma(b) - math.lgamma(a + b)
-
-
-def _tail(x: np.ndarray, a: np.ndarray) -> np.ndarray:
-    """Regularised incomplete beta function I_x(a, 1/2) from its continued fraction (modified Lentz steps)."""
-    b, tiny = 0.5, 1e-300
-    swap = x > (a + 1) / (a + b + 2)  # the fraction converges fast below the mean; above it use 1 - I_{1-x}(b, a)
-    p, q, z = np.where(swap, b, a), np.where(swap, a, b), np.where(swap, 1 - x, x)
-    c, d = np.ones_like(z), 1 - (p + q) * z / (p + 1)
-    d = 1 / np.where(np.abs(d) < tiny, tiny, d)
-    h = d.copy()
-    for m in range(1, 400):
-        for step in (m * (q - m) * z / ((p + 2 * m - 1) * (p + 2 * m)), -(p + m) * (p + q + m) * z / ((p + 2 * m) * (p + 2 * m + 1))):
-            d = 1 + step * d
-            d = 1 / np.where(np.abs(d) < tiny, tiny, d)
-            c = 1 + step / c
-            c = np.where(np.abs(c) < tiny, tiny, c)
-            h = h * d * c
-        if np.all(np.abs(d * c - 1) < 1e-15):
-            break
-    front = np.array([_log_beta(u, v) for u, v in zip(p, q)])
-    with np.errstate(divide="ignore"):
-        value = np.exp(p * np.log(z) + q * np.log1p(-z) - front) * h / p
-    return np.where(swap, 1 - value, value)
-
-
-@F.pandas_udf("double")
-def _p_value(rho: pd.Series, n: pd.Series) -> pd.Series:
-    r, df = rho.to_numpy(float), n.to_numpy(float) - 2
-    ok = np.isfinite(r) & (df > 0)
-    out = np.full(len(r), np.nan)
-    exact = ok & (np.abs(r) >= 1)
-    out[exact] = 0.0
-    use = ok & ~exact
-    if use.any():
-        # with t = r sqrt(df / (1 - r^2)) the tail argument df / (df + t^2) is 1 - r^2
-        out[use] = _tail(1 - r[use] ** 2, df[use] / 2)
-    return pd.Series(out)
+def _p_value_function():
+    """The vectorised function; its helpers are local, so that they travel with it to the workers."""
+
+    def log_beta(a: float, b: float) -> float:
+        return math.lgamma(a) + math.lgamma(b) - math.lgamma(a + b)
+
+    def tail(x: np.ndarray, a: np.ndarray) -> np.ndarray:
+        """Regularised incomplete beta function I_x(a, 1/2) from its continued fraction (modified Lentz steps)."""
+        b, tiny = 0.5, 1e-300
+        swap = x > (a + 1) / (a + b + 2)  # the fraction converges fast below the mean; above it use 1 - I_{1-x}(b, a)
+        p, q, z = np.where(swap, b, a), np.where(swap, a, b), np.where(swap, 1 - x, x)
+        c, d = np.ones_like(z), 1 - (p + q) * z / (p + 1)
+        d = 1 / np.where(np.abs(d) < tiny, tiny, d)
+        h = d.copy()
+        for m in range(1, 400):
+            even = m * (q - m) * z / ((p + 2 * m - 1) * (p + 2 * m))
+            odd = -(p + m) * (p + q + m) * z / ((p + 2 * m) * (p + 2 * m + 1))
+            for step in (even, odd):
+                d = 1 + step * d
+                d = 1 / np.where(np.abs(d) < tiny, tiny, d)
+                c = 1 + step / c
+                c = np.where(np.abs(c) < tiny, tiny, c)
+                h = h * d * c
+            if np.all(np.abs(d * c - 1) < 1e-15):
+                break
+        front = np.array([log_beta(u, v) for u, v in zip(p, q)])
+        with np.errstate(divide="ignore", invalid="ignore"):
+            value = np.where(z > 0, np.exp(p * np.log(z) + q * np.log1p(-z) - front) * h / p, 0.0)
+        return np.where(swap, 1 - value, value)
+
+    def p_value(rho: pd.Series, n: pd.Series) -> pd.Series:
+        r, df = rho.to_numpy(float), n.to_numpy(float) - 2
+        ok = np.isfinite(r) & (df > 0)
+        out = np.full(len(r), np.nan)
+        exact = ok & (np.abs(r) >= 1)
+        out[exact] = 0.0
+        use = ok & ~exact
+        if use.any():
+            # with t = r sqrt(df / (1 - r^2)) the tail argument df / (df + t^2) is 1 - r^2
+            out[use] = tail(1 - r[use] ** 2, df[use] / 2)
+        return pd.Series(out)
+
+    return p_value
 
 
 def correlation_p_value(rho: Column, n: Column) -> Column:
     """Student t test of zero correlation; NULL below three pairs. One call per reported row, never per data row."""
-    return F.nanvl(_p_value(rho.cast("double"), n.cast("double")), F.lit(None).cast("double"))
+    p = F.pandas_udf(_p_value_function(), T.DoubleType())
+    return F.nanvl(p(rho.cast("double"), n.cast("double")), F.lit(None).cast("double"))
 
 
 def with_p_value(rows: DataFrame, rho: str, n: str, out: str = "p_value") -> DataFrame:
