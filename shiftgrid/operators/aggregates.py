@@ -116,9 +116,8 @@ def coverage_summary(units: DataFrame, dims: str, cls: str, status: str, verdict
         verdict.alias("_v"),
     ).where(F.col("dimension").isin(*dimensions) & F.col("class").isin(*classes))
     scored = F.startswith(F.col("_s"), F.lit("scored"))
-    grid = units.sparkSession.createDataFrame(
-        [(x, c) for x in dimensions for c in classes], "dimension string, class string"
-    )
+    cases = [F.struct(F.lit(x).alias("dimension"), F.lit(c).alias("class")) for x in dimensions for c in classes]
+    grid = units.sparkSession.range(1).select(F.explode(F.array(*cases)).alias("x")).select("x.dimension", "x.class")
     counts = d.groupBy("dimension", "class").agg(
         F.count(F.lit(1)).alias("n_units"), F.sum(scored.cast("bigint")).alias("n_scored"),
         F.sum((F.col("_s") == "tf_not_in_network").cast("bigint")).alias("n_tf_not_in_network"),

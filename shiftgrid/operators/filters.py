@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shiftgrid.functions.scalars import is_erythroid, is_mitochondrial
 from shiftgrid.operators.ordered import attach, attach_stats
 from shiftgrid.operators.ranks import percentiles
 from shiftgrid.operators.stats import finite
+from shiftgrid.session import cut
 
 
 class GuardError(ValueError):
@@ -68,7 +69,8 @@ def qc_rna(
     gate and before the mitochondrial gate, flagged genes go last.
     """
     metrics = cell_metrics(counts, cell).where(F.col("n_genes") >= int(min_genes))
-    kept = counts.join(metrics.select(*cell, "pct_mt"), list(cell))
+    # read by the gene support and by the result, so the join of all counts is done once
+    kept = cut(counts.join(metrics.select(*cell, "pct_mt"), list(cell)))
     genes = gene_cells(kept, gene).where(F.col("n_cells") >= int(min_cells)).select(*gene)
     out = kept.where(F.col("pct_mt") < F.lit(float(max_pct_mt))).join(genes, list(gene), "left_semi").drop("pct_mt")
     drop = F.lit(False)
@@ -85,7 +87,7 @@ def qc_atac(
     """Accessibility filter: cells with enough non-zero peaks, then peaks in enough of the kept cells."""
     seen = F.sum((F.col("count") > 0).cast("bigint"))
     cells = counts.groupBy(*cell).agg(seen.alias("_p")).where(F.col("_p") >= int(min_peaks)).select(*cell)
-    kept = counts.join(cells, list(cell), "left_semi")
+    kept = cut(counts.join(cells, list(cell), "left_semi"))
     peaks = kept.groupBy(*peak).agg(seen.alias("_c")).where(F.col("_c") >= int(min_cells)).select(*peak)
     return kept.join(peaks, list(peak), "left_semi")
 
