@@ -55,15 +55,18 @@ def write_trios(t) -> str:
     return folder
 
 
+def folder_lines(spark, path: str, column: str, suffix: str):
+    """``read_lines`` for the round-trip layout, where a partition folder stands for the name of a file in it."""
+    value = F.regexp_extract(F.url_decode(F.col("_metadata.file_path")), f"{column}=([^/]+)/", 1)
+    place = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+    return spark.read.text(path).select(
+        F.concat(value, F.lit(suffix)).alias("file_name"), place.alias("place"), F.col("value").alias("line"))
+
+
 def trio_lines(spark, path: str):
-    """Lines of the round-trip layout, with the file name a trio would have: ``<sample>_<kind>``."""
     folder, name = path.rsplit("/", 1)
     kind = "matrix.mtx" if "matrix" in name else "barcodes.tsv" if "barcodes" in name else "features.tsv"
-    raw = text.read_lines(spark, f"{folder}/{kind}/*/")
-    full = spark.read.text(f"{folder}/{kind}/*/").select(
-        F.col("_metadata.file_name").alias("file_name"),
-        F.regexp_extract(F.url_decode(F.col("_metadata.file_path")), r"sample_id=([^/]+)/", 1).alias("s")).distinct()
-    return raw.join(F.broadcast(full), "file_name").withColumn("file_name", F.concat(F.col("s"), F.lit(f"_{kind}"))).drop("s")
+    return folder_lines(spark, f"{folder}/{kind}/*/", "sample_id", f"_{kind}")
 
 
 @query("src1_read_mtx", """SELECT sample_id || '_' AS prefix, CAST(cell_id AS VARCHAR) AS cell_id, CAST(feature_id AS VARCHAR) AS feature_id, count FROM counts""", "count", "counts")
@@ -126,7 +129,8 @@ def per_sample_path(t) -> str:
     SELECT CAST(l_partkey AS VARCHAR) AS gene, count(DISTINCT o_orderpriority) AS n_files, sum(l_quantity) AS value FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1""", "value")
 def _(t):
     path = per_sample_path(t)
-    long = matrices.read_per_sample(t.spark, f"{path}/*/", "isoform", 1, rollup="gene_id")
+    long = matrices.read_per_sample(
+        t.spark, f"{path}/*/", "isoform", 1, rollup="gene_id", lines=lambda spark, p: folder_lines(spark, p, "s", ".txt"))
     return long.groupBy("gene").agg(F.count_distinct("file_name").alias("n_files"), F.sum("value").alias("value"))
 
 
