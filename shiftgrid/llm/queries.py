@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shiftgrid.llm import quality_rules
+from shiftgrid.llm import language_id, piece_bpe, quality_rules, toxicity
+from shiftgrid.llm.common import held_out
 
 Run = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Run] = {}
@@ -28,6 +29,33 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def piece_model() -> str:
+    """The public BPE model of the contract."""
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+@query("op3_piece_bpe")
+def op3_piece_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    return piece_bpe.encoded(table(spark, folder, "documents"), ["doc_id"], piece_model(), ids=False)
+
+
+@query("op5_toxicity")
+def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    scorer = toxicity.fit(docs, table(spark, folder, "labels"), learn=~held_out("doc_id"))
+    out = toxicity.score(docs, scorer, ["doc_id"])
+    return out.select("doc_id", held_out("doc_id").alias("held_out"), "score", "predicted", "sentences")
+
+
+@query("op7_language_id")
+def op7_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    out = language_id.identify(docs, language_id.fit(docs, ~held_out("doc_id")), ["doc_id"])
+    return out.select("doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score", "rejected")
+
+
 @query("op10_quality_rules")
 def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
