@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shiftgrid.llm import language_id, piece_bpe, quality_rules, toxicity
+from shiftgrid.llm import decontaminate, html_text, language_id, piece_bpe, quality_rules, secrets, toxicity
 from shiftgrid.llm.common import held_out
 
 Run = Callable[[SparkSession, str], DataFrame]
@@ -36,11 +36,26 @@ def piece_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+@query("op2_html_text")
+def op2_html_text(spark: SparkSession, folder: str) -> DataFrame:
+    pages = table(spark, folder, "pages")
+    return html_text.extract(pages, html_text.fit(pages), ["page_id", "url"])
+
+
 @query("op3_piece_bpe")
 def op3_piece_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return piece_bpe.encoded(table(spark, folder, "documents"), ["doc_id"], piece_model(), ids=False)
 
 
+@query("op4_secrets")
+def op4_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    found = secrets.scan(table(spark, folder, "documents"), ["doc_id"])
+    base = F.filter("parts", lambda p: p["strong"])
+    return found.select(
+        "doc_id", *[secrets.of_kind(F.col("parts"), k).alias(f"n_{k}") for k in secrets.BASE],
+        F.sha2(secrets.listed(base).cast("binary"), 256).alias("base_sha256"), secrets.listed(F.col("parts")).alias("spans"))
+
+
 @query("op5_toxicity")
 def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
@@ -49,6 +64,16 @@ def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("doc_id", held_out("doc_id").alias("held_out"), "score", "predicted", "sentences")
 
 
+@query("op6_decontaminate")
+def op6_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    found = decontaminate.find(docs, table(spark, folder, "benchmark"), ["doc_id"])
+    return found.withColumn("n_hit", decontaminate.n_hit()).select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join(F.array_sort("items"), ",").cast("binary"), 256).alias("items_sha256"),
+        decontaminate.contaminated().alias("contaminated"))
+
+
 @query("op7_language_id")
 def op7_language_id(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
