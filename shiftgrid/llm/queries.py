@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shiftgrid.llm import decontaminate, html_text, language_id, piece_bpe, quality_rules, secrets, toxicity
+from shiftgrid.llm import decontaminate, html_text, language_id, piece_bpe, quality_rules, secrets, substring_dedup, toxicity
 from shiftgrid.llm.common import held_out
 
 Run = Callable[[SparkSession, str], DataFrame]
@@ -86,3 +86,8 @@ def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     out = quality_rules.judge(docs, quality_rules.fit(docs, table(spark, folder, "labels")), ["doc_id"])
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "rule", "kept")
+
+
+@query("op9_substring_dedup")
+def op9_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return substring_dedup.dedup(table(spark, folder, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
