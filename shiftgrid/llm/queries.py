@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shiftgrid.llm import decontaminate, html_text, language_id, piece_bpe, quality_rules, secrets, substring_dedup, toxicity
+from shiftgrid.llm import decontaminate, html_text, language_id, piece_bpe, quality_rules, secrets, substring_dedup, suffix_dedup, toxicity
 from shiftgrid.llm.common import held_out
 
 Run = Callable[[SparkSession, str], DataFrame]
@@ -91,3 +91,8 @@ def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 @query("op9_substring_dedup")
 def op9_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return substring_dedup.dedup(table(spark, folder, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+@query("op8_suffix_dedup")
+def op8_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return suffix_dedup.dedup(table(spark, folder, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
