@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shiftgrid.llm import decontaminate, html_text, language_id, piece_bpe, quality_rules, secrets, substring_dedup, suffix_dedup, toxicity
+from shiftgrid.llm import decontaminate, html_text, language_id, ngram_join, piece_bpe, quality_rules, secrets, substring_dedup, suffix_dedup, toxicity
 from shiftgrid.llm.common import held_out
 
 Run = Callable[[SparkSession, str], DataFrame]
@@ -36,6 +36,11 @@ def piece_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+@query("op1_ngram_join")
+def op1_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
+    return ngram_join.join(table(spark, folder, "documents")).select("doc_id", "class_id", "n_links", "n_copies", "n_shingles")
+
+
 @query("op2_html_text")
 def op2_html_text(spark: SparkSession, folder: str) -> DataFrame:
     pages = table(spark, folder, "pages")
