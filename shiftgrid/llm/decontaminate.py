@@ -231,7 +231,8 @@ def find(docs: DataFrame, benchmark: DataFrame, keep: list[str], text: str = "te
         union = union.unionByName(f)
     merged = union.groupBy(*keep).agg(  # as many rows per document as there are blocks
         F.max("n_words").alias("n_words"), F.flatten(F.collect_list(F.arrays_zip("starts", "ends"))).alias("_spans"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
+        (F.count("*") / blocks).cast("int").alias("_copies"))  # repeated rows stay repeated
     spans = F.aggregate(
         F.array_sort("_spans"), F.expr("cast(array() as array<struct<starts:bigint,ends:bigint>>)"),
         lambda acc, s: F.when(
@@ -239,7 +240,7 @@ def find(docs: DataFrame, benchmark: DataFrame, keep: list[str], text: str = "te
             F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(
                 F.element_at(acc, -1)["starts"].alias("starts"), F.greatest(F.element_at(acc, -1)["ends"], s["ends"]).alias("ends")))),
         ).otherwise(F.concat(acc, F.array(F.struct(s["starts"].alias("starts"), s["ends"].alias("ends"))))))
-    return merged.withColumn("_spans", spans).select(
+    return merged.withColumn("_spans", spans).withColumn("_copy", F.explode(F.sequence(F.lit(1), "_copies"))).select(
         *keep, "n_words", F.col("_spans.starts").alias("starts"), F.col("_spans.ends").alias("ends"), "items")
 
 

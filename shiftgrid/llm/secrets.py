@@ -67,11 +67,13 @@ def scan(docs: DataFrame, keep: list[str], text: str = "text", reach: int = REAC
     """
     need(docs, text, *keep)
     source = docs.select(F.struct(*keep).alias("_doc"), F.monotonically_increasing_id().alias("_row"), F.col(text).alias("_text"))
-    rows = source.select("_doc", "_row", F.explode_outer(parts_of(F.col("_text"))).alias("_part")).select("_doc", "_row", "_part.*")
+    rows = source.select("_doc", "_row", F.posexplode_outer(parts_of(F.col("_text"))).alias("_pos", "_part")).select(
+        F.when(F.coalesce("_pos", F.lit(0)) == 0, F.col("_doc")).alias("_doc"), "_row", "_part.*")  # once for each row of docs
+    rows = rows.repartition("_row")  # serves both windows and the grouping
     in_kind = Window.partitionBy("_row", "order").orderBy("i")
     least = F.create_map(*[F.lit(x) for k, v in KINDS.items() for x in (k, v[2])])
     rows = rows.withColumn("end", F.sum(F.col("gap") + F.col("size")).over(in_kind)).withColumn(
-        "start", F.col("end") - F.col("size")).where(F.col("kind").isNull() | (F.col("counted") >= least[F.col("kind")]))
+        "start", F.col("end") - F.col("size")).withColumn("kind", F.when(F.col("counted") >= least[F.col("kind")], F.col("kind")))
     rows = rows.withColumn("strong", is_kind(lambda v: v[3]))
     ordered = Window.partitionBy("_row").orderBy("start", "order", "i")
     before, after = ordered.rowsBetween(Window.unboundedPreceding, -1), ordered.rowsBetween(1, Window.unboundedFollowing)
@@ -85,14 +87,13 @@ def scan(docs: DataFrame, keep: list[str], text: str = "text", reach: int = REAC
     covered = F.coalesce(F.max(F.when(F.col("strong"), F.col("end"))).over(before) > F.col("start"), F.lit(False)) | F.coalesce(
         F.min(F.when(F.col("strong"), F.col("start"))).over(after) < F.col("end"), F.lit(False))
     # a weak part that overlaps a strong one is the same thing seen twice; it neither counts nor complements
-    rows = rows.withColumn("_whole", F.col("kind").isNull() | F.col("strong") | ~covered).withColumn(
-        "kind", F.when(F.col("_whole"), F.col("kind")))
+    rows = rows.withColumn("_whole", F.col("strong") | ~covered).withColumn("kind", F.when(F.col("_whole"), F.col("kind")))
     secret, name = is_kind(lambda v: v[4] == "secret"), is_kind(lambda v: v[4] == "id")
     rows = rows.withColumns({"_secret": near(secret), "_id": near(name)})
     reported = F.col("strong") | (name & F.col("_secret")) | (secret & F.col("_id")) | (
         (F.col("kind") == "endpoint") & F.col("_secret") & F.col("_id"))
     part = F.when(reported & F.col("kind").isNotNull(), F.struct("start", "order", "end", "kind", "strong"))
-    out = rows.groupBy("_row").agg(F.first("_doc").alias("_doc"), F.array_sort(F.collect_list(part)).alias("_parts"))
+    out = rows.groupBy("_row").agg(F.first("_doc", ignorenulls=True).alias("_doc"), F.array_sort(F.collect_list(part)).alias("_parts"))
     return out.select("_doc.*", F.transform("_parts", lambda p: F.struct(p["kind"], p["start"], p["end"], p["strong"])).alias("parts"))
 
 
