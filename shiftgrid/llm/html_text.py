@@ -42,8 +42,10 @@ SIDE_NAME = re.compile(
     r"disqus|related|recommended|share|sharing|social|newsletter|subscribe|signup|login|pagination|pager|widget|toolbar|"
     r"copyright|legal|hidden|tags|meta|byline)(?:$|[\s_-])", re.I)
 # Weights before any page is seen.
-WORD_PRIOR, SIDE_WORD_PRIOR, TAG_PRIOR = 1.0, -2.0, -0.4
-LEAST_WORD, MOST_TAG = 0.25, -0.1
+WORD_PRIOR, TAG_PRIOR = 1.0, -0.2
+# A piece of text in a side element, whatever its length: it is left out of the result, so it need not end the region.
+SIDE_TEXT = -0.3
+LEAST_WORD, LEAST_TAG, MOST_TAG = 0.25, -1.0, -0.1
 
 
 class Element:
@@ -76,6 +78,7 @@ CLOSES_P = frozenset("address article aside blockquote center div dl fieldset fo
 def tokens(page: str) -> Iterator[tuple[str, str, Element, str]]:
     """(kind, class, innermost block element, text) in page order; kind is w (words), i (inline tag) or b (block tag)."""
     stack: list[Element] = [ROOT]
+    opened: dict[str, int] = {}  # how many elements of a name are open
     links = 0
     at = 0
     for m in TOKEN.finditer(page):
@@ -93,17 +96,20 @@ def tokens(page: str) -> Iterator[tuple[str, str, Element, str]]:
             yield ("i", f"i:{name}", stack[-1], "")
             continue
         if closing:
-            if any(e.name == name for e in stack[1:]):
-                while stack[-1].name != name:
-                    stack.pop()
-                stack.pop()
+            if opened.get(name):
+                while True:
+                    ended = stack.pop().name
+                    opened[ended] -= 1
+                    if ended == name:
+                        break
                 links = 0
         else:
             ends = ENDS.get(name) or (("p",) if name in CLOSES_P else ())
             while len(stack) > 1 and stack[-1].name in ends:
-                stack.pop()
+                opened[stack.pop().name] -= 1
             if name not in VOID and not m["attrs"].rstrip().endswith("/"):
                 stack.append(Element(name, m["attrs"], stack[-1]))
+                opened[name] = opened.get(name, 0) + 1
         yield ("b", f"b:{'/' if closing else ''}{name}", stack[-1], "")
     if at < len(page):
         yield ("w", f"w:{'a:' if links else ''}{stack[-1].key}", stack[-1], page[at:])
@@ -135,16 +141,17 @@ class Weights:
             odds = math.log((a + 0.5) / (total_in + 1)) - math.log((b + 0.5) / (total_out + 1))
             odds = max(-5.0, min(5.0, odds))
             if not name.startswith("w:"):
-                odds = min(odds, MOST_TAG)
+                odds = max(LEAST_TAG, min(odds, MOST_TAG))
             elif odds > 0:
                 odds = max(odds, LEAST_WORD)
             self.known[name] = odds
 
-    def of(self, name: str, element: Element) -> float:
+    def of(self, name: str, element: Element, words: int) -> float:
+        """Score of a tag, or of ``words`` words; inside a labelled part side elements cost nothing."""
+        if element.side:
+            return 0.0 if element.content else SIDE_TEXT if words else TAG_PRIOR
         if name.startswith("w:"):
-            if element.side:
-                return min(SIDE_WORD_PRIOR, self.known.get(name, SIDE_WORD_PRIOR))
-            return self.known.get(name, WORD_PRIOR * (0.3 if name.startswith("w:a:") else 1))
+            return words * self.known.get(name, WORD_PRIOR * (0.3 if name.startswith("w:a:") else 1))
         return self.known.get(name, TAG_PRIOR)
 
 
@@ -156,8 +163,7 @@ def main_text(page: str, weights: Weights) -> str:
     for k, (kind, name, element, text) in enumerate(found):
         if total <= 0:
             total, begin = 0.0, k
-        n = len(text.split()) if kind == "w" else 1
-        total += n * weights.of(name, element)
+        total += weights.of(name, element, len(text.split())) if kind != "w" or not text.isspace() else 0.0
         if total > best:
             best, best_from, best_to = total, begin, k + 1
     blocks: list[str] = []

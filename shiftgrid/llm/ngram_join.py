@@ -1,8 +1,9 @@
 """Similarity self-join on word shingles by chosen paths.
 
 Every distinct set of shingles (five words) is embedded into ``COORDINATES`` minhash tokens. A run of the join hashes each set
-down a random tree: at a node, every token is sampled with probability 1 / (threshold * tokens), and the set goes to one child
-for each sampled token, so that similar sets meet in children of tokens they share. Buckets that are small are compared by brute
+down a random tree: at a node, every token is sampled with probability 1 / (SLACK * threshold * tokens), and the set goes to one
+child for each sampled token, so that similar sets meet in children of tokens they share. SLACK is below 1: a pair at the
+threshold then shares more than one sampled token per node on average, and its paths survive at any depth. Buckets that are small are compared by brute
 force; large ones are split further. Runs are repeated until a pair at the threshold is met with the target probability.
 
 What the buckets find are candidates by sketch. Connected candidates form loose clusters, and inside them every pair of sets is
@@ -35,11 +36,12 @@ SHINGLE = 5
 COORDINATES = 64
 FIRST_DEPTH = 2
 DEEPEST = 14
-NODE_LIMIT = 200  # larger buckets are split further
+SLACK = 0.875
+NODE_LIMIT = 2_000  # larger buckets are split further
 BLOCK = 96  # members of a loose cluster that are verified against as many others in one task group
 
 
-def survival(depth: int, offspring: float = 1.0) -> float:
+def survival(depth: int, offspring: float = 1 / SLACK) -> float:
     """Probability that a pair whose expected number of shared sampled tokens per node is ``offspring`` meets at ``depth``."""
     q = 1.0
     for _ in range(depth):
@@ -76,7 +78,7 @@ def minhash(hashes: np.ndarray, odd: np.ndarray) -> np.ndarray:
 
 def children(owner: np.ndarray, path: np.ndarray, sketches: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
     """Next level of the tree: for each (set, node) the sampled tokens' children, as (set, node)."""
-    limit = np.uint64(int((1 / (threshold * COORDINATES)) * (1 << 63)) * 2)
+    limit = np.uint64(int((1 / (SLACK * threshold * COORDINATES)) * (1 << 63)) * 2)
     places = mixed(np.arange(1, COORDINATES + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
     out_owner, out_path = [], []
     for a in range(0, owner.size, 8192):
@@ -250,17 +252,17 @@ def loose_clusters(classes: DataFrame, threshold: float, recall: float, node_lim
     return components(cut(union.distinct()))
 
 
-def verify(keys: list[bytes], sets: list[np.ndarray], side: np.ndarray, weight: np.ndarray, threshold: Fraction):
+def verify(sets: list[np.ndarray], side: np.ndarray | None, weight: np.ndarray, threshold: Fraction) -> tuple[np.ndarray, np.ndarray]:
     """Links of each member within one block pair, and the smallest member it is linked to, directly or not.
 
-    Members of the same block (``side`` all equal) are compared with each other, else those of side 0 with those of side 1.
+    Members of one block (``side`` None) are compared with each other, else those of side 0 with those of side 1.
     """
     n = np.array([s.size for s in sets], np.int64)
     m = n.size
     # J >= p / q  <=>  (p + q) * common >= p * (n1 + n2)
     p, q = threshold.numerator, threshold.denominator
     a, b = np.triu_indices(m, 1)
-    if side.any() and not side.all():
+    if side is not None:
         across = side[a] != side[b]
         a, b = a[across], b[across]
     fits = q * np.minimum(n[a], n[b]) >= p * np.maximum(n[a], n[b])
@@ -319,7 +321,8 @@ def links_in_clusters(docs: DataFrame, classes: DataFrame, clusters: DataFrame,
                 continue
             t = t.take(pa.array(at))
             hashes = [np.frombuffer(h, np.uint64) for h in t.column("hashes").to_pylist()]
-            links, root = verify(keys.tolist(), hashes, t.column("side").to_numpy(), t.column("copies").to_numpy(), threshold)
+            side = None if t.column("low")[0].equals(t.column("high")[0]) else t.column("side").to_numpy()
+            links, root = verify(hashes, side, t.column("copies").to_numpy(), threshold)
             hit = np.flatnonzero(links)
             if hit.size:
                 yield pa.RecordBatch.from_arrays(
@@ -341,19 +344,19 @@ def join(docs: DataFrame, id_col: str = "doc_id", text: str = "text", threshold:
     need(docs, id_col, text)
     rows = cut(sketched(docs, id_col, text))
     classes = cut(rows.where("n > 0").groupBy("set").agg(
-        F.min(F.struct("id", "_row")).alias("rep"), F.count("*").alias("copies"), F.first("sketch").alias("sketch")))
+        F.min(F.struct(F.col("id").isNull().alias("none"), "id", "_row")).alias("rep"), F.count("*").alias("copies"), F.first("sketch").alias("sketch")))
     clusters = loose_clusters(classes, float(threshold), recall, node_limit)
     links = cut(links_in_clusters(docs, classes, clusters, id_col, text, threshold, block))
     label = components(links.where(F.col("set") != F.col("root")).select(F.col("root").alias("a"), F.col("set").alias("b")))
     counted = links.groupBy("set").agg(F.sum("links").alias("links"))
     linked = label.join(classes.select(F.col("set").alias("node"), "rep", "copies"), "node")
-    best = linked.groupBy("label").agg(F.min(F.struct(F.col("rep.id").isNull().alias("_none"), "rep.id", "rep._row")).alias("best"))
+    best = linked.groupBy("label").agg(F.min("rep").alias("best"))
     named = linked.join(best, "label").select(F.col("node").alias("set"), "best")
     # classes without a link to another set stand for themselves
     per_class = classes.select("set", "rep", "copies").join(named, "set", "left").join(counted, "set", "left").select(
         "set", "copies", F.coalesce("links", F.lit(0)).alias("links"),
-        F.when(F.col("best").isNotNull(), F.struct("best.id", "best._row")).otherwise(F.col("rep")).alias("best"))
-    alone = F.struct("id", "_row")
+        F.coalesce("best", "rep").alias("best"))
+    alone = F.struct(F.col("id").isNull().alias("none"), "id", "_row")
     out = rows.select("id", "_row", "n", "set").join(per_class, "set", "left").select(
         F.col("id"), "_row", F.col("n").alias("n_shingles"), F.coalesce("copies", F.lit(1)).alias("n_copies"),
         (F.coalesce("links", F.lit(0)) + F.coalesce("copies", F.lit(1)) - 1).alias("n_links"),
