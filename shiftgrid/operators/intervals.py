@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from shiftgrid.operators.ordered import SLICE, attach, order_once, running
 from shiftgrid.operators.ranks import percentiles, tie_totals
-from shiftgrid.session import bounded
 
 BIN = "_bin"
 
@@ -114,18 +113,15 @@ def overlap_pairs(
 
 def count_overlaps(
     fragments: DataFrame, peaks: DataFrame, cell: str, peak: str, unit: str = "fragment", width: int | None = None,
-    salt: int | None = None,
+    salt: int = 16,
 ) -> DataFrame:
     """Fragments (or their two cut ends) per cell and peak; a cell without any overlap does not appear.
 
-    Equal fragments of a cell are counted before they are binned. On large inputs the peaks are repeated ``salt`` times,
-    so a bin that holds a large share of all fragments is worked on by that many tasks.
+    Equal fragments of a cell are counted before they are binned. The peaks are repeated ``salt`` times, so a bin that holds a large share of all fragments is worked on by that many tasks.
     """
     if unit not in ("fragment", "insertion"):
         raise ValueError(f"unit must be 'fragment' or 'insertion', got {unit!r}")
     width = width or bin_width(peaks)
-    if salt is None:
-        salt = 1 if bounded(fragments) else 16
     counted = fragments.groupBy("chrom", "start", "end", F.col(cell).alias("_cell")).agg(F.count(F.lit(1)).alias("_n"))
     if unit == "insertion":
         ends = F.array(

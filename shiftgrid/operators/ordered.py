@@ -1,7 +1,7 @@
 """Running totals over an ordered group, for groups of any size.
 
-``Window.partitionBy(key).orderBy(value)`` sorts each group in one task. That is right for bounded groups and fails when
-one group holds a large part of the data. Every rank, percentile, precision curve and interval merge here is a running
+``Window.partitionBy(key).orderBy(value)`` sorts each group in one task and fails when one group holds a large part of the
+data. Every rank, percentile, precision curve and interval merge here is a running
 sum or maximum, so they all share this module's two-level form:
 
 1. range-partition by (group, order), so that a hot group spreads over many slices, and fix the slice numbers in a
@@ -19,7 +19,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shiftgrid.session import bounded, cut, slices
+from shiftgrid.session import cut, slices
 
 SLICE = "_slice"
 
@@ -31,7 +31,7 @@ def sort_keys(order: Sequence[str]) -> list[Column]:
 
 def order_once(df: DataFrame, by: Sequence[str], order: Sequence[str]) -> DataFrame:
     """Prepare ``df`` for one or more ``running`` calls over the same order."""
-    if SLICE in df.columns or bounded(df):
+    if SLICE in df.columns:
         return df
     ranged = df.repartitionByRange(slices(df.sparkSession), *[F.col(c) for c in by], *sort_keys(order))
     return cut(ranged.withColumn(SLICE, F.spark_partition_id()))
@@ -49,8 +49,7 @@ def running(
     Exclusive totals cover the rows before the current one (0 for a sum, NULL for a maximum at the first row).
     """
     df = order_once(df, by, order)
-    sliced = SLICE in df.columns
-    keys = [*by, SLICE] if sliced else list(by)
+    keys = [*by, SLICE]
     whole = Window.partitionBy(*keys).orderBy(*sort_keys(order))
     window = whole.rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
     calls = {"sum": F.sum, "max": F.max}
@@ -61,8 +60,6 @@ def running(
             for name, (f, c) in totals.items()
         ],
     )
-    if not sliced:
-        return local
     per_slice = df.groupBy(*keys).agg(*[calls[f](c).alias(f"_t_{name}") for name, (f, c) in totals.items()])
     before = Window.partitionBy(*by).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_slice.select(
@@ -85,10 +82,7 @@ def running(
 
 def numbered(df: DataFrame, by: Sequence[str], order: Sequence[str], out: str) -> DataFrame:
     """1-based position in each group; the order must end in an id."""
-    df = order_once(df, by, order)
-    if SLICE in df.columns:
-        return running(df, by, order, {out: ("sum", F.lit(1).cast("bigint"))}).drop(SLICE)
-    return df.withColumn(out, F.row_number().over(Window.partitionBy(*by).orderBy(*sort_keys(order))).cast("bigint"))
+    return running(df, by, order, {out: ("sum", F.lit(1).cast("bigint"))}).drop(SLICE)
 
 
 def group_size(df: DataFrame, by: Sequence[str], out: str, value: Column | None = None) -> DataFrame:
@@ -100,10 +94,10 @@ def group_size(df: DataFrame, by: Sequence[str], out: str, value: Column | None
 def attach_stats(df: DataFrame, stats: DataFrame, by: Sequence[str], how: str = "left") -> DataFrame:
     """Join of a few figures per group.
 
-    An aggregate looks as large as its input to the planner, which would shuffle ``df`` by a possibly hot group key. On
-    large inputs the figures are written first: their size is then known, and Spark broadcasts them if that is small.
+    An aggregate looks as large as its input to the planner, which would shuffle ``df`` by a possibly hot group key. The
+    figures are written first: their size is then known, and Spark broadcasts them if that is small.
     """
-    return attach(df, stats if bounded(df) else cut(stats), by, how)
+    return attach(df, cut(stats), by, how)
 
 
 def with_each(df: DataFrame, labels: DataFrame) -> DataFrame:

@@ -8,7 +8,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shiftgrid.operators.ordered import SLICE, attach, attach_stats, group_size, numbered, running, sort_keys
-from shiftgrid.session import bounded
+
+
+# spark.sql.optimizer.windowGroupLimitThreshold: the largest k for which Spark limits groups before the shuffle.
+GROUP_LIMIT = 1_000
 
 
 def tie_totals(
@@ -27,29 +30,14 @@ def tie_totals(
 def _ranked(df, value, by, out, descending, formula) -> DataFrame:
     """Shared body: ``formula(last, block)`` gives the rank from the last position and the size of the tie block."""
     present = F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))
-    if bounded(df):
-        order = F.col("_key").desc() if descending else F.col("_key").asc()
-        group = Window.partitionBy(*by, "_in").orderBy(order)
-        # first and last position of the tie block, from one window
-        last = F.count(F.lit(1)).over(group).cast("double")
-        block = last - F.rank().over(group) + F.lit(1.0)
-        keyed = df.withColumns({"_key": F.col(value), "_in": present.cast("int")})
-        return keyed.withColumn(out, F.when(present, formula(last, block))).drop("_key", "_in")
     ties = tie_totals(df.where(present), by, value, {"_n": F.lit(1.0)}, descending)
     ranks = ties.select(*by, value, formula(F.col("cum__n"), F.col("_n")).alias(out))
     return attach(df, ranks, [*by, value])
 
 
 def weighted_rank(df: DataFrame, value: str, by: Sequence[str], out: str, weight: str) -> DataFrame:
-    """Average-tie rank where a row counts ``weight`` times; whole-number values without NULL.
-
-    Windows over several columns with the same ``by`` share one exchange, and whole numbers need one sort per column.
-    """
+    """Average-tie rank where a row counts ``weight`` times; whole-number values without NULL."""
     half = F.lit(2.0)
-    if bounded(df):
-        up_to = F.sum(weight).over(Window.partitionBy(*by).orderBy(value))
-        block = F.sum(weight).over(Window.partitionBy(*by, value))
-        return df.withColumn(out, up_to - (block - F.lit(1.0)) / half)
     ties = tie_totals(df, by, value, {"_n": F.col(weight)})
     rank = F.col("cum__n") - (F.col("_n") - F.lit(1.0)) / half
     return attach(df, ties.select(*by, value, rank.alias(out)), [*by, value])
@@ -118,28 +106,37 @@ def deciles(
 
 
 def top_abs_label(df: DataFrame, value: str, by: Sequence[str], k: int, out: str = "is_top") -> DataFrame:
-    """1 for rows at or above the k-th largest absolute value, ties included, with k at most half of the group."""
-    sized = group_size(df.withColumn("_a", F.abs(F.col(value))), by, "_n")
+    """1 for rows at or above the k-th largest absolute value, ties included, with k at most half of the known values.
+
+    NULL and NaN count nowhere and get 0.
+    """
+    a = F.abs(F.col(value))
+    known = df.withColumn("_a", F.when(F.isnan(F.col(value).cast("double")), None).otherwise(a))
+    sized = group_size(known, by, "_n", F.col("_a").isNotNull().cast("bigint"))
     ranked = min_rank(sized, "_a", by, "_r")
     effective = F.least(F.lit(int(k)), F.floor(F.col("_n") / F.lit(2.0)))
-    return ranked.withColumn(out, (F.col("_r") <= effective).cast("int")).drop("_a", "_n", "_r")
+    return ranked.withColumn(out, F.coalesce((F.col("_r") <= effective).cast("int"), F.lit(0))).drop("_a", "_n", "_r")
 
 
 def top_rows(df: DataFrame, by: Sequence[str], order: Sequence[str], k: int, out: str | None = None) -> DataFrame:
     """Exactly k rows per group (fewer in a smaller group); the order ends in an id.
 
-    Spark keeps at most k rows per group and input partition before the shuffle (window group limit), so a hot group
-    stays small by itself and no distributed sort is needed.
+    Up to GROUP_LIMIT rows, Spark keeps at most k rows per group and input partition before the shuffle (window group limit),
+    so a hot group stays small by itself. It does not do so above, where the rows are numbered in slices instead.
     """
     name = out or "_top"
+    if int(k) > GROUP_LIMIT:
+        kept = numbered(df, by, order, name).where(F.col(name) <= int(k))
+        return kept if out else kept.drop(name)
     window = Window.partitionBy(*by).orderBy(*sort_keys(order))
     kept = df.withColumn(name, F.row_number().over(window)).where(F.col(name) <= int(k))
     return kept.withColumn(name, F.col(name).cast("bigint")) if out else kept.drop(name)
 
 
 def top_abs(df: DataFrame, value: str, by: Sequence[str], key: str, k: int, out: str | None = None) -> DataFrame:
-    """Exactly k rows of largest absolute value per group, ties by id."""
-    kept = top_rows(df.withColumn("_a", F.abs(F.col(value))), by, ["-_a", key], k, out)
+    """Exactly k rows of largest absolute value per group, ties by id; NULL and NaN are never among them."""
+    known = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
+    kept = top_rows(known.withColumn("_a", F.abs(F.col(value))), by, ["-_a", key], k, out)
     return kept.drop("_a")
 
 
@@ -148,14 +145,10 @@ def percentiles(
 ) -> DataFrame:
     """Exact percentiles with linear interpolation, one row per group.
 
-    The built-in aggregate keeps a group's distinct values in one buffer; large inputs read the two neighbouring order
-    statistics from running counts of the distinct values instead.
+    The two neighbouring order statistics come from running counts of the distinct values; the built-in aggregate would keep
+    a group's distinct values in one buffer.
     """
     present = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
-    if bounded(df):
-        return present.groupBy(*by).agg(
-            *[F.percentile(F.col(value), F.lit(float(q))).alias(name) for name, q in quantiles.items()]
-        )
     ties = tie_totals(present, by, value, {"_n": F.lit(1).cast("bigint")})
     total = ties.groupBy(*by).agg(F.sum("_n").alias("_total"))
     sized = attach_stats(ties, total, by)

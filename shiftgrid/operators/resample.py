@@ -17,7 +17,7 @@ from shiftgrid.functions.scalars import draw, hash_key
 from shiftgrid.operators.ordered import attach, attach_stats, group_size, numbered
 from shiftgrid.operators.ranks import average_rank, weighted_rank
 from shiftgrid.operators.stats import corr_expr, finite, rel_rmse_expr, weighted_corr_expr
-from shiftgrid.session import bounded, cut
+from shiftgrid.session import cut
 
 
 def replicate(df: DataFrame, B: int, spread: Sequence[str], out: str = "b") -> DataFrame:
@@ -39,9 +39,8 @@ def bootstrap(
 ) -> DataFrame:
     """n of n rows with replacement, B times: one row per (group, b, drawn row) with its multiplicity.
 
-    Draw j of a replicate belongs to the row at position j, so the draw list is as distributed as the rows. Small inputs:
-    the draws of a replicate meet in one task, where everything later done per replicate finds them. Large inputs: draws
-    meet the rows by position first, and the multiplicity count reuses that partitioning.
+    Draw j of a replicate belongs to the row at position j, so the draw list is as distributed as the rows. Draws meet the
+    rows by position first, and the multiplicity count reuses that partitioning.
     """
     rows = cut(group_size(numbered(df.select(*by, key, *values), by, [key], "_pos"), by, "_n"))
     draws = replicate(rows.select(*by, "_pos", "_n"), B, [*by, "_pos"]).select(
@@ -52,14 +51,6 @@ def bootstrap(
     for c in by:
         match = match & F.col(f"_d_{c}").eqNullSafe(F.col(c))
     count = F.count(F.lit(1)).cast("double").alias(weight)
-    groups = [f"_d_{c}" for c in by]
-    if bounded(rows):
-        n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        together = draws.repartition(n, *[F.col(c) for c in groups], F.col("b"))
-        counted = together.groupBy(*groups, "b", "_idx").agg(count)
-        return counted.join(rows.drop("_n"), match).select(
-            *[F.col(g).alias(c) for g, c in zip(groups, by)], "b", key, *values, weight
-        )
     picked = draws.join(rows.drop("_n"), match)
     return picked.groupBy(*by, "_pos", "b", key, *values).agg(count).drop("_pos")
 
@@ -124,16 +115,30 @@ def permuted_pairs(
 
 
 def permutation_null(
-    df: DataFrame, by: Sequence[str], key: str, real: str, pred: str, B: int, seed: int
+    df: DataFrame, by: Sequence[str], key: str, real: str, pred: str, B: int, seed: int, ks: Sequence[int] = (),
+    measured: str | None = None,
 ) -> DataFrame:
-    """Correlation and relative error of shuffled predictions: mean, 5th and 95th percentile over the replicates."""
-    moved = permuted_pairs(df, by, key, [real], pred, B, seed)
+    """Shuffled predictions: mean, 5th and 95th percentile of correlation and relative error, 95th of the sign concordance.
+
+    The concordance looks at the ``ks`` rows of largest magnitude of ``measured`` (``real`` before it was standardised), which
+    no shuffle moves: they are placed once.
+    """
+    rows = df.select(*by, key, real, pred, F.col(measured or real).alias("_m"))
+    fixed = [real, "_m"]
+    if ks:
+        rows = numbered(rows.withColumn("_a", F.abs("_m")), by, ["-_a", key], "_top")
+        fixed.append("_top")
+    moved = permuted_pairs(rows, by, key, fixed, pred, B, seed)
+    signed = F.signum("moved") != 0
+    agree = (F.signum("moved") == F.signum("_m")).cast("double")
     each = moved.groupBy(*by, "b").agg(
-        corr_expr(F.col("moved"), F.col(real)).alias("pcc"), rel_rmse_expr(F.col("moved"), F.col(real)).alias("rmse")
+        corr_expr(F.col("moved"), F.col(real)).alias("pcc"), rel_rmse_expr(F.col("moved"), F.col(real)).alias("rmse"),
+        *[F.avg(F.when(signed & (F.col("_top") <= int(k)), agree)).alias(f"conc_{k}") for k in ks],
     )
     return each.groupBy(*by).agg(
         F.avg("pcc").alias("perm_pcc_mean"), F.percentile("pcc", F.lit(0.95)).alias("perm_pcc_p95"),
         F.avg("rmse").alias("perm_rmse_mean"), F.percentile("rmse", F.lit(0.05)).alias("perm_rmse_p05"),
+        *[F.percentile(f"conc_{k}", F.lit(0.95)).alias(f"perm_deg_conc_{k}_p95") for k in ks],
     )
 
 
@@ -155,11 +160,12 @@ def permuted_labels(
 
 def null_summary(observed: DataFrame, null: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     """Observed value, null mean, enrichment and ``p = (#null >= observed + 1) / (B + 1)``."""
-    both = attach(null, observed.select(*by, F.col(value).alias("_obs")), by, "inner")
+    # equal values may differ in the last bits, having been summed in another order
+    both = attach(null, observed.select(*by, (F.col(value) - F.lit(1e-12)).alias("_low"), F.col(value).alias("_obs")), by, "inner")
     return both.groupBy(*by).agg(
         F.max("_obs").alias("observed"), F.avg(value).alias("null_mean"),
         F.try_divide(F.max("_obs"), F.avg(value)).alias("enrichment"),
-        ((F.sum((F.col(value) >= F.col("_obs")).cast("bigint")) + 1) / (F.count(F.lit(1)) + 1)).alias("p_value"),
+        ((F.sum((F.col(value) >= F.col("_low")).cast("bigint")) + 1) / (F.count(F.lit(1)) + 1)).alias("p_value"),
     )
 
 

@@ -59,27 +59,45 @@ def baselines(shifts: DataFrame, by: Sequence[str], gene: str, ks: Sequence[int]
     return out
 
 
-def bootstrap_contrast(shifts: DataFrame, by: Sequence[str], gene: str, B: int, seed: int) -> DataFrame:
-    """Intervals of the model's correlation and relative error, and of their distance to the best baseline.
+def bootstrap_contrast(
+    shifts: DataFrame, by: Sequence[str], gene: str, B: int, seed: int, ks: Sequence[int] = (100, 300), loco: bool = False
+) -> DataFrame:
+    """Intervals of the model's metrics, of the best baseline (level, no change, leave-one-out), and of their distance.
 
-    The z-scores of a replicate are linear in its weighted moments, so correlation and error follow from sums:
-    for two standardised vectors the mean squared difference is ``2 - 2 * correlation``.
+    The z-scores of a replicate are linear in its weighted moments, so correlation and error follow from sums: for two
+    standardised vectors the mean squared difference is ``2 - 2 * correlation``. A constant vector standardises to zeros: it
+    has no correlation, and an error of 1.
     """
-    known = shifts.where(finite("real_shift", "predicted_shift", "level"))
-    z = zscore_many(known, {"zr": "real_shift", "zp": "predicted_shift", "zl": "level"}, by)
-    drawn = bootstrap(z, by, gene, ["zr", "zp", "zl"], B, seed)
+    wanted = finite("real_shift", "predicted_shift", "level", *(["loco"] if loco else []))
+    z = zscore_many(shifts.where(wanted), {"zr": "real_shift", "zp": "predicted_shift", "zl": "level", **({"zc": "loco"} if loco else {})}, by)
+    columns = ["zr", "zp", "zl", *(["zc"] if loco else []), "real_shift", "predicted_shift"]
+    drawn = cut(bootstrap(z, by, gene, columns, B, seed))
     w = F.col("w")
-    each = drawn.groupBy(*by, "b").agg(
-        weighted_corr_expr(F.col("zp"), F.col("zr"), w).alias("pcc"),
-        F.abs(weighted_corr_expr(F.col("zl"), F.col("zr"), w)).alias("best_baseline_pcc"),
-    )
-    rmse = F.sqrt(F.lit(2.0) - F.lit(2.0) * F.col("pcc"))
-    base = F.least(F.sqrt(F.lit(2.0) - F.lit(2.0) * F.col("best_baseline_pcc")), F.lit(1.0))
-    each = each.select(
-        *by, "b", "pcc", rmse.alias("rel_rmse"), (F.col("pcc") - F.col("best_baseline_pcc")).alias("d_pcc"),
-        (rmse - base).alias("d_rel_rmse"),
-    )
-    return intervals(each, by, ["pcc", "rel_rmse", "d_pcc", "d_rel_rmse"])
+    pairs = {"_pr": ("zp", "zr"), "_lr": ("zl", "zr"), **({"_cr": ("zc", "zr"), "_pc": ("zp", "zc")} if loco else {})}
+    sums = drawn.groupBy(*by, "b").agg(*[weighted_corr_expr(F.col(x), F.col(y), w).alias(n) for n, (x, y) in pairs.items()])
+
+    def error(rho: str):
+        return F.when(F.col(rho).isNull(), F.lit(1.0)).otherwise(F.sqrt(F.greatest(F.lit(2.0) - F.lit(2.0) * F.col(rho), F.lit(0.0))))
+
+    level = F.abs("_lr")
+    side = F.when(F.col("_lr").isNull(), F.lit(1.0)).otherwise(F.sqrt(F.greatest(F.lit(2.0) - F.lit(2.0) * level, F.lit(0.0))))
+    best = F.greatest(level, F.col("_cr")) if loco else level
+    least = F.least(side, F.lit(1.0), *([error("_cr")] if loco else []))
+    each = sums.select(*by, "b", F.col("_pr").alias("pcc"), error("_pr").alias("rel_rmse"), best.alias("best_baseline_pcc"),
+                       least.alias("best_baseline_rel_rmse"), (F.col("_pr") - best).alias("d_pcc"), (error("_pr") - least).alias("d_rel_rmse"),
+                       *([F.try_divide(F.col("_pr") - F.col("_pc") - F.col("_cr") + 1,
+                                       F.sqrt((F.lit(2.0) - 2 * F.col("_pc")) * (F.lit(2.0) - 2 * F.col("_cr")))).alias("pcc_centroid")] if loco else []))
+    # the k largest measured magnitudes of a replicate: copies count, so the last row may count in part
+    laid = drawn.withColumn("_a", F.abs("real_shift"))
+    walked = running(laid, [*by, "b"], ["-_a", gene], {"_above": ("sum", w)}, inclusive=False)
+    signed = F.signum("predicted_shift") != 0
+    agree = (F.signum("predicted_shift") == F.signum("real_shift")).cast("double")
+    concs = []
+    for k in ks:
+        inside = F.when(signed, F.greatest(F.least(w, F.lit(float(k)) - F.col("_above")), F.lit(0.0))).otherwise(0.0)
+        concs.append(F.try_divide(F.sum(inside * agree), F.sum(inside)).alias(f"deg_conc_{k}"))
+    each = attach(each, walked.groupBy(*by, "b").agg(*concs), [*by, "b"])
+    return intervals(each, by, [c for c in each.columns if c not in {*by, "b"}])
 
 
 def contrast_metrics(
@@ -94,8 +112,8 @@ def contrast_metrics(
     z = zscore_many(used, {"zr": "real_shift", "zp": "predicted_shift"}, by)
     out = attach(size.select(*by, F.when(~ok, F.lit("too few genes or a no-op prediction")).alias("note")),
                  baselines(used, by, gene, ks, loco), by)
-    out = attach(out, permutation_null(z, by, gene, "zr", "zp", n_perm, seed), by)
-    return attach(out, bootstrap_contrast(used, by, gene, B, seed), by)
+    out = attach(out, permutation_null(z, by, gene, "zr", "zp", n_perm, seed, ks, "real_shift"), by)
+    return attach(out, bootstrap_contrast(used, by, gene, B, seed, ks, loco), by)
 
 
 def interaction_metrics(residuals: DataFrame, by: Sequence[str], gene: str, real: str, pred: str, B: int, seed: int) -> DataFrame:
@@ -141,11 +159,25 @@ def consensus_scope(scores: DataFrame, name: str = "consensus_headline") -> Data
     ).withColumn("scope", F.lit(name))
 
 
+def screen_scores(screen: DataFrame, name: str = "consensus_headline") -> DataFrame:
+    """Scores that may be ranked: knock-outs with status ok, and the consensus scope where two scopes or more pass the gate.
+
+    ``screen``: scope, tf, mode, status, gate_verdict, score, centrality.
+    """
+    knocked = screen.where(F.col("mode") == "ko")
+    usable = knocked.where(F.col("status") == "ok").select("scope", "tf", "score", "centrality")
+    passing = knocked.where((F.col("status") == "ok") & (F.col("gate_verdict") == "PASS"))
+    enough = passing.agg(F.count_distinct("scope").alias("_scopes"))
+    chained = attach(consensus_scope(knocked, name), enough, []).where(F.col("_scopes") >= 2)
+    return usable.unionByName(chained.select("scope", "tf", "score", "centrality"))
+
+
 def tier_cases(scores: DataFrame, gold: DataFrame, min_ranked: int = 50) -> DataFrame:
     """Every (scope, tier, direction, subset) list to be ranked: tf, rank score, 0/1 label, centrality.
 
-    Signed tiers give two directions (the score is negated for the lowering one); the membership tier ranks by magnitude.
-    The subset without the other source drops the factors of the other signed tier.
+    ``scores`` are those of ``screen_scores``: a failed or over-expressed row never enters a list. Signed tiers give two
+    directions (the score is negated for the lowering one); the membership tier ranks by magnitude. The subset without the
+    other source drops the factors of the other signed tier.
     """
     known = scores.where(finite("score")).select("scope", "tf", "score", "centrality")
     enough = known.groupBy("scope").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= int(min_ranked))
@@ -176,20 +208,65 @@ CASE = ["scope", "tier", "direction", "subset"]
 
 
 def rank_against_gold(cases: DataFrame, ks: Sequence[int] = (10, 20, 50), B_null: int = 1000, seed: int = 0,
-                      min_tier: int = 10) -> DataFrame:
-    """Average precision, nDCG, recall, and the null with labels permuted inside centrality deciles."""
+                      min_tier: int = 10, B_boot: int = 500) -> DataFrame:
+    """Average precision, nDCG and recall with bootstrap intervals, and their nulls with labels permuted in centrality deciles.
+
+    A list of one class only gets its counts and no metrics. Intervals need more than 20 replicates with a positive.
+    """
     placed = cut(deciles(cases, "centrality", CASE, "tf", "_decile"))
-    point = positional_metrics(placed, "y", "rank_score", CASE, "tf", ks)
-    null = null_precision(placed, CASE, "_decile", "tf", B_null, seed)
-    summary = null_summary(point.where(F.col("ap").isNotNull()), null, CASE, "ap")
-    return attach(point, summary.select(*CASE, "null_mean", "enrichment", "p_value"), CASE).withColumn(
-        "underpowered", F.col("n_pos") < int(min_tier)
-    )
+    totals = placed.groupBy(*CASE).agg(F.count(F.lit(1)).alias("_n"), F.sum("y").alias("_p"))
+    mixed = totals.where((F.col("_p") > 0) & (F.col("_p") < F.col("_n")))
+    used = cut(attach(placed, mixed.select(*CASE), CASE, "inner"))
+    metrics = positional_metrics(used, "y", "rank_score", CASE, "tf", ks)
+    out = attach(totals.select(*CASE, F.col("_n").alias("n_ranked"), F.col("_p").cast("bigint").alias("n_pos")),
+                 metrics.drop("n_ranked", "n_pos"), CASE)
+    out = out.withColumn("prevalence", F.when(F.col("ap").isNotNull(), F.col("n_pos") / F.col("n_ranked")))
+    listed = cut(numbered(used, CASE, ["-rank_score", "tf"], "_position"))
+    point = metrics.where(F.col("ap").isNotNull())
+    summary = null_summary(point, null_precision(listed, CASE, "_decile", "tf", B_null, seed), CASE, "ap")
+    out = attach(out, summary.select(*CASE, "null_mean", "enrichment", "p_value"), CASE)
+    for k in ks:
+        null = null_recall(listed, CASE, "_decile", "tf", k, max(200, B_null // 5), seed + k)
+        at = null_summary(point, null.withColumnRenamed("recall", f"recall_at_{k}"), CASE, f"recall_at_{k}")
+        out = attach(out, at.select(*CASE, F.col("null_mean").alias(f"recall_at_{k}_null_mean"), F.col("p_value").alias(f"recall_at_{k}_p")), CASE)
+    each = bootstrap_ranking(used, CASE, "tf", ks, B_boot, seed + 7)
+    columns = ["ap", *[f"ndcg_at_{k}" for k in ks], *[f"recall_at_{k}" for k in ks]]
+    replicates = each.groupBy(*CASE).agg(F.count("ap").alias("_b")).where(F.col("_b") > 20)
+    bands = attach(intervals(each, CASE, columns), replicates.select(*CASE), CASE, "inner")
+    return attach(out, bands, CASE).withColumn("underpowered", F.col("n_pos") < int(min_tier))
+
+
+def bootstrap_hits(cases: DataFrame, by: Sequence[str], key: str, B: int, seed: int) -> tuple[DataFrame, DataFrame]:
+    """Positives of every resampled list with position and hit number (each copy a row), and positives per replicate."""
+    drawn = bootstrap(cases.select(*by, key, "rank_score", "y"), by, key, ["rank_score", "y"], B, seed)
+    w = F.col("w").cast("bigint")
+    walked = running(drawn, [*by, "b"], ["-rank_score", key], {"_above": ("sum", w), "_hits": ("sum", w * F.col("y"))}, inclusive=False)
+    hits = walked.where("y = 1").select(*by, "b", "_above", "_hits", F.explode(F.sequence(F.lit(1).cast("bigint"), w)).alias("_copy")).select(
+        *by, "b", (F.col("_above") + F.col("_copy")).alias("position"), (F.col("_hits") + F.col("_copy")).alias("hit"))
+    totals = drawn.groupBy(*by, "b").agg(F.sum(w * F.col("y")).alias("n_pos"), F.sum(w).alias("n_ranked"))
+    return hits, totals
+
+
+def bootstrap_ranking(cases: DataFrame, by: Sequence[str], key: str, ks: Sequence[int], B: int, seed: int) -> DataFrame:
+    """Average precision, nDCG@k and Recall@k of each resampled list that holds a positive."""
+    hits, _ = bootstrap_hits(cases, by, key, B, seed)
+    gain, best = F.lit(1.0) / F.log2(F.col("position") + F.lit(1.0)), F.lit(1.0) / F.log2(F.col("hit") + F.lit(1.0))
+    aggs = [F.avg(F.col("hit") / F.col("position")).alias("ap")]
+    for k in ks:
+        within = F.col("position") <= int(k)
+        aggs.append((F.sum(F.when(within, gain).otherwise(0.0)) / F.sum(F.when(F.col("hit") <= int(k), best).otherwise(0.0))).alias(f"ndcg_at_{k}"))
+        aggs.append(F.avg(within.cast("double")).alias(f"recall_at_{k}"))
+    return hits.groupBy(*by, "b").agg(*aggs)
 
 
-def null_precision(cases: DataFrame, by: Sequence[str], stratum: str, key: str, B: int, seed: int) -> DataFrame:
-    """Average precision per replicate of labels permuted within strata. The list order is fixed, so it is ranked once."""
-    listed = numbered(cases, by, ["-rank_score", key], "_position")
+def null_recall(listed: DataFrame, by: Sequence[str], stratum: str, key: str, k: int, B: int, seed: int) -> DataFrame:
+    """Recall@k per replicate of labels permuted within strata; ``listed`` has positions."""
+    moved = permuted_labels(listed, by, stratum, key, "y", B, seed)
+    return moved.groupBy(*by, "b").agg(F.avg((F.col("_position") <= int(k)).cast("double")).alias("recall"))
+
+
+def null_precision(listed: DataFrame, by: Sequence[str], stratum: str, key: str, B: int, seed: int) -> DataFrame:
+    """Average precision per replicate of labels permuted within strata; ``listed`` has positions, ranked once."""
     moved = permuted_labels(listed, by, stratum, key, "y", B, seed)
     hits = numbered(moved, [*by, "b"], ["_position"], "_hit")
     return hits.groupBy(*by, "b").agg(F.avg(F.col("_hit") / F.col("_position")).alias("ap"))
@@ -200,11 +277,16 @@ def signs_against_gold(cases: DataFrame) -> DataFrame:
     return sign_accuracy(one, "score", "expected_ko_sign", ["scope", "tier", "subset"])
 
 
-def recall_report(cases: DataFrame, kmax: int, B_null: int, seed: int) -> DataFrame:
-    """Observed recall curve with the mean and the 5th / 95th percentile of the permuted ones."""
+def recall_report(cases: DataFrame, kmax: int = 200, B_null: int = 200, seed: int = 0, B_boot: int = 300) -> DataFrame:
+    """Observed recall curve, mean and 5th / 95th percentile of the permuted ones, and a bootstrap interval.
+
+    Lists of one class only have no curve; replicates without a positive drop out of the interval.
+    """
     whole = cases.where(F.col("subset") == "all")
     by = ["scope", "tier", "direction"]
-    placed = cut(deciles(whole, "centrality", by, "tf", "_decile"))
+    sizes = whole.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), F.sum("y").alias("_p"))
+    mixed = sizes.where((F.col("_p") > 0) & (F.col("_p") < F.col("_n"))).select(*by)
+    placed = cut(deciles(attach(whole, mixed, by, "inner"), "centrality", by, "tf", "_decile"))
     hits, totals = hit_positions(placed, "y", "rank_score", by, "tf")
     observed = curve_of(hits, totals, by, kmax)
     listed = numbered(placed, by, ["-rank_score", "tf"], "position")
@@ -217,7 +299,10 @@ def recall_report(cases: DataFrame, kmax: int, B_null: int, seed: int) -> DataFr
         F.avg("recall").alias("null_mean"), F.percentile("recall", F.lit(0.05)).alias("null_p05"),
         F.percentile("recall", F.lit(0.95)).alias("null_p95"),
     )
-    return attach(observed, band, [*by, "k"])
+    drawn, each = bootstrap_hits(placed, by, "tf", B_boot, seed)
+    resampled = curve_of(drawn, each, [*by, "b"], kmax).groupBy(*by, "k").agg(
+        F.percentile("recall", F.lit(0.025)).alias("ci_lo"), F.percentile("recall", F.lit(0.975)).alias("ci_hi"))
+    return attach(attach(observed, band, [*by, "k"]), resampled, [*by, "k"])
 
 
 # ------------------------------------------------------------------------------------------------------------- edges

@@ -1,7 +1,6 @@
-"""Session settings, and the two decisions that depend on the data volume.
+"""Session settings, and ``cut``: the end of a lineage in a table of the shared folder.
 
-* ``bounded`` tells whether the inputs under a plan are small enough for one window group to be sorted by one task;
-* ``cut`` ends a lineage with a table in the shared folder that the session names in ``spark.checkpoint.dir``.
+Nothing here looks at the size of the data: every operator has one plan, whatever the volume.
 """
 
 from __future__ import annotations
@@ -11,12 +10,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-# Plans whose source tables together hold less than this many bytes use plain windows and aggregates.
-SMALL_BYTES_KEY = "spark.shiftgrid.smallInputBytes"
-SMALL_BYTES = 256 << 20
-# A leaf without statistics (for example a table from the driver) is probed up to this many rows instead.
-PROBE_ROWS = 200_000
-# Number of range slices of the distributed path; 0 = take spark.sql.shuffle.partitions.
+# Number of range slices of an ordered group; 0 = take spark.sql.shuffle.partitions.
 SLICES_KEY = "spark.shiftgrid.slices"
 
 
@@ -37,12 +31,18 @@ def get_session(app: str = "shiftgrid", **conf: str) -> SparkSession:
 
 
 _private: dict[str, str] = {}
+_marked: set[str] = set()
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder the session names; a private one only where none is configured (tests, local runs)."""
+    """The shared folder the session names in ``spark.checkpoint.dir``.
+
+    Only a local master may do without one: it then gets a folder of this machine, which is where all its tasks run.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder is None:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         app = spark.sparkContext.applicationId
         if app not in _private:
             _private[app] = tempfile.mkdtemp(prefix="shiftgrid-")
@@ -51,15 +51,22 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def scratch_folder(spark: SparkSession) -> str:
-    """This application's own part of the shared folder."""
-    return f"{checkpoint_dir(spark)}/{spark.sparkContext.applicationId}"
+    """This application's own part of the shared folder; it is removed when the application ends."""
+    folder = f"{checkpoint_dir(spark)}/{spark.sparkContext.applicationId}"
+    if folder not in _marked:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+        _marked.add(folder)
+    return folder
 
 
 def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` as a table in the shared folder and go on from there.
 
     Used where several branches read one intermediate result, and where values must not change when a lost executor's work
-    is done again. The table is columnar, so each branch reads its own columns, and its size is known to ``bounded``.
+    is done again. The table is columnar, so each branch reads its own columns, and the planner knows its size.
     """
     spark = df.sparkSession
     path = f"{scratch_folder(spark)}/{uuid.uuid4().hex}"
@@ -76,34 +83,3 @@ def release(spark: SparkSession) -> None:
 def slices(spark: SparkSession) -> int:
     n = int(spark.conf.get(SLICES_KEY, "0"))
     return n or int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
-def source_bytes(df: DataFrame) -> int | None:
-    """Bytes of all source tables under the plan, None when one of them has no statistics.
-
-    The estimate of a whole plan is useless here (a join multiplies its sides), the sum over the leaves is not:
-    the vectors this engine ranks are projections, keyed joins and aggregates of their sources.
-    """
-    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    unknown = int(df.sparkSession.conf.get("spark.sql.defaultSizeInBytes", str((1 << 63) - 1)))
-    total = 0
-    for i in range(leaves.size()):
-        size = int(str(leaves.apply(i).stats().sizeInBytes()))
-        if size >= unknown:
-            return None
-        total += size
-    return total
-
-
-def bounded(df: DataFrame) -> bool:
-    """True when ``df`` is proven small: by source size, else by a probe that reads at most PROBE_ROWS + 1 rows.
-
-    Replicates do not change the answer: each replicate is a group of its own, no larger than the source.
-    """
-    limit = int(df.sparkSession.conf.get(SMALL_BYTES_KEY, str(SMALL_BYTES)))
-    if limit <= 0:
-        return False
-    size = source_bytes(df)
-    if size is not None:
-        return size <= limit
-    return df.limit(PROBE_ROWS + 1).count() <= PROBE_ROWS

@@ -7,7 +7,7 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-from shiftgrid.session import SLICES_KEY, SMALL_BYTES, SMALL_BYTES_KEY, get_session  # noqa: E402
+from shiftgrid.session import SLICES_KEY, get_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
@@ -20,10 +20,9 @@ def spark():
     return s
 
 
-@pytest.fixture(params=["small", "large"])
+@pytest.fixture(params=[1, 3])
 def mode(request, spark):
-    """Every ordered operator has a path for bounded groups and one for groups of any size; both must agree."""
-    spark.conf.set(SMALL_BYTES_KEY, str(SMALL_BYTES) if request.param == "small" else "0")
-    spark.conf.set(SLICES_KEY, "3")
+    """Ordered operators with one slice and with several; both must agree."""
+    spark.conf.set(SLICES_KEY, str(request.param))
     yield request.param
-    spark.conf.set(SMALL_BYTES_KEY, str(SMALL_BYTES))
+    spark.conf.set(SLICES_KEY, "0")

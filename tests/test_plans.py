@@ -8,7 +8,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from shiftgrid.operators import intervals, ranks, stats
-from shiftgrid.session import SMALL_BYTES, SMALL_BYTES_KEY
 
 FOLDER = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="driver tables not present")
@@ -32,13 +31,9 @@ def test_no_cartesian_product_in_overlaps(spark):
 
 
 def test_large_rank_never_sorts_a_whole_group(spark):
-    """In the distributed form every window is partitioned by the slice as well, or runs over per-slice totals."""
-    spark.conf.set(SMALL_BYTES_KEY, "0")
-    try:
-        li = spark.read.parquet(f"{FOLDER}/lineitem.parquet").select("l_returnflag", "l_quantity")
-        plan = plan_of(ranks.tie_totals(li, ["l_returnflag"], "l_quantity", {"n": F.lit(1)}))
-    finally:
-        spark.conf.set(SMALL_BYTES_KEY, str(SMALL_BYTES))
+    """Every window is partitioned by the slice as well, or runs over per-slice totals."""
+    li = spark.read.parquet(f"{FOLDER}/lineitem.parquet").select("l_returnflag", "l_quantity")
+    plan = plan_of(ranks.tie_totals(li, ["l_returnflag"], "l_quantity", {"n": F.lit(1)}))
     windows = [line for line in plan.splitlines() if "+- Window" in line or line.strip().startswith("Window")]
     assert windows and all("_slice" in line for line in windows)
 

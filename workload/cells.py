@@ -81,11 +81,11 @@ def _(t):
 
 @query("flt6_usable_variants", """
     WITH v AS (SELECT s_suppkey AS tf, s_acctbal < 0 AS noop FROM supplier),
-         n AS (SELECT tf, sum(weight) AS w FROM edges WHERE scope = 'A' GROUP BY tf)
+         n AS (SELECT tf, sum(weight) AS w FROM edges GROUP BY tf)
     SELECT v.tf, v.noop, coalesce(w, 0) > 0 AS tf_in_network, coalesce(w, 0) > 0 AND NOT noop AS usable FROM v LEFT JOIN n ON v.tf = n.tf""", "", "edges")
 def _(t):
     v = t.supplier.select(F.col("s_suppkey").alias("tf"), (F.col("s_acctbal") < 0).alias("noop"))
-    return filters.usable_variants(v, S.edges(t).where("scope = 'A'"))
+    return filters.usable_variants(v, S.edges(t))
 
 
 @query("flt7_floor_filter", """
@@ -186,13 +186,13 @@ def _(t):
 
 
 @query("jn16_columns_of_group", """
-    SELECT n_name AS grp, gene, sum(value) AS value, 0::BIGINT AS n_unresolved FROM expr JOIN supplier ON sample = s_suppkey JOIN nation ON s_nationkey = n_nationkey
-    WHERE scope = 'A' GROUP BY 1, 2""", "value", "expr")
+    SELECT scope, n_name AS grp, gene, sum(value) AS value, 0::BIGINT AS n_unresolved FROM expr JOIN supplier ON sample = s_suppkey JOIN nation ON s_nationkey = n_nationkey
+    GROUP BY 1, 2, 3""", "value", "expr")
 def _(t):
     cells = t.supplier.join(t.nation, F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_suppkey").alias("sample"), F.col("n_name").alias("grp"))
-    labelled, unresolved = joins.columns_of_group(S.expr(t).where("scope = 'A'"), cells, "sample", "grp")
+    labelled, unresolved = joins.columns_of_group(S.expr(t), cells, "sample", "grp")
     n = unresolved.agg(F.count(F.lit(1)).alias("n_unresolved"))
-    return labelled.groupBy("grp", "gene").agg(F.sum("value").alias("value")).crossJoin(F.broadcast(n))
+    return labelled.groupBy("scope", "grp", "gene").agg(F.sum("value").alias("value")).crossJoin(F.broadcast(n))
 
 
 @query("so1_pool", "SELECT cell_id || '-' || sample_id AS cell_id, count(*) AS n, sum(count) AS total FROM counts GROUP BY 1", "total", "counts")

@@ -95,11 +95,11 @@ def _(t):
 
 
 @query("so3_union_intervals", """
-    SELECT chrom, count(*) AS n, CAST(sum("end" - start) AS BIGINT) AS width FROM (
-      SELECT * FROM ivals WHERE event_type = 'error' UNION ALL SELECT * FROM ivals WHERE event_type = 'click') GROUP BY chrom""", "", "ivals")
+    SELECT chrom, count(*) AS n, CAST(sum("end" - start) AS BIGINT) AS width FROM ivals GROUP BY chrom""", "", "ivals")
 def _(t):
     iv = S.ivals(t)
-    u = intervals.union_intervals(iv.where("event_type = 'error'"), iv.where("event_type = 'click'"))
+    kinds = F.col("event_type").isin("error", "click")
+    u = intervals.union_intervals(iv.where("event_type = 'error'"), iv.where("event_type = 'click'"), iv.where(~kinds))
     return u.groupBy("chrom").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("end") - F.col("start")).alias("width"))
 
 

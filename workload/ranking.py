@@ -22,13 +22,13 @@ def avg_rank_sql(x: str, by: str) -> str:
 
 @query("jn1_align", """
     SELECT a.scope AS scope_a, b.scope AS scope_b, count(*) AS n, avg(a.value - b.value) AS mean_difference
-    FROM vecs a JOIN vecs b ON a.item = b.item WHERE a.scope = 'A' AND b.scope = 'R' GROUP BY 1, 2""",
+    FROM vecs a JOIN vecs b ON a.item = b.item WHERE a.scope <> b.scope GROUP BY 1, 2""",
        "mean_difference", "vecs")
 def _(t):
     v = S.vecs(t)
-    a = v.where("scope = 'A'").select("item", F.col("scope").alias("scope_a"), F.col("value").alias("x"))
-    b = v.where("scope = 'R'").select("item", F.col("scope").alias("scope_b"), F.col("value").alias("y"))
-    return joins.align(a, b, ["item"]).groupBy("scope_a", "scope_b").agg(
+    a = v.select("item", F.col("scope").alias("scope_a"), F.col("value").alias("x"))
+    b = v.select("item", F.col("scope").alias("scope_b"), F.col("value").alias("y"))
+    return joins.align(a, b, ["item"]).where("scope_a <> scope_b").groupBy("scope_a", "scope_b").agg(
         F.count(F.lit(1)).alias("n"), F.avg(F.col("x") - F.col("y")).alias("mean_difference")
     )
 

@@ -10,11 +10,11 @@ from workload import standins as S
 from workload.ranking import avg_rank_sql
 from workload.registry import query
 
-B = 50
+B = 200
 
 
 def key_sql(*parts: object) -> str:
-    return "CAST('0x' || substr(md5(concat_ws('|', " + ", ".join(str(p) for p in parts) + ")), 1, 8) AS BIGINT)"
+    return "CAST('0x' || substr(md5(concat_ws('|', " + ", ".join(str(p) for p in parts) + ")), 1, 15) AS BIGINT)"
 
 
 def reps(n: int = B) -> str:
@@ -237,18 +237,58 @@ def _(t):
     return metrics.baselines(S.shifts(t), ["scope"], "gene")
 
 
-@query("rp12_contrast_metrics", f"""
-    WITH {boot_sql(0)},
-      e0 AS (SELECT scope, b, corr(real_shift, predicted_shift) AS pcc, abs(corr(real_shift, level)) AS bl FROM boot GROUP BY 1, 2),
-      e AS (SELECT scope, pcc, sqrt(2 - 2 * pcc) AS rmse, pcc - bl AS d_pcc, sqrt(2 - 2 * pcc) - least(sqrt(2 - 2 * bl), 1) AS d_rmse FROM e0),
-      pt AS (SELECT scope, corr(real_shift, predicted_shift) AS pcc, abs(corr(real_shift, level)) AS level_pcc FROM shifts GROUP BY 1)
-    SELECT pt.scope, max(pt.pcc) AS pcc, max(level_pcc) AS level_pcc, quantile_cont(e.pcc, 0.025) AS pcc_ci_lo, quantile_cont(e.pcc, 0.975) AS pcc_ci_hi,
-      quantile_cont(rmse, 0.025) AS rel_rmse_ci_lo, quantile_cont(rmse, 0.975) AS rel_rmse_ci_hi, quantile_cont(d_pcc, 0.025) AS d_pcc_ci_lo, quantile_cont(d_pcc, 0.975) AS d_pcc_ci_hi,
-      quantile_cont(d_rmse, 0.025) AS d_rel_rmse_ci_lo, quantile_cont(d_rmse, 0.975) AS d_rel_rmse_ci_hi FROM e JOIN pt ON e.scope = pt.scope GROUP BY 1""",
-       "pcc level_pcc pcc_ci_lo pcc_ci_hi rel_rmse_ci_lo rel_rmse_ci_hi d_pcc_ci_lo d_pcc_ci_hi d_rel_rmse_ci_lo d_rel_rmse_ci_hi", "shifts")
+# a contrast here is a scope, and every scope is a dataset of its own
+LOCO = """so AS (SELECT a.scope, b.scope AS other, a.gene, b.real_shift AS value FROM shifts a JOIN shifts b ON a.gene = b.gene AND a.scope <> b.scope),
+    mo AS (SELECT scope, other, avg(value) AS mu, stddev_pop(value) AS sd FROM so GROUP BY 1, 2 HAVING count(*) > 100),
+    lo AS (SELECT so.scope, so.gene, avg(CASE WHEN sd > 0 THEN (value - mu) / sd ELSE 0 END) AS loco FROM so JOIN mo ON so.scope = mo.scope AND so.other = mo.other GROUP BY 1, 2),
+    sh AS (SELECT s.scope, s.gene, real_shift, predicted_shift, level, loco FROM shifts s JOIN lo ON s.scope = lo.scope AND s.gene = lo.gene)"""
+CONTRAST_KS = (100, 300)
+
+
+def conc_sql(pred: str, real: str, k: int, top: str = "top") -> str:
+    return f"avg(CAST(sign({pred}) = sign({real}) AS DOUBLE)) FILTER (WHERE {pred} <> 0 AND {top} <= {k})"
+
+
+def ci_sql(columns: dict[str, str]) -> str:
+    return ", ".join(f"quantile_cont({x}, {q}) AS {n}_ci_{s}" for n, x in columns.items() for q, s in ((0.025, "lo"), (0.975, "hi")))
+
+
+CONTRAST_CI = {"pcc": "pr", "rel_rmse": "rm", "best_baseline_pcc": "bp", "best_baseline_rel_rmse": "br", "d_pcc": "pr - bp", "d_rel_rmse": "rm - br", "pcc_centroid": "ce",
+               **{f"deg_conc_{k}": f"conc_{k}" for k in CONTRAST_KS}}
+CONTRAST_POINT = ["pcc", "rel_rmse", "nochange_rel_rmse", "level_pcc", "level_rel_rmse", "loco_pcc", "loco_rel_rmse", "pcc_centroid",
+                  *[f"{m}deg_conc_{k}" for m in ("", "level_", "loco_") for k in CONTRAST_KS], "perm_pcc_mean", "perm_pcc_p95", "perm_rmse_mean", "perm_rmse_p05",
+                  *[f"perm_deg_conc_{k}_p95" for k in CONTRAST_KS]]
+CONTRAST_DOUBLES = [*CONTRAST_POINT, *[f"{c}_ci_{s}" for c in CONTRAST_CI for s in ("lo", "hi")]]
+CONTRAST_SQL = f"""
+    WITH {LOCO}, {boot_sql(0, B, 'sh')},
+      z0 AS (SELECT *, row_number() OVER (PARTITION BY scope ORDER BY abs(real_shift) DESC, gene) AS top, (real_shift - avg(real_shift) OVER w) / stddev_pop(real_shift) OVER w AS zr,
+                    (predicted_shift - avg(predicted_shift) OVER w) / stddev_pop(predicted_shift) OVER w AS zp, (level - avg(level) OVER w) / stddev_pop(level) OVER w AS l0,
+                    (loco - avg(loco) OVER w) / stddev_pop(loco) OVER w AS zc FROM sh WINDOW w AS (PARTITION BY scope)),
+      sd AS (SELECT scope, CASE WHEN corr(l0, zr) >= 0 THEN 1 ELSE -1 END AS side FROM z0 GROUP BY 1),
+      z AS (SELECT z0.*, side * l0 AS zl FROM z0 JOIN sd ON z0.scope = sd.scope),
+      pt AS (SELECT scope, count(*) AS n_genes, corr(zp, zr) AS pcc, sqrt(avg((zp - zr) ** 2)) AS rel_rmse, sqrt(avg(zr * zr)) AS nochange_rel_rmse, abs(corr(zl, zr)) AS level_pcc,
+                    sqrt(avg((zl - zr) ** 2)) AS level_rel_rmse, corr(zc, zr) AS loco_pcc, sqrt(avg((zc - zr) ** 2)) AS loco_rel_rmse, corr(zp - zc, zr - zc) AS pcc_centroid,
+                    {", ".join(f"{conc_sql(p, 'real_shift', k)} AS {m}deg_conc_{k}" for m, p in (("", "predicted_shift"), ("level_", "zl"), ("loco_", "zc")) for k in CONTRAST_KS)} FROM z GROUP BY 1),
+      zn AS (SELECT *, row_number() OVER (PARTITION BY scope ORDER BY gene) AS at_pos FROM z),
+      sf AS (SELECT scope, b, zp AS moved, row_number() OVER (PARTITION BY scope, b ORDER BY {key_sql(0, 'scope', 'b', 'gene')}, gene) AS at_pos FROM z, {reps()}),
+      pn AS (SELECT sf.scope, b, corr(moved, zr) AS c, sqrt(avg((moved - zr) ** 2)) AS r, {", ".join(f"{conc_sql('moved', 'real_shift', k)} AS c{k}" for k in CONTRAST_KS)}
+             FROM sf JOIN zn ON sf.scope = zn.scope AND sf.at_pos = zn.at_pos GROUP BY 1, 2),
+      pm AS (SELECT scope, avg(c) AS perm_pcc_mean, quantile_cont(c, 0.95) AS perm_pcc_p95, avg(r) AS perm_rmse_mean, quantile_cont(r, 0.05) AS perm_rmse_p05,
+                    {", ".join(f"quantile_cont(c{k}, 0.95) AS perm_deg_conc_{k}_p95" for k in CONTRAST_KS)} FROM pn GROUP BY 1),
+      b0 AS (SELECT *, row_number() OVER (PARTITION BY scope, b ORDER BY abs(real_shift) DESC, gene) AS top FROM boot),
+      b1 AS (SELECT scope, b, corr(predicted_shift, real_shift) AS pr, abs(corr(level, real_shift)) AS lr, corr(loco, real_shift) AS cr, corr(predicted_shift, loco) AS pc,
+                    {", ".join(f"{conc_sql('predicted_shift', 'real_shift', k)} AS conc_{k}" for k in CONTRAST_KS)} FROM b0 GROUP BY 1, 2),
+      b2 AS (SELECT *, sqrt(2 - 2 * pr) AS rm, greatest(lr, cr) AS bp, least(sqrt(2 - 2 * lr), 1, sqrt(2 - 2 * cr)) AS br, (pr - pc - cr + 1) / sqrt((2 - 2 * pc) * (2 - 2 * cr)) AS ce FROM b1),
+      ci AS (SELECT scope, {ci_sql(CONTRAST_CI)} FROM b2 GROUP BY 1)
+    SELECT pt.*, pm.* EXCLUDE (scope), ci.* EXCLUDE (scope) FROM pt JOIN pm ON pt.scope = pm.scope JOIN ci ON pt.scope = ci.scope"""
+
+
+@query("rp12_contrast_metrics", CONTRAST_SQL, " ".join(CONTRAST_DOUBLES), "shifts")
 def _(t):
-    m = metrics.contrast_metrics(S.shifts(t), ["scope"], "gene", B=B, n_perm=B, min_genes=100)
-    return m.select("scope", "pcc", "level_pcc", *[f"{c}_{s}" for c in ("pcc", "rel_rmse", "d_pcc", "d_rel_rmse") for s in ("ci_lo", "ci_hi")])
+    s = S.shifts(t)
+    others = stats.loco_mean(s.withColumn("dataset", F.col("scope")), "real_shift", "scope", "dataset", "gene")
+    m = metrics.contrast_metrics(s.join(others, ["scope", "gene"]), ["scope"], "gene", B=B, n_perm=B, min_genes=100, loco=True)
+    return m.select("scope", "n_genes", *CONTRAST_DOUBLES)
 
 
 @query("st24_interaction", f"""

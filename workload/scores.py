@@ -188,13 +188,13 @@ def _(t):
 
 INPUTS_SQL = """nn AS (SELECT gene, avg(value) AS mu, stddev_samp(value) AS sd, quantile_cont(value, 0.99) AS cap FROM expr WHERE scope = 'N' GROUP BY 1),
     inp AS (SELECT m || '__' || e.gene AS variant, m AS mode, e.gene, e.sample, value AS old, CASE m WHEN 'ko' THEN 0.0 ELSE greatest(value, cap) END AS new, coalesce(NOT sd > 1e-6, true) AS is_flat, mu, sd
-            FROM (SELECT * FROM expr WHERE scope = 'A') e JOIN (SELECT p_partkey FROM part WHERE p_size < 10) p ON gene = p_partkey LEFT JOIN nn ON e.gene = nn.gene, (VALUES ('ko'), ('oe')) v(m)),
+            FROM (SELECT * FROM expr WHERE scope = 'A') e JOIN part p ON gene = p_partkey LEFT JOIN nn ON e.gene = nn.gene, (VALUES ('ko'), ('oe')) v(m)),
     inz AS (SELECT *, CASE WHEN is_flat THEN 0 ELSE (new - old) / (sd + 1e-6) END AS z_shift FROM inp)"""
 
 
 def changed_inputs(t):
     e = S.expr(t).withColumn("gene", F.col("gene").cast("string"))
-    v = whatif.make_variants(t.part.where("p_size < 10").select(F.col("p_partkey").alias("tf")))
+    v = whatif.make_variants(t.part.select(F.col("p_partkey").alias("tf")))
     own = e.where("scope = 'A'").select("gene", "sample", "value")
     return whatif.whatif_inputs(own, e.where("scope = 'N'").select("gene", "sample", "value"), v, "gene", "sample", "value")
 
@@ -268,7 +268,12 @@ def _(t):
 # ---- ranking against tiers --------------------------------------------------------------------------------------------
 GOLD_SQL = """gold AS (SELECT tier, s_suppkey AS tf, CASE WHEN tier = 'D' THEN 0 WHEN s_acctbal > 4000 THEN 1 ELSE -1 END AS expected_ko_sign FROM supplier, (VALUES ('B', 0), ('C', 5), ('D', 10)) v(tier, lo)
                        WHERE s_nationkey BETWEEN lo AND lo + 12)"""
-ALL_SQL = """sco AS (SELECT l_returnflag AS scope, l_suppkey AS tf, avg(l_extendedprice) - 35000 AS score, sum(l_quantity) AS centrality FROM lineitem GROUP BY 1, 2)"""
+ALL_SQL = """scr AS (SELECT l_returnflag AS scope, l_suppkey AS tf, CASE l_linestatus WHEN 'O' THEN 'ko' ELSE 'oe' END AS mode, avg(l_extendedprice) - 35000 AS score, sum(l_quantity) AS centrality,
+      CASE WHEN l_suppkey % 17 = 3 THEN 'scope_fails_sanity' ELSE 'ok' END AS status, CASE l_returnflag WHEN 'R' THEN 'FAIL' ELSE 'PASS' END AS gate FROM lineitem GROUP BY 1, 2, 3),
+    pss AS (SELECT *, {rank} / count(*) OVER (PARTITION BY scope) AS pct FROM scr WHERE mode = 'ko' AND status = 'ok' AND gate = 'PASS'),
+    con AS (SELECT tf, quantile_cont(pct, 0.5) - 0.5 AS score, quantile_cont(centrality, 0.5) AS centrality, count(*) AS n_scopes, 'consensus_headline' AS scope FROM pss GROUP BY tf),
+    sco AS (SELECT scope, tf, score, centrality FROM scr WHERE mode = 'ko' AND status = 'ok'
+            UNION ALL SELECT scope, tf, score, centrality FROM con WHERE (SELECT count(DISTINCT scope) FROM pss) >= 2)""".replace("{rank}", avg_rank_sql("score", "scope"))
 CASES_SQL = f"""{GOLD_SQL}, {ALL_SQL}, tl AS (SELECT DISTINCT tier FROM gold),
     lb AS (SELECT sco.*, tl.tier, expected_ko_sign FROM sco CROSS JOIN tl LEFT JOIN gold ON gold.tier = tl.tier AND gold.tf = sco.tf),
     c0 AS (SELECT scope, tier, tf, score, centrality, expected_ko_sign, 'membership' AS direction, abs(score) AS rank_score, CAST(expected_ko_sign IS NOT NULL AS INTEGER) AS y FROM lb WHERE tier = 'D'
@@ -282,31 +287,51 @@ def gold_cases(t):
     g = t.supplier.select("s_suppkey", "s_acctbal", "s_nationkey", tiers.alias("v")).where(F.col("s_nationkey").between(F.col("v.lo"), F.col("v.lo") + 12)).select(
         F.col("v.t").alias("tier"), F.col("s_suppkey").alias("tf"),
         F.when(F.col("v.t") == "D", 0).when(F.col("s_acctbal") > 4000, 1).otherwise(-1).alias("expected_ko_sign"))
-    s = t.lineitem.groupBy(F.col("l_returnflag").alias("scope"), F.col("l_suppkey").alias("tf")).agg(
-        (F.avg("l_extendedprice") - 35000).alias("score"), F.sum("l_quantity").alias("centrality"))
-    return metrics.tier_cases(s, g, min_ranked=5)
+    return metrics.tier_cases(metrics.screen_scores(screen_rows(t)), g, min_ranked=5)
+
+
+def screen_rows(t):
+    """Stand-in of a scored screen: two modes, failed rows, one scope that does not pass."""
+    return t.lineitem.groupBy(
+        F.col("l_returnflag").alias("scope"), F.col("l_suppkey").alias("tf"), F.when(F.col("l_linestatus") == "O", "ko").otherwise("oe").alias("mode")).agg(
+        (F.avg("l_extendedprice") - 35000).alias("score"), F.sum("l_quantity").alias("centrality")).withColumns({
+            "status": F.when(F.col("tf") % 17 == 3, "scope_fails_sanity").otherwise("ok"),
+            "gate_verdict": F.when(F.col("scope") == "R", "FAIL").otherwise("PASS")})
 
 
 CASE = "scope, tier, direction, subset"
-RANK_B = 20
+RANK_B = 200
 
 
 @query("rp14_rank_against_gold", f"""
     WITH {CASES_SQL},
       p AS (SELECT *, row_number() OVER (PARTITION BY {CASE} ORDER BY rank_score DESC, tf) AS place, row_number() OVER (PARTITION BY {CASE} ORDER BY centrality, tf) AS cr, count(*) OVER (PARTITION BY {CASE}) AS n FROM cases),
-      d AS (SELECT *, CASE WHEN n = 1 THEN 0 ELSE greatest(0, ((cr - 1) * 10 + n - 2) // (n - 1) - 1) END AS decile FROM p),
-      o AS (SELECT {CASE}, count(*) AS n_ranked, CAST(sum(y) AS BIGINT) AS n_pos, avg(hit * 1.0 / place) FILTER (WHERE y = 1) AS ap, CAST(count(*) FILTER (WHERE y = 1 AND place <= 10) AS DOUBLE) / nullif(sum(y), 0) AS recall_at_10
+      d0 AS (SELECT *, CASE WHEN n = 1 THEN 0 ELSE greatest(0, ((cr - 1) * 10 + n - 2) // (n - 1) - 1) END AS decile, sum(y) OVER (PARTITION BY {CASE}) AS np FROM p),
+      t AS (SELECT {CASE}, count(*) AS n_ranked, CAST(sum(y) AS BIGINT) AS n_pos FROM d0 GROUP BY {CASE}),
+      d AS (SELECT * FROM d0 WHERE np > 0 AND np < n),
+      o AS (SELECT {CASE}, avg(hit * 1.0 / place) FILTER (WHERE y = 1) AS ap, CAST(count(*) FILTER (WHERE y = 1 AND place <= 10) AS DOUBLE) / sum(y) AS recall_at_10,
+                   coalesce(sum(1 / log2(place + 1)) FILTER (WHERE y = 1 AND place <= 10), 0) / sum(1 / log2(hit + 1)) FILTER (WHERE y = 1 AND hit <= 10) AS ndcg_at_10, sum(y) * 1.0 / count(*) AS prevalence
             FROM (SELECT *, sum(y) OVER (PARTITION BY {CASE} ORDER BY place) AS hit FROM d) GROUP BY {CASE}),
+      h2 AS (SELECT {CASE}, decile, b, place, row_number() OVER (PARTITION BY {CASE}, decile, b ORDER BY {key_sql(10, 'scope', 'tier', 'direction', 'subset', 'b', 'tf')}, tf) AS i FROM d, {reps(max(200, RANK_B // 5))}),
+      r2 AS (SELECT {CASE}, b, avg(CAST(place <= 10 AS DOUBLE)) AS r FROM h2 JOIN (SELECT {CASE}, decile, y, row_number() OVER (PARTITION BY {CASE}, decile ORDER BY y DESC, tf) AS i FROM d) USING (scope, tier, direction, subset, decile, i) WHERE y = 1 GROUP BY {CASE}, b),
+      s2 AS (SELECT {CASE}, avg(r) AS recall_at_10_null_mean, (count(*) FILTER (WHERE r >= recall_at_10 - 1e-12) + 1.0) / (count(*) + 1.0) AS recall_at_10_p FROM r2 JOIN o USING (scope, tier, direction, subset) GROUP BY {CASE}),
+      {boot_sql(7, RANK_B, 'd', CASE, 'tf')},
+      bp AS (SELECT {CASE}, b, y, row_number() OVER (PARTITION BY {CASE}, b ORDER BY rank_score DESC, tf) AS loc FROM boot),
+      bh AS (SELECT *, sum(y) OVER (PARTITION BY {CASE}, b ORDER BY loc) AS hit FROM bp),
+      bs AS (SELECT {CASE}, b, avg(hit * 1.0 / loc) AS ap, avg(CAST(loc <= 10 AS DOUBLE)) AS rc, coalesce(sum(1 / log2(loc + 1)) FILTER (WHERE loc <= 10), 0) / sum(1 / log2(hit + 1)) FILTER (WHERE hit <= 10) AS nd FROM bh WHERE y = 1 GROUP BY {CASE}, b),
+      ci AS (SELECT {CASE}, quantile_cont(ap, 0.025) AS ap_ci_lo, quantile_cont(ap, 0.975) AS ap_ci_hi, quantile_cont(nd, 0.025) AS ndcg_at_10_ci_lo, quantile_cont(nd, 0.975) AS ndcg_at_10_ci_hi,
+                    quantile_cont(rc, 0.025) AS recall_at_10_ci_lo, quantile_cont(rc, 0.975) AS recall_at_10_ci_hi FROM bs GROUP BY {CASE} HAVING count(*) > 20),
       h AS (SELECT {CASE}, decile, b, place, row_number() OVER (PARTITION BY {CASE}, decile, b ORDER BY {key_sql(0, 'scope', 'tier', 'direction', 'subset', 'b', 'tf')}, tf) AS i FROM d, {reps(RANK_B)}),
       l AS (SELECT {CASE}, decile, y, row_number() OVER (PARTITION BY {CASE}, decile ORDER BY y DESC, tf) AS i FROM d),
       q AS (SELECT {CASE}, b, place FROM h JOIN l USING (scope, tier, direction, subset, decile, i) WHERE y = 1),
       k AS (SELECT {CASE}, b, avg(hit * 1.0 / place) AS ap FROM (SELECT *, row_number() OVER (PARTITION BY {CASE}, b ORDER BY place) AS hit FROM q) GROUP BY {CASE}, b),
-      s AS (SELECT k.scope, k.tier, k.direction, k.subset, avg(k.ap) AS null_mean, max(o.ap) / avg(k.ap) AS enrichment, (count(*) FILTER (WHERE k.ap >= o.ap) + 1.0) / (count(*) + 1.0) AS p_value FROM k JOIN o USING (scope, tier, direction, subset) GROUP BY 1, 2, 3, 4)
-    SELECT o.*, null_mean, enrichment, p_value, n_pos < 10 AS underpowered FROM o LEFT JOIN s USING (scope, tier, direction, subset)""",
-       "ap recall_at_10 null_mean enrichment p_value")
+      s AS (SELECT k.scope, k.tier, k.direction, k.subset, avg(k.ap) AS null_mean, max(o.ap) / avg(k.ap) AS enrichment, (count(*) FILTER (WHERE k.ap >= o.ap - 1e-12) + 1.0) / (count(*) + 1.0) AS p_value FROM k JOIN o USING (scope, tier, direction, subset) GROUP BY 1, 2, 3, 4)
+    SELECT t.*, ap, ndcg_at_10, recall_at_10, prevalence, null_mean, enrichment, p_value, recall_at_10_null_mean, recall_at_10_p, ap_ci_lo, ap_ci_hi, ndcg_at_10_ci_lo, ndcg_at_10_ci_hi,
+           recall_at_10_ci_lo, recall_at_10_ci_hi, n_pos < 10 AS underpowered
+    FROM t LEFT JOIN o USING (scope, tier, direction, subset) LEFT JOIN s USING (scope, tier, direction, subset) LEFT JOIN s2 USING (scope, tier, direction, subset) LEFT JOIN ci USING (scope, tier, direction, subset)""",
+       "ap ndcg_at_10 recall_at_10 prevalence null_mean enrichment p_value recall_at_10_null_mean recall_at_10_p ap_ci_lo ap_ci_hi ndcg_at_10_ci_lo ndcg_at_10_ci_hi recall_at_10_ci_lo recall_at_10_ci_hi")
 def _(t):
-    out = metrics.rank_against_gold(gold_cases(t), [10], RANK_B, 0)
-    return out.drop("ndcg_at_10")
+    return metrics.rank_against_gold(gold_cases(t), [10], RANK_B, 0, B_boot=RANK_B)
 
 
 @query("rp14_signs_against_gold", f"""
@@ -322,27 +347,27 @@ def _(t):
 
 
 @query("rp14_consensus_scope", f"""
-    WITH {ALL_SQL}, r AS (SELECT *, {avg_rank_sql('score', 'scope')} / count(*) OVER (PARTITION BY scope) AS pct FROM sco WHERE scope <> 'R')
-    SELECT tf, quantile_cont(pct, 0.5) - 0.5 AS score, quantile_cont(centrality, 0.5) AS centrality, count(*) AS n_scopes, 'consensus_headline' AS scope FROM r GROUP BY tf""", "score centrality")
+    WITH {ALL_SQL} SELECT * FROM con""", "score centrality")
 def _(t):
-    s = t.lineitem.groupBy(F.col("l_returnflag").alias("scope"), F.col("l_suppkey").alias("tf")).agg(
-        (F.avg("l_extendedprice") - 35000).alias("score"), F.sum("l_quantity").alias("centrality"))
-    s = s.withColumns({"status": F.lit("ok"), "gate_verdict": F.when(F.col("scope") == "R", "FAIL").otherwise("PASS")})
-    return metrics.consensus_scope(s)
+    return metrics.consensus_scope(screen_rows(t).where("mode = 'ko'"))
 
 
 @query("rp15_recall_report", f"""
     WITH {CASES_SQL},
       p AS (SELECT *, row_number() OVER (PARTITION BY {CASE} ORDER BY rank_score DESC, tf) AS place, row_number() OVER (PARTITION BY {CASE} ORDER BY centrality, tf) AS cr, count(*) OVER (PARTITION BY {CASE}) AS n, sum(y) OVER (PARTITION BY {CASE}) AS np FROM cases WHERE subset = 'all'),
-      d AS (SELECT *, CASE WHEN n = 1 THEN 0 ELSE greatest(0, ((cr - 1) * 10 + n - 2) // (n - 1) - 1) END AS decile FROM p WHERE np > 0),
-      o AS (SELECT scope, tier, direction, place AS k, CAST(sum(y) OVER (PARTITION BY scope, tier, direction ORDER BY place) AS DOUBLE) / np AS recall, CAST(np AS BIGINT) AS n_pos, n AS n_ranked FROM d QUALIFY k <= 20),
+      d AS (SELECT *, CASE WHEN n = 1 THEN 0 ELSE greatest(0, ((cr - 1) * 10 + n - 2) // (n - 1) - 1) END AS decile FROM p WHERE np > 0 AND np < n),
+      o AS (SELECT scope, tier, direction, place AS k, CAST(sum(y) OVER (PARTITION BY scope, tier, direction ORDER BY place) AS DOUBLE) / np AS recall, CAST(np AS BIGINT) AS n_pos, n AS n_ranked FROM d QUALIFY k <= 200),
       h AS (SELECT scope, tier, direction, np, decile, b, place, row_number() OVER (PARTITION BY scope, tier, direction, decile, b ORDER BY {key_sql(4, 'scope', 'tier', 'direction', 'b', 'tf')}, tf) AS i FROM d, {reps(RANK_B)}),
       l AS (SELECT scope, tier, direction, decile, y, row_number() OVER (PARTITION BY scope, tier, direction, decile ORDER BY y DESC, tf) AS i FROM d),
       c AS (SELECT scope, tier, direction, b, place AS k, CAST(sum(l.y) OVER (PARTITION BY scope, tier, direction, b ORDER BY place) AS DOUBLE) / np AS r FROM h JOIN l USING (scope, tier, direction, decile, i)),
-      m AS (SELECT scope, tier, direction, k, avg(r) AS null_mean, quantile_cont(r, 0.05) AS null_p05, quantile_cont(r, 0.95) AS null_p95 FROM c GROUP BY 1, 2, 3, 4)
-    SELECT o.*, null_mean, null_p05, null_p95 FROM o LEFT JOIN m USING (scope, tier, direction, k)""", "recall null_mean null_p05 null_p95")
+      m AS (SELECT scope, tier, direction, k, avg(r) AS null_mean, quantile_cont(r, 0.05) AS null_p05, quantile_cont(r, 0.95) AS null_p95 FROM c GROUP BY 1, 2, 3, 4),
+      {boot_sql(4, RANK_B, 'd', 'scope, tier, direction', 'tf')},
+      bp AS (SELECT scope, tier, direction, b, y, row_number() OVER (PARTITION BY scope, tier, direction, b ORDER BY rank_score DESC, tf) AS k, sum(y) OVER (PARTITION BY scope, tier, direction, b) AS bn FROM boot),
+      bc AS (SELECT scope, tier, direction, b, k, CAST(sum(y) OVER (PARTITION BY scope, tier, direction, b ORDER BY k) AS DOUBLE) / bn AS r FROM bp WHERE bn > 0),
+      bi AS (SELECT scope, tier, direction, k, quantile_cont(r, 0.025) AS ci_lo, quantile_cont(r, 0.975) AS ci_hi FROM bc GROUP BY 1, 2, 3, 4)
+    SELECT o.*, null_mean, null_p05, null_p95, ci_lo, ci_hi FROM o LEFT JOIN m USING (scope, tier, direction, k) LEFT JOIN bi USING (scope, tier, direction, k)""", "recall null_mean null_p05 null_p95 ci_lo ci_hi")
 def _(t):
-    return metrics.recall_report(gold_cases(t), 20, RANK_B, 4)
+    return metrics.recall_report(gold_cases(t), 200, RANK_B, 4, RANK_B)
 
 
 # ---- panel indices ----------------------------------------------------------------------------------------------------
@@ -352,7 +377,7 @@ def panels(t):
     return t.part.select(names.alias("panel"), F.col("p_partkey").cast("string").alias("gene")).where(F.col("panel").isNotNull())
 
 
-IDX_B = 50
+IDX_B = 200
 IDX = f"""
     WITH pn AS (SELECT CASE WHEN p_brand IN ('Brand#11', 'Brand#12') THEN 'first' WHEN p_brand IN ('Brand#13', 'Brand#14') THEN 'second' WHEN p_brand IN ('Brand#15', 'Brand#21', 'Brand#22') THEN 'damage' END AS panel, CAST(p_partkey AS VARCHAR) AS gene FROM part),
       fl AS (SELECT scope, quantile_cont(level, 0.25) AS f FROM shifts GROUP BY 1),
@@ -369,7 +394,7 @@ IDX = f"""
       bd AS (SELECT d.scope, d.b, avg(p.z) AS m FROM (SELECT scope, b, {key_sql(0, 'scope', 'b', 'pos')} % n + 1 AS idx FROM posd, {reps(IDX_B)}) d JOIN posd p ON d.scope = p.scope AND idx = p.pos GROUP BY 1, 2),
       cd AS (SELECT scope, quantile_cont(m, 0.025) AS d_ci_lo, quantile_cont(m, 0.975) AS d_ci_hi FROM bd GROUP BY 1),
       po AS (SELECT *, row_number() OVER (PARTITION BY scope, decile ORDER BY gene) AS pos, count(*) OVER (PARTITION BY scope, decile) AS m FROM z),
-      wa AS (SELECT mb.scope, panel, po.decile, b, CAST('0x' || substr(md5(concat_ws('|', CASE panel WHEN 'first' THEN 1 WHEN 'second' THEN 2 ELSE 3 END, mb.scope, b, mb.gene)), 1, 8) AS BIGINT) % m + 1 AS pos FROM mb JOIN po ON mb.scope = po.scope AND mb.gene = po.gene, {reps(IDX_B)}),
+      wa AS (SELECT mb.scope, panel, po.decile, b, CAST('0x' || substr(md5(concat_ws('|', CASE panel WHEN 'first' THEN 1 WHEN 'second' THEN 2 ELSE 3 END, mb.scope, b, mb.gene)), 1, 15) AS BIGINT) % m + 1 AS pos FROM mb JOIN po ON mb.scope = po.scope AND mb.gene = po.gene, {reps(IDX_B)}),
       nm AS (SELECT wa.scope, panel, b, avg(po.z) AS m FROM wa JOIN po ON wa.scope = po.scope AND wa.decile = po.decile AND wa.pos = po.pos GROUP BY 1, 2, 3),
       ni AS (SELECT scope, quantile_cont(abs(a - c), 0.95) AS i_null_p95_abs FROM (SELECT scope, b, max(m) FILTER (WHERE panel = 'first') AS a, max(m) FILTER (WHERE panel = 'second') AS c FROM nm GROUP BY 1, 2) GROUP BY 1),
       nd AS (SELECT scope, quantile_cont(m, 0.95) AS d_null_p95 FROM nm WHERE panel = 'damage' GROUP BY 1),
