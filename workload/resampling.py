@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from shiftgrid.operators import enrichment, ranks, resample, stats
+from shiftgrid.operators import enrichment, ordered, ranks, resample, stats
 from shiftgrid.plans import metrics, validation
 from workload import standins as S
 from workload.ranking import avg_rank_sql
@@ -104,12 +104,13 @@ def _(t):
          n AS (SELECT b, avg(hit * 1.0 / place) AS ap FROM (SELECT b, place, row_number() OVER (PARTITION BY b ORDER BY place) AS hit FROM p) GROUP BY b),
          o AS (SELECT avg(hit * 1.0 / place) AS ap FROM (SELECT place, row_number() OVER (ORDER BY place) AS hit FROM d WHERE y = 1))
     SELECT 'all' AS grp, o.ap AS observed, avg(n.ap) AS null_mean, o.ap / avg(n.ap) AS enrichment,
-           (count(*) FILTER (WHERE n.ap >= o.ap) + 1.0) / (count(*) + 1.0) AS p_value FROM n, o GROUP BY o.ap""",
+           (count(*) FILTER (WHERE n.ap >= o.ap - 1e-12) + 1.0) / (count(*) + 1.0) AS p_value FROM n, o GROUP BY o.ap""",
        "observed null_mean enrichment p_value", "labelled")
 def _(t):
     d = S.labelled(t).select(F.lit("all").alias("grp"), "lang", "doc_id", F.col("quality").alias("y"), F.col("score").alias("rank_score"))
     observed = stats.average_precision(d, "y", "rank_score", ["grp"], "doc_id")
-    null = metrics.null_precision(d, ["grp"], "lang", "doc_id", B, 9)
+    listed = ordered.numbered(d, ["grp"], ["-rank_score", "doc_id"], "_position")
+    null = metrics.null_precision(listed, ["grp"], "lang", "doc_id", B, 9)
     return resample.null_summary(observed, null, ["grp"], "ap")
 
 

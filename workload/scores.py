@@ -10,7 +10,7 @@ from workload import standins as S
 from workload.cells import ACTIVITY
 from workload.ranking import avg_rank_sql
 from workload.registry import query
-from workload.resampling import boot_sql, key_sql, reps
+from workload.resampling import B, boot_sql, key_sql, reps
 
 # ---- shared SQL: factors = suppliers, scopes = return flags -----------------------------------------------------------
 SCALARS_SQL = """sc AS (SELECT * FROM (VALUES ('A', 0.8, true, 'PASS'), ('N', 0.6, true, 'FAIL'), ('R', 0.3, false, 'PASS')) v(scope, sanity_rho, sanity_pass, gate_verdict))"""
@@ -428,7 +428,7 @@ def _(t):
     SELECT p.scope, p.r, r_ci_lo, r_ci_hi, r_null_p95, r_null_p05, n_items, true AS r_assessed, r_ci_lo > 0 AND p.r > r_null_p95 AS r_call FROM p JOIN ci USING (scope) JOIN nn USING (scope)""",
        "r r_ci_lo r_ci_hi r_null_p95 r_null_p05", "shifts")
 def _(t):
-    return indices.rejuvenation(S.shifts(t), ["scope"], "gene", "predicted_shift", "real_shift", 50, 2)
+    return indices.rejuvenation(S.shifts(t), ["scope"], "gene", "predicted_shift", "real_shift", B, 2)
 
 
 @query("rp17_index_validation", """
