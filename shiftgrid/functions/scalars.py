@@ -204,3 +204,26 @@ def hash_key(*parts: Column) -> Column:
     """60 bits of the md5 of the key's text: more than any group has rows, so a draw reaches every position."""
     text = F.concat_ws("|", *[p.cast("string") for p in parts])
     return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("bigint")
+
+
+# ------------------------------------------------------------------------------------------------------------ JSON specs
+VARIANT_SPEC = "struct<id:string,tfs:array<string>,mode:string>"
+
+
+def json_spec(text: str | Column, schema: str) -> Column:
+    """A JSON text read with an explicit schema; text that does not fit it is NULL."""
+    return F.from_json(text, schema)
+
+
+def json_list(text: str | Column, element: str) -> Column:
+    """The elements of a JSON list, one row each, read as ``element`` (a DDL type)."""
+    return F.explode(F.from_json(text, f"array<{element}>"))
+
+
+def variant_problem(spec: Column) -> Column:
+    """What is wrong with one variant (id, tfs, mode), NULL when nothing is."""
+    return (
+        F.when(spec["id"].isNull() | (spec["id"] == "__baseline_mean__"), F.lit("id is missing or reserved"))
+        .when(~F.coalesce(spec["mode"].isin("ko", "oe"), F.lit(False)), F.lit("mode is neither ko nor oe"))
+        .when(F.coalesce(F.size(spec["tfs"]), F.lit(0)) < 1, F.lit("tfs is empty"))
+    )

@@ -140,9 +140,10 @@ def pathway_agreement(
     j = cut(a.join(b, [*by, "set_name"]).where(finite("_a", "_b")))
     rho = spearman(j, "_a", "_b", by, "nes_spearman", min_n=4).withColumnRenamed("n", "n_sets")
     big = F.abs("_a") >= F.lit(strong)
+    enough = F.count(F.lit(1)) > 3  # with three sets or fewer nothing is compared
     extra = j.groupBy(*by).agg(
-        F.sum(big.cast("bigint")).alias("n_strong_real"),
-        F.avg(F.when(big, (F.signum("_a") == F.signum("_b")).cast("double"))).alias("nes_sign_agree_strong"),
+        F.when(enough, F.sum(big.cast("bigint"))).otherwise(F.lit(0).cast("bigint")).alias("n_strong_real"),
+        F.when(enough, F.avg(F.when(big, (F.signum("_a") == F.signum("_b")).cast("double")))).alias("nes_sign_agree_strong"),
     )
     return attach(rho, extra, by)
 

@@ -74,26 +74,36 @@ def predicted_shift(
 
 def excess(
     shifts: DataFrame, by: Sequence[str], gene: str, B: int, seed: int, real: str = "real_shift",
-    pred: str = "predicted_shift", level: str = "level",
+    pred: str = "predicted_shift", level: str = "level", min_genes: int = 100, min_sd: float = 1e-6,
 ) -> DataFrame:
-    """Correlation, level-only null, their difference, and bootstrap intervals of correlation and difference."""
+    """Correlation, level-only null, their difference, and bootstrap intervals of correlation and difference.
+
+    Groups that are not evaluable (too few genes, a constant prediction) keep their correlation only and are not resampled.
+    """
     known = cut(shifts.where(finite(real, pred, level)).select(*by, gene, real, pred, level))
     sizes = known.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n_genes"), F.stddev_samp(pred).alias("pred_shift_sd")
     )
+    able = evaluable(min_genes, min_sd)
+    used = cut(attach(known, sizes.where(able).select(*by), by, "inner")) if by else known
     rho = spearman(known, real, pred, by, "rho").drop("n")
-    null = spearman(known, real, level, by, "_level").drop("n")
+    null = spearman(used, real, level, by, "_level").drop("n")
     point = attach(attach(sizes, rho, by), null, by).select(
-        *by, "n_genes", "pred_shift_sd", "rho", F.abs("_level").alias("level_null"),
-        (F.col("rho") - F.coalesce(F.abs("_level"), F.lit(0.0))).alias("excess"),
+        *by, "n_genes", "pred_shift_sd", "rho", F.when(able, F.abs("_level")).alias("level_null"),
+        F.when(able, F.col("rho") - F.coalesce(F.abs("_level"), F.lit(0.0))).alias("excess"),
     )
-    each = bootstrap_spearman(known, by, gene, {"rho": (real, pred), "_level": (real, level)}, B, seed)
+    each = bootstrap_spearman(used, by, gene, {"rho": (real, pred), "_level": (real, level)}, B, seed)
     each = each.withColumn("excess", F.col("rho") - F.coalesce(F.abs("_level"), F.lit(0.0))).where(
         F.col("excess").isNotNull()
     )
     return attach(point, intervals(each, by, ["rho", "excess"]), by)
 
 
+def evaluable(min_genes: int, min_sd: float) -> Column:
+    """Enough genes, and a prediction that is not constant."""
+    return (F.col("n_genes") >= int(min_genes)) & F.coalesce(F.col("pred_shift_sd") >= F.lit(min_sd), F.lit(False))
+
+
 def verdict(
     scored: Column, evaluable: Column, lo: Column, hi: Column, invert: Column, threshold: float = 0.05
 ) -> Column:
@@ -108,22 +118,23 @@ def verdict(
 
 def judged(
     rows: DataFrame, min_genes: int = 100, min_sd: float = 1e-6, threshold: float = 0.05,
-    scored: Column | None = None, invert: Column | None = None,
+    scored: Column | None = None, invert: Column | None = None, null_quantile: float = 0.95,
 ) -> DataFrame:
     """``excess`` rows with their verdict and what it rests on; a negative control is judged on the raw correlation.
 
-    Where a screen null is joined in (``null_pctile``), it decides a scored negative control instead.
+    Where a screen null is joined in (``null_pctile``), it decides a scored negative control instead: below ``null_quantile``
+    of the screened variants it passes.
     """
     scored = F.lit(True) if scored is None else scored
     invert = F.lit(False) if invert is None else invert
-    evaluable = (F.col("n_genes") >= int(min_genes)) & F.coalesce(F.col("pred_shift_sd") >= F.lit(min_sd), F.lit(False))
+    able = evaluable(min_genes, min_sd)
     lo = F.when(invert, F.col("rho_ci_lo")).otherwise(F.col("excess_ci_lo"))
     hi = F.when(invert, F.col("rho_ci_hi")).otherwise(F.col("excess_ci_hi"))
-    call = verdict(scored, evaluable, lo, hi, invert, threshold)
+    call = verdict(scored, able, lo, hi, invert, threshold)
     basis = F.when(invert, "bootstrap_raw_rho").otherwise("bootstrap_excess")
     if "null_pctile" in rows.columns:
-        by_screen = scored & invert & evaluable & F.col("null_pctile").isNotNull()
-        call = F.when(by_screen, F.when(F.col("null_pctile") < 0.95, "PASS").otherwise("FAIL")).otherwise(call)
+        by_screen = scored & invert & able & F.col("null_pctile").isNotNull()
+        call = F.when(by_screen, F.when(F.col("null_pctile") < float(null_quantile), "PASS").otherwise("FAIL")).otherwise(call)
         basis = F.when(by_screen, "empirical_null").otherwise(basis)
     return rows.withColumns({"verdict": call, "verdict_basis": basis})
 

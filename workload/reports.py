@@ -95,10 +95,23 @@ def _(t):
 
 @query("sc10_json_specs", """SELECT event_type, count(*) AS n, CAST(sum(CAST(json_extract(props, '$.k') AS BIGINT)) AS BIGINT) AS total FROM events GROUP BY 1""")
 def _(t):
-    spec = F.from_json("props", "k bigint")
+    spec = X.json_spec("props", "k bigint")
     return t.events.select("event_type", spec["k"].alias("k")).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("k").alias("total"))
 
 
+@query("sc10_variant_specs", """
+    SELECT event_type, event_id % 4 AS kind, count(*) AS n, CASE event_id % 4 WHEN 0 THEN 'mode is neither ko nor oe' WHEN 1 THEN 'tfs is empty' WHEN 2 THEN 'id is missing or reserved' END AS problem FROM events GROUP BY 1, 2, 4""")
+def _(t):
+    kind = F.col("event_id") % 4
+    variant = F.struct(
+        F.when(kind == 2, "__baseline_mean__").otherwise(F.concat(F.lit("v"), "event_id")).alias("id"),
+        F.when(kind == 1, F.array().cast("array<string>")).otherwise(F.array(F.col("user_id").cast("string"))).alias("tfs"),
+        F.when(kind == 0, "knock").otherwise("ko").alias("mode"))
+    texts = t.events.select("event_type", kind.alias("kind"), F.to_json(F.array(variant)).alias("text"))
+    specs = texts.select("event_type", "kind", X.json_list("text", X.VARIANT_SPEC).alias("spec"))
+    return specs.groupBy("event_type", "kind", X.variant_problem(F.col("spec")).alias("problem")).agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("sc11_perturb_class", """
     SELECT p_partkey, CASE p_size % 3 WHEN 0 THEN 'OE' WHEN 1 THEN 'KD' ELSE 'mixed' END AS cls, CASE WHEN p_size % 3 < 2 THEN '1,2' ELSE '1,2,3' END AS dims FROM part""")
 def _(t):
