@@ -35,12 +35,20 @@ def _ranked(df, value, by, out, descending, formula) -> DataFrame:
     return attach(df, ranks, [*by, value])
 
 
-def weighted_rank(df: DataFrame, value: str, by: Sequence[str], out: str, weight: str) -> DataFrame:
-    """Average-tie rank where a row counts ``weight`` times; whole-number values without NULL."""
+def weighted_rank(df: DataFrame, value: str, by: Sequence[str], out: str, weight: str, width: int = 100_000) -> DataFrame:
+    """Average-tie rank where a row counts ``weight`` times; ``value`` holds whole numbers from 0 on, without NULL.
+
+    Whole numbers are their own slices (``width`` of them each), so no range partitioning has to be sampled and fixed: ties are
+    aggregated, then summed inside their slice, and each slice starts from the totals of those before it.
+    """
     half = F.lit(2.0)
-    ties = tie_totals(df, by, value, {"_n": F.col(weight)})
-    rank = F.col("cum__n") - (F.col("_n") - F.lit(1.0)) / half
-    return attach(df, ties.select(*by, value, rank.alias(out)), [*by, value])
+    ties = df.groupBy(*by, value).agg(F.sum(weight).alias("_n")).withColumn(SLICE, F.floor(F.col(value) / F.lit(int(width))))
+    inside = ties.withColumn("_cum", F.sum("_n").over(Window.partitionBy(*by, SLICE).orderBy(value)))
+    before = Window.partitionBy(*by).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
+    starts = ties.groupBy(*by, SLICE).agg(F.sum("_n").alias("_t")).withColumn("_start", F.coalesce(F.sum("_t").over(before), F.lit(0.0)))
+    placed = attach(inside, starts.drop("_t"), [*by, SLICE])
+    rank = F.col("_start") + F.col("_cum") - (F.col("_n") - F.lit(1.0)) / half
+    return attach(df, placed.select(*by, value, rank.alias(out)), [*by, value])
 
 
 def average_rank(
