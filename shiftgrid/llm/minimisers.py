@@ -4,7 +4,7 @@ Every window of a sequence belongs to one run of windows with the same minimiser
 only runs whose minimiser occurs elsewhere can hold a repeated window. ``repeated_pieces`` finds them in two passes: the first
 counts minimisers over all documents, the second packs each run that is left as one string for its bucket. A minimiser with
 more than ``unpack_from`` documents is not gathered: its windows travel singly, keyed by their own digest, so that they are
-combined before the shuffle however many there are.
+combined before the shuffle however many there are. So no bucket holds more than ``unpack_from`` documents' strings.
 """
 
 from __future__ import annotations
@@ -179,6 +179,17 @@ def repeated_pieces(docs: DataFrame, unit: Callable[[], Unit], id_col: str, text
         pack, f"id {id_type}, _row long, mark long, digest binary, start long, n long, piece binary, text binary"))
 
 
+def lost_spans(rows: DataFrame, spans: DataFrame) -> DataFrame:
+    """(id, _row, text, starts, ends): the texts of ``repeated_pieces`` with the spans (id, _row, a, b) they lose, not merged.
+
+    A repeated row comes once for each time it is repeated.
+    """
+    texts = rows.where(F.col("mark").isNull()).select("id", "_row", "text")
+    listed = spans.groupBy("id", "_row").agg(F.collect_set(F.struct("a", "b")).alias("_spans"))
+    return texts.join(listed, same(texts, listed, "id", "_row")).select(
+        texts["id"], texts["_row"], "text", F.col("_spans.a").alias("starts"), F.col("_spans.b").alias("ends"))
+
+
 def in_chunks(tables: Iterator[pa.Table], column: str, limit: int) -> Iterator[pa.Table]:
     """Whole groups put together until ``column`` holds about ``limit`` bytes."""
     held, size = [], 0

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shiftgrid.llm.common import flat_runs, groups, map_rows, row_key, same
-from shiftgrid.llm.minimisers import Unit, flat_windows, gram_hashes, in_chunks, mixed, repeated_pieces
+from shiftgrid.llm.minimisers import Unit, flat_windows, gram_hashes, in_chunks, lost_spans, mixed, repeated_pieces
 
 REMEMBERED = 400_000
 
@@ -84,43 +84,48 @@ def smallest(pieces: list[bytes], owner: np.ndarray, window: int) -> list[tuple[
 
 
 def removed_spans(docs: DataFrame, id_col: str = "doc_id", text: str = "text", window: int = 50, k: int = 8,
-                  unpack_from: int = 50_000, chunk_bytes: int = 6 << 20) -> DataFrame:
+                  unpack_from: int = 20_000, chunk_bytes: int = 6 << 20) -> DataFrame:
     """(id, _row, text, starts, ends) for documents that lose words: spans of words, end exclusive, not merged."""
     none = F.count(F.when(F.col("id").isNull(), 1)) > 0
     repeated = (F.min("id") < F.max("id")) | (none & F.min("id").isNotNull())
     rows = repeated_pieces(docs, lambda: Words(window, k), id_col, text, F.coalesce(repeated, F.lit(False)), unpack_from)
     found = rows.where(F.col("mark").isNotNull())
-    distinct = found.groupBy("mark", "digest").agg(F.min("id").alias("least"), F.first("piece").alias("piece")).where(
-        F.col("least").isNotNull())
     id_type = rows.schema["id"].dataType.simpleString()
 
     def sort(batches):
         for t in in_chunks(groups(batches, 1), "piece", chunk_bytes):
-            owners, owner = np.unique(np.array(t.column("least").to_pylist()), return_inverse=True)
-            out = smallest(t.column("piece").to_pylist(), owner, window)
-            at = pa.array([o[0] for o in out], pa.int64())
+            known = [i for i in t.column("id").to_pylist() if i is not None]
+            if not known:
+                continue
+            owners, owner = np.unique(np.array(known), return_inverse=True)
+            rank = np.full(t.num_rows, owners.size)  # a null id is larger than any
+            rank[t.column("id").is_valid().to_numpy()] = owner
+            # copies of a string are sorted once, for the smallest document that holds it
+            of: dict[bytes, int] = {}
+            piece = np.fromiter((of.setdefault(d, len(of)) for d in t.column("digest").to_pylist()), np.int64, t.num_rows)
+            first = np.unique(piece, return_index=True)[1]
+            least = np.full(len(of), owners.size)
+            np.minimum.at(least, piece, rank)
+            out = np.array(smallest(t.column("piece").take(pa.array(first)).to_pylist(), least, window), np.int64)
+            # every string meets the ranges of its text
+            begin = np.searchsorted(out[:, 0], np.arange(len(of) + 1))
+            n = (begin[1:] - begin[:-1])[piece]
+            row = np.repeat(np.arange(t.num_rows), n)
+            at = begin[piece][row] + np.arange(row.size) - np.repeat(np.cumsum(n) - n, n)
+            lost = out[at, 3] < rank[row]
+            row, at = row[lost], at[lost]
+            take, start = pa.array(row), t.column("start").to_numpy()
             yield pa.RecordBatch.from_arrays([
-                t.column("mark").combine_chunks().take(at), t.column("digest").combine_chunks().take(at),
-                pa.array([o[1] for o in out], pa.int64()), pa.array([o[2] for o in out], pa.int64()),
-                pa.array(owners[[o[3] for o in out]].tolist(), t.schema.field("least").type)],
-                names=["mark", "digest", "from", "to", "least"])
-
-    schema = f"mark long, digest binary, from long, to long, least {id_type}"
-    packed = distinct.where(F.col("piece").isNotNull()).select("mark", "digest", "least", "piece").repartition("mark").sortWithinPartitions(
-        "mark").mapInArrow(sort, schema)
-    single = distinct.where(F.col("piece").isNull()).select(
-        "mark", "digest", F.lit(0).cast("long").alias("from"), F.lit(1).cast("long").alias("to"), "least")
-    ranges = packed.unionByName(single)
-    smaller = (F.col("least") < F.col("id")) | F.col("id").isNull()
-    spans = (
-        found.select("id", "_row", "mark", "digest", "start").join(ranges, ["mark", "digest"]).where(smaller)
-        .groupBy("id", "_row").agg(
-            F.collect_set(F.struct(
-                (F.col("start") + F.col("from")).alias("a"), (F.col("start") + F.col("to") + (window - 1)).alias("b"))).alias("_spans"))
-    )
-    texts = rows.where(F.col("mark").isNull()).select("id", "_row", "text").dropDuplicates(["id", "_row"])
-    return texts.join(spans, same(texts, spans, "id", "_row")).select(
-        texts["id"], texts["_row"], "text", F.col("_spans.a").alias("starts"), F.col("_spans.b").alias("ends"))
+                t.column("id").combine_chunks().take(take), t.column("_row").combine_chunks().take(take),
+                pa.array(start[row] + out[at, 1]), pa.array(start[row] + out[at, 2] + (window - 1))], names=["id", "_row", "a", "b"])
+
+    packed = found.where(F.col("piece").isNotNull()).select("mark", "digest", "id", "_row", "start", "piece").repartition(
+        "mark").sortWithinPartitions("mark").mapInArrow(sort, f"id {id_type}, _row long, a long, b long")
+    single = found.where(F.col("piece").isNull()).select("digest", "id", "_row", F.col("start").alias("a"))
+    least = single.groupBy("digest").agg(F.min("id").alias("least"))
+    smaller = (F.col("least") < F.col("id")) | (F.col("id").isNull() & F.col("least").isNotNull())
+    unpacked = single.join(least, "digest").where(smaller).select("id", "_row", "a", (F.col("a") + window).alias("b"))
+    return lost_spans(rows, packed.unionByName(unpacked))
 
 
 RESULT = T.StructType([
@@ -161,7 +166,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", **options
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *arrays], names=["id", "_row", *fields])
 
     schema = T.StructType([lost.schema["id"], lost.schema["_row"], *RESULT.fields])
-    changed = lost.mapInArrow(run, schema)
+    changed = lost.mapInArrow(run, schema).dropDuplicates(["id", "_row"])
     whole = map_rows(docs.select(F.col(id_col).alias("id"), row_key(id_col, text), F.col(text).alias("_t")), ["id", "_row"], "_t", cut_out, RESULT)
     return whole.join(changed, same(whole, changed, "id", "_row"), "left").select(
         whole["id"].alias(id_col), *[F.coalesce(changed[f], whole[f]).alias(f) for f in fields])

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shiftgrid.llm.common import flat_runs, groups, map_rows, row_key, same
-from shiftgrid.llm.minimisers import Unit, flat_windows, gram_hashes, in_chunks, repeated_pieces
+from shiftgrid.llm.minimisers import Unit, flat_windows, gram_hashes, in_chunks, lost_spans, repeated_pieces
 
 WORD = 8  # bytes compared at a time
 
@@ -163,36 +163,40 @@ def repeated_windows(pieces: list[bytes], counts: np.ndarray, window: int) -> li
 
 
 def removed_spans(docs: DataFrame, id_col: str = "doc_id", text: str = "text", window: int = 200, k: int = 24,
-                  unpack_from: int = 50_000, chunk_bytes: int = 4 << 20) -> DataFrame:
-    """(id, _row, text, starts, ends) for documents that lose bytes: spans of bytes, end exclusive, not merged."""
+                  unpack_from: int = 20_000, chunk_bytes: int = 4 << 20) -> DataFrame:
+    """(id, _row, text, starts, ends) for documents that lose bytes: spans of bytes, end exclusive, not merged.
+
+    ``k`` bytes are long enough to be rarely shared by chance, so few documents are read again in vain.
+    """
     if window < WORD:
         raise ValueError(f"windows have {WORD} bytes at least")
     rows = repeated_pieces(docs, lambda: Bytes(window, k), id_col, text, F.sum("n") > 1, unpack_from)
     found = rows.where(F.col("mark").isNotNull())
-    distinct = found.groupBy("mark", "digest").agg(F.count("*").alias("n"), F.first("piece").alias("piece"))
+    id_type = rows.schema["id"].dataType.simpleString()
 
     def sort(batches):
         for t in in_chunks(groups(batches, 1), "piece", chunk_bytes):
-            out = repeated_windows(t.column("piece").to_pylist(), t.column("n").to_numpy(), window)
-            at = pa.array([o[0] for o in out], pa.int64())
+            # copies of a string are sorted once and repeat as a whole
+            of: dict[bytes, int] = {}
+            piece = np.fromiter((of.setdefault(d, len(of)) for d in t.column("digest").to_pylist()), np.int64, t.num_rows)
+            first, counts = np.unique(piece, return_index=True, return_counts=True)[1:]
+            found_ = repeated_windows(t.column("piece").take(pa.array(first)).to_pylist(), counts, window)
+            out = np.array(found_, np.int64).reshape(-1, 3)
+            begin = np.searchsorted(out[:, 0], np.arange(len(of) + 1))
+            n = (begin[1:] - begin[:-1])[piece]
+            row = np.repeat(np.arange(t.num_rows), n)
+            at = begin[piece][row] + np.arange(row.size) - np.repeat(np.cumsum(n) - n, n)
+            take, start = pa.array(row), t.column("start").to_numpy()
             yield pa.RecordBatch.from_arrays([
-                t.column("mark").combine_chunks().take(at), t.column("digest").combine_chunks().take(at),
-                pa.array([o[1] for o in out], pa.int64()), pa.array([o[2] for o in out], pa.int64())],
-                names=["mark", "digest", "from", "to"])
-
-    packed = distinct.where(F.col("piece").isNotNull()).select("mark", "n", "digest", "piece").repartition("mark").sortWithinPartitions(
-        "mark").mapInArrow(sort, "mark long, digest binary, from long, to long")
-    single = distinct.where(F.col("piece").isNull() & (F.col("n") > 1)).select(
-        "mark", "digest", F.lit(0).cast("long").alias("from"), F.lit(1).cast("long").alias("to"))
-    ranges = packed.unionByName(single)
-    spans = (
-        found.select("id", "_row", "mark", "digest", "start").join(ranges, ["mark", "digest"])
-        .groupBy("id", "_row").agg(F.collect_set(F.struct(
-            (F.col("start") + F.col("from")).alias("a"), (F.col("start") + F.col("to") + (window - 1)).alias("b"))).alias("_spans"))
-    )
-    texts = rows.where(F.col("mark").isNull()).select("id", "_row", "text").dropDuplicates(["id", "_row"])
-    return texts.join(spans, same(texts, spans, "id", "_row")).select(
-        texts["id"], texts["_row"], "text", F.col("_spans.a").alias("starts"), F.col("_spans.b").alias("ends"))
+                t.column("id").combine_chunks().take(take), t.column("_row").combine_chunks().take(take),
+                pa.array(start[row] + out[at, 1]), pa.array(start[row] + out[at, 2] + (window - 1))], names=["id", "_row", "a", "b"])
+
+    packed = found.where(F.col("piece").isNotNull()).select("mark", "digest", "id", "_row", "start", "piece").repartition(
+        "mark").sortWithinPartitions("mark").mapInArrow(sort, f"id {id_type}, _row long, a long, b long")
+    single = found.where(F.col("piece").isNull()).select("digest", "id", "_row", F.col("start").alias("a"))
+    twice = single.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1")
+    unpacked = single.join(twice, "digest").select("id", "_row", "a", (F.col("a") + window).alias("b"))
+    return lost_spans(rows, packed.unionByName(unpacked))
 
 
 RESULT = T.StructType([
@@ -233,7 +237,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", **options
             arrays = [pa.array(list(c), k) for c, k in zip(zip(*got, strict=True), kinds, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *arrays], names=["id", "_row", *fields])
 
-    changed = lost.mapInArrow(run, T.StructType([lost.schema["id"], lost.schema["_row"], *RESULT.fields]))
+    changed = lost.mapInArrow(run, T.StructType([lost.schema["id"], lost.schema["_row"], *RESULT.fields])).dropDuplicates(["id", "_row"])
     whole = map_rows(docs.select(F.col(id_col).alias("id"), row_key(id_col, text), F.col(text).alias("_t")), ["id", "_row"], "_t", untouched, RESULT)
     return whole.join(changed, same(whole, changed, "id", "_row"), "left").select(
         whole["id"].alias(id_col), *[F.coalesce(changed[f], whole[f]).alias(f) for f in fields])
