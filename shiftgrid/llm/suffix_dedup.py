@@ -162,7 +162,7 @@ def repeated_windows(pieces: list[bytes], counts: np.ndarray, window: int) -> li
         piece[start].tolist(), within[start].tolist(), within[last].tolist(), hit[start].tolist(), strict=True) if h]
 
 
-def removed_spans(docs: DataFrame, id_col: str = "doc_id", text: str = "text", window: int = 200, k: int = 24,
+def removed_spans(docs: DataFrame, id_col: str = "doc_id", text: str = "text", window: int = 200, k: int = 48,
                   unpack_from: int = 20_000, chunk_bytes: int = 4 << 20) -> DataFrame:
     """(id, _row, text, starts, ends) for documents that lose bytes: spans of bytes, end exclusive, not merged.
 
