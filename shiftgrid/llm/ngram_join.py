@@ -4,7 +4,10 @@ Every distinct set of shingles (five words) is embedded into ``COORDINATES`` min
 down a random tree: at a node, every token is sampled with probability 1 / (SLACK * threshold * tokens), and the set goes to one
 child for each sampled token, so that similar sets meet in children of tokens they share. SLACK is below 1: a pair at the
 threshold then shares more than one sampled token per node on average, and its paths survive at any depth. Buckets that are small are compared by brute
-force; large ones are split further. Runs are repeated until a pair at the threshold is met with the target probability.
+force; large ones are split further, with more sampled tokens per node, and buckets still large at ``DEEPEST`` are verified whole.
+Runs are repeated until a pair at the threshold is met with the target probability at the depth its buckets are split to: sets
+that were in a large bucket get more runs than the others. The probability is averaged over the spread of the tokens that the
+sketches of such a pair share.
 
 What the buckets find are candidates by sketch. Connected candidates form loose clusters, and inside them every pair of sets is
 verified with its exact Jaccard similarity, in blocks, so that links are counted without a row per pair. Equal sets are one class
@@ -35,8 +38,9 @@ from shiftgrid.session import cut
 SHINGLE = 5
 COORDINATES = 64
 FIRST_DEPTH = 2
-DEEPEST = 14
+DEEPEST = 8
 SLACK = 0.875
+SPLIT_SLACK = 0.7  # below FIRST_DEPTH, where pairs that share few tokens by chance would die out
 NODE_LIMIT = 2_000  # larger buckets are split further
 BLOCK = 96  # members of a loose cluster that are verified against as many others in one task group
 
@@ -49,9 +53,38 @@ def survival(depth: int, offspring: float = 1 / SLACK) -> float:
     return q
 
 
-def runs_for(recall: float, depth: int = FIRST_DEPTH) -> int:
-    """Runs after which a pair at the threshold has met in some bucket with probability ``recall``."""
-    return max(1, math.ceil(math.log(1 - recall) / math.log(1 - survival(depth))))
+def shared_tokens(threshold: float) -> np.ndarray:
+    """Probability of each number of equal tokens in the sketches of a pair at ``threshold``."""
+    k = np.arange(COORDINATES + 1)
+    ways = np.array([math.comb(COORDINATES, i) for i in k.tolist()], np.float64)
+    return ways * threshold ** k * (1 - threshold) ** (COORDINATES - k)
+
+
+def least_equal(recall: float, threshold: float = 0.8) -> int:
+    """Equal tokens asked of a candidate: a pair at the threshold has fewer with an eighth of the allowed misses at most."""
+    return int(np.searchsorted(np.cumsum(shared_tokens(threshold)), (1 - recall) / 8, side="right"))
+
+
+def missed(runs: int, depth: int, least: int, threshold: float = 0.8) -> float:
+    """Probability that a pair at the threshold is no candidate after ``runs`` runs whose buckets are split to ``depth``."""
+    k = np.arange(COORDINATES + 1)
+    q = np.ones(k.size)
+    for level in range(depth, 0, -1):
+        q = 1 - (1 - q * sampling(level, threshold)) ** k
+    return float((shared_tokens(threshold) * np.where(k < least, 1.0, (1 - q) ** runs)).sum())
+
+
+def runs_for(recall: float, depth: int = FIRST_DEPTH, threshold: float = 0.8) -> int:
+    """Runs after which a pair at the threshold has met in some bucket at ``depth`` or before with probability ``recall``."""
+    least, runs = least_equal(recall, threshold), 1
+    while missed(runs, depth, least, threshold) > 1 - recall:
+        runs += 1
+    return runs
+
+
+def sampling(level: int, threshold: float) -> float:
+    """Probability that a token is sampled on the way to ``level`` of the tree."""
+    return min(1.0, 1 / ((SLACK if level <= FIRST_DEPTH else SPLIT_SLACK) * threshold * COORDINATES))
 
 
 def shingles(words: Words, text: bytes | None) -> np.ndarray:
@@ -76,9 +109,9 @@ def minhash(hashes: np.ndarray, odd: np.ndarray) -> np.ndarray:
     return (best >> np.uint64(32)).astype(np.uint32)
 
 
-def children(owner: np.ndarray, path: np.ndarray, sketches: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Next level of the tree: for each (set, node) the sampled tokens' children, as (set, node)."""
-    limit = np.uint64(int((1 / (SLACK * threshold * COORDINATES)) * (1 << 63)) * 2)
+def children(owner: np.ndarray, path: np.ndarray, sketches: np.ndarray, rate: float) -> tuple[np.ndarray, np.ndarray]:
+    """Next level of the tree: for each (set, node) the children of tokens sampled at ``rate``, as (set, node)."""
+    limit = np.uint64(min(int(rate * (1 << 63)) * 2, (1 << 64) - 1))
     places = mixed(np.arange(1, COORDINATES + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
     out_owner, out_path = [], []
     for a in range(0, owner.size, 8192):
@@ -131,42 +164,41 @@ def as_matrix(column: pa.ChunkedArray | pa.Array, width: int, kind: str) -> np.n
     return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(-1, width)
 
 
-def first_nodes(classes: DataFrame, runs: int, threshold: float) -> DataFrame:
-    """(node, set) for the nodes of every run at FIRST_DEPTH."""
+def first_nodes(classes: DataFrame, begin_run: int, runs: int, threshold: float) -> DataFrame:
+    """(node, set) for the nodes at FIRST_DEPTH of every run from ``begin_run`` to before ``runs``."""
+    numbers = range(begin_run + 1, runs + 1)
     def run(batches):
         for batch in batches:
             for begin in range(0, batch.num_rows, 512):
                 part = batch.slice(begin, 512)
                 sketches = as_matrix(part.column(1), COORDINATES, "<u4")
-                owner = np.tile(np.arange(part.num_rows), runs)
-                path = np.repeat(mixed(np.arange(1, runs + 1, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F)), part.num_rows)
-                for _ in range(FIRST_DEPTH):
-                    owner, path = children(owner, path, sketches, threshold)
+                owner = np.tile(np.arange(part.num_rows), len(numbers))
+                path = np.repeat(mixed(np.array(numbers, np.uint64) * np.uint64(0xA0761D6478BD642F)), part.num_rows)
+                for level in range(1, FIRST_DEPTH + 1):
+                    owner, path = children(owner, path, sketches, sampling(level, threshold))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(path.view(np.int64)), part.column(0).take(pa.array(owner))], names=["node", "set"])
 
     return classes.select("set", "sketch").mapInArrow(run, "node long, set binary")
 
 
-def split_nodes(heavy: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
-    """Children of the nodes of large buckets."""
+def split_nodes(heavy: DataFrame, classes: DataFrame, level: int, threshold: float) -> DataFrame:
+    """Children at ``level`` of the nodes of large buckets."""
     def run(batches):
         for batch in batches:
             if not batch.num_rows:
                 continue
             sketches = as_matrix(batch.column(2), COORDINATES, "<u4")
             path = batch.column(0).to_numpy().view(np.uint64)
-            owner, path = children(np.arange(batch.num_rows), path, sketches, threshold)
+            owner, path = children(np.arange(batch.num_rows), path, sketches, sampling(level, threshold))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(path.view(np.int64)), batch.column(1).take(pa.array(owner))], names=["node", "set"])
 
     return heavy.join(classes, "set").select("node", "set", "sketch").mapInArrow(run, "node long, set binary")
 
 
-def in_buckets(small: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
+def in_buckets(small: DataFrame, classes: DataFrame, least: int) -> DataFrame:
     """(a, b): members of a bucket and the smallest member their sketches connect them to, by brute force in each bucket."""
-    least = math.floor(COORDINATES * (threshold - 4.5 * math.sqrt(threshold * (1 - threshold) / COORDINATES)))
-
     def compare(tables):
         node = np.concatenate([t.column(0).to_numpy() for t in tables])
         keys = pa.concat_arrays([c for t in tables for c in t.column(1).chunks])
@@ -230,22 +262,35 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def loose_clusters(classes: DataFrame, threshold: float, recall: float, node_limit: int) -> DataFrame:
-    """(node, label): classes that the candidates of all runs connect."""
-    rows = first_nodes(classes, runs_for(recall), threshold)
+    """(node, label): classes that the candidates of all runs connect.
+
+    A pair is missed only if it does not meet at FIRST_DEPTH in the first runs, or if both sets were in large buckets there and
+    it does not meet at DEEPEST in all runs; each of the two may use up half of the allowed misses.
+    """
+    half = (1 + recall) / 2
+    least = least_equal(half, threshold)
     edges = []
-    for depth in range(FIRST_DEPTH, DEEPEST + 1):
-        counts = rows.groupBy("node").count().where("count > 1")
-        met = cut(rows.join(counts, "node").select("node", "set", (F.col("count") > node_limit).alias("heavy")))
-        edges.append(in_buckets(met.where(~F.col("heavy")).select("node", "set"), classes, threshold))
-        heavy = met.where("heavy").select("node", "set")
-        if heavy.isEmpty():
+    begin, who = 0, classes
+    for runs in (runs_for(half, FIRST_DEPTH, threshold), runs_for(half, DEEPEST, threshold)):
+        rows, large = first_nodes(who, begin, runs, threshold), None
+        for depth in range(FIRST_DEPTH, DEEPEST + 1):
+            counts = rows.groupBy("node").count().where("count > 1")
+            met = cut(rows.join(counts, "node").select("node", "set", (F.col("count") > node_limit).alias("heavy")))
+            edges.append(in_buckets(met.where(~F.col("heavy")).select("node", "set"), classes, least))
+            heavy = met.where("heavy").select("node", "set")
+            if heavy.isEmpty():
+                break
+            if depth == FIRST_DEPTH:
+                large = heavy.select("set").distinct()
+            if depth == DEEPEST:
+                # so many shared tokens: mostly near sets; all of a bucket are one loose cluster, verified like the others
+                lowest = heavy.groupBy("node").agg(F.min("set").alias("a"))
+                edges.append(heavy.join(lowest, "node").where(F.col("a") != F.col("set")).select("a", F.col("set").alias("b")))
+            else:
+                rows = split_nodes(heavy, classes, depth + 1, threshold)
+        if large is None:
             break
-        if depth == DEEPEST:
-            # so many shared tokens: nearly equal sets; all of a bucket are one loose cluster, verified like the others
-            least = heavy.groupBy("node").agg(F.min("set").alias("a"))
-            edges.append(heavy.join(least, "node").where(F.col("a") != F.col("set")).select("a", F.col("set").alias("b")))
-        else:
-            rows = split_nodes(heavy, classes, threshold)
+        begin, who = runs, cut(classes.join(large, "set", "left_semi"))
     union = edges[0]
     for e in edges[1:]:
         union = union.union(e)

@@ -186,6 +186,28 @@ def test_runs_reach_the_target_recall():
     assert 1 - (1 - q) ** ngram_join.runs_for(0.999) >= 0.999
 
 
+def test_pairs_at_the_threshold_meet_in_deep_buckets(spark):
+    """Every bucket counts as large, so all pairs go down to the last level."""
+    rng = random.Random(21)
+    rows = []
+    for i in range(1_200):
+        n = rng.randint(100, 140)
+        words = [f"p{i}x{k}" for k in range(n + 4)]  # n shingles; m changed ones at the end leave J = (n - m) / (n + m) >= 0.8
+        m = n // 9 - rng.randint(0, 2)
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(words[:-m] + [f"q{i}x{k}" for k in range(m)]))]
+    got = ngram_join.join(spark.createDataFrame(rows, "doc_id long, text string"), node_limit=1).select("doc_id", "class_id", "n_links").collect()
+    assert len(got) == len(rows)
+    lost = [tuple(r) for r in got if (r["class_id"], r["n_links"]) != (r["doc_id"] // 2 * 2, 1)]
+    assert not lost
+
+
+def test_misses_stay_below_the_target_at_every_depth():
+    half = 1 - 5e-7
+    least = ngram_join.least_equal(half)
+    for depth in (ngram_join.FIRST_DEPTH, ngram_join.DEEPEST):
+        assert ngram_join.missed(ngram_join.runs_for(half, depth), depth, least) <= 5e-7
+
+
 def test_verification_is_exact_in_both_forms():
     from fractions import Fraction
 
