@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shiftgrid.llm.common import flat_runs, map_rows, need
+from shiftgrid.session import cut
 
 WINDOW = 13
 SAMPLED = 8
@@ -211,25 +212,28 @@ def find(docs: DataFrame, benchmark: DataFrame, keep: list[str], text: str = "te
     """``keep``, n_words, starts and ends (words, end exclusive) of the merged hit spans, and the items found (as strings).
 
     Blocks of about ``block_bytes`` of benchmark text, dealt by a hash of the item, are searched one after the other. With more
-    than one block the results are merged per document, for which ``keep`` must be one column that tells rows apart.
+    than one block each block's result is written before the next block is read, and the results are merged per row: rows that
+    agree in ``keep`` but not in the text stay apart.
     """
     need(benchmark, item, item_text)
     known = benchmark.select(F.col(item).alias("_item"), F.col(item_text).cast("binary").alias("_text")).where(
         F.col("_text").isNotNull())
     total = known.agg(F.sum(F.length("_text"))).first()[0] or 0
     blocks = -(-int(total) // block_bytes) or 1
-    found = []
-    for k in range(blocks):
+
+    def block(k: int) -> Phrases:
         rows = known.where(F.pmod(F.xxhash64("_item", "_text"), F.lit(blocks)) == k).distinct().collect()
-        found.append(search(docs, Phrases([(r["_item"], bytes(r["_text"])) for r in rows], window), keep, text, shard_bytes))
+        return Phrases([(r["_item"], bytes(r["_text"])) for r in rows], window)
+
     if blocks == 1:
-        return found[0]
-    if len(keep) != 1:
-        raise ValueError("several blocks are merged by one key column")
-    union = found[0]
-    for f in found[1:]:
-        union = union.unionByName(f)
-    merged = union.groupBy(*keep).agg(  # as many rows per document as there are blocks
+        return search(docs, block(0), keep, text, shard_bytes)
+    need(docs, text, *keep)
+    packed = docs.select(F.struct(*keep).alias("_keep"), F.xxhash64(text).alias("_mark"), F.col(text).alias("_text"))
+    union = None
+    for k in range(blocks):
+        found = cut(search(packed, block(k), ["_keep", "_mark"], "_text", shard_bytes))
+        union = found if union is None else union.unionByName(found)
+    merged = union.groupBy("_keep", "_mark").agg(  # as many rows per document as there are blocks
         F.max("n_words").alias("n_words"), F.flatten(F.collect_list(F.arrays_zip("starts", "ends"))).alias("_spans"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
         (F.count("*") / blocks).cast("int").alias("_copies"))  # repeated rows stay repeated
@@ -241,7 +245,7 @@ def find(docs: DataFrame, benchmark: DataFrame, keep: list[str], text: str = "te
                 F.element_at(acc, -1)["starts"].alias("starts"), F.greatest(F.element_at(acc, -1)["ends"], s["ends"]).alias("ends")))),
         ).otherwise(F.concat(acc, F.array(F.struct(s["starts"].alias("starts"), s["ends"].alias("ends"))))))
     return merged.withColumn("_spans", spans).withColumn("_copy", F.explode(F.sequence(F.lit(1), "_copies"))).select(
-        *keep, "n_words", F.col("_spans.starts").alias("starts"), F.col("_spans.ends").alias("ends"), "items")
+        "_keep.*", "n_words", F.col("_spans.starts").alias("starts"), F.col("_spans.ends").alias("ends"), "items")
 
 
 def n_hit() -> Column:

@@ -161,6 +161,16 @@ def test_decontamination(docs, texts, spark, block_bytes):
         assert Counter((r["doc_id"], r["n_words"], r["n_hit"], tuple(sorted(r["items"]))) for r in rows) == brute_hits(texts, items)
 
 
+def test_blocks_judge_rows_of_one_id_by_themselves(docs, texts, spark):
+    items = [(1, " ".join(texts[10][1].split()[20:])[:200]), (2, texts[0][1][300:420]), (3, "another text under one id"), (4, "é日本")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    want = brute_hits(texts, items)
+    for block_bytes in (1 << 20, 100):
+        found = decontaminate.find(docs, bench, ["doc_id"], block_bytes=block_bytes).withColumn("n_hit", decontaminate.n_hit())
+        assert found.columns == ["doc_id", "n_words", "starts", "ends", "items", "n_hit"]
+        assert Counter((r["doc_id"], r["n_words"], r["n_hit"], tuple(sorted(r["items"]))) for r in found.collect()) == want
+
+
 def test_index_finds_every_occurrence():
     rng = np.random.default_rng(1)
     text = rng.integers(1, 4, 400)
