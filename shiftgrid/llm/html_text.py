@@ -3,7 +3,8 @@
 A page becomes a sequence of words and tags. Words score positive and tags negative, with weights learned from pages that label
 their own content (an ``article`` or ``main`` element): the log odds of a token class inside against outside the labelled part.
 One linear scan finds the contiguous region of the largest sum; what stands in it in named side elements (adverts, forms,
-comments and the like) is left out, and the rest is joined block by block.
+comments and the like) is left out, and the rest is joined block by block. The page itself, its labelled content and what stands
+around that are never side elements.
 
 Null, empty and tag-only pages give an empty text. Unclosed and unmatched tags are tolerated; a page without any labelled part
 is scored like the others. Without labelled pages the prior weights hold. Ties go to the first region. Repeated rows are
@@ -36,11 +37,19 @@ INLINE = frozenset(
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SIDE = frozenset("nav footer aside form button select dialog menu head object audio video canvas".split())
 CONTENT = frozenset(("article", "main"))
-SIDE_NAME = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|advertising|banner|sponsor(?:ed)?|promo|nav|navbar|navigation|menu|breadcrumbs?|"
-    r"sidebar|side|header|masthead|footer|cookies?|consent|gdpr|notice|popup|modal|overlay|comments?|commentlist|respond|reply|replies|"
-    r"disqus|related|recommended|share|sharing|social|newsletter|subscribe|signup|login|pagination|pager|widget|toolbar|"
-    r"copyright|legal|hidden|tags|meta|byline)(?:$|[\s_-])", re.I)
+# A class, id or role is a side name when all its parts are of these words, one of SIDE_WORDS among them.
+SIDE_WORDS = frozenset(
+    "ad ads advert adverts advertisement advertising banner sponsor sponsored promo nav navbar navigation menu breadcrumb breadcrumbs "
+    "sidebar side header masthead footer cookie cookies consent gdpr notice popup modal overlay comment comments commentlist respond "
+    "reply replies disqus related recommended share sharing social newsletter subscribe signup login pagination pager widget toolbar "
+    "copyright legal hidden tags meta byline".split())
+AROUND = frozenset(
+    "site main global top bottom left right primary secondary list box container wrapper wrap area section block bar slot unit links "
+    "buttons icons form dialog posts articles stories items widgets".split())
+HEADERS = frozenset(("header", "masthead"))  # inside content these hold its heading
+# Never side elements by their name or kind: they are the page or its content.
+WHOLE = frozenset(("html", "body", "main", "article"))
+PARTS = frozenset(("h1", "nav", "header", "footer", "aside"))
 # Weights before any page is seen.
 WORD_PRIOR, TAG_PRIOR = 1.0, -0.2
 # A piece of text in a side element, whatever its length: it is left out of the result, so it need not end the region.
@@ -48,8 +57,18 @@ SIDE_TEXT = -0.3
 LEAST_WORD, LEAST_TAG, MOST_TAG = 0.25, -1.0, -0.1
 
 
+def is_side_name(names: str, inside: bool) -> bool:
+    """One of the listed names is a side name; header-like names inside content are none."""
+    for token in names.split():
+        parts = [p for p in re.split(r"[_-]+", token) if p]
+        side = [p for p in parts if p in SIDE_WORDS]
+        if side and all(p in SIDE_WORDS or p in AROUND for p in parts) and not (inside and HEADERS.issuperset(side)):
+            return True
+    return False
+
+
 class Element:
-    __slots__ = ("name", "key", "side", "content")
+    __slots__ = ("name", "key", "parent", "own_side", "side", "content", "label")
 
     def __init__(self, name: str, attrs: str, parent: Element | None):
         names = ""
@@ -60,13 +79,36 @@ class Element:
             hidden = (re.search(r"(?:^|\s)hidden(?:\s|$|=)", attrs, re.I) is not None
                       or "display:none" in found.get("style", "").replace(" ", "") or found.get("aria-hidden") == "true")
         inside = parent is not None and parent.content
-        own_side = name in SIDE or hidden or SIDE_NAME.search(names) is not None or (name == "header" and not inside)
         self.name = name
+        self.parent = parent
+        self.label = name in CONTENT and not inside and not hidden  # outermost content element
         self.content = inside or name in CONTENT
-        self.side = own_side or (parent is not None and parent.side)
+        self.own_side = name not in ("html", "body") and (hidden or name not in WHOLE and (
+            name in SIDE or is_side_name(names, inside) or (name == "header" and not inside)))
+        self.side = self.own_side or (parent is not None and parent.side)
         self.key = f"{name}.{names.split()[0]}" if names else name
 
 
+def lift(elements: list[Element]) -> None:
+    """Elements around the labelled content are no side elements, when no other content is labelled outside side elements.
+
+    The labelled content is a ``main`` or a page's only ``article``; several articles in a side element are teasers or comments,
+    unless the element is a form around them. Without a label, a form is around the page when it holds the page's heading or parts.
+    """
+    labels = [e for e in elements if e.label]
+    if not all(e.side for e in labels):
+        return
+    lifted = set()
+    for e in labels or [e for e in elements if e.name in PARTS]:
+        above = e.parent
+        while above is not None:
+            if above.name == "form" or labels and (e.name == "main" or len(labels) == 1):
+                lifted.add(id(above))
+            above = above.parent
+    for e in elements:  # parents come first
+        e.side = (e.own_side and id(e) not in lifted) or (e.parent is not None and e.parent.side)
+
+
 ROOT = Element("html", "", None)
 # An opening block ends an open element of these kinds.
 ENDS = {"p": ("p",), "li": ("li", "p"), "dt": ("dt", "dd", "p"), "dd": ("dt", "dd", "p"), "tr": ("tr", "td", "th", "p"),
@@ -75,8 +117,16 @@ CLOSES_P = frozenset("address article aside blockquote center div dl fieldset fo
                      "pre section table ul".split())
 
 
-def tokens(page: str) -> Iterator[tuple[str, str, Element, str]]:
+def tokens(page: str) -> list[tuple[str, str, Element, str]]:
     """(kind, class, innermost block element, text) in page order; kind is w (words), i (inline tag) or b (block tag)."""
+    elements: list[Element] = []
+    found = list(scan(page, elements))
+    lift(elements)
+    return found
+
+
+def scan(page: str, elements: list[Element]) -> Iterator[tuple[str, str, Element, str]]:
+    """The tokens before elements around the labelled content are known; ``elements`` takes all elements in page order."""
     stack: list[Element] = [ROOT]
     opened: dict[str, int] = {}  # how many elements of a name are open
     links = 0
@@ -109,6 +159,7 @@ def tokens(page: str) -> Iterator[tuple[str, str, Element, str]]:
                 opened[stack.pop().name] -= 1
             if name not in VOID and not m["attrs"].rstrip().endswith("/"):
                 stack.append(Element(name, m["attrs"], stack[-1]))
+                elements.append(stack[-1])
                 opened[name] = opened.get(name, 0) + 1
         yield ("b", f"b:{'/' if closing else ''}{name}", stack[-1], "")
     if at < len(page):
@@ -157,7 +208,7 @@ class Weights:
 
 def main_text(page: str, weights: Weights) -> str:
     """Text of the best region."""
-    found = list(tokens(page))
+    found = tokens(page)
     best, best_from, best_to = 0.0, 0, 0
     total, begin = 0.0, 0
     for k, (kind, name, element, text) in enumerate(found):

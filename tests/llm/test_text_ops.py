@@ -249,6 +249,36 @@ def test_main_text(spark):
     assert html_text.extract(pages.limit(0), html_text.fit(pages.limit(0)), ["page_id"]).count() == 0
 
 
+@pytest.mark.parametrize("change", [
+    ("<html>", '<html class="nav-open">'), ("</head>", '</head><body class="has-sidebar">'), ("<article>", '<article class="post comments">'),
+    ("<article>", '<div class="post has-comments"><article>'), ("<article>", '<div class="sidebar-left"><article>'),
+    ("<article>", '<form action="/x"><article>'), ("<article>", '<form><main class="sidebar"><article>'),
+    ("<h1>The title &mdash; it</h1>", '<div class="entry-header"><h1>The title &mdash; it</h1></div>'),
+    ("<h1>The title &mdash; it</h1>", '<header class="article-header"><h1>The title &mdash; it</h1></header>'),
+    ("<h1>The title &mdash; it</h1>", '<div class="header"><h1>The title &mdash; it</h1></div>')])
+def test_names_around_content_keep_it(change):
+    page = PAGE.replace(*change)
+    assert page != PAGE
+    closed = [x for x in ("main", "form", "div") if f"<{x}" in change[1] and f"</{x}>" not in change[1]]
+    page = page.replace("</article>", "</article>" + "".join(f"</{x}>" for x in closed))
+    weights = html_text.Weights(html_text.class_counts(PAGE))
+    assert html_text.main_text(page, weights) == "The title — it\nFirst block of words & more.\nSecond one.\nThird."
+    assert html_text.class_counts(page)
+
+
+def test_form_around_a_page_without_label():
+    text = "<h1>The title</h1><p>First block of words.</p>"
+    assert html_text.main_text(f"<body><form><nav>Home</nav>{text}</form></body>", html_text.Weights({})) == "The title\nFirst block of words."
+    assert html_text.main_text(f"<body>{text}<form><p>Your name please</p></form></body>", html_text.Weights({})) == "The title\nFirst block of words."
+
+
+def test_articles_in_side_elements_stay_out():
+    comments = '<ol class="comment-list">' + "<article><p>A reader said a thing.</p></article>" * 3 + "</ol>"
+    assert html_text.main_text(f"<div><p>The text of the page.</p></div>{comments}", html_text.Weights({})) == "The text of the page."
+    page = PAGE.replace("<aside>", "<aside><article>").replace("</aside>", "</article></aside>")
+    assert "Side words" not in html_text.main_text(page, html_text.Weights({}))
+
+
 # ---- toxicity and language
 def test_noisy_or_learns_from_documents_only(spark):
     rng = random.Random(3)
