@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shiftgrid.llm import decontaminate, html_text, language_id, ngram_join, piece_bpe, quality_rules, secrets, substring_dedup, suffix_dedup, toxicity
+from shiftgrid.llm import (
+    decontaminate, html_text, language_id, merkle, ngram_join, piece_bpe, quality_rules, secrets, substring_dedup, suffix_dedup, toxicity, word_bpe,
+)
 from shiftgrid.llm.common import held_out
 
 Run = Callable[[SparkSession, str], DataFrame]
@@ -101,3 +103,31 @@ def op9_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
 @query("op8_suffix_dedup")
 def op8_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return suffix_dedup.dedup(table(spark, folder, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+def word_model() -> str:
+    """The public word-end BPE vocabulary of the contract."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+@query("op11_word_bpe")
+def op11_word_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    return word_bpe.encoded(table(spark, folder, "documents"), ["doc_id"], word_model(), ids=False)
+
+
+LOWER = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+@query("op12_merkle_manifest")
+def op12_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    row = {c: F.col(c) for c in ("doc_id", "source", "lang", "n_chars", "text")}
+    changed = merkle.leaf_of(*(row | {"text": F.translate("text", *LOWER)}).values())
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 3 == 0, changed)
+    proofs = merkle.manifest(docs, "lang", "doc_id", merkle.leaf_of(*row.values()), {"tampered": tampered})
+    refolded = proofs.withColumn("folded_root", merkle.folded(F.coalesce("tampered", "leaf"), F.col("path")))
+    return refolded.select(
+        "doc_id", "leaf", "subroot", "root", merkle.digest(merkle.siblings(F.col("path"))).alias("proof_sha256"), "folded_root",
+        (F.col("folded_root") == F.col("root")).alias("verified"))
