@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from shiftgrid.llm import (
-    decontaminate, html_text, language_id, merkle, ngram_join, piece_bpe, quality_rules, secrets, substring_dedup, suffix_dedup, toxicity, word_bpe,
+    centroids, decontaminate, html_text, language_id, merkle, ngram_join, oracles, piece_bpe, quality_rules, secrets, substring_dedup,
+    suffix_dedup, toxicity, word_bpe,
 )
 from shiftgrid.llm.common import held_out
 
@@ -117,17 +118,25 @@ def op11_word_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return word_bpe.encoded(table(spark, folder, "documents"), ["doc_id"], word_model(), ids=False)
 
 
-LOWER = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-
-
-@query("op12_merkle_manifest")
+@query("op12_merkle_manifest", sql=oracles.merkle())
 def op12_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     row = {c: F.col(c) for c in ("doc_id", "source", "lang", "n_chars", "text")}
-    changed = merkle.leaf_of(*(row | {"text": F.translate("text", *LOWER)}).values())
+    changed = merkle.leaf_of(*(row | {"text": F.translate("text", *oracles.LOWER)}).values())
     tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 3 == 0, changed)
     proofs = merkle.manifest(docs, "lang", "doc_id", merkle.leaf_of(*row.values()), {"tampered": tampered})
     refolded = proofs.withColumn("folded_root", merkle.folded(F.coalesce("tampered", "leaf"), F.col("path")))
     return refolded.select(
         "doc_id", "leaf", "subroot", "root", merkle.digest(merkle.siblings(F.col("path"))).alias("proof_sha256"), "folded_root",
         (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+@query("op13_centroids", sql=oracles.lloyd())
+def op13_centroids(spark: SparkSession, folder: str) -> DataFrame:
+    members, clusters = centroids.cluster(table(spark, folder, "embeddings"))
+    every = Window.partitionBy(F.lit(0))  # k rows
+    named = clusters.select(
+        "cluster", F.col("inertia").alias("cluster_inertia"), F.sum("inertia").over(every).alias("inertia"),
+        F.sha2(F.array_join(F.col("centroid").cast("array<string>"), ",").cast("binary"), 256).alias("centroid_sha256"))
+    return members.join(F.broadcast(named), "cluster").select(
+        "vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
