@@ -7,8 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shiftgrid.operators.ordered import SLICE, attach, order_once, running
+from shiftgrid.operators.ordered import SLICE, attach, borders, order_once, running, with_slices
 from shiftgrid.operators.ranks import percentiles, tie_totals
+from shiftgrid.session import slices
 
 BIN = "_bin"
 
@@ -30,25 +31,6 @@ def merge_intervals(df: DataFrame, by: Sequence[str] = ("chrom",), gap: int = 0)
     ).drop("_island")
 
 
-def bin_width(df: DataFrame, most_bins: int = 10_000) -> int:
-    """A bin about as wide as the wider intervals, so that most fall into one or two bins (one small aggregate job).
-
-    The widest interval still falls into at most ``most_bins`` bins.
-    """
-    w = F.col("end") - F.col("start")
-    row = df.agg(F.percentile_approx(w, F.lit(0.9), F.lit(100)).alias("w"), F.max(w).alias("m")).first()
-    return max(1, int(row["w"] or 1), int(row["m"] or 1) // most_bins)
-
-
-def _bins(start: Column, end: Column, width: int) -> Column:
-    last = F.greatest(start, end - F.lit(1))
-    return F.sequence(F.floor(start / F.lit(width)), F.floor(last / F.lit(width)))
-
-
-def binned(df: DataFrame, width: int) -> DataFrame:
-    return df.select("*", F.explode(_bins(F.col("start"), F.col("end"), width)).alias(BIN))
-
-
 def reach_of(regions: DataFrame, truth: DataFrame, by: Sequence[str], cases: dict[str, Column]) -> DataFrame:
     """Distinct regions with, per case, the largest end among the truth intervals that start before the region ends.
 
@@ -93,27 +75,52 @@ def overlap_sets(
     return found.select(*by, "start", "end", F.explode(listed).alias(set_name))
 
 
-def overlap_pairs(
-    a: DataFrame, b: DataFrame, by: Sequence[str], keep_a: Sequence[str], keep_b: Sequence[str], width: int
-) -> DataFrame:
-    """All overlapping pairs. Two intervals may share bins; the pair is taken in the bin of the later start only."""
-    left = binned(a, width).select(
-        *by, F.col("start").alias("_as"), F.col("end").alias("_ae"), *[F.col(c) for c in keep_a], BIN
-    )
-    right = binned(b, width).select(
+def level(df: DataFrame) -> Column:
+    """The smallest power of two that is at least as long as the interval, as its exponent."""
+    return F.ceil(F.log2(F.greatest(F.col("end") - F.col("start"), F.lit(1)).cast("double"))).cast("int")
+
+
+def levels(df: DataFrame) -> list[int]:
+    """The levels that occur: at most one for each power of two up to the longest interval."""
+    return sorted(r[0] for r in df.select(level(df)).distinct().collect() if r[0] is not None)
+
+
+def tiered(df: DataFrame, others: Sequence[int], least: int) -> DataFrame:
+    """Bins at the interval's own level and at the higher levels of the other side: one or two per level, whatever the length.
+
+    A pair meets at the level of its longer interval, so no interval is cut into bins that are smaller than itself. ``least`` is
+    the lowest level of the other side: below it, an interval is longer than nothing and keeps no bin of its own.
+    """
+    own = F.col("_level")
+    wanted = F.filter(F.array(*[F.lit(n) for n in others]), lambda n: n > own) if others else F.array().cast("array<int>")
+    at = F.concat(F.when(own >= F.lit(int(least)), F.array(own)).otherwise(F.array().cast("array<int>")), wanted)
+    last = F.greatest(F.col("start"), F.col("end") - F.lit(1))
+    met = df.withColumn("_level", level(df)).select("*", F.explode(at).alias("_at"))
+
+    def bin_of(position: Column) -> Column:
+        return F.call_function("shiftright", position.cast("bigint"), F.col("_at"))
+
+    return met.select("*", F.explode(F.sequence(bin_of(F.col("start")), bin_of(last))).alias(BIN))
+
+
+def overlap_pairs(a: DataFrame, b: DataFrame, by: Sequence[str], keep_a: Sequence[str], keep_b: Sequence[str]) -> DataFrame:
+    """All overlapping pairs, each at the level of the longer interval, in the bin where the later one starts."""
+    in_a, in_b = levels(a), levels(b)
+    left = tiered(a, in_b, min(in_b, default=0)).select(
+        *by, F.col("start").alias("_as"), F.col("end").alias("_ae"), *[F.col(c) for c in keep_a], F.col("_level").alias("_al"), "_at", BIN)
+    right = tiered(b, in_a, min(in_a, default=0)).select(
         *[F.col(c).alias(f"_b_{c}") for c in by], F.col("start").alias("_bs"), F.col("end").alias("_be"),
-        *[F.col(c) for c in keep_b], F.col(BIN).alias("_bb"),
-    )
-    match = (F.col(BIN) == F.col("_bb")) & (F.col("_as") < F.col("_be")) & (F.col("_ae") > F.col("_bs"))
+        *[F.col(c) for c in keep_b], F.col("_level").alias("_bl"), F.col("_at").alias("_bt"), F.col(BIN).alias("_bb"))
+    match = (F.col("_at") == F.col("_bt")) & (F.col(BIN) == F.col("_bb")) & (F.col("_as") < F.col("_be")) & (F.col("_ae") > F.col("_bs"))
     for c in by:
         match = match & (F.col(c) == F.col(f"_b_{c}"))
-    pairs = left.join(right, match & (F.col(BIN) == F.floor(F.greatest("_as", "_bs") / F.lit(width))))
+    first = F.call_function("shiftright", F.greatest("_as", "_bs").cast("bigint"), F.col("_at"))
+    pairs = left.join(right, match & (F.col("_at") == F.greatest("_al", "_bl")) & (F.col(BIN) == first))
     return pairs.select(*by, *keep_a, *keep_b)
 
 
 def count_overlaps(
-    fragments: DataFrame, peaks: DataFrame, cell: str, peak: str, unit: str = "fragment", width: int | None = None,
-    salt: int = 16,
+    fragments: DataFrame, peaks: DataFrame, cell: str, peak: str, unit: str = "fragment", salt: int = 16,
 ) -> DataFrame:
     """Fragments (or their two cut ends) per cell and peak; a cell without any overlap does not appear.
 
@@ -121,7 +128,6 @@ def count_overlaps(
     """
     if unit not in ("fragment", "insertion"):
         raise ValueError(f"unit must be 'fragment' or 'insertion', got {unit!r}")
-    width = width or bin_width(peaks)
     counted = fragments.groupBy("chrom", "start", "end", F.col(cell).alias("_cell")).agg(F.count(F.lit(1)).alias("_n"))
     if unit == "insertion":
         ends = F.array(
@@ -135,22 +141,41 @@ def count_overlaps(
     copies = peaks.select("chrom", "start", "end", F.col(peak).alias("_peak")).select(
         "*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(int(salt) - 1).cast("bigint"))).alias("_salt")
     )
-    pairs = overlap_pairs(salted, copies, ["chrom", "_salt"], ["_cell", "_n"], ["_peak"], width)
+    pairs = overlap_pairs(salted, copies, ["chrom", "_salt"], ["_cell", "_n"], ["_peak"])
     return pairs.groupBy(F.col("_cell").alias(cell), F.col("_peak").alias(peak)).agg(F.sum("_n").alias("n"))
 
 
 def near_join(elements: DataFrame, sites: DataFrame, max_bp: int, element: str, gene: str) -> DataFrame:
-    """Elements whose midpoint lies within ``max_bp`` of a start site on the same chromosome, with the distance."""
+    """Elements whose midpoint lies within ``max_bp`` of a start site on the same chromosome, with the distance.
+
+    A band join over slices of equal counts: both sides are ordered by position (ties by a hash of their name) and cut into slices,
+    so that a crowded place is spread over many of them. A row goes to its own slice, and to every slice of the other side that the
+    band around it (``max_bp`` to both sides) meets; a row is repeated only as often as it finds that many rows of the other side.
+    """
+    n = slices(elements.sparkSession)
     mid = F.floor((F.col("start") + F.col("end")) / F.lit(2))
-    left = elements.select("chrom", F.col(element), mid.alias("_mid"), F.floor(mid / F.lit(max_bp)).alias(BIN))
-    around = F.sequence(
-        F.floor((F.col("tss") - F.lit(max_bp)) / F.lit(max_bp)), F.floor((F.col("tss") + F.lit(max_bp)) / F.lit(max_bp))
-    )
-    right = sites.select(F.col("chrom").alias("_c"), F.col(gene), "tss", F.explode(around).alias("_tb"))
+    left = elements.select("chrom", F.col(element), mid.alias("_pos"), F.xxhash64(element).alias("_tie")).where(F.col("_pos").isNotNull())
+    right = sites.select("chrom", F.col(gene), F.col("tss").cast("bigint").alias("_pos"), F.xxhash64(gene).alias("_tie")).where(F.col("_pos").isNotNull())
+    of_left, of_right = (borders(side, ["chrom"], ["_pos", "_tie"], n) for side in (left, right))
+
+    def place(position: Column, tie: Column) -> Column:
+        return F.struct(F.col("chrom").alias("k0"), position.alias("k1"), tie.alias("k2"))
+
+    def laid(side: DataFrame, own: DataFrame, other: DataFrame) -> DataFrame:
+        here = with_slices(side, own, n, {"_own": place(F.col("_pos"), F.col("_tie"))})
+        reach = {"_from": place(F.col("_pos") - max_bp, F.lit(-(1 << 63)).cast("bigint")), "_to": place(F.col("_pos") + max_bp, F.lit((1 << 63) - 1).cast("bigint"))}
+        return with_slices(here, other, n, reach).select("*", F.explode(F.sequence("_from", "_to")).alias("_other"))
+
+    def number(offset: int = 0) -> Column:
+        return F.floor(F.col("_pos") / F.lit(max_bp)) + F.lit(offset)
+
+    a = laid(left, of_left, of_right).select("chrom", element, F.col("_pos").alias("_mid"), F.col("_own").alias("_sa"), F.col("_other").alias("_sb"), number().alias(BIN))
+    b = laid(right, of_right, of_left).select(
+        F.col("chrom").alias("_c"), gene, F.col("_pos").alias("tss"), F.col("_other").alias("_ta"), F.col("_own").alias("_tb"),
+        F.explode(F.sequence(number(-1), number(1))).alias("_bb"))
     distance = F.abs(F.col("_mid") - F.col("tss"))
-    near = left.join(
-        right, (F.col("chrom") == F.col("_c")) & (F.col(BIN) == F.col("_tb")) & (distance <= F.lit(int(max_bp)))
-    )
+    near = a.join(b, (F.col("chrom") == F.col("_c")) & (F.col("_sa") == F.col("_ta")) & (F.col("_sb") == F.col("_tb"))
+                  & (F.col(BIN) == F.col("_bb")) & (distance <= F.lit(int(max_bp))))
     return near.select("chrom", element, gene, distance.alias("distance"))
 
 

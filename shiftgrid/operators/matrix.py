@@ -6,11 +6,11 @@ import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.ml.clustering import KMeans
+import numpy as np
 from pyspark.ml.feature import PCA, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shiftgrid.operators.filters import GuardError
@@ -218,26 +218,56 @@ def scaled_features(df: DataFrame, features: str, clip: float = 10.0, out: str =
 
 
 def pca(df: DataFrame, features: str, k: int = 30, clip: float = 10.0, out: str = "pcs"):
-    """Scores of the first k principal components, and the explained variance ratios.
+    """Scores of the first k principal components, the explained variance ratios, and the loadings (features x k).
 
     The Gram matrix is summed on the executors; its side is the number of selected features (at most ``top_variable``'s
-    n), never the number of cells. Signs of components are arbitrary.
+    n), never the number of cells. The sign of a component is fixed: its largest loading is positive (the first among equals).
     """
     scaled = scaled_features(df, features, clip)
     model = PCA(k=int(k), inputCol="_scaled", outputCol="_pc").fit(scaled)
+    loadings = model.pc.toArray()
+    largest = np.abs(np.round(loadings, 12)).argmax(axis=0)
+    signs = np.where(loadings[largest, np.arange(loadings.shape[1])] < 0, -1.0, 1.0)
+    fixed = F.zip_with(vector_to_array("_pc"), F.array(*[F.lit(float(x)) for x in signs]), lambda x, sign: x * sign)
     ratios = [float(v) for v in model.explainedVariance]
-    return model.transform(scaled).withColumn(out, vector_to_array("_pc")).drop("_scaled", "_pc"), ratios
+    return model.transform(scaled).withColumn(out, fixed).drop("_scaled", "_pc"), ratios, loadings * signs
 
 
-def cluster(df: DataFrame, features: str, batch: str, k: int, seed: int = 0, out: str = "cluster") -> DataFrame:
-    """Clusters of an embedding after each batch is moved to a common centre (k-means; a contract cell -> cluster)."""
-    vec = df.withColumn("_v", array_to_vector(F.col(features).cast("array<double>")))
-    centre = vec.groupBy(batch).agg(vector_to_array(Summarizer.mean(F.col("_v"))).alias("_mu"))
-    moved = attach_stats(vec, centre, [batch]).withColumn(
-        "_x", array_to_vector(F.zip_with(vector_to_array("_v"), "_mu", lambda a, b: a - b))
-    )
-    model = KMeans(k=int(k), seed=int(seed), featuresCol="_x", predictionCol=out, maxIter=20).fit(moved)
-    return model.transform(moved).drop("_v", "_x", "_mu")
+def _squared_distance(x: Column, centre: Column) -> Column:
+    return F.aggregate(F.zip_with(x, centre, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda total, d: total + d)
+
+
+def _nearest(x: Column, centres: Sequence[Sequence[float]]) -> Column:
+    """(distance, number) of the nearest centre; the smaller number among equals."""
+    listed = F.array(*[F.array(*[F.lit(float(v)) for v in c]) for c in centres])
+    return F.array_min(F.transform(listed, lambda c, i: F.struct(_squared_distance(x, c).alias("distance"), i.alias("number"))))
+
+
+def cluster(df: DataFrame, key: str, features: str, batch: str, k: int, rounds: int = 20, out: str = "cluster") -> DataFrame:
+    """Clusters of an embedding after each batch is moved to a common centre (a contract cell -> cluster).
+
+    Centres start farthest first: the row with the smallest key, then again and again the row farthest from its nearest centre (the
+    smallest key among equals). ``rounds`` Lloyd rounds follow, and a last assignment. So cluster numbers are defined by the data.
+    A centre without rows stays. Only k centres pass the driver; rows are summed by cluster before they are shuffled.
+    """
+    vec = df.withColumn("_v", F.col(features).cast("array<double>"))
+    centre = vec.groupBy(batch).agg(vector_to_array(Summarizer.mean(array_to_vector("_v"))).alias("_mu"))
+    moved = attach_stats(vec, centre, [batch]).withColumn("_x", F.zip_with("_v", "_mu", lambda a, b: a - b)).drop("_v", "_mu")
+    # every round reads the same values: means differ in their last bits when they are summed again
+    rows = cut(moved)
+    centres = [r["_x"] for r in rows.select(key, "_x").orderBy(key).limit(1).collect()]
+    while 0 < len(centres) < int(k):
+        far = rows.select(key, "_x", _nearest(F.col("_x"), centres)["distance"].alias("_d")).orderBy(F.desc("_d"), key).limit(1).first()
+        if far["_d"] == 0.0:  # fewer different rows than clusters
+            break
+        centres.append(far["_x"])
+    if not centres:
+        return rows.drop("_x").withColumn(out, F.lit(None).cast("int"))
+    for _ in range(int(rounds)):
+        placed = rows.select(_nearest(F.col("_x"), centres)["number"].alias("_c"), "_x")
+        for r in placed.groupBy("_c").agg(vector_to_array(Summarizer.mean(array_to_vector("_x"))).alias("_m")).collect():
+            centres[r["_c"]] = r["_m"]
+    return rows.withColumn(out, _nearest(F.col("_x"), centres)["number"]).drop("_x")
 
 
 def density_valley(

@@ -4,24 +4,33 @@
 data. Every rank, percentile, precision curve and interval merge here is a running
 sum or maximum, so they all share this module's two-level form:
 
-1. range-partition by (group, order), so that a hot group spreads over many slices, and fix the slice numbers in a
-   written table (a recomputed range partitioning could give other numbers);
+1. borders: a bounded sample of (group, order) keys gives the borders of as many slices as asked for, one row of data whatever the
+   input; every row finds its slice by comparing its key with them, so a hot group spreads over many slices;
 2. running totals inside each (group, slice);
-3. totals per (group, slice), a few rows per group, give each slice its offset.
+3. totals per (group, slice) give each slice its offset; only groups that cross a border have one, so there are fewer than slices.
+
+The sample keeps the smallest hash of each of a fixed number of hash classes. It depends on the set of keys alone, not on
+partitions or the order of arrival, so borders come out the same whenever they are computed, also after a lost executor, and nothing
+has to be written. The input must likewise give the same values whenever it is evaluated: tables, whole numbers, draws, or a result
+that was ``cut``; sums of doubles, whose last bits depend on the order of arrival, are cut first.
 
 Callers make the order key unique inside a group, by pre-aggregating ties where a tie can be hot.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from shiftgrid.session import cut, slices
 
 SLICE = "_slice"
+# Sampled keys per slice: with 32, a slice rarely holds more than twice its share.
+SAMPLED = 32
 
 
 def sort_keys(order: Sequence[str]) -> list[Column]:
@@ -29,12 +38,69 @@ def sort_keys(order: Sequence[str]) -> list[Column]:
     return [F.col(o[1:]).desc() if o.startswith("-") else F.col(o).asc() for o in order]
 
 
-def order_once(df: DataFrame, by: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """Prepare ``df`` for one or more ``running`` calls over the same order."""
+def _ascending(df: DataFrame, order: Sequence[str]) -> list[Column]:
+    """Columns whose ascending order is ``order``, nulls and NaN included."""
+    out = []
+    for o in order:
+        if not o.startswith("-"):
+            out.append(F.col(o))
+            continue
+        c, kind = F.col(o[1:]), df.schema[o[1:]].dataType
+        if isinstance(kind, (T.DoubleType, T.FloatType)):
+            out += [F.when(c.isNull(), 2).when(F.isnan(c), 0).otherwise(1), F.when(~F.isnan(c), -c)]
+        elif isinstance(kind, T.DecimalType):
+            out += [c.isNull(), -c]
+        elif isinstance(kind, T.IntegralType):
+            out += [c.isNull(), F.bitwise_not(c)]
+        else:
+            raise TypeError(f"{o[1:]}: descending order of {kind.simpleString()} is not supported")
+    return out
+
+
+def borders(df: DataFrame, by: Sequence[str], order: Sequence[str], n: int) -> DataFrame:
+    """One row: _fine (at most n - 1 borders, ascending) and _coarse (every ``step``-th of them)."""
+    step = max(1, math.isqrt(n))
+    keyed = df.select(_key([*[F.col(c) for c in by], *_ascending(df, order)]).alias("k")).withColumn("h", F.xxhash64("k"))
+    sampled = keyed.groupBy(F.pmod("h", F.lit(n * SAMPLED)).alias("m")).agg(F.min(F.struct(F.xxhash64("h").alias("h"), "k")).alias("s"))
+    row = sampled.agg(F.array_sort(F.collect_list("s.k")).alias("a"))
+    places = F.sequence(F.lit(1), F.lit(max(1, n - 1)))
+    picked = F.array_distinct(F.transform(places, lambda i: F.get("a", F.floor(i * F.size("a") / F.lit(n)).cast("int"))))
+    fine = row.select(F.when((F.size("a") > 0) & F.lit(n > 1), F.filter(picked, lambda x: x.isNotNull()))
+                      .otherwise(F.slice("a", 1, 0)).alias("_fine"))
+    return fine.withColumn("_coarse", F.filter("_fine", lambda x, i: i % step == 0))
+
+
+def order_once(df: DataFrame, by: Sequence[str], order: Sequence[str], sample: DataFrame | None = None) -> DataFrame:
+    """Give each row its slice, for one or more ``running`` calls over the same order.
+
+    ``sample`` may name another frame with the same (by, order) keys from which borders are cheaper to take.
+    """
     if SLICE in df.columns:
         return df
-    ranged = df.repartitionByRange(slices(df.sparkSession), *[F.col(c) for c in by], *sort_keys(order))
-    return cut(ranged.withColumn(SLICE, F.spark_partition_id()))
+    n = slices(df.sparkSession)
+    keys = _key([*[F.col(c) for c in by], *_ascending(df, order)])
+    return with_slices(df, borders(df if sample is None else sample, by, order, n), n, {SLICE: keys})
+
+
+def _key(columns: Sequence[Column]) -> Column:
+    return F.struct(*[k.alias(f"k{i}") for i, k in enumerate(columns)])
+
+
+def with_slices(df: DataFrame, found: DataFrame, n: int, keys: dict[str, Column]) -> DataFrame:
+    """``df`` with the slice of each key (a struct in the order of the borders): the number of borders before it.
+
+    The search looks at every ``step``-th border first, then at those of one step.
+    """
+    step = max(1, math.isqrt(n))
+
+    def before(borders: str | Column, key: str) -> Column:
+        return F.size(F.filter(borders, lambda b: b < F.col(key)))
+
+    # the borders are one row of fewer than ``n`` keys
+    met = df.select("*", *[k.alias(f"_key{name}") for name, k in keys.items()]).join(F.broadcast(found))
+    met = met.select("*", *[(F.greatest(before("_coarse", f"_key{name}") - 1, F.lit(0)) * step).alias(f"_block{name}") for name in keys])
+    return met.select(*df.columns, *[
+        (F.col(f"_block{name}") + before(F.slice("_fine", F.col(f"_block{name}") + 1, step), f"_key{name}")).alias(name) for name in keys])
 
 
 def running(
@@ -43,12 +109,32 @@ def running(
     order: Sequence[str],
     totals: dict[str, tuple[str, Column]],
     inclusive: bool = True,
+    sample: DataFrame | None = None,
 ) -> DataFrame:
     """Add running ``sum`` / ``max`` columns: ``totals = {name: ("sum" | "max", column)}``.
 
     Exclusive totals cover the rows before the current one (0 for a sum, NULL for a maximum at the first row).
     """
-    df = order_once(df, by, order)
+    laid = order_once(df, by, order, sample)
+    # a group crosses at most all borders, and a border lies in one group: fewer rows than slices
+    return _two_level(laid, by, order, totals, inclusive, F.broadcast)
+
+
+def running_whole(
+    df: DataFrame, by: Sequence[str], at: str, totals: dict[str, tuple[str, Column]], inclusive: bool = True, reach: Column | None = None,
+    width: int = 100_000,
+) -> DataFrame:
+    """``running`` in the order of whole numbers from 0 on, spread over their range: ``width`` of them are a slice, without a sample.
+
+    ``reach``, where known, is an upper bound of the numbers of a row's group: a group that stays below ``width`` is one slice, and
+    its totals are not counted. The frame must give the same rows whenever it is evaluated.
+    """
+    laid = df.withColumn(SLICE, F.floor(F.col(at) / F.lit(int(width))).cast("int"))
+    counted = laid if reach is None else laid.where(reach >= int(width))
+    return _two_level(laid, by, [at], totals, inclusive, lambda offsets: offsets, counted).drop(SLICE)
+
+
+def _two_level(df, by, order, totals, inclusive, placed, counted=None) -> DataFrame:
     keys = [*by, SLICE]
     whole = Window.partitionBy(*keys).orderBy(*sort_keys(order))
     window = whole.rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
@@ -60,15 +146,15 @@ def running(
             for name, (f, c) in totals.items()
         ],
     )
-    per_slice = df.groupBy(*keys).agg(*[calls[f](c).alias(f"_t_{name}") for name, (f, c) in totals.items()])
-    before = Window.partitionBy(*by).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
+    per_slice = (df if counted is None else counted).groupBy(*keys).agg(*[calls[f](c).alias(f"_t_{name}") for name, (f, c) in totals.items()])
+    in_order = Window.partitionBy(*by).orderBy(SLICE)
+    before = in_order.rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_slice.select(
-        *[F.col(c).alias(f"_k_{c}") for c in keys],
+        *[F.col(c).alias(f"_k_{c}") for c in keys], F.row_number().over(in_order).alias("_nth"),
         *[calls[f](f"_t_{name}").over(before).alias(f"_o_{name}") for name, (f, _) in totals.items()],
-    )
+    ).where("_nth > 1")
     match = [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in keys]
-    # at most one row per slice and group; written, so that its size is known before the join is planned
-    joined = local.join(cut(offsets), match, "left")
+    joined = local.join(placed(offsets), match, "left")
     out = []
     for c in local.columns:
         if c not in totals:
@@ -85,6 +171,23 @@ def numbered(df: DataFrame, by: Sequence[str], order: Sequence[str], out: str) -
     return running(df, by, order, {out: ("sum", F.lit(1).cast("bigint"))}).drop(SLICE)
 
 
+def numbered_by_hash(df: DataFrame, by: Sequence[str], hashed: str, key: str, size: str, out: str, width: int = 100_000) -> DataFrame:
+    """1-based position in the order of a uniform hash of 60 bits, then ``key``; ``size`` is the number of rows of the group.
+
+    The leading bits of the hash are the slice, about ``width`` rows each, so nothing is sampled. Only groups of several slices
+    count what lies before a slice.
+    """
+    bits = F.greatest(F.ceil(F.log2(F.col(size) / F.lit(float(width)))), F.lit(0)).cast("int")
+    laid = df.withColumn("_bits", bits).withColumn(SLICE, F.call_function("shiftright", F.col(hashed), F.lit(60) - F.col("_bits")))
+    keys = [*by, SLICE]
+    local = laid.withColumn(out, F.row_number().over(Window.partitionBy(*keys).orderBy(hashed, key)).cast("bigint"))
+    counts = laid.where("_bits > 0").groupBy(*keys).agg(F.count(F.lit(1)).alias("_t"))
+    before = Window.partitionBy(*by).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(*keys, F.sum("_t").over(before).alias("_start"))
+    met = attach(local, starts, keys)
+    return met.withColumn(out, F.col(out) + F.coalesce("_start", F.lit(0))).drop("_start", "_bits", SLICE)
+
+
 def group_size(df: DataFrame, by: Sequence[str], out: str, value: Column | None = None) -> DataFrame:
     """Per-group count joined back; unlike a window it never gathers a group in one task."""
     size = df.groupBy(*by).agg((F.count(F.lit(1)) if value is None else F.sum(value)).alias(out))

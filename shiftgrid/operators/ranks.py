@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shiftgrid.operators.ordered import SLICE, attach, attach_stats, group_size, numbered, running, sort_keys
+from shiftgrid.operators.ordered import SLICE, attach, attach_stats, group_size, numbered, running, running_whole, sort_keys
 
 
 # spark.sql.optimizer.windowGroupLimitThreshold: the largest k for which Spark limits groups before the shuffle.
@@ -24,7 +24,8 @@ def tie_totals(
     ties = df.groupBy(*by, value).agg(*[F.sum(w).alias(name) for name, w in weights.items()])
     order = [f"-{value}" if descending else value]
     totals = {f"cum_{name}": ("sum", F.col(name)) for name in weights}
-    return running(ties, by, order, totals).drop(SLICE)
+    # the borders come from the rows themselves, whose values are those of the ties
+    return running(ties, by, order, totals, sample=df.select(*by, value)).drop(SLICE)
 
 
 def _ranked(df, value, by, out, descending, formula) -> DataFrame:
@@ -38,16 +39,12 @@ def _ranked(df, value, by, out, descending, formula) -> DataFrame:
 def weighted_rank(df: DataFrame, value: str, by: Sequence[str], out: str, weight: str, width: int = 100_000) -> DataFrame:
     """Average-tie rank where a row counts ``weight`` times; ``value`` holds whole numbers from 0 on, without NULL.
 
-    Whole numbers are their own slices (``width`` of them each), so no range partitioning has to be sampled and fixed: ties are
-    aggregated, then summed inside their slice, and each slice starts from the totals of those before it.
+    Whole numbers are their own slices (``width`` of them each): ties are aggregated, then summed inside their slice, and each slice
+    starts from the totals of those before it.
     """
-    half = F.lit(2.0)
-    ties = df.groupBy(*by, value).agg(F.sum(weight).alias("_n")).withColumn(SLICE, F.floor(F.col(value) / F.lit(int(width))))
-    inside = ties.withColumn("_cum", F.sum("_n").over(Window.partitionBy(*by, SLICE).orderBy(value)))
-    before = Window.partitionBy(*by).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
-    starts = ties.groupBy(*by, SLICE).agg(F.sum("_n").alias("_t")).withColumn("_start", F.coalesce(F.sum("_t").over(before), F.lit(0.0)))
-    placed = attach(inside, starts.drop("_t"), [*by, SLICE])
-    rank = F.col("_start") + F.col("_cum") - (F.col("_n") - F.lit(1.0)) / half
+    ties = df.groupBy(*by, value).agg(F.sum(weight).alias("_n"))
+    placed = running_whole(ties, by, value, {"_cum": ("sum", F.col("_n"))}, width=width)
+    rank = F.col("_cum") - (F.col("_n") - F.lit(1.0)) / F.lit(2.0)
     return attach(df, placed.select(*by, value, rank.alias(out)), [*by, value])
 
 

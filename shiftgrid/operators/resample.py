@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shiftgrid.functions.scalars import draw, hash_key
-from shiftgrid.operators.ordered import attach, attach_stats, group_size, numbered
+from shiftgrid.operators.ordered import attach, attach_stats, group_size, numbered, numbered_by_hash
 from shiftgrid.operators.ranks import average_rank, weighted_rank
 from shiftgrid.operators.stats import corr_expr, finite, rel_rmse_expr, weighted_corr_expr
 from shiftgrid.session import cut
@@ -106,11 +106,11 @@ def permuted_pairs(
     df: DataFrame, by: Sequence[str], key: str, fixed: Sequence[str], moved: str, B: int, seed: int, out: str = "moved"
 ) -> DataFrame:
     """Every replicate pairs the fixed columns of a row with the moved column of the row at its shuffled position."""
-    rows = numbered(df.select(*by, key, *fixed, moved), by, [key], "_pos")
-    shuffled = replicate(rows.select(*by, key, moved), B, [*by, key]).withColumn(
+    rows = cut(group_size(numbered(df.select(*by, key, *fixed, moved), by, [key], "_pos"), by, "_size"))
+    shuffled = replicate(rows.select(*by, key, moved, "_size"), B, [*by, key]).withColumn(
         "_h", hash_key(F.lit(seed), *_group_text(by), F.col("b"), F.col(key))
     )
-    placed = numbered(shuffled, [*by, "b"], ["_h", key], "_pos").select(*by, "b", F.col(moved).alias(out), "_pos")
+    placed = numbered_by_hash(shuffled, [*by, "b"], "_h", key, "_size", "_pos").select(*by, "b", F.col(moved).alias(out), "_pos")
     return attach(placed, rows.select(*by, "_pos", key, *fixed), [*by, "_pos"], "inner").drop("_pos")
 
 
@@ -151,11 +151,11 @@ def permuted_labels(
     to be moved by a join, and only the positives (the rows every metric needs) come out.
     """
     y = F.coalesce((F.col(label) == 1).cast("bigint"), F.lit(0))
-    counts = df.groupBy(*by, stratum).agg(F.sum(y).alias("_pos_n"))
-    rows = attach_stats(df, counts, [*by, stratum]).where(F.col("_pos_n") > 0)
+    counts = df.groupBy(*by, stratum).agg(F.sum(y).alias("_pos_n"), F.count(F.lit(1)).alias("_size"))
+    rows = attach_stats(df, counts, [*by, stratum]).where(F.col("_pos_n") > 0).drop(label)
     hashed = replicate(rows, B, [*by, key]).withColumn("_h", hash_key(F.lit(seed), *_group_text(by), F.col("b"), F.col(key)))
-    placed = numbered(hashed, [*by, stratum, "b"], ["_h", key], "_at")
-    return placed.where(F.col("_at") <= F.col("_pos_n")).drop("_at", "_h", "_pos_n", label)
+    placed = numbered_by_hash(hashed, [*by, stratum, "b"], "_h", key, "_size", "_at")
+    return placed.where(F.col("_at") <= F.col("_pos_n")).drop("_at", "_h", "_pos_n", "_size")
 
 
 def null_summary(observed: DataFrame, null: DataFrame, by: Sequence[str], value: str) -> DataFrame:

@@ -200,6 +200,11 @@ def positional_metrics(
 ) -> DataFrame:
     """Average precision, nDCG@k and Recall@k of one ordered list per group; NULL without positives."""
     hits, totals = hit_positions(df, label, score, by, key)
+    return metrics_of_hits(hits, totals, by, ks)
+
+
+def metrics_of_hits(hits: DataFrame, totals: DataFrame, by: Sequence[str], ks: Sequence[int]) -> DataFrame:
+    """The positional metrics of positives with position and hit number."""
     gain = F.lit(1.0) / F.log2(F.col("position") + F.lit(1.0))
     aggs = [F.avg(F.col("hit") / F.col("position")).alias("ap")]
     for k in ks:
@@ -219,7 +224,7 @@ def positional_metrics(
 def recall_curve(df: DataFrame, label: str, score: str, by: Sequence[str], key: str, kmax: int = 200) -> DataFrame:
     """Recall at every K up to ``kmax`` (or the list length)."""
     hits, totals = hit_positions(df, label, score, by, key)
-    return curve_of(hits, totals, by, kmax)
+    return curve_of(hits, totals, by, kmax).drop("hits")
 
 
 def curve_of(hits: DataFrame, totals: DataFrame, by: Sequence[str], kmax: int) -> DataFrame:
@@ -232,7 +237,7 @@ def curve_of(hits: DataFrame, totals: DataFrame, by: Sequence[str], kmax: int) -
         .alias("k")
     )
     found = F.size(F.filter(F.coalesce(F.col("_at"), F.array().cast("array<bigint>")), lambda x: x <= F.col("k")))
-    return grid.select(*by, "k", (found / F.col("n_pos")).alias("recall"), "n_pos", "n_ranked")
+    return grid.select(*by, "k", found.cast("bigint").alias("hits"), (found / F.col("n_pos")).alias("recall"), "n_pos", "n_ranked")
 
 
 # ---------------------------------------------------------------------------------------------------------- geometry

@@ -4,20 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shiftgrid.functions.scalars import region_chrom, region_end, region_start
 from shiftgrid.operators.enrichment import normalised_enrichment
 from shiftgrid.operators.intervals import overlap_sets
 from shiftgrid.operators.joins import leave_source_out
-from shiftgrid.operators.ordered import attach, attach_stats, numbered, running, with_each
-from shiftgrid.operators.ranks import deciles, percent_of_rank, tie_totals, top_abs
+from shiftgrid.operators.ordered import SLICE, attach, attach_stats, numbered, running, running_whole, with_each
+from shiftgrid.operators.ranks import decile_of, percent_of_rank, tie_totals, top_abs
 from shiftgrid.operators.resample import (
-    bootstrap, intervals, null_summary, permutation_null, permuted_labels,
+    bootstrap, intervals, permutation_null, permuted_labels,
 )
 from shiftgrid.operators.stats import (
-    agree_expr, corr_expr, curve_of, finite, hit_positions, positional_metrics, rel_rmse_expr, sign_accuracy,
+    agree_expr, corr_expr, curve_of, finite, metrics_of_hits, rel_rmse_expr, sign_accuracy,
     spearman, weighted_corr_expr, zscore_many,
 )
 from shiftgrid.session import cut
@@ -208,49 +208,74 @@ def tier_cases(scores: DataFrame, gold: DataFrame, min_ranked: int = 50) -> Data
 CASE = ["scope", "tier", "direction", "subset"]
 
 
+def listed_cases(cases: DataFrame, by: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """Lists with both classes, one row per factor with position, hit number, centrality decile, list size and positives; and the
+    size and positives of every list."""
+    # scores are averages: written, so that every order is taken of the same values
+    known = cut(cases)
+    totals = cut(known.groupBy(*by).agg(F.count(F.lit(1)).alias("n_ranked"), F.sum("y").cast("bigint").alias("n_pos")))
+    used = attach(known, totals, by).where((F.col("n_pos") > 0) & (F.col("n_pos") < F.col("n_ranked")))
+    binned = cut(numbered(used, by, ["centrality", "tf"], "_c").withColumn("_decile", decile_of(F.col("_c"), F.col("n_ranked"))).drop("_c"))
+    places = {"_position": ("sum", F.lit(1).cast("bigint")), "_hit": ("sum", F.col("y").cast("bigint"))}
+    return cut(running(binned, by, ["-rank_score", "tf"], places).drop(SLICE)), totals
+
+
 def rank_against_gold(cases: DataFrame, ks: Sequence[int] = (10, 20, 50), B_null: int = 1000, seed: int = 0,
                       min_tier: int = 10, B_boot: int = 500) -> DataFrame:
     """Average precision, nDCG and recall with bootstrap intervals, and their nulls with labels permuted in centrality deciles.
 
-    A list of one class only gets its counts and no metrics. Intervals need more than 20 replicates with a positive.
+    A list of one class only gets its counts and no metrics. Intervals need more than 20 replicates with a positive. One set of
+    permutations serves average precision and every recall; recalls take the first fifth of them, 200 at least. ``null_hits_<k>``
+    counts the positives within k over those replicates, so the mean recall is a quotient of whole numbers.
     """
-    placed = cut(deciles(cases, "centrality", CASE, "tf", "_decile"))
-    totals = placed.groupBy(*CASE).agg(F.count(F.lit(1)).alias("_n"), F.sum("y").alias("_p"))
-    mixed = totals.where((F.col("_p") > 0) & (F.col("_p") < F.col("_n")))
-    used = cut(attach(placed, mixed.select(*CASE), CASE, "inner"))
-    metrics = positional_metrics(used, "y", "rank_score", CASE, "tf", ks)
-    out = attach(totals.select(*CASE, F.col("_n").alias("n_ranked"), F.col("_p").cast("bigint").alias("n_pos")),
-                 metrics.drop("n_ranked", "n_pos"), CASE)
-    out = out.withColumn("prevalence", F.when(F.col("ap").isNotNull(), F.col("n_pos") / F.col("n_ranked")))
-    listed = cut(numbered(used, CASE, ["-rank_score", "tf"], "_position"))
-    point = metrics.where(F.col("ap").isNotNull())
-    summary = null_summary(point, null_precision(listed, CASE, "_decile", "tf", B_null, seed), CASE, "ap")
-    out = attach(out, summary.select(*CASE, "null_mean", "enrichment", "p_value"), CASE)
-    for k in ks:
-        null = null_recall(listed, CASE, "_decile", "tf", k, max(200, B_null // 5), seed + k)
-        at = null_summary(point, null.withColumnRenamed("recall", f"recall_at_{k}"), CASE, f"recall_at_{k}")
-        out = attach(out, at.select(*CASE, F.col("null_mean").alias(f"recall_at_{k}_null_mean"), F.col("p_value").alias(f"recall_at_{k}_p")), CASE)
-    each = bootstrap_ranking(used, CASE, "tf", ks, B_boot, seed + 7)
+    listed, totals = listed_cases(cases, CASE)
+    hits = listed.where("y = 1").select(*CASE, F.col("_position").alias("position"), F.col("_hit").alias("hit"))
+    metrics = metrics_of_hits(hits, totals, CASE, ks)
+    out = metrics.withColumn("prevalence", F.when(F.col("ap").isNotNull(), F.col("n_pos") / F.col("n_ranked")))
+    first = max(200, B_null // 5)
+    null = null_ranking(listed, CASE, "_decile", "tf", ks, max(B_null, first), seed)
+    known = [f"_obs_{c}" for c in ("ap", *[f"recall_at_{k}" for k in ks])]
+    both = attach(null, metrics.select(*CASE, F.col("n_pos").alias("_np"), *[F.col(c.removeprefix("_obs_")).alias(c) for c in known]), CASE, "inner")
+    in_ap, in_recall = F.col("b") <= int(B_null), F.col("b") <= first
+    # equal values may differ in the last bits, having been summed in another order
+    reached = {"_obs_ap": F.col("ap") >= F.col("_obs_ap") - 1e-12} | {
+        f"_obs_recall_at_{k}": F.col(f"hits_{k}") / F.col("_np") >= F.col(f"_obs_recall_at_{k}") - 1e-12 for k in ks}
+
+    def share(value: Column, within: Column) -> Column:
+        return (F.sum(F.when(within, value.cast("bigint"))) + 1) / (F.sum(F.when(within, 1)) + 1)
+
+    summary = both.groupBy(*CASE).agg(
+        F.avg(F.when(in_ap, F.col("ap"))).alias("null_mean"), F.try_divide(F.max("_obs_ap"), F.avg(F.when(in_ap, F.col("ap")))).alias("enrichment"),
+        share(reached["_obs_ap"], in_ap).alias("p_value"),
+        *[c for k in ks for c in (
+            F.sum(F.when(in_recall, F.col(f"hits_{k}"))).alias(f"null_hits_{k}"),
+            (F.sum(F.when(in_recall, F.col(f"hits_{k}"))) / F.sum(F.when(in_recall, F.col("_np")))).alias(f"recall_at_{k}_null_mean"),
+            share(reached[f"_obs_recall_at_{k}"], in_recall).alias(f"recall_at_{k}_p"))])
+    out = attach(out, summary, CASE)
+    each = bootstrap_ranking(listed, CASE, "tf", ks, B_boot, seed + 7)
     columns = ["ap", *[f"ndcg_at_{k}" for k in ks], *[f"recall_at_{k}" for k in ks]]
-    replicates = each.groupBy(*CASE).agg(F.count("ap").alias("_b")).where(F.col("_b") > 20)
-    bands = attach(intervals(each, CASE, columns), replicates.select(*CASE), CASE, "inner")
-    return attach(out, bands, CASE).withColumn("underpowered", F.col("n_pos") < int(min_tier))
+    bands = each.groupBy(*CASE).agg(F.count("ap").alias("_b"), *[
+        F.percentile(c, F.lit(q)).alias(f"{c}_{side}") for c in columns for side, q in (("ci_lo", 0.025), ("ci_hi", 0.975))])
+    return attach(out, bands.where(F.col("_b") > 20).drop("_b"), CASE).withColumn("underpowered", F.col("n_pos") < int(min_tier))
+
 
+def bootstrap_hits(listed: DataFrame, by: Sequence[str], key: str, B: int, seed: int) -> tuple[DataFrame, DataFrame]:
+    """Positives of every resampled list with position and hit number (each copy a row), and positives per replicate.
 
-def bootstrap_hits(cases: DataFrame, by: Sequence[str], key: str, B: int, seed: int) -> tuple[DataFrame, DataFrame]:
-    """Positives of every resampled list with position and hit number (each copy a row), and positives per replicate."""
-    drawn = bootstrap(cases.select(*by, key, "rank_score", "y"), by, key, ["rank_score", "y"], B, seed)
+    ``listed`` has positions: copies stay in their order, so nothing but multiplicities is summed.
+    """
+    drawn = bootstrap(listed.select(*by, key, "_position", "y", "n_ranked"), by, key, ["_position", "y", "n_ranked"], B, seed)
     w = F.col("w").cast("bigint")
-    walked = running(drawn, [*by, "b"], ["-rank_score", key], {"_above": ("sum", w), "_hits": ("sum", w * F.col("y"))}, inclusive=False)
+    walked = running_whole(drawn, [*by, "b"], "_position", {"_above": ("sum", w), "_hits": ("sum", w * F.col("y"))}, False, F.col("n_ranked"))
     hits = walked.where("y = 1").select(*by, "b", "_above", "_hits", F.explode(F.sequence(F.lit(1).cast("bigint"), w)).alias("_copy")).select(
         *by, "b", (F.col("_above") + F.col("_copy")).alias("position"), (F.col("_hits") + F.col("_copy")).alias("hit"))
     totals = drawn.groupBy(*by, "b").agg(F.sum(w * F.col("y")).alias("n_pos"), F.sum(w).alias("n_ranked"))
     return hits, totals
 
 
-def bootstrap_ranking(cases: DataFrame, by: Sequence[str], key: str, ks: Sequence[int], B: int, seed: int) -> DataFrame:
+def bootstrap_ranking(listed: DataFrame, by: Sequence[str], key: str, ks: Sequence[int], B: int, seed: int) -> DataFrame:
     """Average precision, nDCG@k and Recall@k of each resampled list that holds a positive."""
-    hits, _ = bootstrap_hits(cases, by, key, B, seed)
+    hits, _ = bootstrap_hits(listed, by, key, B, seed)
     gain, best = F.lit(1.0) / F.log2(F.col("position") + F.lit(1.0)), F.lit(1.0) / F.log2(F.col("hit") + F.lit(1.0))
     aggs = [F.avg(F.col("hit") / F.col("position")).alias("ap")]
     for k in ks:
@@ -260,17 +285,16 @@ def bootstrap_ranking(cases: DataFrame, by: Sequence[str], key: str, ks: Sequenc
     return hits.groupBy(*by, "b").agg(*aggs)
 
 
-def null_recall(listed: DataFrame, by: Sequence[str], stratum: str, key: str, k: int, B: int, seed: int) -> DataFrame:
-    """Recall@k per replicate of labels permuted within strata; ``listed`` has positions."""
-    moved = permuted_labels(listed, by, stratum, key, "y", B, seed)
-    return moved.groupBy(*by, "b").agg(F.avg((F.col("_position") <= int(k)).cast("double")).alias("recall"))
-
+def null_ranking(listed: DataFrame, by: Sequence[str], stratum: str, key: str, ks: Sequence[int], B: int, seed: int) -> DataFrame:
+    """Average precision and the positives within each k, per replicate of labels permuted within strata.
 
-def null_precision(listed: DataFrame, by: Sequence[str], stratum: str, key: str, B: int, seed: int) -> DataFrame:
-    """Average precision per replicate of labels permuted within strata; ``listed`` has positions, ranked once."""
-    moved = permuted_labels(listed, by, stratum, key, "y", B, seed)
-    hits = numbered(moved, [*by, "b"], ["_position"], "_hit")
-    return hits.groupBy(*by, "b").agg(F.avg(F.col("_hit") / F.col("_position")).alias("ap"))
+    ``listed`` has positions (``_position``, ranked once) and the size of its list (``n_ranked``).
+    """
+    moved = permuted_labels(listed.select(*by, stratum, key, "y", "_position", "n_ranked"), by, stratum, key, "y", B, seed)
+    hits = running_whole(moved, [*by, "b"], "_position", {"_hit": ("sum", F.lit(1).cast("bigint"))}, reach=F.col("n_ranked"))
+    return hits.groupBy(*by, "b").agg(
+        F.avg(F.col("_hit") / F.col("_position")).alias("ap"),
+        *[F.sum((F.col("_position") <= int(k)).cast("bigint")).alias(f"hits_{k}") for k in ks])
 
 
 def signs_against_gold(cases: DataFrame) -> DataFrame:
@@ -281,29 +305,24 @@ def signs_against_gold(cases: DataFrame) -> DataFrame:
 def recall_report(cases: DataFrame, kmax: int = 200, B_null: int = 200, seed: int = 0, B_boot: int = 300) -> DataFrame:
     """Observed recall curve, mean and 5th / 95th percentile of the permuted ones, and a bootstrap interval.
 
-    Lists of one class only have no curve; replicates without a positive drop out of the interval.
+    Lists of one class only have no curve; replicates without a positive drop out of the interval. ``null_hits`` counts the
+    positives up to k over all replicates, so that the mean is a quotient of whole numbers: null_hits / (B_null * n_pos).
     """
-    whole = cases.where(F.col("subset") == "all")
     by = ["scope", "tier", "direction"]
-    sizes = whole.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), F.sum("y").alias("_p"))
-    mixed = sizes.where((F.col("_p") > 0) & (F.col("_p") < F.col("_n"))).select(*by)
-    placed = cut(deciles(attach(whole, mixed, by, "inner"), "centrality", by, "tf", "_decile"))
-    hits, totals = hit_positions(placed, "y", "rank_score", by, "tf")
-    observed = curve_of(hits, totals, by, kmax)
-    listed = numbered(placed, by, ["-rank_score", "tf"], "position")
-    moved = cut(permuted_labels(listed, by, "_decile", "tf", "y", B_null, seed).select(*by, "b", "position"))
-    replicas = attach(
-        moved.select(*by, "b").distinct(), totals, by, "inner"
-    )
-    null = curve_of(moved, replicas, [*by, "b"], kmax)
-    band = null.groupBy(*by, "k").agg(
-        F.avg("recall").alias("null_mean"), F.percentile("recall", F.lit(0.05)).alias("null_p05"),
-        F.percentile("recall", F.lit(0.95)).alias("null_p95"),
+    listed, totals = listed_cases(cases.where(F.col("subset") == "all"), by)
+    hits = listed.where("y = 1").select(*by, F.col("_position").alias("position"), F.col("_hit").alias("hit"))
+    observed = curve_of(hits, attach(totals, listed.select(*by).distinct(), by, "inner"), by, kmax)
+    moved = permuted_labels(listed.select(*by, "_decile", "tf", "y", F.col("_position").alias("position"), "n_pos", "n_ranked"), by, "_decile", "tf", "y", B_null, seed)
+    # every replicate has the positives of its list, so its size and positives come with its rows
+    curves = curve_of(moved, moved.groupBy(*by, "b").agg(F.max("n_pos").alias("n_pos"), F.max("n_ranked").alias("n_ranked")), [*by, "b"], kmax)
+    band = curves.groupBy(*by, "k").agg(
+        F.sum("hits").alias("null_hits"), (F.sum("hits") / F.sum("n_pos")).alias("null_mean"),
+        F.percentile("recall", F.lit(0.05)).alias("null_p05"), F.percentile("recall", F.lit(0.95)).alias("null_p95"),
     )
-    drawn, each = bootstrap_hits(placed, by, "tf", B_boot, seed)
+    drawn, each = bootstrap_hits(listed, by, "tf", B_boot, seed)
     resampled = curve_of(drawn, each, [*by, "b"], kmax).groupBy(*by, "k").agg(
         F.percentile("recall", F.lit(0.025)).alias("ci_lo"), F.percentile("recall", F.lit(0.975)).alias("ci_hi"))
-    return attach(attach(observed, band, [*by, "k"]), resampled, [*by, "k"])
+    return attach(attach(observed.drop("hits"), band, [*by, "k"]), resampled, [*by, "k"])
 
 
 # ------------------------------------------------------------------------------------------------------------- edges

@@ -62,7 +62,7 @@ def test_count_overlaps(spark, mode, unit, salt):
     frags = [("c", int(a), int(a + w), int(k)) for a, w, k in zip(rng.integers(0, 200, 120), rng.integers(1, 40, 120), rng.integers(0, 5, 120))]
     peaks = [("c", s, s + 9, s) for s in range(0, 200, 12)]
     got = {(r["cell"], r["peak"]): r["n"] for r in iv.count_overlaps(
-        frame(spark, frags, ", cell int"), frame(spark, peaks, ", peak int"), "cell", "peak", unit, 10, salt).collect()}
+        frame(spark, frags, ", cell int"), frame(spark, peaks, ", peak int"), "cell", "peak", unit, salt).collect()}
     want = {}
     for _, s, e, k in frags:
         for a, b in ([(s, e)] if unit == "fragment" else [(s, s + 1), (e - 1, e)]):
@@ -74,7 +74,7 @@ def test_count_overlaps(spark, mode, unit, salt):
 
 def test_unknown_unit(spark):
     with pytest.raises(ValueError):
-        iv.count_overlaps(frame(spark, []), frame(spark, []), "cell", "peak", "reads", 10)
+        iv.count_overlaps(frame(spark, []), frame(spark, []), "cell", "peak", "reads")
 
 
 def test_near_join(spark):

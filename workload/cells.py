@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from shiftgrid.operators import aggregates, filters, joins, matrix
+from shiftgrid.operators.ordered import attach
 from workload import standins as S
 from workload.ranking import avg_rank_sql
 from workload.registry import query
@@ -329,16 +331,57 @@ def _(t):
     return matrix.top_variable(e, cells, 30, "batch", "gene", "value", ["cell"])
 
 
-@query("st20_pca_scores")
+SCALED_SQL = """e AS (SELECT vec_id, label, unnest(range(1, 65)) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings),
+         z AS (SELECT vec_id, label, i, greatest(-10, least(10, (x - avg(x) OVER w) / stddev_samp(x) OVER w)) AS z FROM e WINDOW w AS (PARTITION BY i))"""
+
+
+# all components together turn the scaled features: every row keeps its length
+@query("st20_pca_scores", f"WITH {SCALED_SQL} SELECT vec_id, sum(z * z) AS length2, 64 AS components FROM z GROUP BY vec_id", "length2")
+def _(t):
+    scores, _, _ = matrix.pca(t.embeddings.select("vec_id", "embedding"), "embedding", 64)
+    return scores.select("vec_id", F.aggregate("pcs", F.lit(0.0), lambda s, x: s + x * x).alias("length2"), F.size("pcs").alias("components"))
+
+
+@query("st20_pca_invariants", f"""
+    WITH {SCALED_SQL}
+    SELECT sum(v) AS total_variance, 0.0::DOUBLE AS largest_covariance, true AS falling, true AS largest_loading_positive, 1.0::DOUBLE AS ratio_sum
+    FROM (SELECT var_samp(z) AS v FROM z GROUP BY i)""", "total_variance largest_covariance ratio_sum")
 def _(t):
-    scores, _ = matrix.pca(t.embeddings.select("vec_id", "embedding"), "embedding", 10)
-    return scores.select("vec_id", F.posexplode("pcs").alias("component", "score"))
+    scores, ratios, loadings = matrix.pca(t.embeddings.select("vec_id", "embedding"), "embedding", 64)
+    one = scores.select("vec_id", F.posexplode("pcs").alias("i", "s"))
+    moments = one.select("vec_id", "i", "s").join(one.select("vec_id", F.col("i").alias("j"), F.col("s").alias("r")), "vec_id").where("i <= j") \
+        .groupBy("i", "j").agg(F.covar_samp("s", "r").alias("c"))
+    after = Window.partitionBy(F.lit(0)).orderBy("i")  # one row per component
+    spread = moments.where("i = j").select("i", "c", F.lead("c").over(after).alias("next"))
+    variances = spread.agg(F.sum("c").alias("total_variance"), F.min(F.coalesce(F.col("next") <= F.col("c") + 1e-9, F.lit(True))).alias("falling"))
+    mixed = moments.where("i < j").agg(F.max(F.abs("c")).alias("largest_covariance"))
+    signs = bool((loadings[abs(loadings).argmax(axis=0), range(loadings.shape[1])] > 0).all())
+    return attach(variances, mixed, []).withColumns({"largest_loading_positive": F.lit(signs), "ratio_sum": F.lit(float(sum(ratios)))})
+
+
+CLUSTER_K, CLUSTER_ROUNDS = 8, 6
+
+
+def cluster_sql() -> str:
+    """Farthest-first seeds and Lloyd rounds, one pair of CTEs each."""
+    ctes = [
+        "x AS MATERIALIZED (SELECT vec_id, label, i, v - avg(v) OVER (PARTITION BY label, i) AS x FROM (SELECT vec_id, label, unnest(range(1, 65)) AS i, unnest(embedding)::DOUBLE AS v FROM embeddings))",
+        "f1 AS MATERIALIZED (SELECT 0 AS c, min(vec_id) AS vec_id FROM embeddings)",
+    ]
+    for k in range(1, CLUSTER_K):
+        ctes.append(f"""f{k + 1} AS MATERIALIZED (SELECT * FROM f{k} UNION ALL SELECT {k}, vec_id FROM (
+            SELECT vec_id, min(d) AS d FROM (SELECT a.vec_id, f.c, sum((a.x - s.x) * (a.x - s.x)) AS d FROM x a CROSS JOIN f{k} f JOIN x s ON s.vec_id = f.vec_id AND s.i = a.i GROUP BY 1, 2)
+            GROUP BY 1 ORDER BY d DESC, vec_id LIMIT 1))""")
+    ctes.append(f"c0 AS MATERIALIZED (SELECT c, i, x AS m FROM f{CLUSTER_K} JOIN x USING (vec_id))")
+    for r in range(CLUSTER_ROUNDS + 1):
+        ctes.append(f"a{r} AS MATERIALIZED (SELECT vec_id, min({{'d': d, 'c': c}}).c AS c FROM (SELECT vec_id, c, sum((x - m) * (x - m)) AS d FROM x JOIN c{r} USING (i) GROUP BY 1, 2) GROUP BY 1)")
+        ctes.append(f"c{r + 1} AS MATERIALIZED (SELECT c, i, coalesce(n.m, o.m) AS m FROM c{r} o LEFT JOIN (SELECT c, i, avg(x) AS m FROM x JOIN a{r} USING (vec_id) GROUP BY 1, 2) n USING (c, i))")
+    return "WITH " + ",\n".join(ctes) + f" SELECT vec_id, label, CAST(c AS INTEGER) AS cluster FROM a{CLUSTER_ROUNDS} JOIN embeddings USING (vec_id)"
 
 
-@query("st21_clusters")
+@query("st21_clusters", cluster_sql())
 def _(t):
-    out = matrix.cluster(t.embeddings, "embedding", "label", 8)
-    return out.groupBy("cluster", "label").agg(F.count(F.lit(1)).alias("n"))
+    return matrix.cluster(t.embeddings, "vec_id", "embedding", "label", CLUSTER_K, CLUSTER_ROUNDS).select("vec_id", "label", "cluster")
 
 
 @query("st22_density_valley", """

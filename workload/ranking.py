@@ -132,7 +132,16 @@ def _(t):
     return stats.spearman(S.shifts(t), "real_shift", "predicted_shift", ["scope"])
 
 
-@query("rp6_correlation_p_value")
+@query("rp6_correlation_p_value", f"""
+    WITH k AS (SELECT scope, {avg_rank_sql('real_shift', 'scope')} AS a, {avg_rank_sql('predicted_shift', 'scope')} AS b FROM shifts
+               WHERE real_shift IS NOT NULL AND predicted_shift IS NOT NULL),
+         c AS (SELECT scope, corr(a, b) AS rho, count(*) AS n, count(*) - 2 AS df FROM k GROUP BY scope),
+         -- the central probability of t with whole degrees of freedom is a finite sum in the cosine of atan(t / sqrt(df))
+         e AS (SELECT scope, sum(CASE WHEN df % 2 = 0 THEN exp(lgamma(j + 0.5) - lgamma(j + 1) - lgamma(0.5)) * pow(1 - rho * rho, j)
+                                     WHEN j <= (df - 3) // 2 THEN exp(lgamma(j + 1) + lgamma(1.5) - lgamma(j + 1.5)) * pow(1 - rho * rho, j + 0.5) END) AS s
+               FROM (SELECT *, unnest(range(0, greatest(1, df // 2))) AS j FROM c) GROUP BY scope)
+    SELECT c.scope, rho, n, 1 - CASE WHEN df % 2 = 0 THEN abs(rho) * s ELSE 2 / pi() * (asin(abs(rho)) + abs(rho) * coalesce(s, 0)) END AS p_value
+    FROM c JOIN e ON c.scope = e.scope""", "rho p_value", "shifts")
 def _(t):
     from shiftgrid.functions.pvalue import with_p_value
 

@@ -109,8 +109,8 @@ def _(t):
 def _(t):
     d = S.labelled(t).select(F.lit("all").alias("grp"), "lang", "doc_id", F.col("quality").alias("y"), F.col("score").alias("rank_score"))
     observed = stats.average_precision(d, "y", "rank_score", ["grp"], "doc_id")
-    listed = ordered.numbered(d, ["grp"], ["-rank_score", "doc_id"], "_position")
-    null = metrics.null_precision(listed, ["grp"], "lang", "doc_id", B, 9)
+    listed = ordered.group_size(ordered.numbered(d, ["grp"], ["-rank_score", "doc_id"], "_position"), ["grp"], "n_ranked")
+    null = metrics.null_ranking(listed, ["grp"], "lang", "doc_id", [], B, 9)
     return resample.null_summary(observed, null, ["grp"], "ap")
 
 

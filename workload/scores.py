@@ -303,35 +303,62 @@ CASE = "scope, tier, direction, subset"
 RANK_B = 200
 
 
+RANK_KS = (10, 20, 50)
+
+
+def each_k(text: str) -> str:
+    """``text`` once for every k of the ranking report."""
+    return ", ".join(text.replace("{k}", str(k)) for k in RANK_KS)
+
+
+def whole_mean(total: str, of: str) -> str:
+    """total / of rounded to six digits in whole numbers, half up, so that no order of summation can decide a tie."""
+    return f"CAST((2000000 * CAST({total} AS HUGEINT) + {of}) // (2 * {of}) AS DOUBLE) / 1000000.0"
+
+
+def whole_mean_column(total, of):
+    return F.floor((F.lit(2_000_000) * total.cast("decimal(38,0)") + of) / (F.lit(2) * of)).cast("double") / F.lit(1e6)
+
+
+NULL_FIRST = max(200, RANK_B // 5)
+RECALL_COLUMNS = [f"recall_at_{k}{c}" for k in RANK_KS for c in ("", "_p", "_ci_lo", "_ci_hi")] + [f"ndcg_at_{k}{c}" for k in RANK_KS for c in ("", "_ci_lo", "_ci_hi")]
+
+
 @query("rp14_rank_against_gold", f"""
     WITH {CASES_SQL},
       p AS (SELECT *, row_number() OVER (PARTITION BY {CASE} ORDER BY rank_score DESC, tf) AS place, row_number() OVER (PARTITION BY {CASE} ORDER BY centrality, tf) AS cr, count(*) OVER (PARTITION BY {CASE}) AS n FROM cases),
       d0 AS (SELECT *, CASE WHEN n = 1 THEN 0 ELSE greatest(0, ((cr - 1) * 10 + n - 2) // (n - 1) - 1) END AS decile, sum(y) OVER (PARTITION BY {CASE}) AS np FROM p),
       t AS (SELECT {CASE}, count(*) AS n_ranked, CAST(sum(y) AS BIGINT) AS n_pos FROM d0 GROUP BY {CASE}),
       d AS (SELECT * FROM d0 WHERE np > 0 AND np < n),
-      o AS (SELECT {CASE}, avg(hit * 1.0 / place) FILTER (WHERE y = 1) AS ap, CAST(count(*) FILTER (WHERE y = 1 AND place <= 10) AS DOUBLE) / sum(y) AS recall_at_10,
-                   coalesce(sum(1 / log2(place + 1)) FILTER (WHERE y = 1 AND place <= 10), 0) / sum(1 / log2(hit + 1)) FILTER (WHERE y = 1 AND hit <= 10) AS ndcg_at_10, sum(y) * 1.0 / count(*) AS prevalence
+      o AS (SELECT {CASE}, CAST(sum(y) AS BIGINT) AS np, avg(hit * 1.0 / place) FILTER (WHERE y = 1) AS ap, sum(y) * 1.0 / count(*) AS prevalence,
+                   {each_k("count(*) FILTER (WHERE y = 1 AND place <= {k}) AS obs_{k}")},
+                   {each_k("coalesce(sum(1 / log2(place + 1)) FILTER (WHERE y = 1 AND place <= {k}), 0) / sum(1 / log2(hit + 1)) FILTER (WHERE y = 1 AND hit <= {k}) AS ndcg_at_{k}")}
             FROM (SELECT *, sum(y) OVER (PARTITION BY {CASE} ORDER BY place) AS hit FROM d) GROUP BY {CASE}),
-      h2 AS (SELECT {CASE}, decile, b, place, row_number() OVER (PARTITION BY {CASE}, decile, b ORDER BY {key_sql(10, 'scope', 'tier', 'direction', 'subset', 'b', 'tf')}, tf) AS i FROM d, {reps(max(200, RANK_B // 5))}),
-      r2 AS (SELECT {CASE}, b, avg(CAST(place <= 10 AS DOUBLE)) AS r FROM h2 JOIN (SELECT {CASE}, decile, y, row_number() OVER (PARTITION BY {CASE}, decile ORDER BY y DESC, tf) AS i FROM d) USING (scope, tier, direction, subset, decile, i) WHERE y = 1 GROUP BY {CASE}, b),
-      s2 AS (SELECT {CASE}, avg(r) AS recall_at_10_null_mean, (count(*) FILTER (WHERE r >= recall_at_10 - 1e-12) + 1.0) / (count(*) + 1.0) AS recall_at_10_p FROM r2 JOIN o USING (scope, tier, direction, subset) GROUP BY {CASE}),
       {boot_sql(7, RANK_B, 'd', CASE, 'tf')},
       bp AS (SELECT {CASE}, b, y, row_number() OVER (PARTITION BY {CASE}, b ORDER BY rank_score DESC, tf) AS loc FROM boot),
       bh AS (SELECT *, sum(y) OVER (PARTITION BY {CASE}, b ORDER BY loc) AS hit FROM bp),
-      bs AS (SELECT {CASE}, b, avg(hit * 1.0 / loc) AS ap, avg(CAST(loc <= 10 AS DOUBLE)) AS rc, coalesce(sum(1 / log2(loc + 1)) FILTER (WHERE loc <= 10), 0) / sum(1 / log2(hit + 1)) FILTER (WHERE hit <= 10) AS nd FROM bh WHERE y = 1 GROUP BY {CASE}, b),
-      ci AS (SELECT {CASE}, quantile_cont(ap, 0.025) AS ap_ci_lo, quantile_cont(ap, 0.975) AS ap_ci_hi, quantile_cont(nd, 0.025) AS ndcg_at_10_ci_lo, quantile_cont(nd, 0.975) AS ndcg_at_10_ci_hi,
-                    quantile_cont(rc, 0.025) AS recall_at_10_ci_lo, quantile_cont(rc, 0.975) AS recall_at_10_ci_hi FROM bs GROUP BY {CASE} HAVING count(*) > 20),
+      bs AS (SELECT {CASE}, b, avg(hit * 1.0 / loc) AS ap, {each_k("avg(CAST(loc <= {k} AS DOUBLE)) AS rc_{k}")},
+                    {each_k("coalesce(sum(1 / log2(loc + 1)) FILTER (WHERE loc <= {k}), 0) / sum(1 / log2(hit + 1)) FILTER (WHERE hit <= {k}) AS nd_{k}")} FROM bh WHERE y = 1 GROUP BY {CASE}, b),
+      ci AS (SELECT {CASE}, quantile_cont(ap, 0.025) AS ap_ci_lo, quantile_cont(ap, 0.975) AS ap_ci_hi,
+                    {each_k("quantile_cont(nd_{k}, 0.025) AS ndcg_at_{k}_ci_lo, quantile_cont(nd_{k}, 0.975) AS ndcg_at_{k}_ci_hi")},
+                    {each_k("quantile_cont(rc_{k}, 0.025) AS recall_at_{k}_ci_lo, quantile_cont(rc_{k}, 0.975) AS recall_at_{k}_ci_hi")} FROM bs GROUP BY {CASE} HAVING count(*) > 20),
       h AS (SELECT {CASE}, decile, b, place, row_number() OVER (PARTITION BY {CASE}, decile, b ORDER BY {key_sql(0, 'scope', 'tier', 'direction', 'subset', 'b', 'tf')}, tf) AS i FROM d, {reps(RANK_B)}),
       l AS (SELECT {CASE}, decile, y, row_number() OVER (PARTITION BY {CASE}, decile ORDER BY y DESC, tf) AS i FROM d),
       q AS (SELECT {CASE}, b, place FROM h JOIN l USING (scope, tier, direction, subset, decile, i) WHERE y = 1),
-      k AS (SELECT {CASE}, b, avg(hit * 1.0 / place) AS ap FROM (SELECT *, row_number() OVER (PARTITION BY {CASE}, b ORDER BY place) AS hit FROM q) GROUP BY {CASE}, b),
-      s AS (SELECT k.scope, k.tier, k.direction, k.subset, avg(k.ap) AS null_mean, max(o.ap) / avg(k.ap) AS enrichment, (count(*) FILTER (WHERE k.ap >= o.ap - 1e-12) + 1.0) / (count(*) + 1.0) AS p_value FROM k JOIN o USING (scope, tier, direction, subset) GROUP BY 1, 2, 3, 4)
-    SELECT t.*, ap, ndcg_at_10, recall_at_10, prevalence, null_mean, enrichment, p_value, recall_at_10_null_mean, recall_at_10_p, ap_ci_lo, ap_ci_hi, ndcg_at_10_ci_lo, ndcg_at_10_ci_hi,
-           recall_at_10_ci_lo, recall_at_10_ci_hi, n_pos < 10 AS underpowered
-    FROM t LEFT JOIN o USING (scope, tier, direction, subset) LEFT JOIN s USING (scope, tier, direction, subset) LEFT JOIN s2 USING (scope, tier, direction, subset) LEFT JOIN ci USING (scope, tier, direction, subset)""",
-       "ap ndcg_at_10 recall_at_10 prevalence null_mean enrichment p_value recall_at_10_null_mean recall_at_10_p ap_ci_lo ap_ci_hi ndcg_at_10_ci_lo ndcg_at_10_ci_hi recall_at_10_ci_lo recall_at_10_ci_hi")
+      k AS (SELECT {CASE}, b, avg(hit * 1.0 / place) AS ap, {each_k("count(*) FILTER (WHERE place <= {k}) AS h_{k}")}
+            FROM (SELECT *, row_number() OVER (PARTITION BY {CASE}, b ORDER BY place) AS hit FROM q) GROUP BY {CASE}, b),
+      s AS (SELECT k.scope, k.tier, k.direction, k.subset, avg(k.ap) AS null_mean, max(o.ap) / avg(k.ap) AS enrichment, (count(*) FILTER (WHERE k.ap >= o.ap - 1e-12) + 1.0) / (count(*) + 1.0) AS p_value,
+                   {each_k("CAST(sum(h_{k}) FILTER (WHERE b <= " + str(NULL_FIRST) + ") AS BIGINT) AS null_hits_{k}")},
+                   {each_k("(count(*) FILTER (WHERE b <= " + str(NULL_FIRST) + " AND h_{k} >= obs_{k}) + 1.0) / (count(*) FILTER (WHERE b <= " + str(NULL_FIRST) + ") + 1.0) AS recall_at_{k}_p")}
+            FROM k JOIN o USING (scope, tier, direction, subset) GROUP BY 1, 2, 3, 4)
+    SELECT t.*, ap, prevalence, null_mean, enrichment, p_value, ap_ci_lo, ap_ci_hi, n_pos < 10 AS underpowered, {each_k("ndcg_at_{k}, CAST(obs_{k} AS DOUBLE) / n_pos AS recall_at_{k}")},
+           {each_k("null_hits_{k}, recall_at_{k}_p, ndcg_at_{k}_ci_lo, ndcg_at_{k}_ci_hi, recall_at_{k}_ci_lo, recall_at_{k}_ci_hi")},
+           {", ".join(whole_mean(f"null_hits_{k}", f"({NULL_FIRST} * n_pos)") + f" AS recall_at_{k}_null_mean" for k in RANK_KS)}
+    FROM t LEFT JOIN o USING (scope, tier, direction, subset) LEFT JOIN s USING (scope, tier, direction, subset) LEFT JOIN ci USING (scope, tier, direction, subset)""",
+       " ".join(["ap prevalence null_mean enrichment p_value ap_ci_lo ap_ci_hi", *RECALL_COLUMNS, *[f"recall_at_{k}_null_mean" for k in RANK_KS]]))
 def _(t):
-    return metrics.rank_against_gold(gold_cases(t), [10], RANK_B, 0, B_boot=RANK_B)
+    out = metrics.rank_against_gold(gold_cases(t), RANK_KS, RANK_B, 0, B_boot=RANK_B)
+    return out.withColumns({f"recall_at_{k}_null_mean": whole_mean_column(F.col(f"null_hits_{k}"), F.lit(NULL_FIRST) * F.col("n_pos")) for k in RANK_KS})
 
 
 @query("rp14_signs_against_gold", f"""
@@ -359,15 +386,16 @@ def _(t):
       o AS (SELECT scope, tier, direction, place AS k, CAST(sum(y) OVER (PARTITION BY scope, tier, direction ORDER BY place) AS DOUBLE) / np AS recall, CAST(np AS BIGINT) AS n_pos, n AS n_ranked FROM d QUALIFY k <= 200),
       h AS (SELECT scope, tier, direction, np, decile, b, place, row_number() OVER (PARTITION BY scope, tier, direction, decile, b ORDER BY {key_sql(4, 'scope', 'tier', 'direction', 'b', 'tf')}, tf) AS i FROM d, {reps(RANK_B)}),
       l AS (SELECT scope, tier, direction, decile, y, row_number() OVER (PARTITION BY scope, tier, direction, decile ORDER BY y DESC, tf) AS i FROM d),
-      c AS (SELECT scope, tier, direction, b, place AS k, CAST(sum(l.y) OVER (PARTITION BY scope, tier, direction, b ORDER BY place) AS DOUBLE) / np AS r FROM h JOIN l USING (scope, tier, direction, decile, i)),
-      m AS (SELECT scope, tier, direction, k, avg(r) AS null_mean, quantile_cont(r, 0.05) AS null_p05, quantile_cont(r, 0.95) AS null_p95 FROM c GROUP BY 1, 2, 3, 4),
+      c AS (SELECT scope, tier, direction, b, place AS k, sum(l.y) OVER (PARTITION BY scope, tier, direction, b ORDER BY place) AS hits, np, CAST(hits AS DOUBLE) / np AS r FROM h JOIN l USING (scope, tier, direction, decile, i)),
+      m AS (SELECT scope, tier, direction, k, CAST(sum(hits) AS BIGINT) AS null_hits, quantile_cont(r, 0.05) AS null_p05, quantile_cont(r, 0.95) AS null_p95 FROM c GROUP BY 1, 2, 3, 4),
       {boot_sql(4, RANK_B, 'd', 'scope, tier, direction', 'tf')},
       bp AS (SELECT scope, tier, direction, b, y, row_number() OVER (PARTITION BY scope, tier, direction, b ORDER BY rank_score DESC, tf) AS k, sum(y) OVER (PARTITION BY scope, tier, direction, b) AS bn FROM boot),
       bc AS (SELECT scope, tier, direction, b, k, CAST(sum(y) OVER (PARTITION BY scope, tier, direction, b ORDER BY k) AS DOUBLE) / bn AS r FROM bp WHERE bn > 0),
       bi AS (SELECT scope, tier, direction, k, quantile_cont(r, 0.025) AS ci_lo, quantile_cont(r, 0.975) AS ci_hi FROM bc GROUP BY 1, 2, 3, 4)
-    SELECT o.*, null_mean, null_p05, null_p95, ci_lo, ci_hi FROM o LEFT JOIN m USING (scope, tier, direction, k) LEFT JOIN bi USING (scope, tier, direction, k)""", "recall null_mean null_p05 null_p95 ci_lo ci_hi")
+    SELECT o.*, null_hits, {whole_mean("null_hits", f"({RANK_B} * n_pos)")} AS null_mean, null_p05, null_p95, ci_lo, ci_hi FROM o LEFT JOIN m USING (scope, tier, direction, k) LEFT JOIN bi USING (scope, tier, direction, k)""", "recall null_mean null_p05 null_p95 ci_lo ci_hi")
 def _(t):
-    return metrics.recall_report(gold_cases(t), 200, RANK_B, 4, RANK_B)
+    out = metrics.recall_report(gold_cases(t), 200, RANK_B, 4, RANK_B)
+    return out.withColumn("null_mean", whole_mean_column(F.col("null_hits"), F.lit(RANK_B) * F.col("n_pos")))
 
 
 # ---- panel indices ----------------------------------------------------------------------------------------------------
