@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from shiftgrid.operators.ordered import SLICE, attach, borders, order_once, running, with_slices
 from shiftgrid.operators.ranks import percentiles, tie_totals
-from shiftgrid.session import slices
 
 BIN = "_bin"
 
@@ -152,19 +151,16 @@ def near_join(elements: DataFrame, sites: DataFrame, max_bp: int, element: str,
     so that a crowded place is spread over many of them. A row goes to its own slice, and to every slice of the other side that the
     band around it (``max_bp`` to both sides) meets; a row is repeated only as often as it finds that many rows of the other side.
     """
-    n = slices(elements.sparkSession)
     mid = F.floor((F.col("start") + F.col("end")) / F.lit(2))
     left = elements.select("chrom", F.col(element), mid.alias("_pos"), F.xxhash64(element).alias("_tie")).where(F.col("_pos").isNotNull())
     right = sites.select("chrom", F.col(gene), F.col("tss").cast("bigint").alias("_pos"), F.xxhash64(gene).alias("_tie")).where(F.col("_pos").isNotNull())
-    of_left, of_right = (borders(side, ["chrom"], ["_pos", "_tie"], n) for side in (left, right))
-
-    def place(position: Column, tie: Column) -> Column:
-        return F.struct(F.col("chrom").alias("k0"), position.alias("k1"), tie.alias("k2"))
+    of_left, of_right = (borders(side, ["chrom"], ["_pos", "_tie"]) for side in (left, right))
 
     def laid(side: DataFrame, own: DataFrame, other: DataFrame) -> DataFrame:
-        here = with_slices(side, own, n, {"_own": place(F.col("_pos"), F.col("_tie"))})
-        reach = {"_from": place(F.col("_pos") - max_bp, F.lit(-(1 << 63)).cast("bigint")), "_to": place(F.col("_pos") + max_bp, F.lit((1 << 63) - 1).cast("bigint"))}
-        return with_slices(here, other, n, reach).select("*", F.explode(F.sequence("_from", "_to")).alias("_other"))
+        here = with_slices(side, ["chrom"], own, {"_own": "named_struct('k0', _pos, 'k1', _tie)"})
+        reach = {"_from": f"named_struct('k0', _pos - {int(max_bp)}, 'k1', {-(1 << 63) + 1}L)", "_to": f"named_struct('k0', _pos + {int(max_bp)}, 'k1', {(1 << 63) - 1}L)"}
+        return with_slices(here, ["chrom"], other, reach).selectExpr(
+            *[f"`{c}`" for c in side.columns], "_own.at AS _own", "explode(sequence(_from.at, _to.at)) AS _other")
 
     def number(offset: int = 0) -> Column:
         return F.floor(F.col("_pos") / F.lit(max_bp)) + F.lit(offset)

@@ -4,29 +4,31 @@
 data. Every rank, percentile, precision curve and interval merge here is a running
 sum or maximum, so they all share this module's two-level form:
 
-1. borders: a bounded sample of (group, order) keys gives the borders of as many slices as asked for, one row of data whatever the
-   input; every row finds its slice by comparing its key with them, so a hot group spreads over many slices;
+1. borders: a group of more than ``spark.shiftgrid.rows`` rows is cut into slices of about that many. A sample of its order keys, as
+   many as it has slices times a constant, gives the borders; every row finds its slice by comparing its key with them;
 2. running totals inside each (group, slice);
-3. totals per (group, slice) give each slice its offset; only groups that cross a border have one, so there are fewer than slices.
+3. totals per (group, slice) give each slice but the first its offset.
 
-The sample keeps the smallest hash of each of a fixed number of hash classes. It depends on the set of keys alone, not on
-partitions or the order of arrival, so borders come out the same whenever they are computed, also after a lost executor, and nothing
-has to be written. The input must likewise give the same values whenever it is evaluated: tables, whole numbers, draws, or a result
-that was ``cut``; sums of doubles, whose last bits depend on the order of arrival, are cut first.
+Borders and offsets are small: there are fewer than rows of the input / ``spark.shiftgrid.rows``, and that is what is broadcast. Groups
+below that size are one slice, for which neither a sample nor totals are taken. It is one plan whatever the input.
+
+The sample takes keys by their hash. It depends on the keys alone, not on partitions or the order of arrival, so borders come out the
+same whenever they are computed, also after a lost executor, and nothing has to be written. The input must likewise give the same
+values whenever it is evaluated: tables, whole numbers, draws, or a result that was ``cut``; sums of doubles, whose last bits depend
+on the order of arrival, are cut first.
 
 Callers make the order key unique inside a group, by pre-aggregating ties where a tie can be hot.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shiftgrid.session import cut, slices
+from shiftgrid.session import cut, rows_per_slice, slices
 
 SLICE = "_slice"
 # Sampled keys per slice: with 32, a slice rarely holds more than twice its share.
@@ -38,36 +40,58 @@ def sort_keys(order: Sequence[str]) -> list[Column]:
     return [F.col(o[1:]).desc() if o.startswith("-") else F.col(o).asc() for o in order]
 
 
-def _ascending(df: DataFrame, order: Sequence[str]) -> list[Column]:
-    """Columns whose ascending order is ``order``, nulls and NaN included."""
+# Long expressions are written as SQL text: every call of a column function is a round trip to the JVM.
+def named(columns: Sequence[str]) -> list[str]:
+    return [f"`{c}`" for c in columns]
+
+
+def key_of(df: DataFrame, order: Sequence[str]) -> str:
+    """SQL text of a struct whose ascending order is ``order``, nulls and NaN included."""
     out = []
     for o in order:
+        c = f"`{o.removeprefix('-')}`"
+        kind = df.schema[o.removeprefix("-")].dataType
         if not o.startswith("-"):
-            out.append(F.col(o))
-            continue
-        c, kind = F.col(o[1:]), df.schema[o[1:]].dataType
-        if isinstance(kind, (T.DoubleType, T.FloatType)):
-            out += [F.when(c.isNull(), 2).when(F.isnan(c), 0).otherwise(1), F.when(~F.isnan(c), -c)]
+            out.append(c)
+        elif isinstance(kind, (T.DoubleType, T.FloatType)):
+            out += [f"CASE WHEN {c} IS NULL THEN 2 WHEN isnan({c}) THEN 0 ELSE 1 END", f"CASE WHEN NOT isnan({c}) THEN -{c} END"]
         elif isinstance(kind, T.DecimalType):
-            out += [c.isNull(), -c]
+            out += [f"{c} IS NULL", f"-{c}"]
         elif isinstance(kind, T.IntegralType):
-            out += [c.isNull(), F.bitwise_not(c)]
+            out += [f"{c} IS NULL", f"~{c}"]
         else:
             raise TypeError(f"{o[1:]}: descending order of {kind.simpleString()} is not supported")
-    return out
-
-
-def borders(df: DataFrame, by: Sequence[str], order: Sequence[str], n: int) -> DataFrame:
-    """One row: _fine (at most n - 1 borders, ascending) and _coarse (every ``step``-th of them)."""
-    step = max(1, math.isqrt(n))
-    keyed = df.select(_key([*[F.col(c) for c in by], *_ascending(df, order)]).alias("k")).withColumn("h", F.xxhash64("k"))
-    sampled = keyed.groupBy(F.pmod("h", F.lit(n * SAMPLED)).alias("m")).agg(F.min(F.struct(F.xxhash64("h").alias("h"), "k")).alias("s"))
-    row = sampled.agg(F.array_sort(F.collect_list("s.k")).alias("a"))
-    places = F.sequence(F.lit(1), F.lit(max(1, n - 1)))
-    picked = F.array_distinct(F.transform(places, lambda i: F.get("a", F.floor(i * F.size("a") / F.lit(n)).cast("int"))))
-    fine = row.select(F.when((F.size("a") > 0) & F.lit(n > 1), F.filter(picked, lambda x: x.isNotNull()))
-                      .otherwise(F.slice("a", 1, 0)).alias("_fine"))
-    return fine.withColumn("_coarse", F.filter("_fine", lambda x, i: i % step == 0))
+    return "named_struct(" + ", ".join(f"'k{i}', {e}" for i, e in enumerate(out)) + ")"
+
+
+def borders(df: DataFrame, by: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """One row per group of more than a slice: ``by``, _fine (borders, ascending) and _coarse (about every square root-th of them)."""
+    spark = df.sparkSession
+    rows, most = rows_per_slice(spark), slices(spark)
+    sizes = df.groupBy(*by).agg(F.expr("count(1) AS _n")).where(f"_n > {rows}")
+    parts = sizes.selectExpr(*named(by), "_n", f"CAST(least({most}, ceil(_n / {rows})) AS INT) AS _parts")
+    keyed = df.selectExpr(*named(by), f"{key_of(df, order)} AS _k")
+    # fewer than rows of the input / rows of a slice
+    sampled = attach(keyed, F.broadcast(parts), by, "inner").where(
+        f"shiftrightunsigned(xxhash64(_k), 11) / {1 << 53}D * _n < _parts * {SAMPLED}")
+    found = sampled.groupBy(*by).agg(F.expr("max(_parts) AS _parts"), F.expr("array_sort(collect_set(_k)) AS _a"))
+    fine = found.where("_parts > 1").selectExpr(
+        *named(by), "array_distinct(transform(sequence(1, greatest(_parts - 1, 1)), i -> get(_a, CAST(floor(i * size(_a) / _parts) AS INT)))) AS _fine")
+    return fine.selectExpr("*", "CAST(floor(sqrt(size(_fine))) AS INT) AS _step").selectExpr("*", "filter(_fine, (x, i) -> i % _step = 0) AS _coarse")
+
+
+def with_slices(df: DataFrame, by: Sequence[str], found: DataFrame, keys: dict[str, str]) -> DataFrame:
+    """``df`` with the slice of each key (SQL text of a struct in the order of the borders): number of borders before it (``at``), and
+    slices of its group (``parts``).
+
+    The search looks at the coarse borders first, then at those of one step.
+    """
+    # fewer borders than rows of the input / rows of a slice
+    met = attach(df.selectExpr("*", *[f"{k} AS `_key{name}`" for name, k in keys.items()]), F.broadcast(found), by)
+    met = met.selectExpr("*", *[f"greatest(size(filter(_coarse, b -> b < `_key{name}`)) - 1, 0) * _step AS `_block{name}`" for name in keys])
+    return met.selectExpr(*named(df.columns), *[
+        f"named_struct('at', CASE WHEN _fine IS NULL THEN 0 ELSE `_block{name}` + size(filter(slice(_fine, `_block{name}` + 1, _step), b -> b < `_key{name}`)) END, "
+        f"'parts', CASE WHEN _fine IS NULL THEN 1 ELSE size(_fine) + 1 END) AS `{name}`" for name in keys])
 
 
 def order_once(df: DataFrame, by: Sequence[str], order: Sequence[str], sample: DataFrame | None = None) -> DataFrame:
@@ -77,30 +101,7 @@ def order_once(df: DataFrame, by: Sequence[str], order: Sequence[str], sample: D
     """
     if SLICE in df.columns:
         return df
-    n = slices(df.sparkSession)
-    keys = _key([*[F.col(c) for c in by], *_ascending(df, order)])
-    return with_slices(df, borders(df if sample is None else sample, by, order, n), n, {SLICE: keys})
-
-
-def _key(columns: Sequence[Column]) -> Column:
-    return F.struct(*[k.alias(f"k{i}") for i, k in enumerate(columns)])
-
-
-def with_slices(df: DataFrame, found: DataFrame, n: int, keys: dict[str, Column]) -> DataFrame:
-    """``df`` with the slice of each key (a struct in the order of the borders): the number of borders before it.
-
-    The search looks at every ``step``-th border first, then at those of one step.
-    """
-    step = max(1, math.isqrt(n))
-
-    def before(borders: str | Column, key: str) -> Column:
-        return F.size(F.filter(borders, lambda b: b < F.col(key)))
-
-    # the borders are one row of fewer than ``n`` keys
-    met = df.select("*", *[k.alias(f"_key{name}") for name, k in keys.items()]).join(F.broadcast(found))
-    met = met.select("*", *[(F.greatest(before("_coarse", f"_key{name}") - 1, F.lit(0)) * step).alias(f"_block{name}") for name in keys])
-    return met.select(*df.columns, *[
-        (F.col(f"_block{name}") + before(F.slice("_fine", F.col(f"_block{name}") + 1, step), f"_key{name}")).alias(name) for name in keys])
+    return with_slices(df, by, borders(df if sample is None else sample, by, order), {SLICE: key_of(df, order)})
 
 
 def running(
@@ -116,8 +117,8 @@ def running(
     Exclusive totals cover the rows before the current one (0 for a sum, NULL for a maximum at the first row).
     """
     laid = order_once(df, by, order, sample)
-    # a group crosses at most all borders, and a border lies in one group: fewer rows than slices
-    return _two_level(laid, by, order, totals, inclusive, F.broadcast)
+    # no more offsets than borders
+    return _two_level(laid, by, order, totals, inclusive, F.broadcast, laid.where(F.col(SLICE)["parts"] > 1))
 
 
 def running_whole(
@@ -135,35 +136,28 @@ def running_whole(
 
 
 def _two_level(df, by, order, totals, inclusive, placed, counted=None) -> DataFrame:
-    keys = [*by, SLICE]
-    whole = Window.partitionBy(*keys).orderBy(*sort_keys(order))
-    window = whole.rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
-    calls = {"sum": F.sum, "max": F.max}
-    local = df.select(
-        "*",
-        *[
-            (F.coalesce(F.sum(c).over(window), F.lit(0)) if f == "sum" else F.max(c).over(window)).alias(name)
-            for name, (f, c) in totals.items()
-        ],
-    )
-    per_slice = (df if counted is None else counted).groupBy(*keys).agg(*[calls[f](c).alias(f"_t_{name}") for name, (f, c) in totals.items()])
-    in_order = Window.partitionBy(*by).orderBy(SLICE)
-    before = in_order.rowsBetween(Window.unboundedPreceding, -1)
-    offsets = per_slice.select(
-        *[F.col(c).alias(f"_k_{c}") for c in keys], F.row_number().over(in_order).alias("_nth"),
-        *[calls[f](f"_t_{name}").over(before).alias(f"_o_{name}") for name, (f, _) in totals.items()],
-    ).where("_nth > 1")
-    match = [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in keys]
-    joined = local.join(placed(offsets), match, "left")
-    out = []
-    for c in local.columns:
-        if c not in totals:
-            out.append(F.col(c))
-        elif totals[c][0] == "sum":
-            out.append((F.col(c) + F.coalesce(F.col(f"_o_{c}"), F.lit(0))).alias(c))
-        else:
-            out.append(F.greatest(F.col(c), F.col(f"_o_{c}")).alias(c))
-    return joined.select(*out)
+    keys = named([*by, SLICE])
+    sort = ", ".join(f"`{o[1:]}` DESC" if o.startswith("-") else f"`{o}`" for o in order)
+    frame = "UNBOUNDED PRECEDING AND " + ("CURRENT ROW" if inclusive else "1 PRECEDING")
+    over = f"OVER (PARTITION BY {', '.join(keys)} ORDER BY {sort} ROWS BETWEEN {frame})"
+    names = [c for c in df.columns if c not in totals]
+    values = [c.alias(f"_a_{name}") for name, (_, c) in totals.items()]
+
+    def total(f: str, argument: str, window: str) -> str:
+        return f"coalesce(sum({argument}) {window}, 0)" if f == "sum" else f"max({argument}) {window}"
+
+    local = df.select(*names, *values).selectExpr(*named(names), *[f"{total(f, f'`_a_{name}`', over)} AS `{name}`" for name, (f, _) in totals.items()])
+    source = (df if counted is None else counted).select(*by, SLICE, *values)
+    per_slice = source.groupBy(*by, SLICE).agg(*[F.expr(f"{f}(`_a_{name}`) AS `_t_{name}`") for name, (f, _) in totals.items()])
+    in_order = "OVER (" + (f"PARTITION BY {', '.join(named(by))} " if by else "") + f"ORDER BY {SLICE}"
+    before = f"{in_order} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    offsets = per_slice.selectExpr(
+        *keys, f"row_number() {in_order}) AS _nth", *[f"{f}(`_t_{name}`) {before} AS `_o_{name}`" for name, (f, _) in totals.items()],
+    ).where("_nth > 1").drop("_nth")
+    joined = attach(local, placed(offsets), [*by, SLICE])
+    return joined.selectExpr(*named(names), *[
+        f"`{name}` + coalesce(`_o_{name}`, 0) AS `{name}`" if f == "sum" else f"greatest(`{name}`, `_o_{name}`) AS `{name}`"
+        for name, (f, _) in totals.items()])
 
 
 def numbered(df: DataFrame, by: Sequence[str], order: Sequence[str], out: str) -> DataFrame:
@@ -177,15 +171,14 @@ def numbered_by_hash(df: DataFrame, by: Sequence[str], hashed: str, key: str, si
     The leading bits of the hash are the slice, about ``width`` rows each, so nothing is sampled. Only groups of several slices
     count what lies before a slice.
     """
-    bits = F.greatest(F.ceil(F.log2(F.col(size) / F.lit(float(width)))), F.lit(0)).cast("int")
-    laid = df.withColumn("_bits", bits).withColumn(SLICE, F.call_function("shiftright", F.col(hashed), F.lit(60) - F.col("_bits")))
-    keys = [*by, SLICE]
-    local = laid.withColumn(out, F.row_number().over(Window.partitionBy(*keys).orderBy(hashed, key)).cast("bigint"))
-    counts = laid.where("_bits > 0").groupBy(*keys).agg(F.count(F.lit(1)).alias("_t"))
-    before = Window.partitionBy(*by).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select(*keys, F.sum("_t").over(before).alias("_start"))
-    met = attach(local, starts, keys)
-    return met.withColumn(out, F.col(out) + F.coalesce("_start", F.lit(0))).drop("_start", "_bits", SLICE)
+    laid = df.selectExpr("*", f"CAST(greatest(ceil(log2(`{size}` / {float(width)}D)), 0) AS INT) AS _bits").selectExpr(
+        "*", f"shiftright(`{hashed}`, 60 - _bits) AS {SLICE}")
+    keys = ", ".join(named([*by, SLICE]))
+    local = laid.selectExpr("*", f"row_number() OVER (PARTITION BY {keys} ORDER BY `{hashed}`, `{key}`) AS _local")
+    counts = laid.where("_bits > 0").groupBy(*by, SLICE).agg(F.expr("count(1) AS _t"))
+    part = f"PARTITION BY {', '.join(named(by))} " if by else ""
+    starts = counts.selectExpr(*named([*by, SLICE]), f"sum(_t) OVER ({part}ORDER BY {SLICE} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS _start")
+    return attach(local, starts, [*by, SLICE]).selectExpr(*named(df.columns), f"_local + coalesce(_start, 0) AS `{out}`")
 
 
 def group_size(df: DataFrame, by: Sequence[str], out: str, value: Column | None = None) -> DataFrame:
@@ -217,6 +210,6 @@ def attach(df: DataFrame, right: DataFrame, by: Sequence[str], how: str = "left"
     """Equi-join that keeps NULL keys and the columns of ``df`` first; an empty key joins the one-row side."""
     if not by:
         return df.join(F.broadcast(right), F.lit(True), "inner" if how == "inner" else "left")
-    renamed = right.select(*[F.col(c).alias(f"_j_{c}") if c in by else F.col(c) for c in right.columns])
-    match = [F.col(c).eqNullSafe(F.col(f"_j_{c}")) for c in by]
-    return df.join(renamed, match, how).drop(*[f"_j_{c}" for c in by])
+    match = " AND ".join(f"_l.{c} <=> _r.{c}" for c in named(by))
+    joined = df.alias("_l").join(right.alias("_r"), F.expr(match), how)
+    return joined.selectExpr("_l.*", *[f"_r.{c}" for c in named([c for c in right.columns if c not in by])])

@@ -28,31 +28,57 @@ def tie_totals(
     return running(ties, by, order, totals, sample=df.select(*by, value)).drop(SLICE)
 
 
-def _ranked(df, value, by, out, descending, formula) -> DataFrame:
-    """Shared body: ``formula(last, block)`` gives the rank from the last position and the size of the tie block."""
+def _rank_table(df, value, by, out, descending, formula) -> DataFrame:
+    """One row per group and distinct value; ``formula(last, block)`` gives the rank from the last position and the size of the tie block."""
     present = F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))
     ties = tie_totals(df.where(present), by, value, {"_n": F.lit(1.0)}, descending)
-    ranks = ties.select(*by, value, formula(F.col("cum__n"), F.col("_n")).alias(out))
-    return attach(df, ranks, [*by, value])
+    return ties.select(*by, value, formula(F.col("cum__n"), F.col("_n")).alias(out))
 
 
-def weighted_rank(df: DataFrame, value: str, by: Sequence[str], out: str, weight: str, width: int = 100_000) -> DataFrame:
-    """Average-tie rank where a row counts ``weight`` times; ``value`` holds whole numbers from 0 on, without NULL.
+def _ranked(df, value, by, out, descending, formula) -> DataFrame:
+    return attach(df, _rank_table(df, value, by, out, descending, formula), [*by, value])
+
+
+def _average(cum: Column, n: Column) -> Column:
+    return cum - (n - F.lit(1.0)) / F.lit(2.0)
+
+
+def weighted_ranks(
+    df: DataFrame, values: dict[str, str], by: Sequence[str], weight: str, reach: Column | None = None, width: int = 100_000
+) -> DataFrame:
+    """Average-tie ranks (``{out: value}``) where a row counts ``weight`` times; values are whole numbers from 0 on, without NULL.
 
     Whole numbers are their own slices (``width`` of them each): ties are aggregated, then summed inside their slice, and each slice
-    starts from the totals of those before it.
+    starts from the totals of those before it. Every rank is taken of ``df`` itself and joined in the end. ``reach`` is an upper
+    bound of a group's numbers, where known.
     """
-    ties = df.groupBy(*by, value).agg(F.sum(weight).alias("_n"))
-    placed = running_whole(ties, by, value, {"_cum": ("sum", F.col("_n"))}, width=width)
-    rank = F.col("_cum") - (F.col("_n") - F.lit(1.0)) / F.lit(2.0)
-    return attach(df, placed.select(*by, value, rank.alias(out)), [*by, value])
+    out = df
+    for name, value in values.items():
+        sums = [F.sum(weight).alias("_n"), *([] if reach is None else [F.max(reach).alias("_reach")])]
+        ties = df.groupBy(*by, value).agg(*sums)
+        placed = running_whole(ties, by, value, {"_cum": ("sum", F.col("_n"))}, reach=None if reach is None else F.col("_reach"), width=width)
+        rank = F.col("_cum") - (F.col("_n") - F.lit(1.0)) / F.lit(2.0)
+        out = attach(out, placed.select(*by, value, rank.alias(name)), [*by, value])
+    return out
+
+
+def weighted_rank(df: DataFrame, value: str, by: Sequence[str], out: str, weight: str, width: int = 100_000) -> DataFrame:
+    return weighted_ranks(df, {out: value}, by, weight, width=width)
 
 
 def average_rank(
     df: DataFrame, value: str, by: Sequence[str] = (), out: str = "rank", descending: bool = False
 ) -> DataFrame:
     """Average-tie rank per group; NULL and NaN get no rank."""
-    return _ranked(df, value, by, out, descending, lambda cum, n: cum - (n - F.lit(1.0)) / F.lit(2.0))
+    return _ranked(df, value, by, out, descending, _average)
+
+
+def average_ranks(df: DataFrame, values: dict[str, str], by: Sequence[str] = ()) -> DataFrame:
+    """Average-tie ranks of several columns (``{out: value}``), each taken of ``df`` itself and joined in the end."""
+    out = df
+    for name, value in values.items():
+        out = attach(out, _rank_table(df, value, by, name, False, _average), [*by, value])
+    return out
 
 
 def min_rank(

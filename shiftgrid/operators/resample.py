@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from shiftgrid.functions.scalars import draw, hash_key
 from shiftgrid.operators.ordered import attach, attach_stats, group_size, numbered, numbered_by_hash
-from shiftgrid.operators.ranks import average_rank, weighted_rank
+from shiftgrid.operators.ranks import average_ranks, weighted_ranks
 from shiftgrid.operators.stats import corr_expr, finite, rel_rmse_expr, weighted_corr_expr
 from shiftgrid.session import cut
 
@@ -71,12 +71,10 @@ def bootstrap_spearman(
     columns = sorted({c for p in pairs.values() for c in p})
     # twice the average rank is a whole number with the order and the ties of the value: ranked once, compared cheaply
     base = df.select(*by, key, *columns)
-    for c in columns:
-        base = average_rank(base, c, by, f"_o_{c}")
-    base = base.select(*by, key, *[(F.col(f"_o_{c}") * 2).cast("bigint").alias(f"_o_{c}") for c in columns])
-    drawn = bootstrap(base, by, key, [f"_o_{c}" for c in columns], B, seed)
-    for c in columns:
-        drawn = weighted_rank(drawn, f"_o_{c}", [*by, "b"], f"_r_{c}", "w")
+    base = average_ranks(base, {f"_o_{c}": c for c in columns}, by)
+    base = group_size(base.select(*by, key, *[(F.col(f"_o_{c}") * 2).cast("bigint").alias(f"_o_{c}") for c in columns]), by, "_size")
+    drawn = bootstrap(base, by, key, [*[f"_o_{c}" for c in columns], "_size"], B, seed)
+    drawn = weighted_ranks(drawn, {f"_r_{c}": f"_o_{c}" for c in columns}, [*by, "b"], "w", F.col("_size") * 2)
     return drawn.groupBy(*by, "b").agg(
         *[
             weighted_corr_expr(F.col(f"_r_{x}"), F.col(f"_r_{y}"), F.col("w")).alias(name)

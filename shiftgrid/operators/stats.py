@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shiftgrid.operators.ordered import SLICE, attach, attach_stats, running
-from shiftgrid.operators.ranks import average_rank, tie_totals, top_abs
+from shiftgrid.operators.ranks import average_ranks, tie_totals, top_abs
 
 
 def finite(*cols: str) -> Column:
@@ -47,7 +47,7 @@ def spearman(
 ) -> DataFrame:
     """Pearson correlation of average-tie ranks over the rows where both sides are finite; NULL below ``min_n`` rows."""
     both = df.where(finite(a, b)).select(*by, F.col(a).alias("_a"), F.col(b).alias("_b"))
-    ranked = average_rank(average_rank(both, "_a", by, "_ra"), "_b", by, "_rb")
+    ranked = average_ranks(both, {"_ra": "_a", "_rb": "_b"}, by)
     found = ranked.groupBy(*by).agg(
         corr_expr(F.col("_ra"), F.col("_rb")).alias(out), F.count(F.lit(1)).alias("n")
     )

@@ -1,6 +1,6 @@
 """Session settings, and ``cut``: the end of a lineage in a table of the shared folder.
 
-Nothing here looks at the size of the data: every operator has one plan, whatever the volume.
+Every operator has one plan, whatever the volume.
 """
 
 from __future__ import annotations
@@ -10,8 +10,10 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-# Number of range slices of an ordered group; 0 = take spark.sql.shuffle.partitions.
+# Most slices of an ordered group; 0 = take spark.sql.shuffle.partitions.
 SLICES_KEY = "spark.shiftgrid.slices"
+# Rows of a group that one task sorts.
+ROWS_KEY = "spark.shiftgrid.rows"
 
 
 def get_session(app: str = "shiftgrid", **conf: str) -> SparkSession:
@@ -21,6 +23,8 @@ def get_session(app: str = "shiftgrid", **conf: str) -> SparkSession:
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        # recording the source line of every column expression costs several calls to the JVM each
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
     if conf.get("spark__master", "").startswith("local"):
         # on one machine a handful of partitions is already right, and merging them would leave cores idle
@@ -83,3 +87,7 @@ def release(spark: SparkSession) -> None:
 def slices(spark: SparkSession) -> int:
     n = int(spark.conf.get(SLICES_KEY, "0"))
     return n or int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def rows_per_slice(spark: SparkSession) -> int:
+    return int(spark.conf.get(ROWS_KEY, "1000000"))

@@ -7,7 +7,7 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-from shiftgrid.session import SLICES_KEY, get_session  # noqa: E402
+from shiftgrid.session import ROWS_KEY, SLICES_KEY, get_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
@@ -20,9 +20,11 @@ def spark():
     return s
 
 
-@pytest.fixture(params=[1, 3])
+@pytest.fixture(params=[1_000_000, 2])
 def mode(request, spark):
     """Ordered operators with one slice and with several; both must agree."""
-    spark.conf.set(SLICES_KEY, str(request.param))
+    spark.conf.set(ROWS_KEY, str(request.param))
+    spark.conf.set(SLICES_KEY, "5")
     yield request.param
+    spark.conf.unset(ROWS_KEY)
     spark.conf.set(SLICES_KEY, "0")
