@@ -328,10 +328,12 @@ def recall_report(cases: DataFrame, kmax: int = 200, B_null: int = 200, seed: in
 # ------------------------------------------------------------------------------------------------------------- edges
 def benchmark_edges(
     edges: DataFrame, truth: DataFrame, scope: str, region: str, score: str, truth_set: str, names: Sequence[str],
-    kind: str = "edge_type",
+    kind: str = "edge_type", only: DataFrame | None = None,
 ) -> DataFrame:
     """AUROC / AUPR of edge scores against overlap with each truth set, per scope and edge type; one-class cases drop out.
 
+    ``only`` (scope, kind, truth set) names the cases to be scored; without it, all are.
+
     ``edges``: scope, edge_type, region text, score. ``truth``: set name, chrom, start, end. The scores are laid out once
     for all truth sets; each set then adds its positives only, so edges are never repeated per set.
     """
@@ -343,7 +345,9 @@ def benchmark_edges(
     ).where(F.col("chrom").isNotNull() & finite("_s")))
     ties = tie_totals(parsed, case, "_s", {"_all": F.lit(1.0)}, descending=True)
     hits = overlap_sets(parsed, truth, truth_set, names)
-    positives = parsed.join(hits, place).groupBy(*case, truth_set, "_s").agg(F.count(F.lit(1)).cast("double").alias("_p"))
+    met = parsed.join(hits, place)
+    met = met if only is None else met.join(only, [*case, truth_set], "left_semi")
+    positives = met.groupBy(*case, truth_set, "_s").agg(F.count(F.lit(1)).cast("double").alias("_p"))
     by = [*case, truth_set]
     at = cut(attach(positives, ties, [*case, "_s"]))
     walked = running(at, by, ["-_s"], {"_cum_p": ("sum", F.col("_p"))})
@@ -361,3 +365,35 @@ def benchmark_edges(
         F.col("_pos_n").cast("bigint").alias("n_hits"), (F.col("_wins") / (F.col("_pos_n") * (F.col("_all_n") - F.col("_pos_n")))).alias("auroc"),
         (F.col("_area") / F.col("_pos_n")).alias("aupr"),
     )
+
+
+def routed_cases(edges: DataFrame, routes: DataFrame, scope: str, factor: str, truth_set: str) -> DataFrame:
+    """(scope, factor, truth set) to be scored, with ``fallback``.
+
+    ``routes`` (truth set, own): a truth set that belongs to a factor is held against that factor's edges alone. Where a scope has
+    no edges of it, all its factors are scored, marked as a fallback; a truth set without a factor is held against all, unmarked.
+    """
+    known = cut(edges.select(scope, factor).distinct())
+    asked = with_each(known.select(scope).distinct(), routes.select(truth_set, "own"))
+    own = known.select(F.col(scope).alias("_scope"), F.col(factor).alias("_factor"))
+    found = asked.join(own, (F.col(scope) == F.col("_scope")) & (F.col("own") == F.col("_factor")), "left").select(
+        scope, truth_set, "own", F.col("_factor").isNotNull().alias("_has"))
+    every = found.join(known, scope).where(~F.col("_has") | (F.col(factor) == F.col("own")))
+    return every.select(scope, factor, truth_set, (F.col("own").isNotNull() & ~F.col("_has")).alias("fallback"))
+
+
+def benchmark_factor_edges(
+    edges: DataFrame, truth: DataFrame, routes: DataFrame, scope: str, factor: str, region: str, score: str, truth_set: str, names: Sequence[str],
+) -> DataFrame:
+    """``benchmark_edges`` per factor, each truth set against its own factor, and ``n_fallbacks``: how many (scope, truth set) pairs of
+    the whole report had to take all factors instead; such rows are to be read with care."""
+    cases = cut(routed_cases(edges, routes.where(F.col(truth_set).isin(list(names))), scope, factor, truth_set))
+    rows = benchmark_edges(edges, truth, scope, region, score, truth_set, names, factor, cases)
+    marked = rows.join(cases.withColumnRenamed(truth_set, "ground_truth"), [scope, factor, "ground_truth"])
+    missed = cases.where("fallback").agg(F.count_distinct(F.struct(scope, truth_set)).alias("n_fallbacks"))
+    return attach(marked, missed, []).withColumn("edge_type", F.concat(F.lit("TF_RE_binding["), F.col(factor), F.lit("]"))).drop(factor)
+
+
+def pooled(truth: DataFrame, truth_set: str, names: Sequence[str], into: str = "hic_loops") -> DataFrame:
+    """Truth intervals in which the named sets are one set: loops of several sources are one truth for region-gene edges."""
+    return truth.withColumn(truth_set, F.when(F.col(truth_set).isin(list(names)), into).otherwise(F.col(truth_set)))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Sequence
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -54,6 +55,10 @@ def read_mtx(spark: SparkSession, folder: str, pattern: str = "*", lines=read_li
         .when((r == F.col("_nc")) & (c == F.col("_nf")), "cells_by_features").alias("_way"),
     )
     require_empty(shape.where(F.col("_way").isNull()).select("prefix"), "matrix shape fits neither orientation")
+    # the third figure of the header counts the entries; every entry must lie inside the matrix
+    lines = data.groupBy("prefix").agg((F.count(F.lit(1)) - 1).alias("_lines"))
+    wrong = lines.join(head, "prefix").where(~F.col("_lines").eqNullSafe(F.try_element_at("_dims", F.lit(3)).cast("bigint")))
+    require_empty(wrong.select("prefix"), "number of entries differs from the header")
     entries = attach_stats(data, shape, ["prefix"], "inner").where(F.col("place") != F.col("head_place"))
     first, second = F.element_at(fields, 1).cast("bigint"), F.element_at(fields, 2).cast("bigint")
     straight = F.col("_way") == "features_by_cells"
@@ -61,6 +66,9 @@ def read_mtx(spark: SparkSession, folder: str, pattern: str = "*", lines=read_li
         "prefix", F.when(straight, first).otherwise(second).alias("_f"),
         F.when(straight, second).otherwise(first).alias("_c"), F.element_at(fields, 3).cast("double").alias("count"),
     )
+    outside = attach_stats(triples, sizes.select("prefix", "_nc", "_nf"), ["prefix"], "inner").where(
+        ~F.coalesce(F.col("_f").between(1, F.col("_nf")) & F.col("_c").between(1, F.col("_nc")), F.lit(False)))
+    require_empty(outside.select("prefix"), "an entry has no label")
     counts = triples.join(
         cells.select("prefix", F.col("index").alias("_c"), F.col("label").alias("cell_id")), ["prefix", "_c"]
     ).join(feats.select("prefix", F.col("index").alias("_f"), F.col("label").alias("feature_id")), ["prefix", "_f"])
@@ -88,48 +96,84 @@ def read_mtx_pseudobulk(
     return counts.groupBy(sample.alias("sample"), "feature_id").agg(F.sum("count").alias("count"))
 
 
-def read_table(spark: SparkSession, path: str | list[str], sep: str | None = None) -> DataFrame:
-    """A delimited file with a header as strings; the separator follows from the extension."""
-    first = path if isinstance(path, str) else path[0]
-    sep = sep or ("," if re.search(r"\.csv(\.gz)?$", first) else "\t")
-    return spark.read.csv(path, sep=sep, header=True)
+@dataclass
+class Wide:
+    """A delimited file as rows of text cells: however many columns it has, a plan node holds one array."""
 
+    names: list[str]
+    rows: DataFrame  # cells: array<string>, in the order of the names
 
-def to_long(df: DataFrame, index: str, columns: Sequence[str], gene: str = "gene", sample: str = "sample") -> DataFrame:
-    return df.select(F.col(index).alias(gene), *columns).unpivot([gene], list(columns), sample, "value")
+    def at(self, name: str) -> int:
+        if name not in self.names:
+            raise GuardError(f"no column {name!r} in {self.names[:20]}")
+        return self.names.index(name)
 
 
-def coerce_numeric(
-    df: DataFrame, index: str, deny: Sequence[str] = (), min_cols: int = 2, max_bad: float = 0.05
-) -> DataFrame:
-    """Keeps the columns where at most 5 % of the cells fail to parse (failures become 0), in one pass over the file."""
-    candidates = [c for c in df.columns if c != index and c not in set(deny)]
-    bad = df.agg(*[F.avg(F.col(c).try_cast("double").isNull().cast("double")).alias(c) for c in candidates]).first()
-    kept = [c for c in candidates if bad[c] is not None and bad[c] <= max_bad]
+def _fields(line: str, sep: str) -> str:
+    """SQL text that splits a line at ``sep``; quoted fields may hold it, and a doubled quote is one quote."""
+    plain = "\\t" if sep == "\t" else re.escape(sep).replace("\\", "\\\\")
+    quoted = f"regexp_extract_all(concat({line}, '{plain}'), '(\"(?:[^\"]|\"\")*\"|[^{plain}]*){plain}', 1)"
+    opened = f"transform({quoted}, x -> CASE WHEN x LIKE '\"%\"' THEN replace(substring(x, 2, length(x) - 2), '\"\"', '\"') ELSE x END)"
+    return f"CASE WHEN instr({line}, '\"') > 0 THEN {opened} ELSE split({line}, '{plain}', -1) END"
+
+
+def read_table(spark: SparkSession, path: str | list[str], sep: str | None = None) -> Wide:
+    """A delimited file with a header; the separator follows from the extension. One line is one row.
+
+    The header is the first line; parts of a folder repeat it, and lines equal to it are no data. A row may be shorter than the
+    header (its last cells are NULL); more cells than names are refused where they are read.
+    """
+    first = path if isinstance(path, str) else path[0]
+    sep = sep or ("," if re.search(r"\.csv(\.gz)?$", first) else "\t")
+    lines = spark.read.text(path).where(F.col("value") != "")
+    head = lines.first()
+    if head is None:
+        return Wide([], spark.createDataFrame([], "cells array<string>"))
+    names = spark.createDataFrame([(head["value"],)], "value string").selectExpr(f"{_fields('value', sep)} AS cells").first()["cells"]
+    rows = lines.where(F.col("value") != F.lit(head["value"])).selectExpr(f"{_fields('value', sep)} AS cells")
+    fits = F.when(F.size("cells") <= len(names), F.col("cells"))
+    return Wide(list(names), rows.select(F.coalesce(fits, F.raise_error(F.lit(f"a row has more than {len(names)} cells"))).alias("cells")))
+
+
+def to_long(wide: Wide, index: str, columns: Sequence[str], gene: str = "gene", sample: str = "sample") -> DataFrame:
+    """(gene, sample, value) of the named columns; unreadable and missing cells become 0."""
+    kept = set(columns)
+    # the names travel as one literal; a column that is not kept has an empty one
+    marks = F.split(F.lit("\x1f".join(n if n in kept else "" for n in wide.names)), "\x1f", -1)
+    width = F.lit(len(wide.names))
+    whole = F.transform(F.sequence(F.lit(1), width), lambda i: F.try_element_at("cells", i))
+    cells = wide.rows.select(F.get("cells", F.lit(wide.at(index))).alias(gene), F.posexplode(whole).alias("_at", "_cell"))
+    named = cells.select(gene, F.get(marks, F.col("_at")).alias(sample), F.coalesce(F.col("_cell").try_cast("double"), F.lit(0.0)).alias("value"))
+    return named.where(F.col(sample) != "")
+
+
+def numeric_columns(wide: Wide, index: str, deny: Sequence[str] = (), min_cols: int = 2, max_bad: float = 0.05) -> list[str]:
+    """The columns where at most 5 % of the cells fail to parse: bad cells are counted by position, in one pass over the file."""
+    width = F.lit(len(wide.names))
+    flags = F.transform(F.sequence(F.lit(1), width), lambda i: F.try_element_at("cells", i).try_cast("double").isNull().cast("double"))
+    bad = wide.rows.select(F.posexplode(flags).alias("_at", "_bad")).groupBy("_at").agg(F.avg("_bad").alias("bad"))
+    fine = {r["_at"] for r in bad.where(F.col("bad") <= max_bad).collect()}  # at most one row per column
+    kept = [c for i, c in enumerate(wide.names) if i in fine and c != index and c not in set(deny)]
     if len(kept) < min_cols:
         raise GuardError(f"only {len(kept)} numeric column(s): kept {kept}")
-    return _numbers(df, index, kept)
+    return kept
 
 
-def select_by_regex(df: DataFrame, index: str, pattern: str) -> DataFrame:
-    """Keeps the columns whose name matches from its start; unreadable cells become 0."""
-    kept = [c for c in df.columns if c != index and re.match(pattern, c)]
+def matching_columns(wide: Wide, index: str, pattern: str) -> list[str]:
+    """The columns whose name matches from its start."""
+    kept = [c for c in wide.names if c != index and re.match(pattern, c)]
     if not kept:
-        raise GuardError(f"{pattern!r} matches no column of {df.columns}")
-    return _numbers(df, index, kept)
-
-
-def _numbers(df: DataFrame, index: str, kept: Sequence[str]) -> DataFrame:
-    return df.select(index, *[F.coalesce(F.col(c).try_cast("double"), F.lit(0.0)).alias(c) for c in kept])
+        raise GuardError(f"{pattern!r} matches no column of {wide.names[:20]}")
+    return kept
 
 
 def read_wide_matrix(
     spark: SparkSession, path: str, index: str, pattern: str | None = None, deny: Sequence[str] = (), sep: str | None = None
 ) -> DataFrame:
     """A genes-by-samples file as (gene, sample, value)."""
-    df = read_table(spark, path, sep)
-    wide = select_by_regex(df, index, pattern) if pattern else coerce_numeric(df, index, deny)
-    return to_long(wide, index, [c for c in wide.columns if c != index])
+    wide = read_table(spark, path, sep)
+    wide.at(index)
+    return to_long(wide, index, matching_columns(wide, index, pattern) if pattern else numeric_columns(wide, index, deny))
 
 
 def read_per_sample(

@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import gzip
 import io
+import json
 from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from shiftgrid.operators.filters import require_empty
+from shiftgrid.sources.opened import opener
 
 
 def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -27,35 +29,85 @@ def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     )
 
 
-def read_text_sniff(spark: SparkSession, path: str | list[str], encoding: str = "utf-8") -> DataFrame:
+def sniffed_source() -> type[DataSource]:
+    """The data source class; made here, so that it travels to the workers with its code."""
+
+    opened = opener()
+
+    class Part(InputPartition):
+        def __init__(self, path: str, start: int, end: int | None):
+            self.path, self.start, self.end = path, start, end  # no end: the whole file as a stream
+
+    class Reader(DataSourceReader):
+        def __init__(self, options: dict):
+            self.files = json.loads(options["files"])
+            self.block, self.encoding = int(options["block"]), options["encoding"]
+
+        def partitions(self) -> list[InputPartition]:
+            parts: list[InputPartition] = []
+            for path, size in self.files:
+                system, inside = opened(path)
+                with system.open_input_stream(inside, compression=None) as stream:
+                    packed = stream.read(2) == b"\x1f\x8b"
+                if packed or self.encoding != "utf-8":
+                    parts.append(Part(path, 0, None))
+                else:
+                    parts += [Part(path, a, min(a + self.block, size)) for a in range(0, size, self.block)]
+            return parts
+
+        def lines(self, part: Part) -> Iterator[str]:
+            system, inside = opened(part.path)
+            if part.end is None:
+                with system.open_input_stream(inside, compression=None) as raw:
+                    stream = io.BufferedReader(raw, 1 << 20)
+                    if stream.peek(2)[:2] == b"\x1f\x8b":
+                        stream = gzip.GzipFile(fileobj=stream)
+                    for line in io.TextIOWrapper(stream, encoding=self.encoding):
+                        yield line.rstrip("\r\n")
+                return
+            with system.open_input_file(inside) as raw:
+                # a line belongs to the part in which it starts
+                at = part.start
+                if at:
+                    raw.seek(at - 1)
+                stream = io.BufferedReader(raw, 1 << 20)
+                if at:
+                    at += len(stream.readline()) - 1
+                while at < part.end:
+                    line = stream.readline()
+                    at += len(line)
+                    yield line.decode(errors="replace").rstrip("\r\n")
+
+        def read(self, part: Part) -> Iterator[tuple]:
+            base = part.path.rsplit("/", 1)[-1]
+            for i, line in enumerate(self.lines(part)):
+                yield base, part.start, i, line
+
+    class SniffedText(DataSource):
+        @classmethod
+        def name(cls) -> str:
+            return "sniffed_text"
+
+        def schema(self) -> str:
+            return "file_name string, block long, row long, line string"
+
+        def reader(self, schema) -> DataSourceReader:
+            return Reader(self.options)
+
+    return SniffedText
+
+
+def read_text_sniff(spark: SparkSession, path: str | list[str], encoding: str = "utf-8", block: int = 128 << 20) -> DataFrame:
     """The same rows for files that are gzip or plain by content, not by name; UTF-16 on request.
 
-    Spark picks a codec by extension and fails on a plain file named ``.gz``. A gzip stream cannot be split anyway, so one
-    file is one unit of work; lines leave the worker in batches.
+    Spark picks a codec by extension and fails on a plain file named ``.gz``. Two bytes of each file tell them apart: plain UTF-8
+    files are read by byte range, ``block`` bytes a task; a gzip stream cannot be split and is read as a stream. No file is ever
+    held whole.
     """
-
-    def decode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for name, content in zip(frame["path"], frame["content"]):
-                raw = io.BytesIO(content)
-                stream = gzip.GzipFile(fileobj=raw) if content[:2] == b"\x1f\x8b" else raw
-                base, batch, at = name.rsplit("/", 1)[-1], [], 0
-                for line in io.TextIOWrapper(stream, encoding=encoding):
-                    batch.append(line.rstrip("\r\n"))
-                    if len(batch) == 50_000:
-                        yield _batch(base, at, batch)
-                        at, batch = at + len(batch), []
-                if batch:
-                    yield _batch(base, at, batch)
-
-    def _batch(base: str, at: int, lines: list[str]) -> pd.DataFrame:
-        return pd.DataFrame({"file_name": base, "row": range(at, at + len(lines)), "line": lines})
-
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    rows = files.mapInPandas(decode, "file_name string, row long, line string")
-    return rows.select(
-        "file_name", F.struct(F.lit(0).cast("bigint").alias("block"), F.col("row")).alias("place"), "line"
-    )
+    spark.dataSource.register(sniffed_source())
+    files = [[r["path"], r["length"]] for r in spark.read.format("binaryFile").load(path).select("path", "length").collect()]  # the listing
+    rows = spark.read.format("sniffed_text").options(files=json.dumps(files), block=str(int(block)), encoding=encoding).load()
+    return rows.select("file_name", F.struct("block", "row").alias("place"), "line")
 
 
 def find_header(lines: DataFrame, id_col: str, lookahead: int = 5) -> DataFrame:

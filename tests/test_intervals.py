@@ -81,3 +81,52 @@ def test_near_join(spark):
     e = spark.createDataFrame([("c", 0, 10, "e1"), ("c", 500, 510, "e2"), ("d", 0, 10, "e3")], "chrom string, start bigint, end bigint, e string")
     s = spark.createDataFrame([("c", 105, "g")], "chrom string, tss bigint, g string")
     assert [(r["e"], r["distance"]) for r in iv.near_join(e, s, 100, "e", "g").collect()] == [("e1", 100)]
+
+
+def test_wide_fragments_make_few_rows(spark):
+    """One interval of a million positions over peaks of one: the interval has one or two bins, each peak one per level."""
+    peaks = frame(spark, [("c", p, p + 1, p) for p in range(0, 1_000_000, 50_000)], ", peak int")
+    long = frame(spark, [("c", 7, 1_000_007, 1)], ", cell int")
+    assert iv.tiered(long, iv.levels(peaks), min(iv.levels(peaks))).count() <= 2
+    assert iv.tiered(peaks, iv.levels(long), min(iv.levels(long))).count() <= 2 * 20
+    got = {r["peak"]: r["n"] for r in iv.count_overlaps(long, peaks, "cell", "peak", salt=2).collect()}
+    assert got == {p: 1 for p in range(50_000, 1_000_000, 50_000)}
+
+
+def test_overlap_pairs_of_all_lengths(spark):
+    rng = np.random.default_rng(8)
+    def some(n, far):
+        return [("c", int(s), int(s + w), i) for i, (s, w) in enumerate(zip(rng.integers(-50, far, n), np.exp2(rng.uniform(0, 9, n)).astype(int), strict=True))]
+    a, b = some(60, 900), some(70, 900)
+    got = sorted((r["x"], r["y"]) for r in iv.overlap_pairs(frame(spark, a, ", x int"), frame(spark, b, ", y int"), ["chrom"], ["x"], ["y"]).collect())
+    assert got == sorted((x, y) for _, s, e, x in a for _, t, f, y in b if s < f and e > t)
+
+
+def test_near_join_as_brute_force(spark, mode):
+    rng = np.random.default_rng(4)
+    e = [("c" if i % 3 else "d", int(p), int(p) + 4, f"e{i}") for i, p in enumerate(rng.integers(0, 400, 60))]
+    s = [("c" if i % 2 else "d", int(p), f"g{i}") for i, p in enumerate(rng.integers(0, 400, 50))] + [("c", 200, "g_same")] * 3
+    elements = spark.createDataFrame(e, "chrom string, start bigint, end bigint, e string")
+    sites = spark.createDataFrame(s, "chrom string, tss bigint, g string")
+    got = sorted((r["e"], r["g"], r["distance"]) for r in iv.near_join(elements, sites, 30, "e", "g").collect())
+    assert got == sorted((n, g, abs(p + 2 - t)) for c, p, _, n in e for k, t, g in s if c == k and abs(p + 2 - t) <= 30)
+
+
+def test_crowded_place_is_many_slices(spark):
+    """A third of all sites within one band: they fall into many slices, each of about the asked size."""
+    from pyspark.sql import functions as F
+
+    from shiftgrid.operators.ordered import borders, with_slices
+    from shiftgrid.session import ROWS_KEY, SLICES_KEY
+
+    sites = spark.range(3_000).selectExpr("'c' AS chrom", "CASE WHEN id % 3 = 0 THEN 500 ELSE id * 1000 END AS _pos", "xxhash64(id) AS _tie")
+    spark.conf.set(ROWS_KEY, "100")
+    spark.conf.set(SLICES_KEY, "40")
+    try:
+        key = {"_own": "named_struct('k0', _pos, 'k1', _tie)"}
+        hot = with_slices(sites, ["chrom"], borders(sites, ["chrom"], ["_pos", "_tie"]), key).where("_pos = 500")
+        per = [r["n"] for r in hot.groupBy("_own.at").agg(F.count(F.lit(1)).alias("n")).collect()]
+    finally:
+        spark.conf.unset(ROWS_KEY)
+        spark.conf.set(SLICES_KEY, "0")
+    assert len(per) >= 6 and max(per) <= 300

@@ -204,13 +204,20 @@ def _(t):
     return t.spark.read.schema("c_custkey bigint, balance double").csv(path, sep="\t", header=True, nullValue="NA")
 
 
-@query("snk2_provenance", "SELECT s_suppkey, true AS has_input_hash, 10::INTEGER AS config_hash_length FROM supplier")
+@query("snk2_file_hashes", """
+    SELECT c_mktsegment AS segment, substr(md5(string_agg(c_custkey || ',' || c_name || chr(10), '' ORDER BY c_custkey)), 1, 12) AS md5 FROM customer GROUP BY 1""")
 def _(t):
     path = f"{scratch(t)}/input"
-    t.region.write.csv(path)
-    hashes = {f"input_{i}": r["md5"] for i, r in enumerate(sinks.file_hashes(t.spark, f"{path}/part-*").collect())}
-    df = sinks.with_provenance(t.supplier.select("s_suppkey"), hashes, {"seed": 1})
-    return df.select("s_suppkey", (F.length("input_0") == 12).alias("has_input_hash"), F.length("config_hash").alias("config_hash_length"))
+    # one ordered file per segment
+    t.customer.repartition("c_mktsegment").sortWithinPartitions("c_mktsegment", "c_custkey").select(
+        "c_mktsegment", F.concat_ws(",", F.col("c_custkey").cast("string"), "c_name").alias("value")).write.partitionBy("c_mktsegment").text(path)
+    segment = F.regexp_extract(F.url_decode("path"), "c_mktsegment=([^/]+)/", 1)
+    return sinks.file_hashes(t.spark, f"{path}/*/part-*").select(segment.alias("segment"), "md5")
+
+
+@query("snk2_provenance", """SELECT s_suppkey, '0123456789ab' AS input_0, substr(md5('{"ratio": 0.5, "seed": 1}'), 1, 10) AS config_hash FROM supplier""")
+def _(t):
+    return sinks.with_provenance(t.supplier.select("s_suppkey"), {"input_0": "0123456789ab"}, {"seed": 1, "ratio": 0.5})
 
 
 @query("snk3_pivot_report", """

@@ -122,3 +122,33 @@ def _(t):
                       scalars.format_region(F.col("chrom"), F.col("start"), F.col("end")).alias("re"), "value")
     truth = iv.where(F.col("event_type").isin("error", "purchase")).withColumnRenamed("event_type", "truth_set")
     return metrics.benchmark_edges(edges, truth, "scope", "re", "value", "truth_set", ["error", "purchase"])
+
+
+FACTOR_SETS = (("error", "f1"), ("purchase", "f9"), ("loops", None))
+
+
+@query("rp11_factor_edges", f"""
+    WITH truth AS (SELECT DISTINCT CASE WHEN event_type IN ('view', 'signup') THEN 'loops' ELSE event_type END AS s, chrom, start, "end" FROM ivals WHERE event_type <> 'click'),
+         routes AS (SELECT * FROM (VALUES ('error', 'f1'), ('purchase', 'f9'), ('loops', NULL)) v(s, own)),
+         e AS (SELECT event_type AS scope, 'f' || (event_id % 4) AS factor, chrom, start, "end", value FROM ivals),
+         known AS (SELECT DISTINCT scope, factor FROM e),
+         cases AS (SELECT k.scope, k.factor, r.s, r.own IS NOT NULL AND NOT EXISTS (SELECT 1 FROM known o WHERE o.scope = k.scope AND o.factor = r.own) AS fallback
+                   FROM known k, routes r WHERE r.own IS NULL OR r.own = k.factor OR NOT EXISTS (SELECT 1 FROM known o WHERE o.scope = k.scope AND o.factor = r.own)),
+         l AS (SELECT c.scope, c.factor, c.s, fallback, value, CAST(EXISTS (SELECT 1 FROM truth b WHERE b.s = c.s AND e.chrom = b.chrom AND e.start < b."end" AND e."end" > b.start) AS INTEGER) AS y
+               FROM cases c JOIN e ON e.scope = c.scope AND e.factor = c.factor),
+         r AS (SELECT *, {avg_rank_sql('value', 'scope, factor, s')} AS rk FROM l),
+         c AS (SELECT scope, factor, s, bool_or(fallback) AS fallback, count(*) AS n, sum(y) AS p, sum(rk) FILTER (WHERE y = 1) AS sr FROM r GROUP BY 1, 2, 3),
+         g AS (SELECT scope, factor, s, value, sum(y) AS tp, count(*) AS m FROM r GROUP BY 1, 2, 3, 4),
+         w AS (SELECT scope, factor, s, tp, sum(tp) OVER z AS ctp, sum(m) OVER z AS cn FROM g WINDOW z AS (PARTITION BY scope, factor, s ORDER BY value DESC)),
+         a AS (SELECT scope, factor, s, sum(tp * (CAST(ctp AS DOUBLE) / cn)) AS area FROM w GROUP BY 1, 2, 3)
+    SELECT c.scope, 'TF_RE_binding[' || c.factor || ']' AS edge_type, c.s AS ground_truth, n AS n_edges, CAST(p AS BIGINT) AS n_hits,
+           ((sr - p * (p + 1) / 2.0) / (p * (n - p)))::DOUBLE AS auroc, (area / p)::DOUBLE AS aupr, c.fallback,
+           (SELECT count(*) FROM (SELECT DISTINCT scope, s FROM cases WHERE fallback)) AS n_fallbacks
+    FROM c JOIN a ON c.scope = a.scope AND c.factor = a.factor AND c.s = a.s WHERE p > 0 AND p < n""", "auroc aupr", "ivals")
+def _(t):
+    iv = S.ivals(t)
+    edges = iv.select(F.col("event_type").alias("scope"), F.concat(F.lit("f"), (F.col("event_id") % 4).cast("string")).alias("factor"),
+                      scalars.format_region(F.col("chrom"), F.col("start"), F.col("end")).alias("re"), "value")
+    truth = metrics.pooled(iv.where("event_type <> 'click'").withColumnRenamed("event_type", "truth_set"), "truth_set", ["view", "signup"], "loops")
+    routes = t.spark.createDataFrame(FACTOR_SETS, "truth_set string, own string")
+    return metrics.benchmark_factor_edges(edges, truth, routes, "scope", "factor", "re", "value", "truth_set", [n for n, _ in FACTOR_SETS])
