@@ -205,19 +205,36 @@ def bootstrap_projection(
     )
 
 
+def usable_variants(status: DataFrame, mode: str, exclude: Sequence = ()) -> DataFrame:
+    """Variants of a screen that may form a null: of one mode, usable, and of none of the factors under test.
+
+    ``status``: variant, tf, mode, usable. A missing flag is not usable.
+    """
+    kept = (F.col("mode") == mode) & F.coalesce(F.col("usable").cast("boolean"), F.lit(False))
+    own = F.coalesce(F.col("tf").isin(list(exclude)), F.lit(False)) if exclude else F.lit(False)
+    return status.where(kept & ~own).select("variant").distinct()
+
+
 def screen_null(
-    measured: DataFrame, screen: DataFrame, scope: Sequence[str], key: str, real: str, variant: str, shift: str,
-    observed: DataFrame, rho: str = "rho",
+    measured: DataFrame, screen: DataFrame, status: DataFrame, scope: Sequence[str], key: str, real: str, shift: str, observed: DataFrame,
+    mode: str = "ko", exclude: Sequence = (), sign: float = 1.0, least: int = 20, rho: str = "rho",
 ) -> DataFrame:
-    """Where an observed correlation stands among the correlations of all screened variants.
+    """Where an observed correlation stands among the correlations of all screened variants: per scope their number, median, 95th
+    percentile, and the share strictly below (``null_pctile``).
 
-    ``screen`` holds the usable variants of one mode with the tested factors already left out. Percentile = share of
-    variants strictly below.
+    ``screen``: scope, variant, key, shift. Only variants that ``usable_variants`` of ``status`` keeps take part; their shift takes the
+    ``sign`` of the tested contrast. A variant without a correlation does not count. A scope of ``observed`` with fewer than ``least``
+    correlations has no null: that is an error, not a weak one.
     """
+    from shiftgrid.operators.filters import require_empty
     from shiftgrid.operators.stats import spearman
 
-    pairs = screen.select(*scope, key, variant, shift).join(measured.select(*scope, key, real), [*scope, key])
-    each = spearman(pairs, real, shift, [*scope, variant], "_null").where(F.col("_null").isNotNull())
+    used = screen.join(usable_variants(status, mode, exclude), "variant", "left_semi")
+    pairs = used.select(*scope, key, "variant", (F.col(shift) * F.lit(float(sign))).alias("_s")).join(measured.select(*scope, key, real), [*scope, key])
+    each = cut(spearman(cut(pairs), real, "_s", [*scope, "variant"], "_null").where(F.col("_null").isNotNull()))
+    counts = each.groupBy(*scope).agg(F.count(F.lit(1)).alias("_k"))
+    few = attach(observed.select(*scope), counts, scope).where(F.coalesce("_k", F.lit(0)) < int(least))
+    require_empty(few, f"fewer than {least} usable variants of mode {mode!r} are no null")
     both = attach(each, observed.select(*scope, F.col(rho).alias("_obs")), scope, "inner")
     return both.groupBy(*scope).agg(
         F.count(F.lit(1)).alias("null_n"), F.percentile("_null", F.lit(0.5)).alias("null_median"),

@@ -183,18 +183,45 @@ def _(t):
     return metrics.pathway_agreement(S.shifts(t), ["scope"], "gene", sets(t), B, 2)
 
 
-@query("rs6_screen_null", f"""
-    WITH p AS (SELECT m.scope, e.tf, e.weight AS s, m.predicted_shift AS r FROM (SELECT l_returnflag AS scope, l_partkey AS gene, avg(l_quantity) AS predicted_shift FROM lineitem GROUP BY 1, 2) m
-               JOIN edges e ON m.scope = e.scope AND m.gene = e.target),
-         k AS (SELECT scope, tf, {avg_rank_sql('s', 'scope, tf')} AS a, {avg_rank_sql('r', 'scope, tf')} AS b FROM p),
-         c AS (SELECT scope, tf, CASE WHEN stddev_pop(a) > 0 AND stddev_pop(b) > 0 THEN corr(a, b) END AS rho FROM k GROUP BY 1, 2)
-    SELECT scope, count(rho) AS null_n, quantile_cont(rho, 0.5) AS null_median, quantile_cont(rho, 0.95) AS null_p95, avg(CAST(rho < 0.3 AS DOUBLE)) AS null_pctile FROM c GROUP BY scope""",
-       "null_median null_p95 null_pctile", "edges")
-def _(t):
+SCREEN_SQL = f"""
+    st AS (SELECT s_suppkey AS tf, CASE WHEN s_suppkey % 5 = 0 THEN 'oe' ELSE 'ko' END AS mode, s_suppkey % 7 <> 0 AS usable FROM supplier),
+    p AS (SELECT m.scope, e.tf, -e.weight AS s, m.real AS r FROM (SELECT l_returnflag AS scope, l_partkey AS gene, avg(l_quantity) AS real FROM lineitem GROUP BY 1, 2) m
+          JOIN edges e ON m.scope = e.scope AND m.gene = e.target JOIN st ON st.tf = e.tf WHERE st.mode = 'ko' AND st.usable AND st.tf NOT IN (3, 4)),
+    k AS (SELECT scope, tf, {avg_rank_sql('s', 'scope, tf')} AS a, {avg_rank_sql('r', 'scope, tf')} AS b FROM p),
+    c AS (SELECT scope, tf, CASE WHEN stddev_pop(a) > 0 AND stddev_pop(b) > 0 THEN corr(a, b) END AS rho FROM k GROUP BY 1, 2),
+    o AS (SELECT * FROM (VALUES ('A', 0.3), ('N', 0.02), ('R', -0.9)) v(scope, rho)),
+    nl AS (SELECT c.scope, count(c.rho) AS null_n, quantile_cont(c.rho, 0.5) AS null_median, quantile_cont(c.rho, 0.95) AS null_p95, avg(CAST(c.rho < o.rho AS DOUBLE)) AS null_pctile
+           FROM c JOIN o ON c.scope = o.scope WHERE c.rho IS NOT NULL GROUP BY 1)"""
+
+
+def screen_rows(t):
+    """Stand-in of a screen: suppliers are factors, each with one variant; some are of another mode or not usable."""
     m = t.lineitem.groupBy(F.col("l_returnflag").alias("scope"), F.col("l_partkey").alias("gene")).agg(F.avg("l_quantity").alias("real"))
     screen = S.edges(t).select("scope", F.col("target").alias("gene"), F.col("tf").alias("variant"), F.col("weight").alias("shift"))
-    obs = m.select("scope").distinct().withColumn("rho", F.lit(0.3))
-    return resample.screen_null(m, screen, ["scope"], "gene", "real", "variant", "shift", obs)
+    tf = F.col("s_suppkey")
+    status = t.supplier.select(tf.alias("variant"), tf.alias("tf"), F.when(tf % 5 == 0, "oe").otherwise("ko").alias("mode"), (tf % 7 != 0).alias("usable"))
+    observed = m.select("scope").distinct().withColumn("rho", F.when(F.col("scope") == "A", 0.3).when(F.col("scope") == "N", 0.02).otherwise(-0.9))
+    return m, screen, status, observed
+
+
+def held_null(t):
+    m, screen, status, observed = screen_rows(t)
+    return observed, resample.screen_null(m, screen, status, ["scope"], "gene", "real", "shift", observed, "ko", [3, 4], -1.0)
+
+
+@query("rs6_screen_null", f"WITH {SCREEN_SQL} SELECT * FROM nl", "null_median null_p95 null_pctile", "edges")
+def _(t):
+    return held_null(t)[1]
+
+
+@query("rp4_empirical_null", f"""
+    WITH {SCREEN_SQL} SELECT o.scope, CAST(o.rho AS DOUBLE) AS rho, null_n, null_pctile, CASE WHEN null_pctile < 0.95 THEN 'PASS' ELSE 'FAIL' END AS verdict, 'empirical_null' AS verdict_basis
+    FROM o JOIN nl ON o.scope = nl.scope""", "rho null_pctile", "edges")
+def _(t):
+    observed, null = held_null(t)
+    rows = observed.join(null, "scope").withColumns({
+        "n_genes": F.lit(1_000), "pred_shift_sd": F.lit(1.0), **{c: F.col("rho") for c in ("rho_ci_lo", "rho_ci_hi", "excess_ci_lo", "excess_ci_hi")}})
+    return validation.judged(rows, invert=F.lit(True)).select("scope", "rho", "null_n", "null_pctile", "verdict", "verdict_basis")
 
 
 @query("rs7_shuffle_null", f"""

@@ -73,6 +73,17 @@ def _(t):
     return scores(t).drop("sanity_rho", "sanity_pass", "validated_scope").withColumn("tfs", F.col("tfs"))
 
 
+@query("rp7_population_vector", f"""
+    WITH {SCORE_SQL}, pv AS (SELECT l_suppkey AS tf, avg(l_discount) - 0.05 AS vector FROM lineitem GROUP BY 1),
+      pp AS (SELECT scope, ko_id, CASE WHEN count(*) >= 2 THEN sum(shift * vector) / sqrt(sum(vector * vector)) END AS projection_population FROM sh JOIN pv ON sh.tf = pv.tf GROUP BY 1, 2)
+    SELECT score.scope, score.ko_id, status, score, projection, projection_population FROM score LEFT JOIN pp ON score.scope = pp.scope AND score.ko_id = pp.ko_id""",
+       "score projection projection_population", "edges")
+def _(t):
+    whole = t.lineitem.groupBy(F.col("l_suppkey").alias("tf")).agg((F.avg("l_discount") - 0.05).alias("vector"))
+    rows = scoring.perturbation_score(ko_shift(t), vector(t), S.edges(t), members(t), scalars(t), exclude=[3, 4], population=whole)
+    return rows.select("scope", "ko_id", "status", "score", "projection", "projection_population")
+
+
 @query("rp8_noop_reason", f"""
     WITH {SHIFT_SQL}, {MEMBERS_SQL}, b AS (SELECT scope, sample AS tf, avg(value) - 60 AS m FROM expr GROUP BY 1, 2)
     SELECT mem.scope, ko_id, avg(m) AS ko_tf_mean_expr, CASE WHEN max(m) IS NULL THEN 'tf_absent_from_expression_matrix' WHEN NOT max(m) > 1e-6 THEN 'tf_not_expressed_in_scope'
