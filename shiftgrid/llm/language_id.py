@@ -6,7 +6,8 @@ takes the language of its nearest centroid, and is marked as rejected when the n
 
 Null texts and texts without a letter are ``und`` with score 0. A text that shares no cell with any centroid takes the language
 with the most learned texts, with score 0. Ties between centroids go to the language that sorts first. Without a learned text
-everything is ``und``. Repeated rows are judged alike; columns besides the id, the text and the language are ignored.
+everything is ``und``. Repeated rows are judged alike and sampled once; columns besides the id, the text and the language are
+ignored. Bytes that are no UTF-8 count as no letter.
 """
 
 from __future__ import annotations
@@ -16,15 +17,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shiftgrid.llm.common import map_rows, need
+from shiftgrid.session import cut
 
 CELLS = 8192
 UNKNOWN = "und"
-LETTER = re.compile(r"[^\W\d_]")
+PLAIN_LETTER = re.compile(rb"[A-Za-z]")
 # Upper case falls to lower case, everything of ASCII that is no letter becomes a space; other bytes stay.
 FOLD = bytes(
     b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256)
@@ -43,7 +45,8 @@ def cells(text: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def has_letter(text: bytes | None) -> bool:
-    return bool(text) and LETTER.search(text.decode()) is not None
+    """Whether the text holds a letter of any script; figures such as a half or a circled one are none."""
+    return bool(text) and (PLAIN_LETTER.search(text) is not None or any(map(str.isalpha, text.decode(errors="replace"))))
 
 
 @dataclass
@@ -105,25 +108,34 @@ def cluster(x: np.ndarray, k: int, rounds: int = 10) -> np.ndarray:
     return c
 
 
+def sampled(known: DataFrame, id_col: str, text: str, lang: str, per_language: int) -> DataFrame:
+    """_lang, _h, _text: of every language the ``per_language`` different texts whose id and text have the smallest hashes.
+
+    The hashes are chosen first, without the texts; Spark limits them per language before the shuffle.
+    """
+    rows = known.where(F.col(text).rlike(r"\p{L}")).select(F.col(lang).alias("_lang"), F.xxhash64(id_col, text).alias("_h"), F.col(text).alias("_text"))
+    ordered = Window.partitionBy("_lang").orderBy("_h")
+    picked = rows.select("_lang", "_h").distinct().withColumn("_n", F.row_number().over(ordered)).where(F.col("_n") <= per_language)
+    last = cut(picked.groupBy("_lang").agg(F.max("_h").alias("_last")))  # one row per language
+    met = rows.join(last, "_lang").where(F.col("_h") <= F.col("_last"))
+    return met.groupBy("_lang", "_h").agg(F.first("_text").alias("_text"))
+
+
 def fit(docs: DataFrame, learn: Column, id_col: str = "doc_id", text: str = "text", lang: str = "lang", clusters: int = 3,
-        per_language: int = 300, languages: int = 200) -> Centroids:
+        per_language: int = 300) -> Centroids:
     """Learn from the rows where ``learn`` holds and the language is known.
 
-    Document frequencies count all these rows. Centroids are clustered from at most ``per_language`` texts of each of the
-    ``languages`` most common languages, those with the smallest hash of their id.
+    Document frequencies count all these rows. The centroids of every language are clustered in the tasks, each from at most
+    ``per_language`` of its texts; only centroids come to the driver, ``clusters`` rows of at most ``CELLS`` numbers a language.
     """
     need(docs, id_col, text, lang)
     known = docs.where(learn & F.col(lang).isNotNull() & F.col(text).isNotNull())
     df, n = document_frequencies(known, text)
     idf = np.log((1 + n) / (1 + df)) + 0.05
-    sizes = known.groupBy(lang).count().orderBy(F.desc("count"), lang).limit(languages).collect()
-    if not n or not sizes:
-        return Centroids([], np.zeros((0, CELLS)), idf, UNKNOWN)
-    # threshold on the hash of the id: about twice the wanted number of ids of each language, cut exactly afterwards
-    share = F.create_map(*[F.lit(v) for r in sizes for v in (r[lang], min(1.0, 2 * per_language / r["count"] + 0.001))])
-    chosen = known.select(F.col(lang).alias("_lang"), F.xxhash64(F.col(id_col)).alias("_h"), F.col(text).alias("_text")).where(
-        F.pmod(F.col("_h"), F.lit(1_000_000)) < share[F.col("_lang")] * 1_000_000)
     empty = Centroids([], np.zeros((0, CELLS)), idf, UNKNOWN)
+    common = known.groupBy(lang).count().orderBy(F.desc("count"), lang).limit(1).first()
+    if not n or common is None:
+        return empty
 
     def vector():
         def function(texts):
@@ -135,23 +147,25 @@ def fit(docs: DataFrame, learn: Column, id_col: str = "doc_id", text: str = "tex
                     yield (filled.astype(np.int32), empty.weigh(filled, count).astype(np.float32))
         return function
 
-    rows = map_rows(chosen, ["_lang", "_h"], "_text", vector, T.StructType([
+    rows = map_rows(sampled(known, id_col, text, lang, per_language), ["_lang", "_h"], "_text", vector, T.StructType([
         T.StructField("cells", T.ArrayType(T.IntegerType())), T.StructField("weights", T.ArrayType(T.FloatType()))]))
-    by_language: dict[str, list] = {}
-    for r in rows.toLocalIterator():  # bounded: at most a few times per_language rows of each of `languages` languages
-        if len(r["cells"]):
-            by_language.setdefault(r["_lang"], []).append((r["_h"], r["cells"], r["weights"]))
-    names, vectors = [], []
-    for name in sorted(by_language):
-        x = np.zeros((min(per_language, len(by_language[name])), CELLS), np.float32)
-        for i, (_, filled, weights) in enumerate(sorted(by_language[name], key=lambda r: r[:2])[:per_language]):
-            x[i, filled] = weights
+
+    def centroids(group: pa.Table) -> pa.Table:
+        order = np.argsort(group.column("_h").to_numpy(), kind="stable")
+        filled, weights = group.column("cells").to_pylist(), group.column("weights").to_pylist()
+        x = np.zeros((len(order), CELLS), np.float32)
+        for i, r in enumerate(order):
+            x[i, filled[r]] = weights[r]
         c = cluster(x, clusters)
-        names += [name] * len(c)
-        vectors.append(c)
-    if not names:
+        return pa.table({"lang": pa.array([group.column("_lang")[0].as_py()] * len(c), pa.string()), "place": pa.array(range(len(c)), pa.int32()),
+                         "centroid": pa.array([row.astype("<f4").tobytes() for row in c], pa.binary())})
+
+    found = rows.where(F.size("cells") > 0).groupBy("_lang").applyInArrow(centroids, "lang string, place int, centroid binary").collect()
+    if not found:
         return empty
-    return Centroids(names, np.concatenate(vectors), idf, sizes[0][lang])
+    found.sort(key=lambda r: (r["lang"], r["place"]))
+    vectors = np.stack([np.frombuffer(r["centroid"], "<f4") for r in found])
+    return Centroids([r["lang"] for r in found], vectors, idf, common[lang])
 
 
 def identify(docs: DataFrame, model: Centroids, keep: list[str], text: str = "text", nearest: float = 0.15) -> DataFrame:

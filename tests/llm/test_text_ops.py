@@ -323,3 +323,26 @@ def test_nearest_centroid(spark):
     assert got[903]["lang_pred"] in parts and got[903]["rejected"] and not got[0]["rejected"]
     empty = language_id.fit(docs.limit(0), ~held_out("doc_id"))
     assert {r["lang_pred"] for r in language_id.identify(docs, empty, ["doc_id"]).collect()} == {"und"}
+
+
+def test_every_language_is_learned(spark):
+    """300 languages of one text each: none is beyond a limit."""
+    rows = [(i, " ".join(f"{chr(0x4e00 + i)}{chr(0x5e00 + i)}{chr(0x4e00 + i)}" for _ in range(5)), f"l{i:03d}") for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.fit(df, F.lit(True))
+    assert len(set(model.languages)) == 300
+    got = {r["doc_id"]: r["lang_pred"] for r in language_id.identify(df, model, ["doc_id"]).collect()}
+    assert sum(got[i] == lang for i, _, lang in rows) >= 290  # cells are hashed
+
+
+def test_figures_are_no_letters(spark):
+    df = spark.createDataFrame([(1, "plain words here", "en"), (2, "½ ²", "en"), (3, "①②", None), (4, "12 _ 3", None), (5, "日", None)],
+                               "doc_id long, text string, lang string")
+    model = language_id.fit(df, F.lit(True))
+    got = {r["doc_id"]: r["lang_pred"] for r in language_id.identify(df, model, ["doc_id"]).collect()}
+    assert got == {1: "en", 2: "und", 3: "und", 4: "und", 5: "en"}
+
+
+def test_one_text_of_a_language_many_times(spark):
+    df = spark.range(2_000).selectExpr("1L AS doc_id", "'the same words again' AS text", "'en' AS lang")
+    assert language_id.sampled(df, "doc_id", "text", "lang", 300).count() == 1
