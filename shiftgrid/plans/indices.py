@@ -27,24 +27,27 @@ def panel_members(df: DataFrame, panels: DataFrame, gene: str) -> DataFrame:
 def panel_indices(
     shifts: DataFrame, panels: DataFrame, by: Sequence[str], gene: str, shift: str, level: str, first: str, second: str,
     damage: str, B: int = 1000, seed: int = 0, floor: float = 0.25, min_tested: int = 200, min_panel: int = 3,
-    min_damage: int = 10,
+    min_damage: int = 10, toward: tuple[str, str] | None = None,
 ) -> DataFrame:
     """Identity index (mean z of two panels apart), damage index (mean z of one panel), intervals, nulls and calls.
 
-    A call needs an interval off zero and a value beyond the 95th percentile of sets matched by level decile.
+    A call needs an interval off zero and a value beyond the 95th percentile of sets matched by level decile. Beside the signed
+    identity index stand its magnitude, its direction (in the words ``toward``, of the first and the second panel), and the panels'
+    mean z and mean shift.
     """
+    toward = toward or (f"toward {first}", f"toward {second}")
     by = list(by)
     clean = shifts.where(finite(shift, level))
     tested = cut(floor_filter(clean, level, by, floor).select(*by, gene, shift, level))
     size = tested.groupBy(*by).agg(F.count(F.lit(1)).alias("n_genes_tested"), F.stddev_samp(shift).alias("_sd"))
     enough = F.col("n_genes_tested") >= int(min_tested)
     flat = F.coalesce(F.col("_sd"), F.lit(0.0)) == 0
-    z = cut(deciles(zscore(tested, shift, by, "z"), level, by, gene, "decile").select(*by, gene, "z", "decile"))
+    z = cut(deciles(zscore(tested, shift, by, "z"), level, by, gene, "decile").select(*by, gene, "z", "decile", F.col(shift).alias("raw")))
     members = cut(panel_members(z, panels, gene))
     means = members.groupBy(*by).agg(
         *[F.sum((F.col("panel") == p).cast("bigint")).alias(f"n_{n}") for n, p in
           (("first", first), ("second", second), ("damage", damage))],
-        *[F.avg(F.when(F.col("panel") == p, F.col("z"))).alias(f"mean_{n}") for n, p in
+        *[F.avg(F.when(F.col("panel") == p, F.col(c))).alias(f"{name}_{n}") for name, c in (("mean", "z"), ("raw", "raw")) for n, p in
           (("first", first), ("second", second), ("damage", damage))],
     )
     i_ci = intervals(bootstrap_panels(members, by, "panel", first, second, gene, "z", B, seed), by, ["difference"])
@@ -75,7 +78,9 @@ def panel_indices(
     off = is_clear(F.col("difference_ci_lo"), F.col("difference_ci_hi"))
     return j.select(
         *by, "n_genes_tested", n1.alias("n_first"), n2.alias("n_second"), nd.alias("n_damage"), status.alias("status"),
-        i.alias("i_signed"), F.when(i.isNotNull(), F.col("difference_ci_lo")).alias("i_ci_lo"),
+        i.alias("i_signed"), F.abs(i).alias("i_abs"), F.when(i > 0, toward[0]).when(i.isNotNull(), toward[1]).alias("direction"),
+        *[F.when(i.isNotNull(), F.col(c)).alias(c) for c in ("mean_first", "mean_second", "raw_first", "raw_second")],
+        F.when(d.isNotNull(), F.col("raw_damage")).alias("raw_damage"), F.when(i.isNotNull(), F.col("difference_ci_lo")).alias("i_ci_lo"),
         F.when(i.isNotNull(), F.col("difference_ci_hi")).alias("i_ci_hi"),
         F.when(i.isNotNull(), F.col("i_null_p95_abs")).alias("i_null_p95_abs"),
         F.coalesce(off & (F.abs(i) > F.col("i_null_p95_abs")), F.lit(False)).alias("i_call"),

@@ -422,8 +422,8 @@ IDX = f"""
       fl AS (SELECT scope, quantile_cont(level, 0.25) AS f FROM shifts GROUP BY 1),
       ts AS (SELECT s.scope, CAST(gene AS VARCHAR) AS gene, real_shift, level FROM shifts s JOIN fl ON s.scope = fl.scope WHERE level >= f),
       z0 AS (SELECT *, (real_shift - avg(real_shift) OVER w) / stddev_pop(real_shift) OVER w AS z, row_number() OVER (PARTITION BY scope ORDER BY level, gene) AS r, count(*) OVER w AS n FROM ts WINDOW w AS (PARTITION BY scope)),
-      z AS (SELECT scope, gene, z, greatest(0, ((r - 1) * 10 + n - 2) // (n - 1) - 1) AS decile, n FROM z0),
-      mb AS (SELECT z.scope, panel, z.gene, z, decile FROM z JOIN pn ON z.gene = pn.gene WHERE panel IS NOT NULL),
+      z AS (SELECT scope, gene, z, real_shift AS raw, greatest(0, ((r - 1) * 10 + n - 2) // (n - 1) - 1) AS decile, n FROM z0),
+      mb AS (SELECT z.scope, panel, z.gene, z, raw, decile FROM z JOIN pn ON z.gene = pn.gene WHERE panel IS NOT NULL),
       src AS (SELECT * FROM mb),
       {boot_sql(0, IDX_B, 'src', 'scope, panel')},
       bm AS (SELECT scope, panel, b, avg(z) AS m FROM boot GROUP BY 1, 2, 3),
@@ -438,9 +438,12 @@ IDX = f"""
       ni AS (SELECT scope, quantile_cont(abs(a - c), 0.95) AS i_null_p95_abs FROM (SELECT scope, b, max(m) FILTER (WHERE panel = 'first') AS a, max(m) FILTER (WHERE panel = 'second') AS c FROM nm GROUP BY 1, 2) GROUP BY 1),
       nd AS (SELECT scope, quantile_cont(m, 0.95) AS d_null_p95 FROM nm WHERE panel = 'damage' GROUP BY 1),
       mn AS (SELECT scope, count(*) FILTER (WHERE panel = 'first') AS n_first, count(*) FILTER (WHERE panel = 'second') AS n_second, count(*) FILTER (WHERE panel = 'damage') AS n_damage,
-                    avg(z) FILTER (WHERE panel = 'first') - avg(z) FILTER (WHERE panel = 'second') AS i_signed, avg(z) FILTER (WHERE panel = 'damage') AS d FROM mb GROUP BY 1),
+                    avg(z) FILTER (WHERE panel = 'first') - avg(z) FILTER (WHERE panel = 'second') AS i_signed, avg(z) FILTER (WHERE panel = 'damage') AS d,
+                    avg(z) FILTER (WHERE panel = 'first') AS mean_first, avg(z) FILTER (WHERE panel = 'second') AS mean_second, avg(raw) FILTER (WHERE panel = 'first') AS raw_first,
+                    avg(raw) FILTER (WHERE panel = 'second') AS raw_second, avg(raw) FILTER (WHERE panel = 'damage') AS raw_damage FROM mb GROUP BY 1),
       sz AS (SELECT scope, count(*) AS n_genes_tested FROM z GROUP BY 1)
-    SELECT sz.scope, n_genes_tested, n_first, n_second, n_damage, 'ok' AS status, i_signed, i_ci_lo, i_ci_hi, i_null_p95_abs, (i_ci_lo > 0 OR i_ci_hi < 0) AND abs(i_signed) > i_null_p95_abs AS i_call,
+    SELECT sz.scope, n_genes_tested, n_first, n_second, n_damage, 'ok' AS status, i_signed, abs(i_signed) AS i_abs, CASE WHEN i_signed > 0 THEN 'toward first' ELSE 'toward second' END AS direction,
+           mean_first, mean_second, raw_first, raw_second, raw_damage, i_ci_lo, i_ci_hi, i_null_p95_abs, (i_ci_lo > 0 OR i_ci_hi < 0) AND abs(i_signed) > i_null_p95_abs AS i_call,
            d, d_ci_lo, d_ci_hi, d_null_p95, d_ci_lo > 0 AND d > d_null_p95 AS d_call,
            CASE WHEN d_ci_lo > 0 AND d > d_null_p95 THEN 'non-specific damage' WHEN (i_ci_lo > 0 OR i_ci_hi < 0) AND abs(i_signed) > i_null_p95_abs THEN 'identity reprogramming' ELSE 'no clear effect' END AS ird_class
     FROM sz JOIN mn USING (scope) JOIN ci USING (scope) JOIN cd USING (scope) JOIN ni USING (scope) JOIN nd USING (scope)"""
@@ -451,7 +454,7 @@ def index_rows(t, column="real_shift", seed=0):
     return indices.panel_indices(s, panels(t), ["scope"], "gene", column, "level", "first", "second", "damage", IDX_B, seed, min_tested=50)
 
 
-@query("rp16_panel_indices", IDX, "i_signed i_ci_lo i_ci_hi i_null_p95_abs d d_ci_lo d_ci_hi d_null_p95", "shifts")
+@query("rp16_panel_indices", IDX, "i_signed i_abs mean_first mean_second raw_first raw_second raw_damage i_ci_lo i_ci_hi i_null_p95_abs d d_ci_lo d_ci_hi d_null_p95", "shifts")
 def _(t):
     rows = index_rows(t).withColumns({"r_assessed": F.lit(False), "r_call": F.lit(False)})
     return indices.classify(rows).drop("r_assessed", "r_call")
