@@ -306,7 +306,8 @@ def recall_report(cases: DataFrame, kmax: int = 200, B_null: int = 200, seed: in
     """Observed recall curve, mean and 5th / 95th percentile of the permuted ones, and a bootstrap interval.
 
     Lists of one class only have no curve; replicates without a positive drop out of the interval. ``null_hits`` counts the
-    positives up to k over all replicates, so that the mean is a quotient of whole numbers: null_hits / (B_null * n_pos).
+    positives up to k over all replicates, so that the mean is a quotient of whole numbers: null_hits / (B_null * n_pos); the
+    percentiles are reported of these counts too (``null_hits_p05``, ``null_hits_p95``).
     """
     by = ["scope", "tier", "direction"]
     listed, totals = listed_cases(cases.where(F.col("subset") == "all"), by)
@@ -317,7 +318,8 @@ def recall_report(cases: DataFrame, kmax: int = 200, B_null: int = 200, seed: in
     curves = curve_of(moved, moved.groupBy(*by, "b").agg(F.max("n_pos").alias("n_pos"), F.max("n_ranked").alias("n_ranked")), [*by, "b"], kmax)
     band = curves.groupBy(*by, "k").agg(
         F.sum("hits").alias("null_hits"), (F.sum("hits") / F.sum("n_pos")).alias("null_mean"),
-        F.percentile("recall", F.lit(0.05)).alias("null_p05"), F.percentile("recall", F.lit(0.95)).alias("null_p95"),
+        *[F.percentile(c, F.lit(q)).alias(f"{name}_{side}") for name, c in (("null", "recall"), ("null_hits", "hits"))
+          for side, q in (("p05", 0.05), ("p95", 0.95))],
     )
     drawn, each = bootstrap_hits(listed, by, "tf", B_boot, seed)
     resampled = curve_of(drawn, each, [*by, "b"], kmax).groupBy(*by, "k").agg(

@@ -398,15 +398,18 @@ def _(t):
       h AS (SELECT scope, tier, direction, np, decile, b, place, row_number() OVER (PARTITION BY scope, tier, direction, decile, b ORDER BY {key_sql(4, 'scope', 'tier', 'direction', 'b', 'tf')}, tf) AS i FROM d, {reps(RANK_B)}),
       l AS (SELECT scope, tier, direction, decile, y, row_number() OVER (PARTITION BY scope, tier, direction, decile ORDER BY y DESC, tf) AS i FROM d),
       c AS (SELECT scope, tier, direction, b, place AS k, sum(l.y) OVER (PARTITION BY scope, tier, direction, b ORDER BY place) AS hits, np, CAST(hits AS DOUBLE) / np AS r FROM h JOIN l USING (scope, tier, direction, decile, i)),
-      m AS (SELECT scope, tier, direction, k, CAST(sum(hits) AS BIGINT) AS null_hits, quantile_cont(r, 0.05) AS null_p05, quantile_cont(r, 0.95) AS null_p95 FROM c GROUP BY 1, 2, 3, 4),
+      m AS (SELECT scope, tier, direction, k, CAST(sum(hits) AS BIGINT) AS null_hits, CAST(round(20 * quantile_cont(CAST(hits AS DOUBLE), 0.05)) AS BIGINT) AS h05, CAST(round(20 * quantile_cont(CAST(hits AS DOUBLE), 0.95)) AS BIGINT) AS h95 FROM c GROUP BY 1, 2, 3, 4),
       {boot_sql(4, RANK_B, 'd', 'scope, tier, direction', 'tf')},
       bp AS (SELECT scope, tier, direction, b, y, row_number() OVER (PARTITION BY scope, tier, direction, b ORDER BY rank_score DESC, tf) AS k, sum(y) OVER (PARTITION BY scope, tier, direction, b) AS bn FROM boot),
       bc AS (SELECT scope, tier, direction, b, k, CAST(sum(y) OVER (PARTITION BY scope, tier, direction, b ORDER BY k) AS DOUBLE) / bn AS r FROM bp WHERE bn > 0),
       bi AS (SELECT scope, tier, direction, k, quantile_cont(r, 0.025) AS ci_lo, quantile_cont(r, 0.975) AS ci_hi FROM bc GROUP BY 1, 2, 3, 4)
-    SELECT o.*, null_hits, {whole_mean("null_hits", f"({RANK_B} * n_pos)")} AS null_mean, null_p05, null_p95, ci_lo, ci_hi FROM o LEFT JOIN m USING (scope, tier, direction, k) LEFT JOIN bi USING (scope, tier, direction, k)""", "recall null_mean null_p05 null_p95 ci_lo ci_hi")
+    SELECT o.*, null_hits, {whole_mean("null_hits", f"({RANK_B} * n_pos)")} AS null_mean, {whole_mean("h05", "(20 * n_pos)")} AS null_p05, {whole_mean("h95", "(20 * n_pos)")} AS null_p95, ci_lo, ci_hi FROM o LEFT JOIN m USING (scope, tier, direction, k) LEFT JOIN bi USING (scope, tier, direction, k)""", "recall null_mean null_p05 null_p95 ci_lo ci_hi")
 def _(t):
     out = metrics.recall_report(gold_cases(t), 200, RANK_B, 4, RANK_B)
-    return out.withColumn("null_mean", whole_mean_column(F.col("null_hits"), F.lit(RANK_B) * F.col("n_pos")))
+    # percentiles of 200 counts lie on twentieths
+    sides = {f"null_{c}": whole_mean_column(F.round(F.col(f"null_hits_{c}") * 20).cast("bigint"), F.lit(20) * F.col("n_pos")) for c in ("p05", "p95")}
+    mean = whole_mean_column(F.col("null_hits"), F.lit(RANK_B) * F.col("n_pos"))
+    return out.withColumns({"null_mean": mean, **sides}).drop("null_hits_p05", "null_hits_p95")
 
 
 # ---- panel indices ----------------------------------------------------------------------------------------------------
