@@ -2,9 +2,10 @@
 
 Every window of a sequence belongs to one run of windows with the same minimiser, and equal windows have equal minimisers, so
 only runs whose minimiser occurs elsewhere can hold a repeated window. ``repeated_pieces`` finds them in two passes: the first
-counts minimisers over all documents, the second packs each run that is left as one string for its bucket. A minimiser with
-more than ``unpack_from`` documents is not gathered: its windows travel singly, keyed by their own digest, so that they are
-combined before the shuffle however many there are. So no bucket holds more than ``unpack_from`` documents' strings.
+counts the runs of each minimiser and their bytes over all documents, the second packs each run that is left as one string for
+its bucket. A minimiser with more than ``unpack_from`` runs, or more than ``unpack_bytes`` bytes of them, is not gathered, so this
+bounds every bucket. Its equal strings are combined by their digest first (``hot_ranges``), and the windows of the distinct strings
+are grouped by their own digest, however many there are; both combine before they are shuffled.
 """
 
 from __future__ import annotations
@@ -69,6 +70,10 @@ def minima(h: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(out[:-rest], out[rest:]) if rest else out
 
 
+# A task sends a string of a very common minimiser once, as long as it remembers no more digests than this.
+REMEMBERED = 200_000
+
+
 def runs(values: np.ndarray, window: int, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """Per segment: minimiser, first window and end (exclusive) of each run, and whether the minimiser occurs twice in it."""
     n = values.size - window + 1
@@ -99,13 +104,19 @@ class Unit:
     def piece(self, parts, a: int, b: int) -> bytes:
         raise NotImplementedError
 
+    def sizes(self, parts, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Bytes of the elements from each start to its end (exclusive)."""
+        raise NotImplementedError
+
 
-def repeated_pieces(docs: DataFrame, unit: Callable[[], Unit], id_col: str, text: str, repeated: Column, unpack_from: int) -> DataFrame:
-    """Rows (id, _row, mark, digest, start, n, piece, text), written to the shared folder.
+def repeated_pieces(docs: DataFrame, unit: Callable[[], Unit], id_col: str, text: str, repeated: Column, unpack_from: int,
+                    unpack_bytes: int) -> DataFrame:
+    """Rows (id, _row, mark, digest, start, hot, piece, text), written to the shared folder.
 
-    A row with a mark is a run of ``n`` windows from element ``start`` on, ``piece`` its bytes (null for a single window of a very
-    common minimiser); a row without one carries the text of a document that has such runs. ``repeated`` is an aggregate over
-    the columns id, n (1, or 2 for a minimiser that occurs twice in the document) that tells which minimisers are kept.
+    A row with a mark is a run of windows from element ``start`` on, ``piece`` its bytes (of a very common, ``hot`` minimiser, null
+    where the task has sent the same string before); a row without one carries the text of a document that has such runs.
+    ``repeated`` is an aggregate over the columns id, n (the runs of a minimiser in a document, at least 2 where it occurs twice in
+    one) that tells which minimisers are kept.
     """
     need(docs, id_col, text)
     source = docs.select(F.col(id_col).alias("id"), row_key(id_col, text), F.col(text).cast("binary").alias("_text")).where(
@@ -116,7 +127,7 @@ def repeated_pieces(docs: DataFrame, unit: Callable[[], Unit], id_col: str, text
         u = unit()
         for batch in batches:
             ids, keys = batch.column(0), batch.column(1)
-            take, marks, ns = [], [], []
+            take, marks, ns, sizes = [], [], [], []
             for i, t in enumerate(batch.column(2).to_pylist()):
                 if len(t) < u.window:
                     continue
@@ -125,27 +136,31 @@ def repeated_pieces(docs: DataFrame, unit: Callable[[], Unit], id_col: str, text
                     continue
                 found = list(runs(u.values(parts), u.window, u.k))
                 mark = np.concatenate([f[0] for f in found])
-                again = np.concatenate([f[3] for f in found])
-                distinct, first, n = np.unique(mark, return_index=True, return_counts=True)
+                start, end, again = (np.concatenate([f[j] for f in found]) for j in (1, 2, 3))
+                distinct, where, n = np.unique(mark, return_inverse=True, return_counts=True)
+                size = np.bincount(where, u.sizes(parts, start, end + (u.window - 1)), distinct.size)
                 take.append(np.full(distinct.size, i))
                 marks.append(distinct)
-                ns.append(np.where((n > 1) | again[first], 2, 1))
+                ns.append(np.maximum(n, 1 + (np.bincount(where, again, distinct.size) > 0)))
+                sizes.append(size.astype(np.int64))
             if take:
                 at = pa.array(np.concatenate(take))
                 yield pa.RecordBatch.from_arrays(
-                    [ids.take(at), keys.take(at), pa.array(np.concatenate(marks)), pa.array(np.concatenate(ns).astype(np.int32))],
-                    names=["id", "_row", "mark", "n"])
+                    [ids.take(at), keys.take(at), pa.array(np.concatenate(marks)), pa.array(np.concatenate(ns).astype(np.int32)),
+                     pa.array(np.concatenate(sizes))], names=["id", "_row", "mark", "n", "size"])
 
-    pairs = cut(source.mapInArrow(count, f"id {id_type}, _row long, mark long, n int"))
-    common = pairs.groupBy("mark").agg(repeated.alias("_kept"), F.count("*").alias("_docs")).where("_kept").select(
-        "mark", (F.col("_docs") > unpack_from).alias("_hot"))
+    pairs = cut(source.mapInArrow(count, f"id {id_type}, _row long, mark long, n int, size long"))
+    common = pairs.groupBy("mark").agg(
+        repeated.alias("_kept"), ((F.sum("n") > unpack_from) | (F.sum("size") > unpack_bytes)).alias("_hot")).where("_kept").select(
+        "mark", "_hot")
     hits = pairs.join(common, "mark").groupBy("id", "_row").agg(
         F.collect_set("mark").alias("_marks"), F.collect_set(F.when(F.col("_hot"), F.col("mark"))).alias("_hot"))
     joined = source.join(hits, same(source, hits, "id", "_row")).select(source["id"], source["_row"], "_text", "_marks", "_hot")
 
     def pack(batches):
         u = unit()
-        names = ["id", "_row", "mark", "digest", "start", "n", "piece", "text"]
+        names = ["id", "_row", "mark", "digest", "start", "hot", "piece", "text"]
+        sent: set[bytes] = set()
         for batch in batches:
             for begin in range(0, batch.num_rows, 128):
                 part = batch.slice(begin, 128)
@@ -159,24 +174,69 @@ def repeated_pieces(docs: DataFrame, unit: Callable[[], Unit], id_col: str, text
                         at = np.minimum(np.searchsorted(marks, mark), marks.size - 1)
                         kept = marks[at] == mark
                         for m, a, b in zip(mark[kept].tolist(), start[kept].tolist(), end[kept].tolist(), strict=True):
+                            piece = u.piece(parts, a, b - 1 + u.window)
+                            digest = hashlib.blake2b(piece, digest_size=16).digest()
                             if m in hot:
-                                for x in range(a, b):
-                                    piece = u.piece(parts, x, x + u.window)
-                                    take.append(i)
-                                    rows.append((m, hashlib.blake2b(piece, digest_size=16).digest(), x, 1, None, None))
-                            else:
-                                piece = u.piece(parts, a, b - 1 + u.window)
-                                take.append(i)
-                                rows.append((m, hashlib.blake2b(piece, digest_size=16).digest(), a, b - a, piece, None))
+                                if digest in sent:
+                                    piece = None
+                                else:
+                                    if len(sent) >= REMEMBERED:
+                                        sent.clear()
+                                    sent.add(digest)
+                            take.append(i)
+                            rows.append((m, digest, a, m in hot, piece, None))
                 columns = list(zip(*rows, strict=True))
-                kinds = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+                kinds = [pa.int64(), pa.binary(), pa.int64(), pa.bool_(), pa.binary(), pa.binary()]
                 at = pa.array(take, pa.int64())
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0).take(at), part.column(1).take(at)] + [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)],
                     names=names)
 
     return cut(joined.mapInArrow(
-        pack, f"id {id_type}, _row long, mark long, digest binary, start long, n long, piece binary, text binary"))
+        pack, f"id {id_type}, _row long, mark long, digest binary, start long, hot boolean, piece binary, text binary"))
+
+
+def hot_ranges(rows: DataFrame, unit: Callable[[], Unit], of_string: Column, of_window: Column) -> DataFrame:
+    """(id, _row, start, first, end, best): the runs of very common minimisers with the ranges of their windows.
+
+    ``of_string`` aggregates the ids of the runs that are the same string, ``of_window`` these values (column ``value``) over all
+    distinct strings that hold a window, once for each place; ``best`` is the outcome, alike for the windows ``first`` to
+    ``end`` (exclusive) of the run that starts at ``start``.
+    """
+    hot = rows.where("hot")
+    places = hot.select("digest", "id", "_row", "start")
+    values = places.groupBy("digest").agg(of_string.alias("value"))
+    kind = values.schema["value"].dataType.simpleString()
+    strings = hot.where(F.col("piece").isNotNull()).select("digest", "piece").dropDuplicates(["digest"]).join(values, "digest")
+
+    def unpack(batches):
+        u = unit()
+        for batch in batches:
+            for begin in range(0, batch.num_rows, 256):
+                part = batch.slice(begin, 256)
+                take, windows, places = [], [], []
+                for i, piece in enumerate(part.column(1).to_pylist()):
+                    parts = u.split(piece)
+                    n = len(parts) - u.window + 1
+                    take.append(np.full(n, i))
+                    places.append(np.arange(n))
+                    windows += [hashlib.blake2b(u.piece(parts, x, x + u.window), digest_size=16).digest() for x in range(n)]
+                at = pa.array(np.concatenate(take))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(windows, pa.binary()), part.column(0).take(at), pa.array(np.concatenate(places)), part.column(2).take(at)],
+                    names=["window", "digest", "x", "value"])
+
+    windows = strings.select("digest", "piece", "value").mapInArrow(unpack, f"window binary, digest binary, x long, value {kind}")
+    best = windows.groupBy("window").agg(of_window.alias("best"))
+    # a string has as many windows as a segment has elements at most
+    one = windows.select("window", "digest", "x").join(best, "window").groupBy("digest").agg(
+        F.array_sort(F.collect_list(F.struct("x", "best"))).alias("_all"))
+    # neighbours with one outcome are one range
+    edge = F.filter("_all", lambda w, i: (i == 0) | ~w["best"].eqNullSafe(F.element_at("_all", F.greatest(i, F.lit(1)))["best"]))
+    ranges = one.select("digest", F.size("_all").cast("long").alias("_n"), edge.alias("_edge")).select("digest", "_n", F.posexplode("_edge"), "_edge").select(
+        "digest", F.col("col.x").alias("first"), F.col("col.best").alias("best"),
+        F.coalesce(F.try_element_at("_edge", F.col("pos") + 2)["x"], F.col("_n")).alias("end"))
+    return places.join(ranges, "digest")
 
 
 def lost_spans(rows: DataFrame, spans: DataFrame) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shiftgrid.llm.common import flat_runs, groups, map_rows, row_key, same
-from shiftgrid.llm.minimisers import Unit, flat_windows, gram_hashes, in_chunks, lost_spans, mixed, repeated_pieces
+from shiftgrid.llm.minimisers import Unit, flat_windows, gram_hashes, hot_ranges, in_chunks, lost_spans, mixed, repeated_pieces
 
 REMEMBERED = 400_000
 
@@ -47,6 +47,10 @@ class Words(Unit):
     def piece(self, parts: list[bytes], a: int, b: int) -> bytes:
         return b" ".join(parts[a:b])
 
+    def sizes(self, parts: list[bytes], start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        total = np.concatenate(([0], np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1)))
+        return total[end] - total[start]
+
 
 def equal_windows(ids: np.ndarray, at: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
     """Order of the windows that start at ``at`` so that equal ones stand together, and where a new window begins in it."""
@@ -84,11 +88,12 @@ def smallest(pieces: list[bytes], owner: np.ndarray, window: int) -> list[tuple[
 
 
 def removed_spans(docs: DataFrame, id_col: str = "doc_id", text: str = "text", window: int = 50, k: int = 8,
-                  unpack_from: int = 20_000, chunk_bytes: int = 6 << 20) -> DataFrame:
+                  unpack_from: int = 20_000, unpack_bytes: int = 6 << 20, chunk_bytes: int = 6 << 20) -> DataFrame:
     """(id, _row, text, starts, ends) for documents that lose words: spans of words, end exclusive, not merged."""
     none = F.count(F.when(F.col("id").isNull(), 1)) > 0
     repeated = (F.min("id") < F.max("id")) | (none & F.min("id").isNotNull())
-    rows = repeated_pieces(docs, lambda: Words(window, k), id_col, text, F.coalesce(repeated, F.lit(False)), unpack_from)
+    rows = repeated_pieces(
+        docs, lambda: Words(window, k), id_col, text, F.coalesce(repeated, F.lit(False)), unpack_from, unpack_bytes)
     found = rows.where(F.col("mark").isNotNull())
     id_type = rows.schema["id"].dataType.simpleString()
 
@@ -119,12 +124,12 @@ def removed_spans(docs: DataFrame, id_col: str = "doc_id", text: str = "text", w
                 t.column("id").combine_chunks().take(take), t.column("_row").combine_chunks().take(take),
                 pa.array(start[row] + out[at, 1]), pa.array(start[row] + out[at, 2] + (window - 1))], names=["id", "_row", "a", "b"])
 
-    packed = found.where(F.col("piece").isNotNull()).select("mark", "digest", "id", "_row", "start", "piece").repartition(
+    packed = found.where(~F.col("hot")).select("mark", "digest", "id", "_row", "start", "piece").repartition(
         "mark").sortWithinPartitions("mark").mapInArrow(sort, f"id {id_type}, _row long, a long, b long")
-    single = found.where(F.col("piece").isNull()).select("digest", "id", "_row", F.col("start").alias("a"))
-    least = single.groupBy("digest").agg(F.min("id").alias("least"))
-    smaller = (F.col("least") < F.col("id")) | (F.col("id").isNull() & F.col("least").isNotNull())
-    unpacked = single.join(least, "digest").where(smaller).select("id", "_row", "a", (F.col("a") + window).alias("b"))
+    hot = hot_ranges(rows, lambda: Words(window, k), F.min("id"), F.min("value"))
+    smaller = (F.col("best") < F.col("id")) | (F.col("id").isNull() & F.col("best").isNotNull())
+    unpacked = hot.where(smaller).select(
+        "id", "_row", (F.col("start") + F.col("first")).alias("a"), (F.col("start") + F.col("end") + (window - 1)).alias("b"))
     return lost_spans(rows, packed.unionByName(unpacked))
 
 

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shiftgrid.llm.common import flat_runs, groups, map_rows, row_key, same
-from shiftgrid.llm.minimisers import Unit, flat_windows, gram_hashes, in_chunks, lost_spans, repeated_pieces
+from shiftgrid.llm.minimisers import Unit, flat_windows, gram_hashes, hot_ranges, in_chunks, lost_spans, repeated_pieces
 
 WORD = 8  # bytes compared at a time
 
@@ -37,6 +37,9 @@ class Bytes(Unit):
     def piece(self, parts: bytes, a: int, b: int) -> bytes:
         return parts[a:b]
 
+    def sizes(self, parts: bytes, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return end - start
+
 
 def words_at(text: np.ndarray) -> np.ndarray:
     """The eight bytes from each position on as one number that sorts like them; zeros stand behind the end."""
@@ -163,14 +166,14 @@ def repeated_windows(pieces: list[bytes], counts: np.ndarray, window: int) -> li
 
 
 def removed_spans(docs: DataFrame, id_col: str = "doc_id", text: str = "text", window: int = 200, k: int = 48,
-                  unpack_from: int = 20_000, chunk_bytes: int = 4 << 20) -> DataFrame:
+                  unpack_from: int = 20_000, unpack_bytes: int = 4 << 20, chunk_bytes: int = 4 << 20) -> DataFrame:
     """(id, _row, text, starts, ends) for documents that lose bytes: spans of bytes, end exclusive, not merged.
 
     ``k`` bytes are long enough to be rarely shared by chance, so few documents are read again in vain.
     """
     if window < WORD:
         raise ValueError(f"windows have {WORD} bytes at least")
-    rows = repeated_pieces(docs, lambda: Bytes(window, k), id_col, text, F.sum("n") > 1, unpack_from)
+    rows = repeated_pieces(docs, lambda: Bytes(window, k), id_col, text, F.sum("n") > 1, unpack_from, unpack_bytes)
     found = rows.where(F.col("mark").isNotNull())
     id_type = rows.schema["id"].dataType.simpleString()
 
@@ -191,11 +194,11 @@ def removed_spans(docs: DataFrame, id_col: str = "doc_id", text: str = "text", w
                 t.column("id").combine_chunks().take(take), t.column("_row").combine_chunks().take(take),
                 pa.array(start[row] + out[at, 1]), pa.array(start[row] + out[at, 2] + (window - 1))], names=["id", "_row", "a", "b"])
 
-    packed = found.where(F.col("piece").isNotNull()).select("mark", "digest", "id", "_row", "start", "piece").repartition(
+    packed = found.where(~F.col("hot")).select("mark", "digest", "id", "_row", "start", "piece").repartition(
         "mark").sortWithinPartitions("mark").mapInArrow(sort, f"id {id_type}, _row long, a long, b long")
-    single = found.where(F.col("piece").isNull()).select("digest", "id", "_row", F.col("start").alias("a"))
-    twice = single.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1")
-    unpacked = single.join(twice, "digest").select("id", "_row", "a", (F.col("a") + window).alias("b"))
+    hot = hot_ranges(rows, lambda: Bytes(window, k), F.count("*"), F.sum("value"))
+    unpacked = hot.where("best > 1").select(
+        "id", "_row", (F.col("start") + F.col("first")).alias("a"), (F.col("start") + F.col("end") + (window - 1)).alias("b"))
     return lost_spans(rows, packed.unionByName(unpacked))
 
 

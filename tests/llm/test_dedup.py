@@ -8,8 +8,9 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from shiftgrid.llm import ngram_join, substring_dedup, suffix_dedup
+from shiftgrid.llm import minimisers, ngram_join, substring_dedup, suffix_dedup
 from shiftgrid.llm.minimisers import Unit, gram_hashes, minima, runs
 
 
@@ -57,18 +58,51 @@ def brute_bytes(rows, window):
     return Counter(out)
 
 
-@pytest.mark.parametrize("options", [{}, {"unpack_from": 1}, {"chunk_bytes": 500}])
+@pytest.mark.parametrize("options", [{}, {"unpack_from": 1}, {"unpack_bytes": 3_000}, {"chunk_bytes": 500}])
 def test_substring_dedup(docs, texts, options):
     got = substring_dedup.dedup(docs, **options).select("doc_id", "n_words", "n_removed", "kept_sha256").collect()
     assert Counter(map(tuple, got)) == brute_words(texts, 50)
 
 
-@pytest.mark.parametrize("options", [{}, {"unpack_from": 1}, {"chunk_bytes": 500}])
+@pytest.mark.parametrize("options", [{}, {"unpack_from": 1}, {"unpack_bytes": 3_000}, {"chunk_bytes": 500}])
 def test_suffix_dedup(docs, texts, options):
     got = suffix_dedup.dedup(docs, **options).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()
     assert Counter(map(tuple, got)) == brute_bytes(texts, 200)
 
 
+@pytest.fixture(scope="module")
+def logs(spark):
+    """One document of 1,000 lines with one beginning, a copy of some of its lines, and repeated rows."""
+    rng = random.Random(8)
+    head = " ".join(rng.choice("alpha beta gamma delta".split()) + str(rng.randint(0, 99)) for _ in range(45))
+    lines = [f"{head} {' '.join(str(rng.randint(0, 10 ** 6)) for _ in range(8))}" for _ in range(1_000)]
+    rows = [(1, "\n".join(lines)), (2, "\n".join(lines[400:430])), (3, "\n".join(lines[410:420])), (3, "\n".join(lines[410:420])),
+            (None, lines[5]), (4, "z" * 5_000)]
+    return rows, spark.createDataFrame(rows, "doc_id long, text string")
+
+
+def test_runs_of_one_document_make_a_minimiser_common(logs):
+    """The runs count, not the documents: no bucket gets more than ``unpack_from`` of them."""
+    rows, docs = logs
+    found = minimisers.repeated_pieces(
+        docs, lambda: suffix_dedup.Bytes(200, 48), "doc_id", "text", F.sum("n") > 1, 20, 1 << 30).where("mark IS NOT NULL").cache()
+    assert found.where("hot").count() > 900
+    assert found.where("NOT hot").groupBy("mark").count().agg(F.max("count")).first()[0] <= 20
+    by_bytes = minimisers.repeated_pieces(
+        docs, lambda: suffix_dedup.Bytes(200, 48), "doc_id", "text", F.sum("n") > 1, 1 << 30, 4_000).where("mark IS NOT NULL")
+    kept = by_bytes.where("NOT hot").groupBy("mark").agg(F.sum(F.length("piece")).alias("b"))
+    assert kept.agg(F.max("b")).first()[0] <= 4_000
+    found.unpersist()
+
+
+def test_common_minimisers_lose_nothing(logs):
+    rows, docs = logs
+    got = suffix_dedup.dedup(docs, unpack_from=20).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()
+    assert Counter(map(tuple, got)) == brute_bytes(rows, 200)
+    got = substring_dedup.dedup(docs, unpack_from=20).select("doc_id", "n_words", "n_removed", "kept_sha256").collect()
+    assert Counter(map(tuple, got)) == brute_words(rows, 50)
+
+
 def test_empty_tables(no_docs):
     assert substring_dedup.dedup(no_docs).count() == 0
     assert suffix_dedup.dedup(no_docs).count() == 0
