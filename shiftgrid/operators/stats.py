@@ -311,8 +311,8 @@ def interaction(arms: DataFrame, value: str, gene: str, arm: str, single_1: str,
 
 
 def consistency(a: DataFrame, b: DataFrame, key: Sequence[str], value: str, by: Sequence[str] = ()) -> DataFrame:
-    """Correlation, sign agreement and ratio of two score tables on their shared keys."""
-    pairs = a.select(*key, F.col(value).alias("_x")).join(b.select(*key, F.col(value).alias("_y")), list(key))
+    """Correlation, sign agreement and ratio of two score tables on their shared keys, for each group ``by`` of ``a``."""
+    pairs = a.select(*by, *key, F.col(value).alias("_x")).join(b.select(*key, F.col(value).alias("_y")), list(key))
     rho = spearman(pairs, "_x", "_y", by)
     both = finite("_x", "_y")
     ratio = F.when(both & (F.col("_y") != 0), F.try_divide(F.col("_x"), F.col("_y")))

@@ -11,6 +11,7 @@ from shiftgrid.operators.filters import require_empty
 from shiftgrid.operators.ordered import attach, with_each
 from shiftgrid.operators.ranks import percentiles
 from shiftgrid.operators.stats import zscore_ref
+from shiftgrid.session import cut
 
 BASELINE = "__baseline_mean__"
 
@@ -37,74 +38,79 @@ def check_variants(variants: DataFrame, expr: DataFrame, feature: str) -> None:
 
 def whatif_inputs(
     expr: DataFrame, reference: DataFrame, variants: DataFrame, feature: str, sample: str, value: str, q: float = 0.99,
-    eps: float = 1e-6,
+    eps: float = 1e-6, by: Sequence[str] = (),
 ) -> DataFrame:
-    """Changed input rows only: (variant, feature, sample, old, new, z_shift, is_flat).
+    """Changed input rows only: (by, variant, mode, feature, sample, old, new, z_shift, is_flat).
 
-    Knock-out sets 0; over-expression raises to at least the factor's reference quantile. Rows a variant leaves alone equal
+    ``by`` are columns of ``expr`` that keep several data sets apart, such as its scope; all are set against one reference. Knock-out sets 0; over-expression raises to at least the factor's reference quantile. Rows a variant leaves alone equal
     the baseline, so they are never copied per variant. ``z_shift`` is the change in reference z-score units.
     """
     cap = percentiles(reference, value, [feature], {"_cap": q})
     named = variants.select("variant", "mode", F.explode("tfs").alias(feature))
-    rows = attach(named.join(expr.select(feature, sample, F.col(value).alias("old")), feature), cap, [feature])
+    rows = attach(named.join(expr.select(*by, feature, sample, F.col(value).alias("old")), feature), cap, [feature])
     new = F.when(F.col("mode") == "ko", F.lit(0.0)).otherwise(F.greatest("old", "_cap"))
     z_old = zscore_ref(rows.withColumn("new", new), reference.withColumnRenamed(value, "old"), "old", [feature], "_zo", eps)
     z_both = zscore_ref(
         z_old.drop("is_flat"), reference.withColumnRenamed(value, "new"), "new", [feature], "_zn", eps
     )
     return z_both.select(
-        "variant", "mode", feature, sample, "old", "new", (F.col("_zn") - F.col("_zo")).alias("z_shift"), "is_flat"
+        *by, "variant", "mode", feature, sample, "old", "new", (F.col("_zn") - F.col("_zo")).alias("z_shift"), "is_flat"
     )
 
 
 def whatif_response(
     inputs: DataFrame, weights: DataFrame, n_samples: DataFrame, feature: str, sample: str, target: str = "target",
-    weight: str = "weight",
+    weight: str = "weight", by: Sequence[str] = (),
 ) -> DataFrame:
     """Mean shift of every target gene against the baseline under a linear response.
 
     response(gene, sample) = sum over features of weight x z-scored input, the gene's own feature left out. The response is
-    linear, so the shift needs the changed rows only; ``n_samples`` holds one row with the column ``n_samples``.
+    linear, so the shift needs the changed rows only; ``n_samples`` holds the column ``n_samples``, one row
+    for each group ``by``.
     """
     w = weights.where(F.col(feature) != F.col(target)).select(feature, target, weight)
-    change = inputs.groupBy("variant", feature).agg(F.sum("z_shift").alias("_dz"))
-    total = change.join(w, feature).groupBy("variant", target).agg(F.sum(F.col("_dz") * F.col(weight)).alias("_s"))
-    return attach(total, n_samples, []).select(
-        "variant", F.col(target).alias("gene"), F.try_divide("_s", "n_samples").alias("shift")
+    change = inputs.groupBy(*by, "variant", feature).agg(F.sum("z_shift").alias("_dz"))
+    total = change.join(w, feature).groupBy(*by, "variant", target).agg(F.sum(F.col("_dz") * F.col(weight)).alias("_s"))
+    return attach(total, n_samples, by).select(
+        *by, "variant", F.col(target).alias("gene"), F.try_divide("_s", "n_samples").alias("shift")
     )
 
 
 def baseline_response(
     expr: DataFrame, reference: DataFrame, weights: DataFrame, feature: str, sample: str, value: str,
-    target: str = "target", weight: str = "weight",
+    target: str = "target", weight: str = "weight", by: Sequence[str] = (),
 ) -> DataFrame:
-    """Mean baseline response per target gene."""
+    """Mean baseline response per target gene and group ``by`` of ``expr``."""
     z = zscore_ref(expr, reference, value, [feature], "_z")
-    n = expr.agg(F.countDistinct(sample).alias("_n"))
-    zsum = z.groupBy(feature).agg(F.sum("_z").alias("_zs"))
+    n = expr.groupBy(*by).agg(F.countDistinct(sample).alias("_n"))
+    zsum = z.groupBy(*by, feature).agg(F.sum("_z").alias("_zs"))
     w = weights.where(F.col(feature) != F.col(target))
-    total = w.join(zsum, feature).groupBy(F.col(target).alias("gene")).agg(
+    total = w.join(zsum, feature).groupBy(*by, F.col(target).alias("gene")).agg(
         F.sum(F.col("_zs") * F.col(weight)).alias("_s")
     )
-    return attach(total, n, []).select("gene", F.try_divide("_s", "_n").alias("baseline"))
+    return attach(total, n, by).select(*by, "gene", F.try_divide("_s", "_n").alias("baseline"))
 
 
-def whatif_status(inputs: DataFrame, response: DataFrame, noop_below: float = 1e-6) -> DataFrame:
-    """Per variant: changed samples, shift norm, largest shift, no-op flag. An exact no-op counts with zero shift."""
-    require_empty(response.where(F.col("shift").isNull()).select("variant", "gene"), "undefined response")
-    changed = inputs.groupBy("variant").agg(
+def whatif_status(inputs: DataFrame, response: DataFrame, noop_below: float = 1e-6, by: Sequence[str] = ()) -> DataFrame:
+    """Per variant: changed samples, shift norm, largest shift, no-op flag. An exact no-op counts with zero shift.
+
+    Raises where a shift is undefined. The response is evaluated once; ``inputs`` that feed it as well are best ``cut`` before.
+    """
+    changed = inputs.groupBy(*by, "variant").agg(
         F.first("mode").alias("mode"), F.sum((F.col("new") != F.col("old")).cast("bigint")).alias("n_samples_changed"),
         F.min(F.col("is_flat").cast("int")).alias("_all_flat"),
     )
     exact = (F.col("n_samples_changed") == 0) | (F.col("_all_flat") == 1)
-    size = response.groupBy("variant").agg(
-        F.sqrt(F.sum(F.col("shift") * F.col("shift"))).alias("_l2"), F.max(F.abs("shift")).alias("_max")
-    )
-    j = attach(changed, size, ["variant"])
+    size = cut(response.groupBy(*by, "variant").agg(
+        F.sqrt(F.sum(F.col("shift") * F.col("shift"))).alias("_l2"), F.max(F.abs("shift")).alias("_max"),
+        F.count(F.when(F.col("shift").isNull(), 1)).alias("_undefined"),
+    ))
+    require_empty(size.where(F.col("_undefined") > 0).select(*by, "variant"), "undefined response")
+    j = attach(changed, size, [*by, "variant"])
     l2 = F.when(exact, F.lit(0.0)).otherwise(F.coalesce("_l2", F.lit(0.0)))
     top = F.when(exact, F.lit(0.0)).otherwise(F.coalesce("_max", F.lit(0.0)))
     return j.select(
-        "variant", "mode", "n_samples_changed", l2.alias("shift_l2"), top.alias("shift_max_abs"),
+        *by, "variant", "mode", "n_samples_changed", l2.alias("shift_l2"), top.alias("shift_max_abs"),
         (exact | (top < F.lit(noop_below))).alias("noop"),
     )
 

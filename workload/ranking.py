@@ -164,12 +164,11 @@ def _(t):
 
 @query("st5_zscore_reference", """
     WITH s AS (SELECT gene, avg(value) AS mu, stddev_samp(value) AS sd FROM expr WHERE scope = 'N' GROUP BY gene)
-    SELECT e.gene, e.sample, CASE WHEN sd > 1e-6 THEN (value - mu) / (sd + 1e-6) ELSE 0 END AS z, coalesce(NOT sd > 1e-6, true) AS is_flat
-    FROM expr e LEFT JOIN s ON e.gene = s.gene WHERE scope = 'A'""", "z", "expr")
+    SELECT e.scope, e.gene, e.sample, CASE WHEN sd > 1e-6 THEN (value - mu) / (sd + 1e-6) ELSE 0 END AS z, coalesce(NOT sd > 1e-6, true) AS is_flat
+    FROM expr e LEFT JOIN s ON e.gene = s.gene""", "z", "expr")
 def _(t):
     e = S.expr(t)
-    return stats.zscore_ref(e.where("scope = 'A'"), e.where("scope = 'N'"), "value", ["gene"]).select(
-        "gene", "sample", "z", "is_flat")
+    return stats.zscore_ref(e, e.where("scope = 'N'"), "value", ["gene"]).select("scope", "gene", "sample", "z", "is_flat")
 
 
 @query("st6_relative_rmse", """
@@ -322,15 +321,15 @@ def _(t):
 
 
 @query("st23_consistency", f"""
-    WITH p AS (SELECT a.item AS item, a.value AS x, b.value AS y FROM vecs a JOIN vecs b ON a.item = b.item
-               WHERE a.scope = 'A' AND b.scope = 'N'),
-         r AS (SELECT *, {avg_rank_sql('x', '')} AS rx, {avg_rank_sql('y', '')} AS ry FROM p)
-    SELECT corr(rx, ry) AS rho, count(*) AS n, avg(CAST(sign(x) = sign(y) AS DOUBLE)) AS sign_agrees, avg(x / y) AS mean_ratio,
-           sqrt(sum(x * x)) AS norm_a, sqrt(sum(y * y)) AS norm_b FROM r""",
+    WITH p AS (SELECT a.scope, a.item AS item, a.value AS x, b.value AS y FROM vecs a JOIN vecs b ON a.item = b.item
+               WHERE a.scope <> 'N' AND b.scope = 'N'),
+         r AS (SELECT *, {avg_rank_sql('x', 'scope')} AS rx, {avg_rank_sql('y', 'scope')} AS ry FROM p)
+    SELECT scope, corr(rx, ry) AS rho, count(*) AS n, avg(CAST(sign(x) = sign(y) AS DOUBLE)) AS sign_agrees, avg(x / y) AS mean_ratio,
+           sqrt(sum(x * x)) AS norm_a, sqrt(sum(y * y)) AS norm_b FROM r GROUP BY scope""",
        "rho sign_agrees mean_ratio norm_a norm_b", "vecs")
 def _(t):
     v = S.vecs(t)
-    return stats.consistency(v.where("scope = 'A'"), v.where("scope = 'N'"), ["item"], "value")
+    return stats.consistency(v.where("scope <> 'N'"), v.where("scope = 'N'"), ["item"], "value", ["scope"])
 
 
 PAIRS = f"""

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from shiftgrid.operators import aggregates
 from shiftgrid.plans import indices, metrics, scoring, whatif
+from shiftgrid.session import cut
 from workload import standins as S
 from workload.cells import ACTIVITY
 from workload.ranking import avg_rank_sql
@@ -191,33 +192,67 @@ def _(t):
     return screened(t).select("scope", "mode", "tf", "variant", "status", "score", "projection", "shift_l2", "centrality")
 
 
+# screen: discounts and prices by factor; single perturbations: taxes and quantities of the factors with money left
+CONSISTENT_SQL = """bs AS (SELECT l_returnflag AS scope, l_suppkey AS f, l_partkey AS tf, max(l_discount) - 0.05 AS b FROM lineitem GROUP BY 1, 2, 3),
+    sg AS (SELECT l_returnflag AS scope, 'KO' || l_suppkey AS ko_id, l_partkey AS tf, min(l_tax) - 0.04 AS a FROM lineitem WHERE l_linestatus = 'F' OR l_quantity > 10 GROUP BY 1, 2, 3),
+    cs AS (SELECT l_returnflag AS scope, l_suppkey AS f, avg(l_extendedprice) - 35000 AS score, CASE WHEN l_suppkey % 17 = 3 THEN 'no_op' ELSE 'ok' END AS status FROM lineitem GROUP BY 1, 2),
+    cg AS (SELECT l_returnflag AS scope, 'KO' || l_suppkey AS ko_id, CASE WHEN l_suppkey % 13 = 2 THEN NULL WHEN l_suppkey % 13 = 5 THEN 0 ELSE avg(l_quantity) - 25 END AS score, 'ok' AS status
+           FROM lineitem WHERE l_suppkey % 11 <> 4 GROUP BY 1, 2, l_suppkey),
+    km AS (SELECT s_suppkey AS f, 'KO' || s_suppkey AS ko_id FROM supplier WHERE s_acctbal > 0),
+    pr AS (SELECT bs.scope, bs.f, km.ko_id, b, a FROM bs JOIN km ON bs.f = km.f JOIN sg ON sg.scope = bs.scope AND sg.ko_id = km.ko_id AND sg.tf = bs.tf)"""
+
+
+@query("rp9_consistency", f"""
+    WITH {CONSISTENT_SQL}, rk AS (SELECT *, {avg_rank_sql('a', 'scope, f')} AS ra, {avg_rank_sql('b', 'scope, f')} AS rb FROM pr),
+      r AS (SELECT scope, f, CASE WHEN count(*) > 10 AND stddev_pop(ra) > 0 AND stddev_pop(rb) > 0 THEN corr(ra, rb) END AS rho, sqrt(sum(b * b)) AS lb, sqrt(sum(a * a)) AS la FROM rk GROUP BY 1, 2),
+      k AS (SELECT DISTINCT bs.scope, bs.f, km.ko_id FROM bs JOIN km ON bs.f = km.f WHERE (bs.scope, km.ko_id) IN (SELECT (scope, ko_id) FROM sg))
+    SELECT k.scope, CAST(k.f AS VARCHAR) AS tf, k.ko_id, rho AS shift_rho, coalesce(lb, 0) AS shift_l2_screen, coalesce(la, 0) AS shift_l2_single, cs.score AS score_screen, cg.score AS score_single,
+      sign(cs.score) = sign(cg.score) AS sign_agrees, CASE WHEN cg.score <> 0 THEN cs.score / cg.score END AS score_ratio, coalesce(cs.status, '') AS status_screen, coalesce(cg.status, '') AS status_single
+    FROM k LEFT JOIN r ON k.scope = r.scope AND k.f = r.f LEFT JOIN cs ON cs.scope = k.scope AND cs.f = k.f LEFT JOIN cg ON cg.scope = k.scope AND cg.ko_id = k.ko_id""",
+       "shift_rho shift_l2_screen shift_l2_single score_screen score_single score_ratio")
+def _(t):
+    li = t.lineitem.withColumnRenamed("l_returnflag", "scope")
+    variant, ko_id = F.concat(F.lit("ko__"), "l_suppkey").alias("variant"), F.concat(F.lit("KO"), "l_suppkey").alias("ko_id")
+    tf, rest = F.col("l_partkey").alias("tf"), F.col("l_suppkey") % 13
+    screen_shift = li.groupBy("scope", variant, tf).agg((F.max("l_discount") - 0.05).alias("shift"))
+    single_shift = li.where("l_linestatus = 'F' OR l_quantity > 10").groupBy("scope", ko_id, tf).agg((F.min("l_tax") - 0.04).alias("shift"))
+    of_screen = li.groupBy("scope", "l_suppkey").agg((F.avg("l_extendedprice") - 35000).alias("score")).select(
+        "scope", variant, "score", F.when(F.col("l_suppkey") % 17 == 3, "no_op").otherwise("ok").alias("status"))
+    single = li.where("l_suppkey % 11 <> 4").groupBy("scope", "l_suppkey").agg((F.avg("l_quantity") - 25).alias("_s")).select(
+        "scope", ko_id, F.when(rest == 5, 0.0).when(rest != 2, F.col("_s")).alias("score"), F.lit("ok").alias("status"))
+    known = t.supplier.where("s_acctbal > 0").select(F.col("s_suppkey").alias("tf"), F.concat(F.lit("KO"), "s_suppkey").alias("ko_id"))
+    return scoring.screen_consistency(of_screen, screen_shift, single, single_shift, known)
+
+
 @query("rp21_variants", "SELECT m || '__' || s_suppkey AS variant, m AS mode, CAST(s_suppkey AS VARCHAR) AS tf FROM supplier, (VALUES ('ko'), ('oe')) v(m)")
 def _(t):
     v = whatif.make_variants(t.supplier.select(F.col("s_suppkey").alias("tf")))
     return v.select("variant", "mode", F.col("tfs")[0].alias("tf"))
 
 
-INPUTS_SQL = """nn AS (SELECT gene, avg(value) AS mu, stddev_samp(value) AS sd, quantile_cont(value, 0.99) AS cap FROM expr WHERE scope = 'N' GROUP BY 1),
-    inp AS (SELECT m || '__' || e.gene AS variant, m AS mode, e.gene, e.sample, value AS old, CASE m WHEN 'ko' THEN 0.0 ELSE greatest(value, cap) END AS new, coalesce(NOT sd > 1e-6, true) AS is_flat, mu, sd
-            FROM (SELECT * FROM expr WHERE scope = 'A') e JOIN part p ON gene = p_partkey LEFT JOIN nn ON e.gene = nn.gene, (VALUES ('ko'), ('oe')) v(m)),
+# the cap is spelled out, because a value that ties with it counts as unchanged: both sides must interpolate in the same order
+INPUTS_SQL = """nq AS (SELECT gene, avg(value) AS mu, stddev_samp(value) AS sd, list_sort(list(value)) AS l, 0.99::DOUBLE * (count(*) - 1) AS pos FROM expr WHERE scope = 'N' GROUP BY 1),
+    nn AS (SELECT *, l[floor(pos)::BIGINT + 1] + (l[ceil(pos)::BIGINT + 1] - l[floor(pos)::BIGINT + 1]) * (pos - floor(pos)) AS cap FROM nq),
+    inp AS (SELECT scope, m || '__' || e.gene AS variant, m AS mode, e.gene, e.sample, value AS old, CASE m WHEN 'ko' THEN 0.0 ELSE greatest(value, cap) END AS new, coalesce(NOT sd > 1e-6, true) AS is_flat, mu, sd
+            FROM expr e JOIN part p ON gene = p_partkey LEFT JOIN nn ON e.gene = nn.gene, (VALUES ('ko'), ('oe')) v(m)),
     inz AS (SELECT *, CASE WHEN is_flat THEN 0 ELSE (new - old) / (sd + 1e-6) END AS z_shift FROM inp)"""
 
 
 def changed_inputs(t):
     e = S.expr(t).withColumn("gene", F.col("gene").cast("string"))
     v = whatif.make_variants(t.part.select(F.col("p_partkey").alias("tf")))
-    own = e.where("scope = 'A'").select("gene", "sample", "value")
-    return whatif.whatif_inputs(own, e.where("scope = 'N'").select("gene", "sample", "value"), v, "gene", "sample", "value")
+    own, reference = e.select("scope", "gene", "sample", "value"), e.where("scope = 'N'").select("gene", "sample", "value")
+    return whatif.whatif_inputs(own, reference, v, "gene", "sample", "value", by=["scope"])
 
 
-@query("rp19_whatif_inputs", f"WITH {INPUTS_SQL} SELECT variant, mode, sample, old, new, z_shift, is_flat FROM inz", "old new z_shift", "expr")
+@query("rp19_whatif_inputs", f"WITH {INPUTS_SQL} SELECT scope, variant, mode, sample, old, new, z_shift, is_flat FROM inz", "old new z_shift", "expr")
 def _(t):
-    return changed_inputs(t).select("variant", "mode", "sample", "old", "new", "z_shift", "is_flat")
+    return changed_inputs(t).select("scope", "variant", "mode", "sample", "old", "new", "z_shift", "is_flat")
 
 
 RESPONSE_SQL = f"""{INPUTS_SQL}, wt AS (SELECT l_partkey AS gene, l_suppkey AS target, sum(l_discount) AS weight FROM lineitem GROUP BY 1, 2),
-    ns AS (SELECT count(DISTINCT sample) AS n FROM expr WHERE scope = 'A'),
-    resp AS (SELECT variant, target AS gene, sum(z_shift * weight) / max(n) AS shift FROM inz JOIN wt ON inz.gene = wt.gene, ns WHERE inz.gene <> target GROUP BY 1, 2)"""
+    ns AS (SELECT scope, count(DISTINCT sample) AS n FROM expr GROUP BY 1),
+    resp AS (SELECT inz.scope, variant, target AS gene, sum(z_shift * weight) / max(n) AS shift FROM inz JOIN wt ON inz.gene = wt.gene JOIN ns ON inz.scope = ns.scope WHERE inz.gene <> target GROUP BY 1, 2, 3)"""
 
 
 def weights(t):
@@ -225,33 +260,35 @@ def weights(t):
         F.sum("l_discount").alias("weight"))
 
 
-def responses(t):
-    n = S.expr(t).where("scope = 'A'").agg(F.countDistinct("sample").alias("n_samples"))
-    return whatif.whatif_response(changed_inputs(t), weights(t), n, "gene", "sample")
+def responses(t, inputs):
+    n = S.expr(t).groupBy("scope").agg(F.countDistinct("sample").alias("n_samples"))
+    return whatif.whatif_response(inputs, weights(t), n, "gene", "sample", by=["scope"])
 
 
-@query("rp20_whatif_response", f"WITH {RESPONSE_SQL} SELECT variant, CAST(gene AS VARCHAR) AS gene, shift FROM resp", "shift", "expr")
+@query("rp20_whatif_response", f"WITH {RESPONSE_SQL} SELECT scope, variant, CAST(gene AS VARCHAR) AS gene, shift FROM resp", "shift", "expr")
 def _(t):
-    return responses(t)
+    return responses(t, changed_inputs(t))
 
 
 @query("rp19_whatif_status", f"""
-    WITH {RESPONSE_SQL}, c AS (SELECT variant, max(mode) AS mode, CAST(sum(CAST(new <> old AS INTEGER)) AS BIGINT) AS n_samples_changed, min(CAST(is_flat AS INTEGER)) AS flat FROM inz GROUP BY 1),
-         r AS (SELECT variant, sqrt(sum(shift * shift)) AS l2, max(abs(shift)) AS mx FROM resp GROUP BY 1)
-    SELECT c.variant, mode, n_samples_changed, CASE WHEN n_samples_changed = 0 OR flat = 1 THEN 0 ELSE coalesce(l2, 0) END AS shift_l2, CASE WHEN n_samples_changed = 0 OR flat = 1 THEN 0 ELSE coalesce(mx, 0) END AS shift_max_abs,
-           n_samples_changed = 0 OR flat = 1 OR coalesce(mx, 0) < 1e-6 AS noop FROM c LEFT JOIN r ON c.variant = r.variant""", "shift_l2 shift_max_abs", "expr")
+    WITH {RESPONSE_SQL}, c AS (SELECT scope, variant, max(mode) AS mode, CAST(sum(CAST(new <> old AS INTEGER)) AS BIGINT) AS n_samples_changed, min(CAST(is_flat AS INTEGER)) AS flat FROM inz GROUP BY 1, 2),
+         r AS (SELECT scope, variant, sqrt(sum(shift * shift)) AS l2, max(abs(shift)) AS mx FROM resp GROUP BY 1, 2)
+    SELECT c.scope, c.variant, mode, n_samples_changed, CASE WHEN n_samples_changed = 0 OR flat = 1 THEN 0 ELSE coalesce(l2, 0) END AS shift_l2, CASE WHEN n_samples_changed = 0 OR flat = 1 THEN 0 ELSE coalesce(mx, 0) END AS shift_max_abs,
+           n_samples_changed = 0 OR flat = 1 OR coalesce(mx, 0) < 1e-6 AS noop FROM c LEFT JOIN r ON c.scope = r.scope AND c.variant = r.variant""", "shift_l2 shift_max_abs", "expr")
 def _(t):
-    return whatif.whatif_status(changed_inputs(t), responses(t))
+    inputs = cut(changed_inputs(t))  # read for the changes and for the response
+    return whatif.whatif_status(inputs, responses(t, inputs), by=["scope"])
 
 
 @query("rp20_baseline_response", """
     WITH n AS (SELECT gene, avg(value) AS mu, stddev_samp(value) AS sd FROM expr WHERE scope = 'N' GROUP BY 1),
-      z AS (SELECT e.gene, sum(CASE WHEN sd > 1e-6 THEN (value - mu) / (sd + 1e-6) ELSE 0 END) AS zs FROM expr e LEFT JOIN n ON e.gene = n.gene WHERE scope = 'A' GROUP BY 1),
+      k AS (SELECT scope, count(DISTINCT sample) AS n FROM expr GROUP BY 1),
+      z AS (SELECT e.scope, e.gene, sum(CASE WHEN sd > 1e-6 THEN (value - mu) / (sd + 1e-6) ELSE 0 END) AS zs FROM expr e LEFT JOIN n ON e.gene = n.gene GROUP BY 1, 2),
       w AS (SELECT l_partkey AS gene, l_suppkey AS target, sum(l_discount) AS weight FROM lineitem GROUP BY 1, 2)
-    SELECT CAST(target AS VARCHAR) AS gene, sum(zs * weight) / (SELECT count(DISTINCT sample) FROM expr WHERE scope = 'A') AS baseline FROM z JOIN w ON z.gene = w.gene WHERE z.gene <> target GROUP BY 1""", "baseline", "expr")
+    SELECT z.scope, CAST(target AS VARCHAR) AS gene, sum(zs * weight) / max(k.n) AS baseline FROM z JOIN w ON z.gene = w.gene JOIN k ON z.scope = k.scope WHERE z.gene <> target GROUP BY 1, 2""", "baseline", "expr")
 def _(t):
     e = S.expr(t).withColumn("gene", F.col("gene").cast("string"))
-    return whatif.baseline_response(e.where("scope = 'A'"), e.where("scope = 'N'"), weights(t), "gene", "sample", "value")
+    return whatif.baseline_response(e, e.where("scope = 'N'"), weights(t), "gene", "sample", "value", by=["scope"])
 
 
 @query("rp22_gene_match", """
