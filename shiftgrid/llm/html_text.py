@@ -8,7 +8,8 @@ around that are never side elements.
 
 Null, empty and tag-only pages give an empty text. Unclosed and unmatched tags are tolerated; a page without any labelled part
 is scored like the others. Without labelled pages the prior weights hold. Ties go to the first region. Repeated rows are
-treated alike; columns besides those kept and the html are ignored. Pages of any length are read whole.
+treated alike; columns besides those kept and the html are ignored. Pages of any length are read whole. Bytes that are no UTF-8
+read as U+FFFD. Formulas are text in their line; only their annotations, which no browser shows, are left out.
 """
 
 from __future__ import annotations
@@ -26,14 +27,16 @@ from shiftgrid.llm.common import map_rows, need
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>"
-    r"|<(?P<raw>script|style|noscript|template|textarea|title|iframe|svg|math)\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"|<(?P<raw>script|style|noscript|template|textarea|title|iframe|svg|annotation-xml|annotation)\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*>.*?(?:</(?P=raw)\s*>|\Z)"
     r"|<(?P<close>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:\"[^\"]*\"|'[^']*'|[^'\">])*)>",
     re.S | re.I)
 ATTRIBUTE = re.compile(r"([a-zA-Z:-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 # Elements by what they are in HTML.
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd mark q ruby rb rp rt s samp small span strike strong "
-    "sub sup time tt u var wbr".split())
+    "sub sup time tt u var wbr "
+    "math mi mn mo ms mtext mrow mfrac msqrt mroot mstyle mpadded mphantom mspace menclose msub msup msubsup munder mover munderover "
+    "mmultiscripts mprescripts mtable mtr mtd semantics".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SIDE = frozenset("nav footer aside form button select dialog menu head object audio video canvas".split())
 CONTENT = frozenset(("article", "main"))
@@ -55,6 +58,8 @@ WORD_PRIOR, TAG_PRIOR = 1.0, -0.2
 # A piece of text in a side element, whatever its length: it is left out of the result, so it need not end the region.
 SIDE_TEXT = -0.3
 LEAST_WORD, LEAST_TAG, MOST_TAG = 0.25, -1.0, -0.1
+# Rarer classes in the labelled pages take the prior.
+LEAST_TOKENS = 20
 
 
 def is_side_name(names: str, inside: bool) -> bool:
@@ -183,11 +188,12 @@ def class_counts(page: str) -> dict[str, tuple[int, int]]:
 class Weights:
     """Score of a token class; unseen classes take the prior."""
 
-    def __init__(self, counts: dict[str, tuple[int, int]]):
-        total_in, total_out = (sum(c[i] for c in counts.values()) for i in (0, 1))
+    def __init__(self, counts: dict[str, tuple[int, int]], totals: tuple[int, int] | None = None):
+        """``counts``: tokens inside and outside by class; ``totals``: those of all classes, where rare ones are left out of it."""
+        total_in, total_out = totals or (sum(c[i] for c in counts.values()) for i in (0, 1))
         self.known: dict[str, float] = {}
         for name, (a, b) in counts.items():
-            if a + b < 20:
+            if a + b < LEAST_TOKENS:
                 continue
             odds = math.log((a + 0.5) / (total_in + 1)) - math.log((b + 0.5) / (total_out + 1))
             odds = max(-5.0, min(5.0, odds))
@@ -231,7 +237,10 @@ def main_text(page: str, weights: Weights) -> str:
 
 
 def fit(pages: DataFrame, id_col: str = "page_id", html: str = "html", sample: int = 4_000) -> Weights:
-    """Weights from at most ``sample`` pages, those with the smallest hash of their id (a bounded list that may be broadcast)."""
+    """Weights from at most ``sample`` pages, those with the smallest hash of their id (a bounded list that may be broadcast).
+
+    Every class of token they hold often enough gets a weight; the sample alone bounds their number.
+    """
     need(pages, id_col, html)
     ids = pages.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id")).orderBy(F.xxhash64("_id"), "_id").limit(sample)
     rows = pages.select(F.col(id_col).alias("_id"), F.col(html).alias("_html")).join(F.broadcast(ids.distinct()), "_id")
@@ -239,17 +248,18 @@ def fit(pages: DataFrame, id_col: str = "page_id", html: str = "html", sample: i
     def make():
         def function(pages_):
             for page in pages_:
-                counts = class_counts((page or b"").decode())
+                counts = class_counts((page or b"").decode(errors="replace"))
                 yield ([{"name": k, "a": v[0], "b": v[1]} for k, v in counts.items()],)
         return function
 
     item = T.StructType([T.StructField("name", T.StringType()), T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
     counted = map_rows(rows, [], "_html", make, T.StructType([T.StructField("counts", T.ArrayType(item))]))
-    summed = (  # at most a few thousand classes are kept, the most frequent
-        counted.select(F.explode("counts").alias("_c")).select("_c.*").groupBy("name")
-        .agg(F.sum("a").alias("a"), F.sum("b").alias("b")).orderBy(F.desc(F.col("a") + F.col("b")), "name").limit(5_000).collect()
-    )
-    return Weights({r["name"]: (r["a"], r["b"]) for r in summed})
+    # the row without a name holds the totals of all classes
+    summed = counted.select(F.explode("counts").alias("_c")).select("_c.*").rollup("name").agg(
+        F.sum("a").alias("a"), F.sum("b").alias("b")).where(F.col("name").isNull() | (F.col("a") + F.col("b") >= LEAST_TOKENS)).collect()
+    by_name = {r["name"]: (r["a"] or 0, r["b"] or 0) for r in summed}
+    totals = by_name.pop(None, (0, 0))
+    return Weights(by_name, totals)
 
 
 def extract(pages: DataFrame, weights: Weights, keep: list[str], html: str = "html") -> DataFrame:
@@ -257,7 +267,7 @@ def extract(pages: DataFrame, weights: Weights, keep: list[str], html: str = "ht
     def make():
         def function(pages_):
             for page in pages_:
-                text = main_text(page.decode(), weights) if page else ""
+                text = main_text(page.decode(errors="replace"), weights) if page else ""
                 yield (text, len(text))
         return function
 

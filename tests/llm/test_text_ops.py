@@ -279,6 +279,30 @@ def test_articles_in_side_elements_stay_out():
     assert "Side words" not in html_text.main_text(page, html_text.Weights({}))
 
 
+def test_formulas_stay_in_their_line():
+    page = ("<article><p>The area is <math><semantics><mrow><mi>a</mi><mo>=</mo><mn>2</mn></mrow><annotation>a=2</annotation></semantics>"
+            "</math> square metres.</p></article>")
+    assert html_text.main_text(page, html_text.Weights({})) == "The area is a=2 square metres."
+
+
+def test_every_class_of_the_sampled_pages_counts(spark):
+    """More classes than any list would hold; rare ones are left to the prior but counted in the totals."""
+    one = "".join(f"<x{i}>" + "</x%d>" % i for i in range(6_000))
+    pages = spark.createDataFrame([(i, f"<article><p>some words here</p>{one}</article><div>out</div>") for i in range(25)], "page_id int, html string")
+    weights = html_text.fit(pages)
+    assert len(weights.known) > 6_000
+    whole: dict = {}
+    for k, v in html_text.class_counts(pages.first()["html"]).items():
+        whole[k] = (v[0] * 25, v[1] * 25)
+    assert weights.known == html_text.Weights(whole).known
+
+
+def test_bytes_that_are_no_utf8_are_replaced(spark):
+    page = spark.sql("SELECT 1 AS page_id, CAST(X'3C703E612062FF20633C2F703E' AS STRING) AS html")
+    row = html_text.extract(page, html_text.Weights({}), ["page_id"]).first()
+    assert row["text"] == "a b\ufffd c" and row["n_chars"] == 6
+
+
 # ---- toxicity and language
 def test_noisy_or_learns_from_documents_only(spark):
     rng = random.Random(3)
