@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shiftgrid.operators.filters import GuardError
-from shiftgrid.operators.ordered import attach, attach_stats, numbered, with_each
+from shiftgrid.operators.ordered import attach, attach_stats, grid, numbered
 from shiftgrid.operators.ranks import average_rank, percent_of_rank
 
 
@@ -40,8 +40,7 @@ def marker_means(
     sums = wanted.groupBy(cluster, gene).agg(F.sum(value).alias("_s"))
     present = expr.select(gene).distinct().join(markers.select(gene), gene, "left_semi")
     # clusters x markers is the size of the report itself; every present marker is reported for every cluster
-    grid = with_each(present, sizes)
-    means = attach(grid, sums, [cluster, gene]).select(
+    means = attach(grid(present, sizes), sums, [cluster, gene]).select(
         cluster, gene, (F.coalesce("_s", F.lit(0.0)) / F.col("n_cells")).alias("mean_expr"), F.lit(True).alias("present")
     )
     absent = markers.select(gene).distinct().join(present, gene, "left_anti").select(
@@ -260,7 +259,7 @@ def rank_genes(expr: DataFrame, cells: DataFrame, cell: Sequence[str], group: st
     ranked = average_rank(seen, value, [gene], "_r")
     per_gene = seen.groupBy(gene).agg(F.count(F.lit(1)).alias("_nz"))
     sums = ranked.groupBy(group, gene).agg(F.sum("_r").alias("_s"), F.count(F.lit(1)).alias("_k"))
-    j = attach(with_each(per_gene, sizes), sums, [group, gene])
+    j = attach(grid(per_gene, sizes), sums, [group, gene])
     zeros = F.col("_N") - F.col("_nz")
     k_in = F.coalesce("_k", F.lit(0))
     rank_sum = F.coalesce("_s", F.lit(0.0)) + k_in * zeros + (F.col("_ng") - k_in) * (zeros + 1) / F.lit(2.0)

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shiftgrid.operators.filters import GuardError
-from shiftgrid.operators.ordered import attach, attach_stats, numbered, with_each
+from shiftgrid.operators.ordered import attach, attach_stats, grid, numbered
 from shiftgrid.operators.ranks import top_rows
 from shiftgrid.session import cut
 
@@ -98,8 +98,8 @@ def summed_terms(terms: DataFrame, samples: DataFrame, net: Network, sample: Seq
     key = [*net.scope, *sample]
     # a few thousand samples may sit in one partition and fan out to millions of pairs: spread them first
     even = samples.repartition(int(samples.sparkSession.conf.get("spark.sql.shuffle.partitions")), *key) if key else samples
-    grid = even.join(net.cols.select(*net.scope, "tf"), net.scope) if net.scope else with_each(even, net.cols.select("tf"))
-    zeros = grid.select(*key, "tf", F.lit(0.0).alias("_num"))
+    pairs = even.join(net.cols.select(*net.scope, "tf"), net.scope) if net.scope else grid(even, net.cols.select("tf"))
+    zeros = pairs.select(*key, "tf", F.lit(0.0).alias("_num"))
     return terms.unionByName(zeros).groupBy(*key, "tf").agg(F.sum("_num").alias("_num"))
 
 

@@ -197,15 +197,28 @@ def attach_stats(df: DataFrame, stats: DataFrame, by: Sequence[str], how: str =
 
 
 def with_each(df: DataFrame, labels: DataFrame) -> DataFrame:
-    """Every row with every row of a label table (clusters, scopes, samples): the grid of a dense report.
+    """Every row with every row of a short label table (scopes, tiers): the grid of a dense report.
 
-    The labels travel as one array in a one-row table.
+    The labels travel as one array in a one-row table; ``grid`` takes label tables of any length.
     """
     one = labels.agg(F.collect_list(F.struct(*labels.columns)).alias("_labels"))
     grid = attach(df, one, []).select(*df.columns, F.explode("_labels").alias("_label"))
     return grid.select(*df.columns, *[F.col(f"_label.{c}").alias(c) for c in labels.columns])
 
 
+def grid(df: DataFrame, labels: DataFrame) -> DataFrame:
+    """As ``with_each``, for labels that grow with the data (clusters, factors, samples).
+
+    Labels are dealt to as many blocks as there are shuffle partitions, every row goes once to each block that holds a label, and
+    they meet in an equi-join on the block: the only array holds the numbers of the blocks.
+    """
+    blocks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = cut(labels.withColumn("_block", F.pmod(F.xxhash64(*labels.columns), F.lit(blocks)).cast("int")))
+    used = dealt.agg(F.collect_set("_block").alias("_blocks"))
+    spread = attach(df, used, []).withColumn("_block", F.explode("_blocks")).drop("_blocks")
+    return spread.join(dealt, "_block").select(*df.columns, *labels.columns)
+
+
 def attach(df: DataFrame, right: DataFrame, by: Sequence[str], how: str = "left") -> DataFrame:
     """Equi-join that keeps NULL keys and the columns of ``df`` first; an empty key joins the one-row side."""
     if not by:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shiftgrid.operators.filters import GuardError, require_empty
-from shiftgrid.operators.ordered import attach_stats, numbered, with_each
+from shiftgrid.operators.ordered import attach_stats, grid, numbered
 from shiftgrid.sources.text import find_header, read_lines
 
 # File name endings of a coordinate-matrix trio (fixed values).
@@ -227,8 +227,8 @@ def rollup_sum(df: DataFrame, key: Sequence[str], value: str, extra: Sequence[Co
 
 def densify(long: DataFrame, gene: str = "gene", sample: str = "sample", value: str = "value") -> DataFrame:
     """Zero rows for missing (gene, sample) pairs; only for a sink that wants the full matrix."""
-    grid = with_each(long.select(gene).distinct(), long.select(sample).distinct())
-    return grid.join(long, [gene, sample], "left").withColumn(value, F.coalesce(value, F.lit(0.0)))
+    cells = grid(long.select(gene).distinct(), long.select(sample).distinct())
+    return cells.join(long, [gene, sample], "left").withColumn(value, F.coalesce(value, F.lit(0.0)))
 
 
 def merge_condition_files(spark: SparkSession, specs: Sequence[dict]) -> DataFrame:

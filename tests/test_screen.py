@@ -61,3 +61,16 @@ def test_agreement_of_screen_and_single_perturbations(spark):
     assert got["2"]["shift_rho"] is None and got["2"]["score_ratio"] is None and got["2"]["sign_agrees"] is False
     assert got["3"]["shift_l2_screen"] == 0.0 and got["3"]["score_screen"] is None and got["3"]["sign_agrees"] is None
     assert got["3"]["status_single"] == ""
+
+
+def test_grid_meets_every_label_once(spark):
+    """More labels than blocks, a null label, repeated rows, and no labels at all."""
+    from shiftgrid.operators.ordered import grid
+
+    rows = spark.createDataFrame([(1, "a"), (1, "a"), (None, "b")], "id int, _label string")
+    labels = spark.createDataFrame([(i, f"n{i}") for i in range(50)] + [(None, None)], "k int, name string")
+    got = grid(rows, labels)
+    assert got.columns == ["id", "_label", "k", "name"]
+    assert got.count() == 3 * 51 and got.distinct().count() == 2 * 51
+    assert grid(rows, labels.limit(0)).count() == 0
+    assert grid(rows.limit(0), labels).count() == 0
