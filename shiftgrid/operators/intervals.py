@@ -9,8 +9,13 @@ from pyspark.sql import functions as F
 
 from shiftgrid.operators.ordered import SLICE, attach, borders, order_once, running, with_slices
 from shiftgrid.operators.ranks import percentiles, tie_totals
+from shiftgrid.session import cut, rows_per_slice
 
 BIN = "_bin"
+# Levels lie so many powers of two apart: fewer levels mean fewer copies of a row, and at most 2 ** TIER as many candidates.
+TIER = 3
+# Crowding is counted in windows of 2 ** WINDOW positions.
+WINDOW = 12
 
 
 def merge_intervals(df: DataFrame, by: Sequence[str] = ("chrom",), gap: int = 0) -> DataFrame:
@@ -75,12 +80,13 @@ def overlap_sets(
 
 
 def level(df: DataFrame) -> Column:
-    """The smallest power of two that is at least as long as the interval, as its exponent."""
-    return F.ceil(F.log2(F.greatest(F.col("end") - F.col("start"), F.lit(1)).cast("double"))).cast("int")
+    """The smallest power of ``2 ** TIER`` that is at least as long as the interval, as its exponent of two."""
+    exact = F.log2(F.greatest(F.col("end") - F.col("start"), F.lit(1)).cast("double"))
+    return (F.ceil(exact / F.lit(TIER)) * F.lit(TIER)).cast("int")
 
 
 def levels(df: DataFrame) -> list[int]:
-    """The levels that occur: at most one for each power of two up to the longest interval."""
+    """The levels that occur: at most one for each power of ``2 ** TIER`` up to the longest interval."""
     return sorted(r[0] for r in df.select(level(df)).distinct().collect() if r[0] is not None)
 
 
@@ -102,19 +108,57 @@ def tiered(df: DataFrame, others: Sequence[int], least: int) -> DataFrame:
     return met.select("*", F.explode(F.sequence(bin_of(F.col("start")), bin_of(last))).alias(BIN))
 
 
-def overlap_pairs(a: DataFrame, b: DataFrame, by: Sequence[str], keep_a: Sequence[str], keep_b: Sequence[str]) -> DataFrame:
-    """All overlapping pairs, each at the level of the longer interval, in the bin where the later one starts."""
-    in_a, in_b = levels(a), levels(b)
+def bin_unit() -> Column:
+    """Where a bin is counted: in the window it lies in, or for itself when it is wider than a window."""
+    return F.call_function("shiftright", F.col(BIN), F.greatest(F.lit(WINDOW) - F.col("_at"), F.lit(0)))
+
+
+def crowded(df: DataFrame, by: Sequence[str], at: Sequence[int]) -> DataFrame:
+    """Places (level, unit of its bins) with more rows of ``df`` than one task should pair; fewer than rows / that number times levels."""
+    window = F.call_function("shiftright", F.col("start").cast("bigint"), F.lit(WINDOW))
+    counts = df.groupBy(*by, window.alias("_w")).agg(F.count(F.lit(1)).alias("_n"))
+    each = counts.select(*by, "_w", "_n", F.explode(F.array(*[F.lit(int(n)) for n in at])).alias("_at"))
+    unit = F.call_function("shiftright", F.col("_w"), F.greatest(F.col("_at") - F.lit(WINDOW), F.lit(0)))
+    sums = each.groupBy(*by, "_at", unit.alias("_unit")).agg(F.sum("_n").alias("_n"))
+    return cut(sums.where(F.col("_n") > rows_per_slice(df.sparkSession)).drop("_n"))
+
+
+def overlap_pairs(
+    a: DataFrame, b: DataFrame, by: Sequence[str], keep_a: Sequence[str], keep_b: Sequence[str], salt: int = 1,
+    of_a: Sequence[int] | None = None, of_b: Sequence[int] | None = None,
+) -> DataFrame:
+    """All overlapping pairs, each at the level of the longer interval, in the bin where the later one starts.
+
+    In crowded places the rows of ``a`` are dealt to ``salt`` tasks and those of ``b`` repeated for each; elsewhere nothing is repeated.
+    ``of_a`` and ``of_b`` are the levels of the sides, where known.
+    """
+    in_a, in_b = (levels(x) if known is None else list(known) for x, known in ((a, of_a), (b, of_b)))
     left = tiered(a, in_b, min(in_b, default=0)).select(
         *by, F.col("start").alias("_as"), F.col("end").alias("_ae"), *[F.col(c) for c in keep_a], F.col("_level").alias("_al"), "_at", BIN)
     right = tiered(b, in_a, min(in_a, default=0)).select(
-        *[F.col(c).alias(f"_b_{c}") for c in by], F.col("start").alias("_bs"), F.col("end").alias("_be"),
-        *[F.col(c) for c in keep_b], F.col("_level").alias("_bl"), F.col("_at").alias("_bt"), F.col(BIN).alias("_bb"))
-    match = (F.col("_at") == F.col("_bt")) & (F.col(BIN) == F.col("_bb")) & (F.col("_as") < F.col("_be")) & (F.col("_ae") > F.col("_bs"))
+        *by, F.col("start").alias("_bs"), F.col("end").alias("_be"),
+        *[F.col(c) for c in keep_b], F.col("_level").alias("_bl"), "_at", BIN)
+    places = sorted({*in_a, *in_b})
+    if salt > 1 and places:
+        # fewer places than rows of the input / rows of a slice
+        hot = F.broadcast(crowded(a, by, places).withColumn("_hot", F.lit(True)))
+        own = F.pmod(F.xxhash64("_as", "_ae", *keep_a), F.lit(int(salt))).cast("int")
+        every = F.sequence(F.lit(0), F.lit(int(salt) - 1))
+        left = attach(left.withColumn("_unit", bin_unit()), hot, [*by, "_at", "_unit"]).withColumn("_salt", F.when(F.col("_hot"), own).otherwise(0))
+        right = attach(right.withColumn("_unit", bin_unit()), hot, [*by, "_at", "_unit"]).withColumn(
+            "_salt", F.explode(F.when(F.col("_hot"), every).otherwise(F.array(F.lit(0)))))
+    else:
+        left, right = left.withColumn("_salt", F.lit(0)), right.withColumn("_salt", F.lit(0))
+    left = left.select(*by, "_salt", "_as", "_ae", *keep_a, "_al", "_at", BIN)
+    right = right.select(*[F.col(c).alias(f"_b_{c}") for c in by], F.col("_salt").alias("_bsalt"), "_bs", "_be", *keep_b, "_bl",
+                         F.col("_at").alias("_bt"), F.col(BIN).alias("_bb"))
+    match = (F.col("_at") == F.col("_bt")) & (F.col(BIN) == F.col("_bb")) & (F.col("_salt") == F.col("_bsalt"))
+    match = match & (F.col("_as") < F.col("_be")) & (F.col("_ae") > F.col("_bs"))
     for c in by:
         match = match & (F.col(c) == F.col(f"_b_{c}"))
     first = F.call_function("shiftright", F.greatest("_as", "_bs").cast("bigint"), F.col("_at"))
-    pairs = left.join(right, match & (F.col("_at") == F.greatest("_al", "_bl")) & (F.col(BIN) == first))
+    # the planner does not see how many rows an explode makes and would send the exploded side through the driver
+    pairs = left.join(right.hint("merge"), match & (F.col("_at") == F.greatest("_al", "_bl")) & (F.col(BIN) == first))
     return pairs.select(*by, *keep_a, *keep_b)
 
 
@@ -123,11 +167,12 @@ def count_overlaps(
 ) -> DataFrame:
     """Fragments (or their two cut ends) per cell and peak; a cell without any overlap does not appear.
 
-    Equal fragments of a cell are counted before they are binned. The peaks are repeated ``salt`` times, so a bin that holds a large share of all fragments is worked on by that many tasks.
+    Equal fragments of a cell are counted before they are binned. Where fragments are crowded, the peaks are repeated ``salt`` times, so a bin that holds a large share of all fragments is worked on by that many tasks.
     """
     if unit not in ("fragment", "insertion"):
         raise ValueError(f"unit must be 'fragment' or 'insertion', got {unit!r}")
     counted = fragments.groupBy("chrom", "start", "end", F.col(cell).alias("_cell")).agg(F.count(F.lit(1)).alias("_n"))
+    of_a = [0]  # cut ends are one position long
     if unit == "insertion":
         ends = F.array(
             F.struct(F.col("start").alias("s"), (F.col("start") + 1).alias("e")),
@@ -136,11 +181,10 @@ def count_overlaps(
         counted = counted.select("chrom", "_cell", "_n", F.explode(ends).alias("_x")).select(
             "chrom", "_cell", "_n", F.col("_x.s").alias("start"), F.col("_x.e").alias("end")
         )
-    salted = counted.withColumn("_salt", F.pmod(F.xxhash64("_cell", "start", "end"), F.lit(int(salt))))
-    copies = peaks.select("chrom", "start", "end", F.col(peak).alias("_peak")).select(
-        "*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(int(salt) - 1).cast("bigint"))).alias("_salt")
-    )
-    pairs = overlap_pairs(salted, copies, ["chrom", "_salt"], ["_cell", "_n"], ["_peak"])
+    else:
+        of_a = levels(fragments)
+    named = peaks.select("chrom", "start", "end", F.col(peak).alias("_peak"))
+    pairs = overlap_pairs(counted, named, ["chrom"], ["_cell", "_n"], ["_peak"], int(salt), of_a)
     return pairs.groupBy(F.col("_cell").alias(cell), F.col("_peak").alias(peak)).agg(F.sum("_n").alias("n"))
 
 

@@ -130,3 +130,23 @@ def test_crowded_place_is_many_slices(spark):
         spark.conf.unset(ROWS_KEY)
         spark.conf.set(SLICES_KEY, "0")
     assert len(per) >= 6 and max(per) <= 300
+
+
+def test_count_overlaps_repeats_no_peak_outside_crowded_places(spark, mode):
+    rng = np.random.default_rng(8)
+    lengths = 2 ** rng.integers(0, 14, 400)
+    frags = [("c%d" % (i % 2), int(a), int(a + w), i % 3) for i, (a, w) in enumerate(zip(rng.integers(0, 40_000, 400), lengths))]
+    peaks = [("c%d" % (i % 2), int(a), int(a + w), i) for i, (a, w) in enumerate(zip(rng.integers(0, 40_000, 60), 2 ** rng.integers(0, 12, 60)))]
+    df, at = frame(spark, frags, ", cell int"), frame(spark, peaks, ", peak int")
+    got = {(r["cell"], r["peak"]): r["n"] for r in iv.count_overlaps(df, at, "cell", "peak", salt=16).collect()}
+    want = {}
+    for c, s, e, k in frags:
+        for pc, ps, pe, p in peaks:
+            if c == pc and s < pe and e > ps:
+                want[(k, p)] = want.get((k, p), 0) + 1
+    assert got == want
+    # a row has at most two bins at each of few levels, and the exploded sides meet in a shuffle, never in the driver
+    assert max(r["count"] for r in iv.tiered(df, iv.levels(at), 0).groupBy("cell", "start", "end").count().collect()) <= 2 * len(iv.levels(at)) + 2
+    assert len(iv.levels(df)) <= 6
+    plan = iv.count_overlaps(df, at, "cell", "peak")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan
