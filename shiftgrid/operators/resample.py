@@ -14,9 +14,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shiftgrid.functions.scalars import draw, hash_key
+from shiftgrid.operators import replicates
 from shiftgrid.operators.ordered import attach, attach_stats, group_size, numbered, numbered_by_hash
-from shiftgrid.operators.ranks import average_ranks, weighted_ranks
-from shiftgrid.operators.stats import corr_expr, finite, rel_rmse_expr, weighted_corr_expr
+from shiftgrid.operators.ranks import average_ranks
+from shiftgrid.operators.stats import corr_expr, finite, rel_rmse_expr
 from shiftgrid.session import cut
 
 
@@ -51,7 +52,8 @@ def bootstrap(
     for c in by:
         match = match & F.col(f"_d_{c}").eqNullSafe(F.col(c))
     count = F.count(F.lit(1)).cast("double").alias(weight)
-    picked = draws.join(rows.drop("_n"), match)
+    # the planner does not see how many rows an explode makes and would send the draws through the driver
+    picked = draws.hint("merge").join(rows.drop("_n"), match)
     return picked.groupBy(*by, "_pos", "b", key, *values).agg(count).drop("_pos")
 
 
@@ -70,23 +72,17 @@ def bootstrap_spearman(
     """Spearman correlations of named column pairs in every replicate: one row per (group, b)."""
     columns = sorted({c for p in pairs.values() for c in p})
     # twice the average rank is a whole number with the order and the ties of the value: ranked once, compared cheaply
-    base = df.select(*by, key, *columns)
-    base = average_ranks(base, {f"_o_{c}": c for c in columns}, by)
-    base = group_size(base.select(*by, key, *[(F.col(f"_o_{c}") * 2).cast("bigint").alias(f"_o_{c}") for c in columns]), by, "_size")
-    drawn = bootstrap(base, by, key, [*[f"_o_{c}" for c in columns], "_size"], B, seed)
-    drawn = weighted_ranks(drawn, {f"_r_{c}": f"_o_{c}" for c in columns}, [*by, "b"], "w", F.col("_size") * 2)
-    return drawn.groupBy(*by, "b").agg(
-        *[
-            weighted_corr_expr(F.col(f"_r_{x}"), F.col(f"_r_{y}"), F.col("w")).alias(name)
-            for name, (x, y) in pairs.items()
-        ]
-    )
+    base = average_ranks(df.select(*by, key, *columns), {f"_o_{c}": c for c in columns}, by)
+    base = base.select(*by, key, *[(F.col(f"_o_{c}") * 2).cast("bigint").alias(f"_o_{c}") for c in columns])
+    counted = replicates.bootstrap_counts(base, by, key, [f"_o_{c}" for c in columns], B, seed)
+    return replicates.rank_correlations(counted, by, {n: (f"_o_{x}", f"_o_{y}") for n, (x, y) in pairs.items()}, B)
 
 
 def bootstrap_mean(df: DataFrame, by: Sequence[str], key: str, value: str, B: int, seed: int) -> DataFrame:
     """Mean of each replicate. A mean needs multiplicities only, so nothing is ordered."""
-    drawn = bootstrap(df, by, key, [value], B, seed)
-    return drawn.groupBy(*by, "b").agg((F.sum(F.col("w") * F.col(value)) / F.sum("w")).alias("mean"))
+    counted = replicates.bootstrap_counts(df, by, key, [value], B, seed)
+    sums = replicates.weighted_sums(counted, by, {"_sum": F.col(value)}, B)
+    return sums.select(*by, "b", (F.col("_sum") / F.col("_w")).alias("mean"))
 
 
 def bootstrap_panels(
@@ -172,15 +168,17 @@ def matched_sets(
 ) -> DataFrame:
     """Mean of a random set that takes, for each panel member, a row of the same stratum (with replacement).
 
-    One row per (group, b). The pool is addressed by position, so a draw is one keyed lookup.
+    One row per (group, b). The pool is addressed by position: a draw travels to its block, where the draws of a row are counted.
     """
-    pool = group_size(numbered(df, [*by, stratum], [key], "_pos"), [*by, stratum], "_n")
-    wanted = replicate(pool.where(in_panel).select(*by, stratum, key, "_n"), B, [*by, key]).select(
-        *by, stratum, "b",
-        (draw(F.col("_n"), F.lit(seed), *_group_text(by), F.col("b"), F.col(key)) + 1).alias("_pos"),
-    )
-    met = attach(wanted, pool.select(*by, stratum, "_pos", value), [*by, stratum, "_pos"], "inner")
-    return met.groupBy(*by, "b").agg(F.avg(value).alias("mean"))
+    part = [*by, stratum]
+    flagged = df.select(*part, key, value, in_panel.alias("_in"))
+    pool = cut(group_size(numbered(flagged, part, [key], "_pos"), part, "_n"))
+    draws = replicates.each_b(B, lambda b: draw(F.col("_n"), F.lit(seed), *_group_text(by), b, F.col(key)))
+    wanted = replicates.even(pool.where("_in").select(*part, key, "_n"), [*by, key])
+    counted = replicates.drawn_counts(pool.select(*part, "_pos", value), part, "_pos", wanted, draws, B)
+    known = F.col(value).isNotNull().cast("double")
+    sums = replicates.weighted_sums(counted, by, {"_sum": F.col(value), "_known": known}, B)
+    return sums.where("_w > 0").select(*by, "b", F.try_divide("_sum", "_known").alias("mean"))
 
 
 def shuffle_null(
@@ -198,11 +196,10 @@ def shuffle_null(
 def bootstrap_projection(
     pairs: DataFrame, by: Sequence[str], key: str, shift: str, vector: str, B: int, seed: int
 ) -> DataFrame:
-    drawn = bootstrap(pairs.where(finite(shift, vector)), by, key, [shift, vector], B, seed)
-    w, s, a = F.col("w"), F.col(shift), F.col(vector)
-    return drawn.groupBy(*by, "b").agg(
-        F.try_divide(F.sum(w * s * a), F.sqrt(F.sum(w * a * a))).alias("projection")
-    )
+    counted = replicates.bootstrap_counts(pairs.where(finite(shift, vector)), by, key, [shift, vector], B, seed)
+    s, a = F.col(shift), F.col(vector)
+    sums = replicates.weighted_sums(counted, by, {"_sa": s * a, "_aa": a * a}, B)
+    return sums.select(*by, "b", F.try_divide("_sa", F.sqrt("_aa")).alias("projection"))
 
 
 def usable_variants(status: DataFrame, mode: str, exclude: Sequence = ()) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shiftgrid.functions.scalars import region_chrom, region_end, region_start
+from shiftgrid.operators import replicates
 from shiftgrid.operators.enrichment import normalised_enrichment
 from shiftgrid.operators.intervals import overlap_sets
 from shiftgrid.operators.joins import leave_source_out
@@ -18,7 +19,7 @@ from shiftgrid.operators.resample import (
 )
 from shiftgrid.operators.stats import (
     agree_expr, corr_expr, curve_of, finite, metrics_of_hits, rel_rmse_expr, sign_accuracy,
-    spearman, weighted_corr_expr, zscore_many,
+    spearman, zscore_many,
 )
 from shiftgrid.session import cut
 
@@ -71,10 +72,12 @@ def bootstrap_contrast(
     wanted = finite("real_shift", "predicted_shift", "level", *(["loco"] if loco else []))
     z = zscore_many(shifts.where(wanted), {"zr": "real_shift", "zp": "predicted_shift", "zl": "level", **({"zc": "loco"} if loco else {})}, by)
     columns = ["zr", "zp", "zl", *(["zc"] if loco else []), "real_shift", "predicted_shift"]
-    drawn = cut(bootstrap(z, by, gene, columns, B, seed))
-    w = F.col("w")
+    # the k largest measured magnitudes of a replicate are looked for in the order of all rows
+    placed = numbered(z.select(*by, gene, *columns, F.abs("real_shift").alias("_a")), by, ["-_a", gene], "_place")
+    counted = cut(replicates.bootstrap_counts(placed, by, gene, [*columns, "_place"], B, seed))
     pairs = {"_pr": ("zp", "zr"), "_lr": ("zl", "zr"), **({"_cr": ("zc", "zr"), "_pc": ("zp", "zc")} if loco else {})}
-    sums = drawn.groupBy(*by, "b").agg(*[weighted_corr_expr(F.col(x), F.col(y), w).alias(n) for n, (x, y) in pairs.items()])
+    sums = replicates.weighted_sums(counted, by, replicates.pair_sums(pairs), B)
+    sums = sums.select(*by, "b", *[replicates.corr_of_sums(n, x, y) for n, (x, y) in pairs.items()])
 
     def error(rho: str):
         return F.when(F.col(rho).isNull(), F.lit(1.0)).otherwise(F.sqrt(F.greatest(F.lit(2.0) - F.lit(2.0) * F.col(rho), F.lit(0.0))))
@@ -87,16 +90,7 @@ def bootstrap_contrast(
                        least.alias("best_baseline_rel_rmse"), (F.col("_pr") - best).alias("d_pcc"), (error("_pr") - least).alias("d_rel_rmse"),
                        *([F.try_divide(F.col("_pr") - F.col("_pc") - F.col("_cr") + 1,
                                        F.sqrt((F.lit(2.0) - 2 * F.col("_pc")) * (F.lit(2.0) - 2 * F.col("_cr")))).alias("pcc_centroid")] if loco else []))
-    # the k largest measured magnitudes of a replicate: copies count, so the last row may count in part
-    laid = drawn.withColumn("_a", F.abs("real_shift"))
-    walked = running(laid, [*by, "b"], ["-_a", gene], {"_above": ("sum", w)}, inclusive=False)
-    signed = F.signum("predicted_shift") != 0
-    agree = (F.signum("predicted_shift") == F.signum("real_shift")).cast("double")
-    concs = []
-    for k in ks:
-        inside = F.when(signed, F.greatest(F.least(w, F.lit(float(k)) - F.col("_above")), F.lit(0.0))).otherwise(0.0)
-        concs.append(F.try_divide(F.sum(inside * agree), F.sum(inside)).alias(f"deg_conc_{k}"))
-    each = attach(each, walked.groupBy(*by, "b").agg(*concs), [*by, "b"])
+    each = attach(each, replicates.top_agreement(counted, by, "_place", "predicted_shift", "real_shift", ks, B), [*by, "b"])
     return intervals(each, by, [c for c in each.columns if c not in {*by, "b"}])
 
 
@@ -125,8 +119,9 @@ def interaction_metrics(residuals: DataFrame, by: Sequence[str], gene: str, real
         F.try_divide(F.stddev_pop(real), F.greatest(F.stddev_pop("additive"), F.lit(1e-12))).alias("eps_to_sum_sd_ratio"),
     )
     z = zscore_many(known, {"_zr": real, "_zp": pred}, by)
-    drawn = bootstrap(z, by, gene, ["_zr", "_zp"], B, seed)
-    each = drawn.groupBy(*by, "b").agg(weighted_corr_expr(F.col("_zp"), F.col("_zr"), F.col("w")).alias("pcc_eps"))
+    pairs = {"pcc_eps": ("_zp", "_zr")}
+    counted = replicates.bootstrap_counts(z, by, gene, ["_zr", "_zp"], B, seed)
+    each = replicates.weighted_sums(counted, by, replicates.pair_sums(pairs), B).select(*by, "b", replicates.corr_of_sums("pcc_eps", "_zp", "_zr"))
     return attach(point, intervals(each, by, ["pcc_eps"]), by)
 
 

@@ -99,3 +99,18 @@ def test_contrast_metrics_notes_small_contrasts(pairs, mode):
     out = {r["scope"]: r for r in metrics.contrast_metrics(shifts, ["scope"], "gene", B=5, n_perm=5, min_genes=20, ks=(5,)).collect()}
     assert out["y"]["note"] and out["y"]["pcc"] is None and out["x"]["note"] is None and out["x"]["pcc"] is not None
     assert np.isclose(out["x"]["nochange_rel_rmse"], 1.0)
+
+
+def test_blocks_of_many_rows_and_hot_ties(spark):
+    """Several blocks per group and a tie longer than a block: the counts and ranks of the written-out draws."""
+    rng = np.random.default_rng(11)
+    n = 20_000
+    real, level = rng.normal(size=n), np.where(rng.random(n) < 0.6, 0.0, rng.integers(1, 500, n))
+    df = spark.createDataFrame([("x", i, float(a), float(v)) for i, (a, v) in enumerate(zip(real, level))], "g string, id int, real double, level double")
+    drawn = resample.bootstrap(df, ["g"], "id", ["real", "level"], 2, 5).toPandas()
+    rho = resample.bootstrap_spearman(df, ["g"], "id", {"rho": ("real", "level")}, 2, 5).toPandas().set_index("b")["rho"]
+    mean = resample.bootstrap_mean(df, ["g"], "id", "real", 2, 5).toPandas().set_index("b")["mean"]
+    for b, d in drawn.groupby("b"):
+        e = d.loc[d.index.repeat(d["w"].astype(int))]
+        assert len(e) == n and np.isclose(mean[b], e["real"].mean())
+        assert np.isclose(rho[b], e["real"].rank().corr(e["level"].rank()))
