@@ -114,3 +114,20 @@ def test_blocks_of_many_rows_and_hot_ties(spark):
         e = d.loc[d.index.repeat(d["w"].astype(int))]
         assert len(e) == n and np.isclose(mean[b], e["real"].mean())
         assert np.isclose(rho[b], e["real"].rank().corr(e["level"].rank()))
+
+
+def test_packed_permutations_equal_written_out_pairs(spark):
+    rng = np.random.default_rng(12)
+    rows = [("x" if i < 18_000 else "y", i, float(a), float(p)) for i, (a, p) in enumerate(zip(rng.normal(size=18_050), rng.integers(-2, 3, 18_050)))]
+    df = spark.createDataFrame(rows, "g string, id int, real double, pred double")
+    pairs = resample.permuted_pairs(df, ["g"], "id", ["real"], "pred", 2, 7).toPandas()
+    got = resample.shuffle_null(df, ["g"], "id", "real", "pred", 2, 7).toPandas().set_index(["g", "b"])["projection"]
+    for at, d in pairs.groupby(["g", "b"]):
+        assert np.isclose(got[at], (d["real"] * d["moved"]).sum() / np.sqrt((d["moved"] ** 2).sum()))
+    null = resample.permutation_null(df, ["g"], "id", "real", "pred", 2, 7, (10,)).toPandas().set_index("g")
+    for g, d in pairs.groupby("g"):
+        top = [e.assign(a=e["real"].abs()).nlargest(10, "a") for _, e in d.groupby("b")]
+        conc = [(np.sign(e["moved"]) == np.sign(e["real"]))[e["moved"] != 0].mean() for e in top]
+        assert np.isclose(null.loc[g, "perm_pcc_mean"], np.mean([e["real"].corr(e["moved"]) for _, e in d.groupby("b")]))
+        assert np.isclose(null.loc[g, "perm_rmse_mean"], np.mean([np.sqrt(((e["real"] - e["moved"]) ** 2).mean()) for _, e in d.groupby("b")]))
+        assert np.isclose(null.loc[g, "perm_deg_conc_10_p95"], np.quantile(conc, 0.95))
