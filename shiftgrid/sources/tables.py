@@ -36,9 +36,10 @@ def read_gmt(
 ) -> DataFrame:
     """Gene sets as (set_name, gene); the universe restricts the members before the size filter."""
     f = F.split("line", "\t")
-    members = lines(spark, path).where(F.size(f) >= 3).select(
-        F.element_at(f, 1).alias("set_name"), F.explode(F.slice(f, F.lit(3), F.size(f) - 2)).alias("gene")
-    ).where(F.col("gene") != "")
+    # the name is taken before the members are unpacked: beside an explode it would split the whole line again for each of them
+    parts = lines(spark, path).select(f.alias("f")).where(F.size("f") >= 3).select(
+        F.element_at("f", 1).alias("set_name"), F.slice("f", F.lit(3), F.size("f") - 2).alias("members"))
+    members = parts.select("set_name", F.explode("members").alias("gene")).where(F.col("gene") != "")
     if universe is not None:
         members = members.join(universe.select("gene").distinct(), "gene", "left_semi").select("set_name", "gene")
     return size_filter(members, min_size, max_size)

@@ -215,9 +215,19 @@ def _(t):
     return sinks.file_hashes(t.spark, f"{path}/*/part-*").select(segment.alias("segment"), "md5")
 
 
-@query("snk2_provenance", """SELECT s_suppkey, '0123456789ab' AS input_0, substr(md5('{"ratio": 0.5, "seed": 1}'), 1, 10) AS config_hash FROM supplier""")
+@query("snk2_provenance", """
+    SELECT s_suppkey, (SELECT substr(md5(string_agg(concat_ws(',', r_regionkey, r_name) || chr(10), '' ORDER BY r_regionkey NULLS FIRST, r_name NULLS FIRST)), 1, 12) FROM region) AS input_0,
+           (SELECT substr(md5(string_agg(concat_ws(',', n_nationkey, n_name) || chr(10), '' ORDER BY n_nationkey NULLS FIRST, n_name NULLS FIRST)), 1, 12) FROM nation) AS input_1,
+           substr(md5('{"ratio": 0.5, "seed": 1}'), 1, 10) AS config_hash, true AS has_input_hash, 10::INTEGER AS config_hash_length FROM supplier""")
 def _(t):
-    return sinks.with_provenance(t.supplier.select("s_suppkey"), {"input_0": "0123456789ab"}, {"seed": 1, "ratio": 0.5})
+    folder, hashes = scratch(t), {}
+    inputs = {"input_0": t.region.select(F.col("r_regionkey").alias("k"), F.col("r_name").alias("v")), "input_1": t.nation.select(F.col("n_nationkey").alias("k"), F.col("n_name").alias("v"))}
+    for name, df in inputs.items():
+        # one ordered file per input
+        df.coalesce(1).sortWithinPartitions("k", "v").select(F.concat_ws(",", F.col("k").cast("string"), "v").alias("value")).write.text(f"{folder}/{name}")
+        hashes |= {name: r["md5"] for r in sinks.file_hashes(t.spark, f"{folder}/{name}/part-*").collect()}
+    df = sinks.with_provenance(t.supplier.select("s_suppkey"), hashes, {"seed": 1, "ratio": 0.5})
+    return df.withColumns({"has_input_hash": F.length("input_0") == 12, "config_hash_length": F.length("config_hash")})
 
 
 @query("snk3_pivot_report", """
