@@ -7,14 +7,14 @@ a group, whatever the size of the group: ties of more rows than that are dealt t
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+import hashlib
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shiftgrid.functions.scalars import hash_key
 from shiftgrid.operators.ordered import attach, group_size, numbered
 from shiftgrid.session import cut
 
@@ -23,6 +23,7 @@ BLOCK = 8192
 # Draws that a task deals out at a time.
 AT_ONCE = 2_000_000
 COUNT, OFFSET = np.dtype("<u2"), np.dtype("<u2")
+HASH_BITS = 60
 
 
 def short(B: int) -> np.dtype:
@@ -49,11 +50,6 @@ def matrix(column, kind: np.dtype, B: int) -> np.ndarray:
     return np.frombuffer(b"".join(values), kind).reshape(len(values), B)
 
 
-def lists(column, B: int) -> np.ndarray:
-    flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    return flat.flatten().to_numpy(zero_copy_only=False).reshape(len(column), B)
-
-
 def doubles(column) -> np.ndarray:
     """Numbers of a column; NULL as NaN."""
     return np.asarray(column.cast(pa.float64()).to_numpy(zero_copy_only=False) if isinstance(column, pa.Array)
@@ -83,16 +79,26 @@ def even(df: DataFrame, spread: Sequence[str]) -> DataFrame:
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *[F.col(c) for c in spread])
 
 
-def each_b(B: int, of: Callable[[Column], Column]) -> Column:
-    return F.transform(F.sequence(F.lit(1), F.lit(int(B))), of)
+def key_text(before: Sequence[Column], after: Column) -> list[Column]:
+    """The text of a draw's key but for the replicate number, as columns ``_pre`` and ``_post``; NULL parts are left out as in ``hash_key``."""
+    return [F.concat_ws("|", *[c.cast("string") for c in before], F.lit("")).alias("_pre"), F.concat(F.lit("|"), after.cast("string")).alias("_post")]
+
+
+def hashes(batch: pa.RecordBatch, B: int) -> np.ndarray:
+    """``hash_key`` of every row and replicate."""
+    numbers = [str(b).encode() for b in range(1, B + 1)]
+    md5, out = hashlib.md5, []
+    for pre, post in zip(batch.column("_pre").to_pylist(), batch.column("_post").to_pylist()):
+        head, tail = pre.encode(), b"" if post is None else post.encode()
+        out += [md5(head + b + tail).digest()[:8] for b in numbers]
+    return (np.frombuffer(b"".join(out), ">u8") >> np.uint64(64 - HASH_BITS)).astype(np.int64).reshape(batch.num_rows, B)
 
 
 # ------------------------------------------------------------------------------------------------------------ bootstrap
-def drawn_counts(rows: DataFrame, by: Sequence[str], pos: str, drawing: DataFrame, draws: Column, B: int, out: str = "w") -> DataFrame:
+def drawn_counts(rows: DataFrame, by: Sequence[str], pos: str, drawing: DataFrame, B: int, out: str = "w") -> DataFrame:
     """``rows`` with how often each replicate drew them: B counts of two bytes.
 
-    ``rows`` have positions 1..n in their group. Each row of ``drawing`` makes one draw a replicate: ``draws`` is an array of B
-    positions from 0 on in its group.
+    ``rows`` have positions 1..n in their group. Each row of ``drawing`` (group, ``_n``, ``key_text``) makes one draw a replicate.
     """
     by, wide = list(by), short(B)
     dealt_names = [*by, "_block"]
@@ -102,7 +108,7 @@ def drawn_counts(rows: DataFrame, by: Sequence[str], pos: str, drawing: DataFram
             step = max(1, AT_ONCE // B)
             for at in range(0, whole.num_rows, step):
                 batch = whole.slice(at, step)
-                to = lists(batch.column("_to"), B)
+                to = hashes(batch, B) % batch.column("_n").to_numpy(zero_copy_only=False).astype(np.int64)[:, None]
                 codes, first = codes_of(batch, by)
                 group, which = np.repeat(codes, B), np.tile(np.arange(B, dtype=wide), len(to))
                 to = to.reshape(-1)
@@ -114,7 +120,7 @@ def drawn_counts(rows: DataFrame, by: Sequence[str], pos: str, drawing: DataFram
                      pa.array([offset[s:e].tobytes() + which[s:e].tobytes() for s, e in zip(starts, ends)], pa.binary())],
                     names=[*by, "_block", "_hits"])
 
-    dealt = drawing.select(*by, draws.alias("_to")).mapInArrow(deal, f"{ddl(drawing, by)}{', ' if by else ''}`_block` bigint, `_hits` binary")
+    dealt = drawing.mapInArrow(deal, f"{ddl(drawing, by)}{', ' if by else ''}`_block` bigint, `_hits` binary")
     placed = rows.withColumn("_block", F.floor((F.col(pos) - F.lit(1)) / F.lit(BLOCK)).cast("bigint"))
     size = OFFSET.itemsize + wide.itemsize
 
@@ -142,9 +148,8 @@ def positions(df: DataFrame, by: Sequence[str], key: str, values: Sequence[str])
 def bootstrap_counts(df: DataFrame, by: Sequence[str], key: str, values: Sequence[str], B: int, seed: int) -> DataFrame:
     """n of n rows with replacement, B times: every row once, with its B counts ``w``, its position and the size of its group."""
     rows = positions(df, by, key, values)
-    draws = each_b(B, lambda b: F.pmod(hash_key(F.lit(seed), *[F.col(c) for c in by], b, F.col("_pos")), F.col("_n")))
-    drawing = even(rows.select(*by, "_pos", "_n"), [*by, "_pos"])
-    return drawn_counts(rows, by, "_pos", drawing, draws, B)
+    drawing = even(rows.select(*by, "_pos", "_n"), [*by, "_pos"]).select(*by, "_n", *key_text([F.lit(seed), *[F.col(c) for c in by]], F.col("_pos")))
+    return drawn_counts(rows, by, "_pos", drawing, B)
 
 
 def weighted_sums(counted: DataFrame, by: Sequence[str], sums: dict[str, Column], B: int, w: str = "w") -> DataFrame:
@@ -366,9 +371,6 @@ def top_agreement(counted: DataFrame, by: Sequence[str], place: str, pred: str,
 
 
 # --------------------------------------------------------------------------------------------------------- permutations
-HASH_BITS = 60
-
-
 def permuted_sums(
     df: DataFrame, by: Sequence[str], key: str, fixed: str, moved: str, B: int, seed: int,
     ks: Sequence[int] = (), top: str | None = None, sign: str | None = None,
@@ -386,14 +388,32 @@ def permuted_sums(
                                    by, [key], "_pos"), by, "_n"))
     bits = F.greatest(F.ceil(F.log2(F.col("_n") / F.lit(float(BLOCK)))), F.lit(0)).cast("int")
 
-    def hashed(b: Column) -> Column:
-        return hash_key(F.lit(seed), *[F.col(c) for c in by], b, F.col(key))
+    spread = even(rows.select(*by, key, "_m", "_pos", "_n").withColumn("_bits", bits), [*by, "_pos"]).select(
+        *by, "_m", "_n", "_bits", *key_text([F.lit(seed), *[F.col(c) for c in by]], F.col(key)))
+
+    def cuts(batches: Iterator[pa.RecordBatch]):
+        """Parts of the batches with their hashes, slices and groups."""
+        for whole in batches:
+            step = max(1, AT_ONCE // B)
+            for at in range(0, whole.num_rows, step):
+                batch = whole.slice(at, step)
+                h = hashes(batch, B)
+                shift = (HASH_BITS - batch.column("_bits").to_numpy(zero_copy_only=False).astype(np.int64))[:, None]
+                codes, first = codes_of(batch, by)
+                yield batch, h.reshape(-1), (h >> shift).reshape(-1), np.repeat(codes, B), np.tile(np.arange(B, dtype=np.int64), len(h)), first
+
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, _, to, group, which, first in cuts(batches):
+            most = int(to.max()) + 1
+            found, counts = np.unique((group * most + to) * B + which, return_counts=True)
+            took = pa.array(first[found // B // most])
+            yield pa.RecordBatch.from_arrays(
+                [*[batch.column(c).take(took) for c in by], pa.array(found // B % most), pa.array((found % B + 1).astype(np.int32)), pa.array(counts)],
+                names=[*by, "_slice", "b", "_c"])
 
-    spread = even(rows.select(*by, key, "_m", "_pos", "_n").withColumn("_bits", bits), [*by, "_pos"])
     # groups of one slice start at 0
-    slice_of = F.call_function("shiftright", hashed(F.col("b")), F.lit(HASH_BITS) - F.col("_bits"))
-    counts = spread.where("_bits > 0").select("*", F.explode(F.sequence(F.lit(1), F.lit(int(B)))).alias("b")).select(
-        *by, "b", "_n", slice_of.cast("bigint").alias("_slice")).groupBy(*by, "_n", "_slice", "b").agg(F.count(F.lit(1)).alias("_c"))
+    counts = spread.where("_bits > 0").mapInArrow(tally, f"{ddl(rows, by)}{', ' if by else ''}_slice bigint, b int, _c bigint").groupBy(
+        *by, "_slice", "b").agg(F.sum("_c").alias("_c"))
     names = ", ".join(f"`{c}`" for c in [*by, "b"])
     start = F.expr(f"coalesce(sum(_c) OVER (PARTITION BY {names} ORDER BY _slice ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)")
     many = counts.withColumn("_s", start).groupBy(*by, "_slice").agg(
@@ -412,26 +432,18 @@ def permuted_sums(
         plan.select(*by, "_slice", F.lit(0).cast("bigint").alias("_pos"), *[F.lit(None).cast("double" if c != "_top" else "bigint").alias(c) for c in ("_f", "_top", "_sign")], *none))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            step = max(1, AT_ONCE // B)
-            for at in range(0, whole.num_rows, step):
-                batch = whole.slice(at, step)
-                h = lists(batch.column("_h"), B)
-                shift = (HASH_BITS - batch.column("_bits").to_numpy(zero_copy_only=False).astype(np.int64))[:, None]
-                codes, first = codes_of(batch, by)
-                group, to = np.repeat(codes, B), (h >> shift).reshape(-1)
-                which, value = np.tile(np.arange(B, dtype=np.int64), len(h)), np.repeat(doubles(batch.column("_m")), B)
-                h = h.reshape(-1)
-                order = np.argsort(which, kind="stable")
-                placed, starts, ends = pieces(group[order], to[order])
-                order = order[placed]
-                h, which, value = h[order], which[order], value[order]
-                owner = first[group[order[starts]]]
-                packed = [np.bincount(which[s:e], minlength=B).astype("<u4").tobytes() + h[s:e].astype("<i8").tobytes() + value[s:e].tobytes() for s, e in zip(starts, ends)]
-                yield pa.RecordBatch.from_arrays(
-                    [*[batch.column(c).take(pa.array(owner)) for c in by], pa.array(to[order[starts]]), pa.array(packed, pa.binary())], names=[*by, "_slice", "_packed"])
-
-    dealt = spread.select(*by, "_m", "_bits", each_b(B, hashed).alias("_h")).mapInArrow(deal, f"{ddl(rows, by)}{', ' if by else ''}_slice bigint, _packed binary")
+        for batch, h, to, group, which, first in cuts(batches):
+            value = np.repeat(doubles(batch.column("_m")), B)
+            order = np.argsort(which, kind="stable")
+            placed, starts, ends = pieces(group[order], to[order])
+            order = order[placed]
+            h, which, value = h[order], which[order], value[order]
+            owner = first[group[order[starts]]]
+            packed = [np.bincount(which[s:e], minlength=B).astype("<u4").tobytes() + h[s:e].astype("<i8").tobytes() + value[s:e].tobytes() for s, e in zip(starts, ends)]
+            yield pa.RecordBatch.from_arrays(
+                [*[batch.column(c).take(pa.array(owner)) for c in by], pa.array(to[order[starts]]), pa.array(packed, pa.binary())], names=[*by, "_slice", "_packed"])
+
+    dealt = spread.mapInArrow(deal, f"{ddl(rows, by)}{', ' if by else ''}_slice bigint, _packed binary")
     sums = ["_fm", *[f"_{side}_{k}" for k in ks for side in ("num", "den")]]
 
     def pair(left: pa.Table, right: pa.Table) -> pa.Table:

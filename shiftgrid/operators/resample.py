@@ -173,9 +173,9 @@ def matched_sets(
     part = [*by, stratum]
     flagged = df.select(*part, key, value, in_panel.alias("_in"))
     pool = cut(group_size(numbered(flagged, part, [key], "_pos"), part, "_n"))
-    draws = replicates.each_b(B, lambda b: draw(F.col("_n"), F.lit(seed), *_group_text(by), b, F.col(key)))
-    wanted = replicates.even(pool.where("_in").select(*part, key, "_n"), [*by, key])
-    counted = replicates.drawn_counts(pool.select(*part, "_pos", value), part, "_pos", wanted, draws, B)
+    wanted = replicates.even(pool.where("_in").select(*part, key, "_n"), [*by, key]).select(
+        *part, "_n", *replicates.key_text([F.lit(seed), *_group_text(by)], F.col(key)))
+    counted = replicates.drawn_counts(pool.select(*part, "_pos", value), part, "_pos", wanted, B)
     known = F.col(value).isNotNull().cast("double")
     sums = replicates.weighted_sums(counted, by, {"_sum": F.col(value), "_known": known}, B)
     return sums.where("_w > 0").select(*by, "b", F.try_divide("_sum", "_known").alias("mean"))

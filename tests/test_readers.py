@@ -8,7 +8,7 @@ import hashlib
 import pytest
 
 from shiftgrid.operators.filters import GuardError
-from shiftgrid.sources import matrices, sinks, text
+from shiftgrid.sources import matrices, sinks, tables, text
 
 
 def test_wide_table_of_many_columns(spark, tmp_path):
@@ -88,3 +88,28 @@ def test_digest_is_a_stream(spark, tmp_path):
     got = {r.path.rsplit("/", 1)[-1]: r.md5 for r in df.collect()}
     assert got == {"a b.bin": hashlib.md5(data).hexdigest()[:12]}  # an empty file is not listed
     assert "content" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_gene_set_line_is_split_once(spark, tmp_path):
+    (tmp_path / "sets.gmt").write_text("a\tx\tg1\t\tg2\nb\ty\tg1\n")
+    df = tables.read_gmt(spark, str(tmp_path / "sets.gmt"), 1, 5)
+    assert sorted((r["set_name"], r["gene"]) for r in df.collect()) == [("a", "g1"), ("a", "g2"), ("b", "g1")]
+    plan = df._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    # the plan is listed from the top: nothing above an explode splits a line
+    for i, line in enumerate(plan):
+        if "Generate explode" in line:
+            assert "split(" not in plan[i - 1]
+
+
+def test_provenance_hashes_its_inputs(spark):
+    import os
+
+    import __spark_entry__ as entry
+
+    folder = "/root/testdata/sf0.001"
+    if not os.path.isdir(folder):
+        pytest.skip("driver tables not present")
+    row = entry.queries()["snk2_provenance"](spark, folder).first()
+    regions = spark.read.parquet(f"{folder}/region.parquet").orderBy("r_regionkey").collect()
+    text = "".join(f"{r['r_regionkey']},{r['r_name']}\n" for r in regions)
+    assert row["input_0"] == hashlib.md5(text.encode()).hexdigest()[:12] and row["input_0"] != row["input_1"]
