@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shiftgrid.functions.scalars import hash_key
+from shiftgrid.operators import replicates
 from shiftgrid.operators.ordered import SLICE, attach, attach_stats, group_size, numbered, running
 from shiftgrid.operators.ranks import top_rows
 from shiftgrid.operators.resample import replicate
@@ -77,19 +78,33 @@ def set_null(
 
 def null_of_list(listed: DataFrame, by: Sequence[str], gene: str, sizes: DataFrame, B: int, seed: int) -> DataFrame:
     distinct = sizes.select(*by, F.col("size").alias("_size")).distinct()
-    largest = distinct.agg(F.max("_size").alias("m")).first()["m"]
-    hashed = replicate(listed, B, [*by, gene]).withColumn(
-        "_h", hash_key(F.lit(seed), *[F.col(c) for c in by], F.col("b"), F.col(gene))
-    )
-    taken = top_rows(hashed, [*by, "b"], ["_h", gene], int(largest or 0), "_at")
-    match = F.col("_at") <= F.col("_size")
-    renamed = distinct.select(*[F.col(c).alias(f"_s_{c}") for c in by], "_size")
-    for c in by:
-        match = match & F.col(c).eqNullSafe(F.col(f"_s_{c}"))
-    hits = taken.join(renamed, match).select(
-        *by, "b", F.col("_size").alias("set_size"), "position", "weight", "n_list"
-    )
-    return scores_of_hits(hits, [*by, "set_size", "b"]).select(*by, "set_size", "b", F.col("es").alias("null_es"))
+    own = cut(distinct.groupBy(*by).agg(F.max("_size").alias("_most")))
+    largest = own.agg(F.max("_most").alias("m")).first()["m"]
+    asked = attach(listed, own, by, "inner")
+    expected = asked.groupBy(*by).agg(F.least(F.count(F.lit(1)), F.max("_most")).alias("n")).agg(F.sum("n").alias("n")).first()["n"] or 0
+    slack = 1
+    taken = cut(first_of_hash(asked, by, gene, int(largest or 0), B, seed, slack))
+    # only where many rows share a hash, that is a gene, the first guess may fall short
+    while taken.count() < expected * B:
+        slack *= 8
+        taken = cut(first_of_hash(asked, by, gene, int(largest or 0), B, seed, slack))
+    return replicates.walked_sets(taken, by, distinct)
+
+
+def first_of_hash(listed: DataFrame, by: Sequence[str], gene: str, largest: int, B: int, seed: int, slack: int) -> DataFrame:
+    """The first ``_most`` genes of a random order of each group, for each replicate: their place ``_at``, position and weight.
+
+    Hashes are uniform: those above a bound that leaves a few more than are asked for are dropped where they are made. The result
+    is exact if it is complete, which the caller counts.
+    """
+    share = (F.col("_most") + 8 * F.sqrt("_most") + 64) * F.lit(float(slack)) / F.col("n_list")
+    bound = F.when(share < 1, F.lower(F.lpad(F.hex((share * F.lit(float(1 << 60))).cast("bigint")), 15, "0"))).otherwise("~")
+    made = replicate(listed.withColumn("_bound", bound), B, [*by, gene])
+    text = F.concat_ws("|", *[c.cast("string") for c in (F.lit(seed), *[F.col(c) for c in by], F.col("b"), F.col(gene))])
+    near = made.where(F.substring(F.md5(text), 1, 15) < F.col("_bound"))
+    hashed = near.withColumn("_h", hash_key(F.lit(seed), *[F.col(c) for c in by], F.col("b"), F.col(gene)))
+    placed = top_rows(hashed, [*by, "b"], ["_h", gene], largest, "_at")
+    return placed.where(F.col("_at") <= F.col("_most")).select(*by, "b", "_at", "position", "weight", "n_list")
 
 
 def normalised_enrichment(

@@ -486,3 +486,72 @@ def permuted_sums(
     parts = dealt.groupBy(*keys).cogroup(beside.groupBy(*keys)).applyInArrow(pair, schema)
     return parts.groupBy(*by, "b").agg(
         F.sum("_fm").alias("_fm"), *[F.try_divide(F.sum(f"_num_{k}"), F.sum(f"_den_{k}")).alias(f"conc_{k}") for k in ks])
+
+
+# ----------------------------------------------------------------------------------------------------------- enrichment
+# Positions of a list that one task walks.
+WALK = 65_536
+
+
+def walked_sets(taken: DataFrame, by: Sequence[str], sizes: DataFrame) -> DataFrame:
+    """Enrichment scores of random sets of several sizes: rows (group, set_size, b, null_es).
+
+    ``taken``: group, b, position, weight, n_list and ``_at``; the hits with ``_at`` up to a size are the set of that size. ``sizes``: group,
+    ``_size``. A hit is one row whatever the sizes it belongs to: a task walks a block of positions once a size, after one pass has
+    told what lies before each block.
+    """
+    by = list(by)
+    keys = [*by, "b", "_blk"]
+    blocked = taken.select(*by, "b", "position", "weight", "_at", "n_list", F.floor((F.col("position") - 1) / F.lit(WALK)).cast("bigint").alias("_blk"))
+    asked = sizes.groupBy(*by).agg(F.array_sort(F.collect_set(F.col("_size").cast("bigint"))).alias("_sizes"))
+    places = cut(attach(blocked.groupBy(*keys).agg(F.max("n_list").alias("_n")), asked, by, "inner"))
+
+    def hits_of(left: pa.Table):
+        order = np.argsort(left.column("position").to_numpy(), kind="stable")
+        return [doubles(left.column(c))[order] for c in ("position", "weight", "_at")]
+
+    def key_row(table: pa.Table) -> dict:
+        return {c: table.column(c).slice(0, 1) for c in keys}
+
+    def listed(values: np.ndarray, kind: pa.DataType) -> pa.Array:
+        return pa.array([values], pa.list_(kind))
+
+    head = ddl(blocked, keys)
+
+    def add(left: pa.Table, right: pa.Table) -> pa.Table:
+        _, weight, at = hits_of(left)
+        asked = np.asarray(right.column("_sizes")[0].as_py(), float)
+        inside = at[:, None] <= asked[None, :]
+        return pa.table({**key_row(right), "_t": listed(weight @ inside, pa.float64()), "_c": listed(inside.sum(axis=0), pa.int64())})
+
+    totals = blocked.drop("n_list").groupBy(*keys).cogroup(places.groupBy(*keys)).applyInArrow(add, f"{head}, _t array<double>, _c array<bigint>")
+    each = totals.select(*keys, F.posexplode(F.arrays_zip("_t", "_c")).alias("_i", "_x")).select(*keys, "_i", F.col("_x._t").alias("_t"), F.col("_x._c").alias("_c"))
+    each = cut(each)
+    names = ", ".join(f"`{c}`" for c in [*by, "b", "_i"])
+    before = f"OVER (PARTITION BY {names} ORDER BY _blk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    laid = each.selectExpr("*", f"coalesce(sum(_t) {before}, 0D) AS _tb", f"coalesce(sum(_c) {before}, 0) AS _cb",
+                           f"sum(_t) OVER (PARTITION BY {names}) AS _ta", f"sum(_c) OVER (PARTITION BY {names}) AS _ca")
+    packed = laid.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_i", "_tb", "_cb", "_ta", "_ca"))).alias("_a"))
+    offsets = attach(places, packed, keys, "inner").select(*keys, "_sizes", "_n", *[F.col(f"_a.{c}").alias(c) for c in ("_tb", "_cb", "_ta", "_ca")])
+
+    def walk_block(left: pa.Table, right: pa.Table) -> pa.Table:
+        position, weight, at = hits_of(left)
+        asked, n = np.asarray(right.column("_sizes")[0].as_py(), float), right.column("_n")[0].as_py()
+        tb, cb, ta, ca = (np.asarray(right.column(c)[0].as_py(), float) for c in ("_tb", "_cb", "_ta", "_ca"))
+        hi, lo = np.zeros(len(asked)), np.zeros(len(asked))
+        for i, size in enumerate(asked):
+            inside = at <= size
+            if ta[i] <= 0 or ca[i] >= n or not inside.any():
+                continue
+            p, w = position[inside], weight[inside]
+            so_far = tb[i] + np.cumsum(w)
+            miss = (p - (cb[i] + np.arange(1, len(p) + 1))) / (n - ca[i])
+            hi[i], lo[i] = max(0.0, (so_far / ta[i] - miss).max()), min(0.0, ((so_far - w) / ta[i] - miss).min())
+        return pa.table({**key_row(right), "_sizes": listed(asked.astype(np.int64), pa.int64()), "_hi": listed(hi, pa.float64()), "_lo": listed(lo, pa.float64()),
+                         "_ca": listed(ca.astype(np.int64), pa.int64())})
+
+    walked = blocked.drop("n_list").groupBy(*keys).cogroup(offsets.groupBy(*keys)).applyInArrow(
+        walk_block, f"{head}, _sizes array<bigint>, _hi array<double>, _lo array<double>, _ca array<bigint>")
+    each = walked.select(*by, "b", F.explode(F.arrays_zip("_sizes", "_hi", "_lo", "_ca")).alias("_x")).select(*by, "b", "_x.*").where("_ca > 0")
+    ends = each.groupBy(*by, F.col("_sizes").alias("set_size"), "b").agg(F.max("_hi").alias("_hi"), F.min("_lo").alias("_lo"))
+    return ends.select(*by, "set_size", "b", F.when(F.abs("_hi") >= F.abs("_lo"), F.col("_hi")).otherwise(F.col("_lo")).alias("null_es"))
