@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from shiftgrid.operators.filters import GuardError, require_empty
 from shiftgrid.operators.ordered import attach_stats, grid, numbered
+from shiftgrid.session import cut
 from shiftgrid.sources.text import find_header, read_lines
 
 # File name endings of a coordinate-matrix trio (fixed values).
@@ -44,7 +45,10 @@ def read_mtx(spark: SparkSession, folder: str, pattern: str = "*", lines=read_li
         "prefix", F.regexp_replace("file_name", MATRIX_SUFFIX, "")
     )
     fields = F.split(F.trim("line"), r"\s+")
-    head = data.groupBy("prefix").agg(F.min("place").alias("head_place"), F.min_by(fields, "place").alias("_dims"))
+    # one pass over the lines, of which one a trio is split
+    head = cut(data.groupBy("prefix").agg(
+        F.min("place").alias("head_place"), F.min_by("line", "place").alias("line"), (F.count(F.lit(1)) - 1).alias("_lines")
+    ).select("prefix", "head_place", fields.alias("_dims"), "_lines"))
     sizes = head.join(cells.groupBy("prefix").agg(F.count(F.lit(1)).alias("_nc")), "prefix", "left").join(
         feats.groupBy("prefix").agg(F.count(F.lit(1)).alias("_nf")), "prefix", "left"
     )
@@ -56,16 +60,16 @@ def read_mtx(spark: SparkSession, folder: str, pattern: str = "*", lines=read_li
     )
     require_empty(shape.where(F.col("_way").isNull()).select("prefix"), "matrix shape fits neither orientation")
     # the third figure of the header counts the entries; every entry must lie inside the matrix
-    lines = data.groupBy("prefix").agg((F.count(F.lit(1)) - 1).alias("_lines"))
-    wrong = lines.join(head, "prefix").where(~F.col("_lines").eqNullSafe(F.try_element_at("_dims", F.lit(3)).cast("bigint")))
+    wrong = head.where(~F.col("_lines").eqNullSafe(F.try_element_at("_dims", F.lit(3)).cast("bigint")))
     require_empty(wrong.select("prefix"), "number of entries differs from the header")
     entries = attach_stats(data, shape, ["prefix"], "inner").where(F.col("place") != F.col("head_place"))
     first, second = F.element_at(fields, 1).cast("bigint"), F.element_at(fields, 2).cast("bigint")
     straight = F.col("_way") == "features_by_cells"
-    triples = entries.select(
+    # read for the check and for the counts
+    triples = cut(entries.select(
         "prefix", F.when(straight, first).otherwise(second).alias("_f"),
         F.when(straight, second).otherwise(first).alias("_c"), F.element_at(fields, 3).cast("double").alias("count"),
-    )
+    ))
     outside = attach_stats(triples, sizes.select("prefix", "_nc", "_nf"), ["prefix"], "inner").where(
         ~F.coalesce(F.col("_f").between(1, F.col("_nf")) & F.col("_c").between(1, F.col("_nc")), F.lit(False)))
     require_empty(outside.select("prefix"), "an entry has no label")

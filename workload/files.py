@@ -36,7 +36,8 @@ def trio(t):
 def write_trios(t) -> str:
     """One trio per sample in one folder, named by the sample.
 
-    The file names carry the sample, so each trio is written under a partition folder and addressed by its own path.
+    The file names carry the sample, so each trio is written under a partition folder and addressed by its own path. A file is written in
+    parts, whose order is that of the folders ``o`` and then of their numbers; entries have no order.
     """
     folder = scratch(t)
     c, cells, feats = trio(t)
@@ -49,16 +50,18 @@ def write_trios(t) -> str:
     labels = cells.select("sample_id", F.col("j").alias("o"), F.col("cell_id").cast("string").alias("value"))
     names = feats.crossJoin(F.broadcast(dims.select("sample_id"))).select(
         "sample_id", F.col("i").alias("o"), F.concat(F.lit("ID"), F.col("feature_id").cast("string"), F.lit("\t"), F.col("feature_id").cast("string"), F.lit("\tGene Expression")).alias("value"))
-    for kind, df in (("matrix.mtx", lines), ("barcodes.tsv", labels), ("features.tsv", names)):
-        # one ordered file per sample and kind
-        df.repartition("sample_id").sortWithinPartitions("sample_id", "o").select("sample_id", "value").write.partitionBy("sample_id").text(f"{folder}/{kind}")
+    lines.select("sample_id", "o", "value").write.partitionBy("sample_id", "o").text(f"{folder}/matrix.mtx")
+    for kind, df in (("barcodes.tsv", labels), ("features.tsv", names)):
+        df.repartitionByRange("sample_id", "o").sortWithinPartitions("sample_id", "o").select("sample_id", "value").write.partitionBy("sample_id").text(f"{folder}/{kind}")
     return folder
 
 
 def folder_lines(spark, path: str, column: str, suffix: str):
     """``read_lines`` for the round-trip layout, where a partition folder stands for the name of a file in it."""
-    value = F.regexp_extract(F.url_decode(F.col("_metadata.file_path")), f"{column}=([^/]+)/", 1)
-    place = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+    file = F.url_decode(F.col("_metadata.file_path"))
+    value = F.regexp_extract(file, f"{column}=([^/]+)/", 1)
+    folder, part = (F.regexp_extract(file, pattern, 1).try_cast("int") for pattern in (r"/o=(\d+)/", r"/part-(\d+)-[^/]*$"))
+    place = F.struct(folder.alias("folder"), part.alias("part"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
     return spark.read.text(path).select(
         F.concat(value, F.lit(suffix)).alias("file_name"), place.alias("place"), F.col("value").alias("line"))
 
@@ -66,7 +69,7 @@ def folder_lines(spark, path: str, column: str, suffix: str):
 def trio_lines(spark, path: str):
     folder, name = path.rsplit("/", 1)
     kind = "matrix.mtx" if "matrix" in name else "barcodes.tsv" if "barcodes" in name else "features.tsv"
-    return folder_lines(spark, f"{folder}/{kind}/*/", "sample_id", f"_{kind}")
+    return folder_lines(spark, f"{folder}/{kind}/*/" + ("*/" if kind == "matrix.mtx" else ""), "sample_id", f"_{kind}")
 
 
 @query("src1_read_mtx", """SELECT sample_id || '_' AS prefix, CAST(cell_id AS VARCHAR) AS cell_id, CAST(feature_id AS VARCHAR) AS feature_id, count FROM counts""", "count", "counts")
@@ -113,7 +116,7 @@ def _(t):
 
 
 def per_sample_path(t) -> str:
-    """One file per priority: caption line, header, isoform rows. The folder of a file names its sample."""
+    """One file per priority, in parts: caption line, header, isoform rows. The folder of a file names its sample, the one in it its place."""
     li = t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey"))
     rows = li.select(F.col("o_orderpriority").alias("s"), F.lit(2).alias("o"), F.concat_ws(
         "\t", F.concat_ws(".", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")), F.col("l_partkey").cast("string"), F.col("l_quantity").cast("string")).alias("value"))
@@ -121,7 +124,7 @@ def per_sample_path(t) -> str:
     head = prio.select("s", F.lit(0).alias("o"), F.lit("quantified reads").alias("value")).unionByName(
         prio.select("s", F.lit(1).alias("o"), F.concat(F.lit("isoform\tgene_id\tcount_"), F.substring("s", 1, 1)).alias("value")))
     path = f"{scratch(t)}/samples"
-    head.unionByName(rows).repartition("s").sortWithinPartitions("s", "o").select("s", "value").write.partitionBy("s").text(path)
+    head.unionByName(rows).select("s", "o", "value").write.partitionBy("s", "o").text(path)
     return path
 
 
@@ -130,7 +133,7 @@ def per_sample_path(t) -> str:
 def _(t):
     path = per_sample_path(t)
     long = matrices.read_per_sample(
-        t.spark, f"{path}/*/", "isoform", 1, rollup="gene_id", lines=lambda spark, p: folder_lines(spark, p, "s", ".txt"))
+        t.spark, f"{path}/*/*/", "isoform", 1, rollup="gene_id", lines=lambda spark, p: folder_lines(spark, p, "s", ".txt"))
     return long.groupBy("gene").agg(F.count_distinct("file_name").alias("n_files"), F.sum("value").alias("value"))
 
 
