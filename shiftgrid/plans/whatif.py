@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shiftgrid.operators.filters import require_empty
-from shiftgrid.operators.ordered import attach, with_each
+from shiftgrid.operators.ordered import attach, attach_stats, with_each
 from shiftgrid.operators.ranks import percentiles
-from shiftgrid.operators.stats import zscore_ref
-from shiftgrid.session import cut
+from shiftgrid.operators.stats import flat_expr, zscore_of, zscore_ref
+from shiftgrid.session import cut, tasks_for
 
 BASELINE = "__baseline_mean__"
 
@@ -44,20 +44,37 @@ def whatif_inputs(
 
     ``by`` are columns of ``expr`` that keep several data sets apart, such as its scope; all are set against one reference. Knock-out sets 0; over-expression raises to at least the factor's reference quantile. Rows a variant leaves alone equal
     the baseline, so they are never copied per variant. ``z_shift`` is the change in reference z-score units.
+
+    What the reference says of a feature joins its variants first, so the rows of ``expr`` are shuffled once. They are counted
+    before: ``expr`` and ``reference`` are best tables or ``cut``.
     """
     cap = percentiles(reference, value, [feature], {"_cap": q})
-    named = variants.select("variant", "mode", F.explode("tfs").alias(feature))
-    rows = attach(named.join(expr.select(*by, feature, sample, F.col(value).alias("old")), feature), cap, [feature])
+    stats = reference.groupBy(feature).agg(F.avg(value).alias("_mu"), F.stddev_samp(value).alias("_sd"))
+    each = variants.select("variant", "mode", F.explode("tfs").alias(feature))
+    named = attach(attach(each, stats, [feature]), cap, [feature])
+    tasks = tasks_for(expr.sparkSession, expr.count())
+    own = expr.select(*by, feature, sample, F.col(value).alias("old")).repartition(tasks, feature)
     new = F.when(F.col("mode") == "ko", F.lit(0.0)).otherwise(F.greatest("old", "_cap"))
-    z_old = zscore_ref(rows.withColumn("new", new), reference.withColumnRenamed(value, "old"), "old", [feature], "_zo", eps)
-    z_both = zscore_ref(
-        z_old.drop("is_flat"), reference.withColumnRenamed(value, "new"), "new", [feature], "_zn", eps
-    )
-    return z_both.select(
-        *by, "variant", "mode", feature, sample, "old", "new", (F.col("_zn") - F.col("_zo")).alias("z_shift"), "is_flat"
+    rows = named.repartition(tasks, feature).join(own, feature).withColumn("new", new)
+    z_shift = zscore_of(F.col("new"), eps) - zscore_of(F.col("old"), eps)
+    return rows.select(
+        *by, "variant", "mode", feature, sample, "old", "new", z_shift.alias("z_shift"), flat_expr(eps).alias("is_flat")
     )
 
 
+def input_sums(inputs: DataFrame, feature: str, by: Sequence[str] = ()) -> DataFrame:
+    """All that response and status take from the changed rows, a row for each (by, variant, feature): written once, read by both.
+
+    Rows that are summed already pass as they are.
+    """
+    if "_dz" in inputs.columns:
+        return inputs
+    return cut(inputs.groupBy(*by, "variant", "mode", feature).agg(
+        F.sum("z_shift").alias("_dz"), F.sum((F.col("new") != F.col("old")).cast("bigint")).alias("_changed"),
+        F.min(F.col("is_flat").cast("int")).alias("_flat"),
+    ))
+
+
 def whatif_response(
     inputs: DataFrame, weights: DataFrame, n_samples: DataFrame, feature: str, sample: str, target: str = "target",
     weight: str = "weight", by: Sequence[str] = (),
@@ -66,13 +83,27 @@ def whatif_response(
 
     response(gene, sample) = sum over features of weight x z-scored input, the gene's own feature left out. The response is
     linear, so the shift needs the changed rows only; ``n_samples`` holds the column ``n_samples``, one row
-    for each group ``by``.
+    for each group ``by``. ``inputs`` may be summed (``input_sums``).
+
+    A variant of one feature has its result where the feature meets its weights: only variants of several features are shuffled
+    again and added up.
     """
-    w = weights.where(F.col(feature) != F.col(target)).select(feature, target, weight)
-    change = inputs.groupBy(*by, "variant", feature).agg(F.sum("z_shift").alias("_dz"))
-    total = change.join(w, feature).groupBy(*by, "variant", target).agg(F.sum(F.col("_dz") * F.col(weight)).alias("_s"))
-    return attach(total, n_samples, by).select(
-        *by, "variant", F.col(target).alias("gene"), F.try_divide("_s", "n_samples").alias("shift")
+    key = [*by, "variant"]
+    sums = input_sums(inputs, feature, by).select(*key, feature, "_dz")
+    w = cut(weights.where(F.col(feature) != F.col(target)).groupBy(feature, target).agg(F.sum(weight).alias("_w")))
+    several = cut(sums.groupBy(*key).agg(F.count(F.lit(1)).alias("_k")).where(F.col("_k") > 1).select(*key))
+    change = attach_stats(sums, n_samples, by)
+    tasks = tasks_for(sums.sparkSession, sums.count() + w.count())
+    there = w.repartition(tasks, feature)
+
+    def terms(rows: DataFrame) -> DataFrame:
+        return rows.repartition(tasks, feature).join(there, feature).select(
+            *key, target, (F.col("_dz") * F.col("_w")).alias("_s"), "n_samples")
+
+    added = terms(attach(change, several, key, "left_semi")).groupBy(*key, target).agg(
+        F.sum("_s").alias("_s"), F.max("n_samples").alias("n_samples"))
+    return terms(attach(change, several, key, "left_anti")).unionByName(added).select(
+        *key, F.col(target).alias("gene"), F.try_divide("_s", "n_samples").alias("shift")
     )
 
 
@@ -94,11 +125,14 @@ def baseline_response(
 def whatif_status(inputs: DataFrame, response: DataFrame, noop_below: float = 1e-6, by: Sequence[str] = ()) -> DataFrame:
     """Per variant: changed samples, shift norm, largest shift, no-op flag. An exact no-op counts with zero shift.
 
-    Raises where a shift is undefined. The response is evaluated once; ``inputs`` that feed it as well are best ``cut`` before.
+    Raises where a shift is undefined. The response is evaluated once; ``inputs`` that feed it as well are best summed before
+    (``input_sums``).
     """
+    summed = "_dz" in inputs.columns
+    moved = F.col("_changed") if summed else (F.col("new") != F.col("old")).cast("bigint")
     changed = inputs.groupBy(*by, "variant").agg(
-        F.first("mode").alias("mode"), F.sum((F.col("new") != F.col("old")).cast("bigint")).alias("n_samples_changed"),
-        F.min(F.col("is_flat").cast("int")).alias("_all_flat"),
+        F.first("mode").alias("mode"), F.sum(moved).alias("n_samples_changed"),
+        F.min(F.col("_flat" if summed else "is_flat").cast("int")).alias("_all_flat"),
     )
     exact = (F.col("n_samples_changed") == 0) | (F.col("_all_flat") == 1)
     size = cut(response.groupBy(*by, "variant").agg(

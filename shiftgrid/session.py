@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 SLICES_KEY = "spark.shiftgrid.slices"
 # Rows of a group that one task sorts.
 ROWS_KEY = "spark.shiftgrid.rows"
+# Rows that one task of a join or an aggregation takes where their number is known.
+TASK_ROWS = 500_000
 
 
 def get_session(app: str = "shiftgrid", **conf: str) -> SparkSession:
@@ -89,5 +91,10 @@ def slices(spark: SparkSession) -> int:
     return n or int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def tasks_for(spark: SparkSession, rows: int) -> int:
+    """Partitions for a shuffle of ``rows`` rows: those of the session, and more where each would get more than TASK_ROWS."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(rows) // TASK_ROWS))
+
+
 def rows_per_slice(spark: SparkSession) -> int:
     return int(spark.conf.get(ROWS_KEY, "1000000"))

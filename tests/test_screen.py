@@ -36,6 +36,42 @@ def test_scopes_stay_apart_and_share_the_reference(spark):
     assert alone["baseline"] == pytest.approx(many["baseline"])
 
 
+def test_sums_of_inputs_serve_response_and_status(spark):
+    """Variants of one and of several features, weights that come twice, null scopes and values: sums give what the rows give, and a
+    variant of one feature takes no second aggregation."""
+    schema = "scope string, variant string, mode string, gene string, sample string, old double, new double, z_shift double, is_flat boolean"
+    rows = [(s, v, "ko", g, f"s{i}", 2.0, 0.0, z * (i + 1), False) for s in ("a", None) for v, g, z in (("one", "f", -1.0), ("two", "f", -1.0), ("two", "g", 3.0))
+            for i in range(3)] + [("a", "gap", "oe", "f", "s0", None, None, None, False), ("a", "flat", "ko", "g", "s0", 1.0, 1.0, 0.0, True)]
+    inputs = spark.createDataFrame(rows, schema)
+    weights = spark.createDataFrame(
+        [("f", "t", 2.0), ("f", "t", 1.0), ("f", "f", 9.0), ("f", "u", None), ("g", "t", 0.5), (None, "t", 5.0), ("f", None, 5.0)],
+        "gene string, target string, weight double")
+    n = spark.createDataFrame([("a", 2), (None, 3)], "scope string, n_samples int")
+    sums = whatif.input_sums(inputs, "gene", ["scope"])
+    assert sums.count() == 8 and whatif.input_sums(sums, "gene", ["scope"]) is sums
+    response = whatif.whatif_response(sums, weights, n, "gene", "sample", by=["scope"])
+    got = {(r["scope"], r["variant"], r["gene"]): r["shift"] for r in response.collect()}
+    assert got[("a", "one", "t")] == -9.0 and got[(None, "one", "t")] == -6.0
+    assert got[("a", "two", "t")] == -4.5 and got[(None, "two", "t")] == -3.0
+    assert got[("a", "two", "u")] is None and got[("a", "gap", "t")] is None and got[("a", "flat", "t")] == 0.0 and len(got) == 11
+    raw = whatif.whatif_response(inputs, weights, n, "gene", "sample", by=["scope"])
+    assert {(r["scope"], r["variant"], r["gene"]): r["shift"] for r in raw.collect()} == got
+    assert response._jdf.queryExecution().optimizedPlan().toString().count("Aggregate [") == 1
+    known = response.where("gene = 't' AND shift IS NOT NULL")
+    status = [whatif.whatif_status(x, known, by=["scope"]).collect() for x in (inputs, sums)]
+    assert sorted(map(str, status[0])) == sorted(map(str, status[1]))
+    flags = {(r["scope"], r["variant"]): (r["n_samples_changed"], r["noop"]) for r in status[1]}
+    assert flags[("a", "two")] == (6, False) and flags[("a", "flat")] == (0, True) and len(flags) == 6
+
+
+def test_tasks_grow_with_the_rows(spark):
+    from shiftgrid.session import TASK_ROWS, tasks_for
+
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert tasks_for(spark, 0) == tasks_for(spark, least * TASK_ROWS) == least
+    assert tasks_for(spark, 300 * TASK_ROWS + 1) == 301
+
+
 def test_an_undefined_response_stops_the_status(spark):
     inputs = spark.createDataFrame([("v", "ko", "f", "s", 1.0, 0.0, -1.0, False)],
                                    "variant string, mode string, gene string, sample string, old double, new double, z_shift double, is_flat boolean")

@@ -239,7 +239,7 @@ INPUTS_SQL = """nq AS (SELECT gene, avg(value) AS mu, stddev_samp(value) AS sd,
 
 
 def changed_inputs(t):
-    e = S.expr(t).withColumn("gene", F.col("gene").cast("string"))
+    e = cut(S.expr(t).withColumn("gene", F.col("gene").cast("string")))  # read as data and as reference
     v = whatif.make_variants(t.part.select(F.col("p_partkey").alias("tf")))
     own, reference = e.select("scope", "gene", "sample", "value"), e.where("scope = 'N'").select("gene", "sample", "value")
     return whatif.whatif_inputs(own, reference, v, "gene", "sample", "value", by=["scope"])
@@ -256,12 +256,12 @@ RESPONSE_SQL = f"""{INPUTS_SQL}, wt AS (SELECT l_partkey AS gene, l_suppkey AS t
 
 
 def weights(t):
-    return t.lineitem.groupBy(F.col("l_partkey").cast("string").alias("gene"), F.col("l_suppkey").cast("string").alias("target")).agg(
-        F.sum("l_discount").alias("weight"))
+    li = t.lineitem.select(F.col("l_partkey").cast("string").alias("gene"), F.col("l_suppkey").cast("string").alias("target"), "l_discount")
+    return S.dealt(li, ["gene", "target"]).groupBy("gene", "target").agg(F.sum("l_discount").alias("weight"))
 
 
 def responses(t, inputs):
-    n = S.expr(t).groupBy("scope").agg(F.countDistinct("sample").alias("n_samples"))
+    n = t.lineitem.groupBy(F.col("l_returnflag").alias("scope")).agg(F.countDistinct("l_suppkey").alias("n_samples"))
     return whatif.whatif_response(inputs, weights(t), n, "gene", "sample", by=["scope"])
 
 

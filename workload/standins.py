@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shiftgrid.session import tasks_for
+
 CTES = {
     # gene vectors: measured, predicted, level; scope = line status
     "shifts": """
@@ -91,8 +93,14 @@ def edges(t) -> DataFrame:
     ).agg(F.sum("l_quantity").alias("weight"))
 
 
+def dealt(df: DataFrame, by: list[str]) -> DataFrame:
+    """``df`` in more partitions than the session's, by the columns it is grouped by, where these would hold too many rows."""
+    tasks = tasks_for(df.sparkSession, df.count())
+    return df.repartition(tasks, *by) if tasks > tasks_for(df.sparkSession, 0) else df
+
+
 def expr(t) -> DataFrame:
-    return t.lineitem.groupBy(
+    return dealt(t.lineitem, ["l_returnflag", "l_partkey", "l_suppkey"]).groupBy(
         F.col("l_returnflag").alias("scope"), F.col("l_partkey").alias("gene"), F.col("l_suppkey").alias("sample")
     ).agg(F.sum("l_quantity").alias("value"))
 
