@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from shiftgrid.operators.filters import GuardError
 from shiftgrid.operators.ordered import attach, attach_stats, grid, numbered
 from shiftgrid.operators.ranks import average_rank, percent_of_rank
+from shiftgrid.session import cut
 
 
 def pseudobulk(counts: DataFrame, sample: Sequence[str], feature: str, value: str = "count") -> DataFrame:
@@ -198,7 +199,8 @@ def sanity(
 
     key = [*scope, gene, sample]
     pairs = predicted.select(*key, F.col(value).alias("_p")).join(measured.select(*key, F.col(value).alias("_m")), key)
-    rho = spearman(pairs, "_p", "_m", [*scope, gene]).where(F.col("rho").isNotNull())
+    # read by the percentile, several times, and by the shares
+    rho = cut(spearman(pairs, "_p", "_m", [*scope, gene]).where(F.col("rho").isNotNull()))
     middle = percentiles(rho, "rho", scope, {"sanity_rho": 0.5})
     rest = rho.groupBy(*scope).agg(
         F.avg((F.col("rho") > F.lit(floor)).cast("double")).alias("sanity_frac"), F.count(F.lit(1)).alias("n_genes")

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shiftgrid.operators.ordered import SLICE, attach, attach_stats, running
-from shiftgrid.operators.ranks import average_ranks, tie_totals, top_abs
+from shiftgrid.operators.ranks import paired_ranks, tie_totals, top_abs
+from shiftgrid.session import cut
 
 
 def finite(*cols: str) -> Column:
@@ -43,13 +44,18 @@ def pearson(df: DataFrame, a: str, b: str, by: Sequence[str] = (), out: str = "p
 
 
 def spearman(
-    df: DataFrame, a: str, b: str, by: Sequence[str] = (), out: str = "rho", min_n: int = 0
+    df: DataFrame, a: str, b: str, by: Sequence[str] = (), out: str = "rho", min_n: int = 0, also: dict[str, Column] | None = None
 ) -> DataFrame:
-    """Pearson correlation of average-tie ranks over the rows where both sides are finite; NULL below ``min_n`` rows."""
-    both = df.where(finite(a, b)).select(*by, F.col(a).alias("_a"), F.col(b).alias("_b"))
-    ranked = average_ranks(both, {"_ra": "_a", "_rb": "_b"}, by)
+    """Pearson correlation of average-tie ranks over the rows where both sides are finite; NULL below ``min_n`` rows.
+
+    The pairs are written first: they are read for the sizes of the groups and for the ranks. ``also`` names more aggregates, over the
+    two values as ``_a`` and ``_b``.
+    """
+    both = cut(df.where(finite(a, b)).select(*by, F.col(a).alias("_a"), F.col(b).alias("_b")))
+    ranked = paired_ranks(both, {"_ra": "_a", "_rb": "_b"}, by)
     found = ranked.groupBy(*by).agg(
-        corr_expr(F.col("_ra"), F.col("_rb")).alias(out), F.count(F.lit(1)).alias("n")
+        corr_expr(F.col("_ra"), F.col("_rb")).alias(out), F.count(F.lit(1)).alias("n"),
+        *[c.alias(name) for name, c in (also or {}).items()],
     )
     return found.withColumn(out, F.when(F.col("n") >= F.lit(int(min_n)), F.col(out))) if min_n else found
 

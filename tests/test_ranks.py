@@ -120,3 +120,27 @@ def test_running_sum_and_max(spark, mode, rows):
     assert (out["s"].sort_index() == before).all()
     top = pdf.groupby("g")["v"].cummax().groupby(pdf["g"]).shift(1)
     assert np.allclose(out["m"].sort_index().astype(float), top.astype(float), equal_nan=True)
+
+
+def test_paired_ranks_of_small_and_large_groups(spark, mode):
+    """Ties, zeros of both signs, infinities, a null group and a null beside it: the ranks of the sliced form, whatever the group's size."""
+    inf = float("inf")
+    rows = [("a", k, x, y) for k in (1, None) for x, y in ((0.0, 1.0), (-0.0, 1.0), (5.0, inf), (5.0, -inf), (5.0, 1.0), (-2.0, 3.0))]
+    rows += [(None, 1, 7.0, 1.0), (None, 1, 8.0, 1.0), ("b", 2, 1.0, 1.0)]
+    df = spark.createDataFrame(rows, "g string, k int, x double, y double")
+    values = {"rx": "x", "ry": "y"}
+    want = sorted(map(str, ranks.average_ranks(df, values, ["g", "k"]).collect()))
+    assert sorted(map(str, ranks.paired_ranks(df, values, ["g", "k"]).collect())) == want and len(want) == 15
+    assert sorted(map(str, ranks.paired_ranks(df, values, []).collect())) == sorted(map(str, ranks.average_ranks(df, values).collect()))
+
+
+def test_sanity_evaluates_its_tables_once_for_the_correlation(spark):
+    """The correlations are written: what is left of the tables in the plan is the count of the samples."""
+    from shiftgrid.operators import aggregates
+
+    predicted = spark.range(137).selectExpr("'s' AS scope", "id % 5 AS gene", "id AS sample", "CAST(id AS DOUBLE) AS value")
+    measured = predicted.withColumn("value", F.when(F.col("gene") == 4, -F.col("value")).otherwise(F.col("value") * 2))
+    out = aggregates.sanity(predicted, measured, ["scope"], "gene", "sample", "value")
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Range (0, 137") == 1
+    row = out.first()
+    assert (row.sanity_rho, row.sanity_frac, row.n_genes, row.sanity_n_samples, row.sanity_pass) == (1.0, 0.8, 5, 137, True)
