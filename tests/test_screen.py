@@ -99,6 +99,20 @@ def test_agreement_of_screen_and_single_perturbations(spark):
     assert got["3"]["status_single"] == ""
 
 
+def test_screen_consistency_reads_its_shifts_once_for_the_pairs(spark):
+    """Pairs are written once for correlation and norms; the shifts appear again only for the list of pairs."""
+    ours = spark.range(137).selectExpr("'s' AS scope", "'ko__1' AS variant", "id AS tf", "CAST(id AS DOUBLE) AS shift")
+    theirs = spark.range(139).selectExpr("'s' AS scope", "'K1' AS ko_id", "id AS tf", "-2.0D * id AS shift")
+    screen = spark.createDataFrame([("s", "ko__1", 2.0, "ok")], "scope string, variant string, score double, status string")
+    single = spark.createDataFrame([("s", "K1", -4.0, "ok")], "scope string, ko_id string, score double, status string")
+    known = spark.createDataFrame([(1, "K1")], "tf int, ko_id string")
+    out = scoring.screen_consistency(screen, ours, single, theirs, known)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Range (0, 137") == plan.count("Range (0, 139") == 1
+    row = out.first()
+    assert row.shift_rho == pytest.approx(-1) and row.shift_l2_single == pytest.approx(2 * row.shift_l2_screen)
+
+
 def test_grid_meets_every_label_once(spark):
     """More labels than blocks, a null label, repeated rows, and no labels at all."""
     from shiftgrid.operators.ordered import grid
