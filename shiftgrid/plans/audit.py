@@ -11,6 +11,7 @@ from shiftgrid.functions.scalars import (
     GENOTYPE_PATTERNS, TREATMENT_PATTERNS, accessions, ages_of, buckets_of, is_barcode, name_prefix,
 )
 from shiftgrid.operators.ordered import attach
+from shiftgrid.session import cut, tasks_for
 
 
 def audit_mixing(
@@ -83,19 +84,26 @@ def column_cardinality(table: DataFrame, entry: str, columns: Sequence[str]) ->
 def compare_tables(a: DataFrame, b: DataFrame, by: Sequence[str], row: str, column: str, value: str, tol: float = 1e-8) -> DataFrame:
     """Status per table: shape, labels, positions of undefined values, largest difference.
 
-    Long tables hold one row per cell; an undefined value is a NULL (or NaN) row.
+    Long tables hold one row per cell; an undefined value is a NULL (or NaN) row. Both are written first, so that their rows are known:
+    cells and labels meet in tasks of a bounded number of them.
     """
+    key = [*by, row, column]
 
     def side(df: DataFrame, tag: str) -> DataFrame:
         v = F.col(value).cast("double")
-        return df.select(*by, row, column, F.when(~F.isnan(v), v).alias(f"_{tag}"), F.lit(True).alias(f"_has_{tag}"))
+        return cut(df.select(*key, F.when(~F.isnan(v), v).alias(f"_{tag}"), F.lit(True).alias(f"_has_{tag}")))
+
+    left, right = side(a, "a"), side(b, "b")
+    tasks = tasks_for(a.sparkSession, left.count() + right.count())
+
+    def labels(df: DataFrame, label: str, out: str) -> DataFrame:
+        each = df.select(*by, label).repartition(tasks, *by, label).distinct()
+        return each.groupBy(*by).agg(F.count(label).alias(out))
 
     def shape(df: DataFrame, tag: str) -> DataFrame:
-        return df.groupBy(*by).agg(
-            F.countDistinct(row).alias(f"_rows_{tag}"), F.countDistinct(column).alias(f"_cols_{tag}")
-        )
+        return attach(labels(df, row, f"_rows_{tag}"), labels(df, column, f"_cols_{tag}"), by)
 
-    m = side(a, "a").join(side(b, "b"), [*by, row, column], "full_outer")
+    m = left.repartition(tasks, *key).join(right.repartition(tasks, *key), key, "full_outer")
     both = F.col("_has_a").isNotNull() & F.col("_has_b").isNotNull()
     cells = m.groupBy(*by).agg(
         F.max(F.col("_has_a").isNotNull().cast("int")).alias("_any_a"), F.max(F.col("_has_b").isNotNull().cast("int")).alias("_any_b"),
@@ -103,7 +111,7 @@ def compare_tables(a: DataFrame, b: DataFrame, by: Sequence[str], row: str, colu
         F.sum((both & (F.col("_a").isNull() != F.col("_b").isNull())).cast("bigint")).alias("n_undefined_moved"),
         F.max(F.when(both, F.abs(F.col("_a") - F.col("_b")))).alias("max_abs_diff"),
     )
-    j = attach(attach(cells, shape(a, "a"), by), shape(b, "b"), by)
+    j = attach(attach(cells, shape(left, "a"), by), shape(right, "b"), by)
     status = (
         F.when(F.col("_any_a") == 0, "NO_ORIGINAL_TO_COMPARE")
         .when((F.col("_rows_a") != F.col("_rows_b")) | (F.col("_cols_a") != F.col("_cols_b")) | (F.col("_any_b") == 0),

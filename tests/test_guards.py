@@ -205,3 +205,22 @@ def test_wide_matrix_guards(spark, tmp_path):
         matrices.read_wide_matrix(spark, str(p), "id", deny=["a"])
     with pytest.raises(GuardError):
         matrices.read_wide_matrix(spark, str(p), "id", pattern="zz")
+
+
+def test_compare_tables_deals_cells_by_their_number(spark, monkeypatch):
+    """Tasks grow with the cells of both tables; statuses do not change, with null labels and undefined values among them."""
+    from shiftgrid import session
+    from shiftgrid.plans import audit
+
+    rows = [(i, r, c, None if r == "r3" else 1.5) for i in ("x", "y") for r in ("r1", "r2", "r3", None) for c in (1, 2, None)]
+    a = spark.createDataFrame([x for x in rows if x[1] is not None and x[2] is not None], "id string, r string, c int, v double")
+    b = a.where("id = 'x' OR r <> 'r1'")
+    few = sorted(map(str, audit.compare_tables(a, b, ["id"], "r", "c", "v").collect()))
+    monkeypatch.setattr(session, "TASK_ROWS", 1)
+    out = audit.compare_tables(a, b, ["id"], "r", "c", "v")
+    assert sorted(map(str, out.collect())) == few
+    assert {r["id"]: r["status"] for r in out.collect()} == {"x": "OK", "y": "SHAPE_MISMATCH"}
+    assert "hashpartitioning(id#" in (plan := out._jdf.queryExecution().executedPlan().toString()) and ", 22)" in plan
+    whole = spark.createDataFrame(rows, a.schema)
+    got = {r["id"]: (r["status"], r["n_unmatched"]) for r in audit.compare_tables(whole, whole, ["id"], "r", "c", "v").collect()}
+    assert got == {"x": ("LABEL_MISMATCH", 12), "y": ("LABEL_MISMATCH", 12)}  # a null label meets none
