@@ -4,16 +4,17 @@ Strong parts (assignments, access ids, long hex numbers) are always reported. We
 secrets, bare long tokens, endpoints) are reported only when their complement stands in the same scope, that is, within ``reach``
 code points of them in one document: an id needs a secret, a secret needs an id, an endpoint needs both. The interval join that
 decides this is a running maximum of ends from the left and a running minimum of starts from the right, over the parts of a
-document in order: exact, and without a row per pair.
+document in order: exact, and without a row per pair. The parts are an array beside their document, which stays in its task: no
+text is shuffled or sorted.
 
 Positions come from the pieces between matches: lengths of gaps and matches are summed in order. Null and empty texts hold
 nothing; overlapping strong parts of different kinds are all reported; ties are ordered by kind; repeated rows are reported
-alike. A window holds the parts of one document, never of several. Columns besides those kept and the text are ignored.
+alike. Columns besides those kept and the text are ignored.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shiftgrid.llm.common import need
@@ -35,29 +36,86 @@ BASE = ("assign", "access", "hex")
 REACH = 200
 
 
-def measured(order: int, kind: str):
-    """What is kept of one match: its lengths."""
-    return lambda x, i: F.struct(
-        F.lit(order).alias("order"), F.lit(kind).alias("kind"), i.cast("int").alias("i"),
-        F.length(x["g"]).alias("gap"), F.length(x["m"]).alias("size"), F.length(x["c"]).alias("counted"))
+# Types of the elements of arrays: lengths of a match, a placed part, and a part with what is within reach to its right.
+MATCH = "struct<gap:int,size:int,counts:boolean>"
+PART = "struct<start:bigint,order:int,end:bigint,kind:string,strong:boolean,role:string>"
+RIGHT = f"struct<part:{PART},secret:boolean,id:boolean>"
+# Elements appended to one array before the next is begun.
+BLOCK = 256
+
+
+def running(rows: Column, row_type: str, seen_type: str, fold, first: Column | None = None) -> Column:
+    """Array of (row, seen) for an array of rows, ``seen`` being what ``fold(seen, row)`` made of all rows before.
+
+    Appending copies an array, so states are gathered in blocks: the work grows with the rows, not with their square. ``fold``
+    is also called once with a null row, for which it must return what it got.
+    """
+    state = f"struct<row:{row_type},seen:{seen_type}>"
+    nothing = F.struct(F.lit(None).cast(row_type).alias("row"), (F.lit(None) if first is None else first).cast(seen_type).alias("seen"))
+
+    def step(s: Column, row: Column) -> Column:
+        last, full = F.element_at(s["block"], -1), F.size(s["block"]) >= BLOCK
+        new = F.array(F.struct(row.alias("row"), fold(last["seen"], last["row"]).alias("seen")))
+        return F.struct(F.when(full, F.concat(s["done"], F.array(s["block"]))).otherwise(s["done"]).alias("done"),
+                        F.when(full, new).otherwise(F.concat(s["block"], new)).alias("block"))
+
+    begin = F.struct(F.expr(f"cast(array() as array<array<{state}>>)").alias("done"), F.array(nothing).alias("block"))
+    states = F.aggregate(rows, begin, step, lambda s: F.flatten(F.concat(s["done"], F.array(s["block"]))))
+    return F.filter(states, lambda s: s["row"].isNotNull())
+
+
+def placed(text: Column, order: int, kind: str) -> Column:
+    """Array of the parts of one kind that are long enough, with their places."""
+    pattern, group, least, strong, role = KINDS[kind]
+    groups = [F.regexp_extract_all(text, F.lit(pattern), F.lit(g)).alias(f"g{g}") for g in sorted({0, group})]
+    matches = F.transform(F.arrays_zip(F.split(text, pattern, -1).alias("gap"), *groups), lambda x: F.struct(  # the last gap has no match
+        F.length(x["gap"]).alias("gap"), F.length(x["g0"]).alias("size"), (F.length(x[f"g{group}"]) >= least).alias("counts")))
+    ends = running(matches, MATCH, "bigint", lambda end, m: end + F.coalesce(m["gap"] + m["size"], F.lit(0)), F.lit(0))
+
+    def part(x: Column) -> Column:
+        start = x["seen"] + x["row"]["gap"]
+        return F.struct(start.alias("start"), F.lit(order).alias("order"), (start + x["row"]["size"]).alias("end"), F.lit(kind).alias("kind"),
+                        F.lit(strong).alias("strong"), F.lit(role).alias("role"))
+
+    return F.when(text.rlike(pattern), F.transform(F.filter(ends, lambda x: x["row"]["counts"]), part))
 
 
 def parts_of(text: Column) -> Column:
-    """Array of the matches of every kind: kind, number, length of the gap before, of the match, and of the part that counts."""
-    found = []
-    for order, (kind, (pattern, group, _, _, _)) in enumerate(KINDS.items()):
-        p = F.lit(pattern)
-        whole, gap = F.regexp_extract_all(text, p, F.lit(0)), F.split(text, pattern, -1)
-        counted = F.regexp_extract_all(text, p, F.lit(group)) if group else whole
-        rows = F.transform(
-            F.arrays_zip(whole.alias("m"), F.slice(gap, 1, F.size(whole)).alias("g"), counted.alias("c")), measured(order, kind))
-        found.append(F.when(text.rlike(pattern), rows))
-    empty = F.expr("cast(array() as array<struct<order:int,kind:string,i:int,gap:int,size:int,counted:int>>)")
-    return F.concat(*[F.coalesce(f, empty) for f in found])
+    """Array of the parts of every kind, ordered by start, then kind."""
+    empty = F.expr(f"cast(array() as array<{PART}>)")
+    return F.array_sort(F.concat(*[F.coalesce(placed(text, order, kind), empty) for order, kind in enumerate(KINDS)]))
+
+
+def linked(parts: Column, reach: int) -> Column:
+    """Of the ordered parts those that are reported, in order."""
+    def within(distance: Column) -> Column:
+        return F.coalesce(distance <= reach, F.lit(False))
 
+    def rows(states: Column) -> Column:
+        return F.transform(states, lambda x: x["row"])
+
+    # a weak part that overlaps a strong one is the same thing seen twice; it neither counts nor complements
+    ends = running(parts, PART, "bigint", lambda end, p: F.greatest(end, F.when(p["strong"], p["end"])))
+    whole = rows(F.filter(ends, lambda x: x["row"]["strong"] | ~F.coalesce(x["seen"] > x["row"]["start"], F.lit(False))))
+    starts = running(F.reverse(whole), PART, "bigint", lambda start, p: F.least(start, F.when(p["strong"], p["start"])))
+    whole = rows(F.filter(starts, lambda x: x["row"]["strong"] | ~F.coalesce(x["seen"] < x["row"]["end"], F.lit(False))))
 
-def is_kind(test) -> Column:
-    return F.col("kind").isin([k for k, v in KINDS.items() if test(v)])
+    def nearest(pick, place: str, part):
+        """Per role, the largest or smallest place of its parts."""
+        return lambda seen, x: F.struct(*[
+            pick(seen[role], F.when(part(x)["role"] == role, part(x)[place])).alias(role) for role in ("secret", "id")])
+
+    right = running(whole, PART, "struct<secret:bigint,id:bigint>", nearest(F.least, "start", lambda x: x))
+    right = F.transform(right, lambda x: F.struct(
+        x["row"].alias("part"), *[within(x["seen"][role] - x["row"]["end"]).alias(role) for role in ("secret", "id")]))
+    both = running(F.reverse(right), RIGHT, "struct<secret:bigint,id:bigint>", nearest(F.greatest, "end", lambda x: x["part"]))
+
+    def reported(x: Column) -> Column:
+        part = x["row"]["part"]
+        secret, name = [x["row"][role] | within(part["start"] - x["seen"][role]) for role in ("secret", "id")]
+        return part["strong"] | F.when(part["role"] == "id", secret).when(part["role"] == "secret", name).otherwise(secret & name)
+
+    return F.transform(F.filter(both, reported), lambda x: x["row"]["part"])
 
 
 def scan(docs: DataFrame, keep: list[str], text: str = "text", reach: int = REACH) -> DataFrame:
@@ -66,35 +124,9 @@ def scan(docs: DataFrame, keep: list[str], text: str = "text", reach: int = REAC
     ``start`` and ``end`` count code points, end exclusive.
     """
     need(docs, text, *keep)
-    source = docs.select(F.struct(*keep).alias("_doc"), F.monotonically_increasing_id().alias("_row"), F.col(text).alias("_text"))
-    rows = source.select("_doc", "_row", F.posexplode_outer(parts_of(F.col("_text"))).alias("_pos", "_part")).select(
-        F.when(F.coalesce("_pos", F.lit(0)) == 0, F.col("_doc")).alias("_doc"), "_row", "_part.*")  # once for each row of docs
-    rows = rows.repartition("_row")  # serves both windows and the grouping
-    in_kind = Window.partitionBy("_row", "order").orderBy("i")
-    least = F.create_map(*[F.lit(x) for k, v in KINDS.items() for x in (k, v[2])])
-    rows = rows.withColumn("end", F.sum(F.col("gap") + F.col("size")).over(in_kind)).withColumn(
-        "start", F.col("end") - F.col("size")).withColumn("kind", F.when(F.col("counted") >= least[F.col("kind")], F.col("kind")))
-    rows = rows.withColumn("strong", is_kind(lambda v: v[3]))
-    ordered = Window.partitionBy("_row").orderBy("start", "order", "i")
-    before, after = ordered.rowsBetween(Window.unboundedPreceding, -1), ordered.rowsBetween(1, Window.unboundedFollowing)
-
-    def near(test: Column) -> Column:
-        """A part that passes ``test`` lies within reach on either side."""
-        left = F.max(F.when(test, F.col("end"))).over(before)
-        right = F.min(F.when(test, F.col("start"))).over(after)
-        return (F.coalesce(F.col("start") - left <= reach, F.lit(False))) | (F.coalesce(right - F.col("end") <= reach, F.lit(False)))
-
-    covered = F.coalesce(F.max(F.when(F.col("strong"), F.col("end"))).over(before) > F.col("start"), F.lit(False)) | F.coalesce(
-        F.min(F.when(F.col("strong"), F.col("start"))).over(after) < F.col("end"), F.lit(False))
-    # a weak part that overlaps a strong one is the same thing seen twice; it neither counts nor complements
-    rows = rows.withColumn("_whole", F.col("strong") | ~covered).withColumn("kind", F.when(F.col("_whole"), F.col("kind")))
-    secret, name = is_kind(lambda v: v[4] == "secret"), is_kind(lambda v: v[4] == "id")
-    rows = rows.withColumns({"_secret": near(secret), "_id": near(name)})
-    reported = F.col("strong") | (name & F.col("_secret")) | (secret & F.col("_id")) | (
-        (F.col("kind") == "endpoint") & F.col("_secret") & F.col("_id"))
-    part = F.when(reported & F.col("kind").isNotNull(), F.struct("start", "order", "end", "kind", "strong"))
-    out = rows.groupBy("_row").agg(F.first("_doc", ignorenulls=True).alias("_doc"), F.array_sort(F.collect_list(part)).alias("_parts"))
-    return out.select("_doc.*", F.transform("_parts", lambda p: F.struct(p["kind"], p["start"], p["end"], p["strong"])).alias("parts"))
+    found = docs.select(F.struct(*keep).alias("_doc"), parts_of(F.col(text)).alias("_parts"))
+    return found.select("_doc.*", F.transform(linked(F.col("_parts"), reach), lambda p: F.struct(
+        p["kind"].alias("kind"), p["start"].alias("start"), p["end"].alias("end"), p["strong"].alias("strong"))).alias("parts"))
 
 
 def of_kind(parts: Column, kind: str) -> Column:
