@@ -202,7 +202,10 @@ def draw(n: Column, *parts: Column) -> Column:
 
 def hash_key(*parts: Column) -> Column:
     """60 bits of the md5 of the key's text: more than any group has rows, so a draw reaches every position."""
-    text = F.concat_ws("|", *[p.cast("string") for p in parts])
+    return key_hash(F.concat_ws("|", *[p.cast("string") for p in parts]))
+
+
+def key_hash(text: Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("bigint")
 
 

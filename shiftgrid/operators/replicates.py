@@ -370,124 +370,6 @@ def top_agreement(counted: DataFrame, by: Sequence[str], place: str, pred: str,
     return parts.groupBy(*by, "b").agg(*[F.try_divide(F.sum(f"_num_{k}"), F.sum(f"_den_{k}")).alias(f"deg_conc_{k}") for k in ks])
 
 
-# --------------------------------------------------------------------------------------------------------- permutations
-def permuted_sums(
-    df: DataFrame, by: Sequence[str], key: str, fixed: str, moved: str, B: int, seed: int,
-    ks: Sequence[int] = (), top: str | None = None, sign: str | None = None,
-) -> DataFrame:
-    """Random pairings of two columns, one row per (group, b): ``_fm``, the sum of fixed x moved.
-
-    Replicate b lays the moved values out in the order of a hash of (seed, group, b, key), beside the fixed values in the order of the
-    key. With ``ks``, also the sign agreement of the moved value with ``sign`` among the rows whose number in ``top`` is at most k.
-    The values travel once, packed, to a slice of hash values; how many lie in the slices before is counted beforehand. The fixed rows
-    a slice meets are neighbours. Values must be finite; equal hashes are ordered by value.
-    """
-    by = list(by)
-    extra = {"_top": F.col(top).cast("bigint") if top else F.lit(None).cast("bigint"), "_sign": F.col(sign or fixed).cast("double")}
-    rows = cut(group_size(numbered(df.select(*by, key, F.col(fixed).cast("double").alias("_f"), F.col(moved).cast("double").alias("_m"), *[c.alias(n) for n, c in extra.items()]),
-                                   by, [key], "_pos"), by, "_n"))
-    bits = F.greatest(F.ceil(F.log2(F.col("_n") / F.lit(float(BLOCK)))), F.lit(0)).cast("int")
-
-    spread = even(rows.select(*by, key, "_m", "_pos", "_n").withColumn("_bits", bits), [*by, "_pos"]).select(
-        *by, "_m", "_n", "_bits", *key_text([F.lit(seed), *[F.col(c) for c in by]], F.col(key)))
-
-    def cuts(batches: Iterator[pa.RecordBatch]):
-        """Parts of the batches with their hashes, slices and groups."""
-        for whole in batches:
-            step = max(1, AT_ONCE // B)
-            for at in range(0, whole.num_rows, step):
-                batch = whole.slice(at, step)
-                h = hashes(batch, B)
-                shift = (HASH_BITS - batch.column("_bits").to_numpy(zero_copy_only=False).astype(np.int64))[:, None]
-                codes, first = codes_of(batch, by)
-                yield batch, h.reshape(-1), (h >> shift).reshape(-1), np.repeat(codes, B), np.tile(np.arange(B, dtype=np.int64), len(h)), first
-
-    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, _, to, group, which, first in cuts(batches):
-            most = int(to.max()) + 1
-            found, counts = np.unique((group * most + to) * B + which, return_counts=True)
-            took = pa.array(first[found // B // most])
-            yield pa.RecordBatch.from_arrays(
-                [*[batch.column(c).take(took) for c in by], pa.array(found // B % most), pa.array((found % B + 1).astype(np.int32)), pa.array(counts)],
-                names=[*by, "_slice", "b", "_c"])
-
-    # groups of one slice start at 0
-    counts = spread.where("_bits > 0").mapInArrow(tally, f"{ddl(rows, by)}{', ' if by else ''}_slice bigint, b int, _c bigint").groupBy(
-        *by, "_slice", "b").agg(F.sum("_c").alias("_c"))
-    names = ", ".join(f"`{c}`" for c in [*by, "b"])
-    start = F.expr(f"coalesce(sum(_c) OVER (PARTITION BY {names} ORDER BY _slice ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)")
-    many = counts.withColumn("_s", start).groupBy(*by, "_slice").agg(
-        F.array_sort(F.collect_list(F.struct("b", "_s"))).alias("_a"), F.min("_s").alias("_lo"), F.max(F.col("_s") + F.col("_c")).alias("_hi"))
-    one = rows.where(F.col("_n") <= BLOCK).select(*by, "_n").distinct().select(
-        *by, F.lit(0).cast("bigint").alias("_slice"), F.array().cast("array<struct<b:int,_s:bigint>>").alias("_a"), F.lit(0).cast("bigint").alias("_lo"), F.col("_n").alias("_hi"))
-    plan = cut(many.select(*one.columns).unionByName(one).select(
-        *by, "_slice", F.transform("_a", lambda x: x["b"]).alias("_bs"), F.transform("_a", lambda x: x["_s"]).alias("_ss"), "_lo", "_hi"))
-    # positions lo+1 .. hi of a slice, looked up by the blocks they touch
-    touched = plan.where("_hi > _lo").select(*by, "_slice", "_lo", "_hi", F.explode(F.sequence(
-        F.floor(F.col("_lo") / BLOCK), F.floor((F.col("_hi") - 1) / BLOCK))).cast("bigint").alias("_pb"))
-    near = attach(rows.select(*by, "_pos", "_f", "_top", "_sign", F.floor((F.col("_pos") - 1) / BLOCK).cast("bigint").alias("_pb")),
-                  touched.hint("merge"), [*by, "_pb"], "inner").where("_pos > _lo AND _pos <= _hi")
-    none = {"_bs": "array<int>", "_ss": "array<bigint>"}
-    beside = near.select(*by, "_slice", "_pos", "_f", "_top", "_sign", *[F.lit(None).cast(t).alias(n) for n, t in none.items()]).unionByName(
-        plan.select(*by, "_slice", F.lit(0).cast("bigint").alias("_pos"), *[F.lit(None).cast("double" if c != "_top" else "bigint").alias(c) for c in ("_f", "_top", "_sign")], *none))
-
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, h, to, group, which, first in cuts(batches):
-            value = np.repeat(doubles(batch.column("_m")), B)
-            order = np.argsort(which, kind="stable")
-            placed, starts, ends = pieces(group[order], to[order])
-            order = order[placed]
-            h, which, value = h[order], which[order], value[order]
-            owner = first[group[order[starts]]]
-            packed = [np.bincount(which[s:e], minlength=B).astype("<u4").tobytes() + h[s:e].astype("<i8").tobytes() + value[s:e].tobytes() for s, e in zip(starts, ends)]
-            yield pa.RecordBatch.from_arrays(
-                [*[batch.column(c).take(pa.array(owner)) for c in by], pa.array(to[order[starts]]), pa.array(packed, pa.binary())], names=[*by, "_slice", "_packed"])
-
-    dealt = spread.mapInArrow(deal, f"{ddl(rows, by)}{', ' if by else ''}_slice bigint, _packed binary")
-    sums = ["_fm", *[f"_{side}_{k}" for k in ks for side in ("num", "den")]]
-
-    def pair(left: pa.Table, right: pa.Table) -> pa.Table:
-        b, h, m = [], [], []
-        for piece in left.column("_packed").to_pylist():
-            each = np.frombuffer(piece, "<u4", B)
-            size = int(each.sum())
-            b.append(np.repeat(np.arange(B), each))
-            h.append(np.frombuffer(piece, "<i8", size, 4 * B))
-            m.append(np.frombuffer(piece, "<f8", size, 4 * B + 8 * size))
-        if not b:
-            return pa.table({**{c: left.column(c).slice(0, 0) for c in by}, "b": pa.array([], pa.int32()), **{n: pa.array([], pa.float64()) for n in sums}})
-        b, h, m = (np.concatenate(x) for x in (b, h, m))
-        order = np.lexsort((m, h, b))
-        m = m[order]
-        ends = np.searchsorted(b[order], np.arange(B + 1))
-        pos = right.column("_pos").to_numpy()
-        told = int(np.flatnonzero(pos == 0)[0])
-        start = np.zeros(B, np.int64)
-        start[np.asarray(right.column("_bs")[told].as_py(), np.int64) - 1] = right.column("_ss")[told].as_py()
-        laid = np.argsort(pos, kind="stable")[1:]
-        low = int(pos[laid[0]]) - 1
-        f, sign, top = (doubles(right.column(c))[laid] for c in ("_f", "_sign", "_top"))
-        found = {n: np.zeros(B) for n in sums}
-        listed = np.flatnonzero(top <= max(ks)) if ks else np.zeros(0, np.int64)
-        for i in range(B):
-            mine, off = m[ends[i]:ends[i + 1]], int(start[i]) - low
-            found["_fm"][i] = mine @ f[off:off + len(mine)]
-            at = listed[(listed >= off) & (listed < off + len(mine))]
-            if len(at):
-                p, r = np.sign(mine[at - off]), np.sign(sign[at])
-                for k in ks:
-                    inside = (p != 0) & (top[at] <= k)
-                    found[f"_num_{k}"][i], found[f"_den_{k}"][i] = (inside & (p == r)).sum(), inside.sum()
-        own = {c: left.column(c).take(pa.array(np.zeros(B, np.int64))) for c in by}
-        return pa.table({**own, "b": pa.array(np.arange(1, B + 1, dtype=np.int32)), **{n: pa.array(v) for n, v in found.items()}})
-
-    keys = [*by, "_slice"]
-    schema = ddl(rows, by) + (", " if by else "") + "b int" + "".join(f", `{n}` double" for n in sums)
-    parts = dealt.groupBy(*keys).cogroup(beside.groupBy(*keys)).applyInArrow(pair, schema)
-    return parts.groupBy(*by, "b").agg(
-        F.sum("_fm").alias("_fm"), *[F.try_divide(F.sum(f"_num_{k}"), F.sum(f"_den_{k}")).alias(f"conc_{k}") for k in ks])
-
-
 # ----------------------------------------------------------------------------------------------------------- enrichment
 # Positions of a list that one task walks.
 WALK = 65_536

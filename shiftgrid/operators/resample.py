@@ -13,8 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shiftgrid.functions.scalars import draw, hash_key
-from shiftgrid.operators import replicates
+from shiftgrid.functions.scalars import key_hash
+from shiftgrid.operators import drawn, replicates
 from shiftgrid.operators.ordered import attach, attach_stats, group_size, numbered, numbered_by_hash
 from shiftgrid.operators.ranks import average_ranks
 from shiftgrid.operators.stats import corr_expr, finite, rel_rmse_expr
@@ -43,18 +43,22 @@ def bootstrap(
     Draw j of a replicate belongs to the row at position j, so the draw list is as distributed as the rows. Draws meet the
     rows by position first, and the multiplicity count reuses that partitioning.
     """
-    rows = cut(group_size(numbered(df.select(*by, key, *values), by, [key], "_pos"), by, "_n"))
-    draws = replicate(rows.select(*by, "_pos", "_n"), B, [*by, "_pos"]).select(
-        *[F.col(c).alias(f"_d_{c}") for c in by], "b",
-        (draw(F.col("_n"), F.lit(seed), *_group_text(by), F.col("b"), F.col("_pos")) + 1).alias("_idx"),
-    )
+    rows = drawn.positioned(df, by, key, {c: F.col(c) for c in dict.fromkeys([key, *values])}, seed)
+    return written_draws(rows, by, list(dict.fromkeys([key, *values])), B, weight)
+
+
+def written_draws(rows: DataFrame, by: Sequence[str], values: Sequence[str], B: int, weight: str = "w") -> DataFrame:
+    """``bootstrap`` of rows that ``drawn.positioned`` gave their position."""
+    text = F.concat("_pre", F.col("b").cast("string"), F.lit("|"), F.col("_pos").cast("string"))
+    draws = replicate(rows.select(*by, "_pos", "_n", "_pre"), B, [*by, "_pos"]).select(
+        *[F.col(c).alias(f"_d_{c}") for c in by], "b", (F.pmod(key_hash(text), F.col("_n")) + 1).alias("_idx"))
     match = F.col("_idx") == F.col("_pos")
     for c in by:
         match = match & F.col(f"_d_{c}").eqNullSafe(F.col(c))
     count = F.count(F.lit(1)).cast("double").alias(weight)
     # the planner does not see how many rows an explode makes and would send the draws through the driver
-    picked = draws.hint("merge").join(rows.drop("_n"), match)
-    return picked.groupBy(*by, "_pos", "b", key, *values).agg(count).drop("_pos")
+    picked = draws.hint("merge").join(rows.select(*by, "_pos", *values), match)
+    return picked.groupBy(*by, "_pos", "b", *values).agg(count).drop("_pos")
 
 
 def intervals(
@@ -100,12 +104,17 @@ def permuted_pairs(
     df: DataFrame, by: Sequence[str], key: str, fixed: Sequence[str], moved: str, B: int, seed: int, out: str = "moved"
 ) -> DataFrame:
     """Every replicate pairs the fixed columns of a row with the moved column of the row at its shuffled position."""
-    rows = cut(group_size(numbered(df.select(*by, key, *fixed, moved), by, [key], "_pos"), by, "_size"))
-    shuffled = replicate(rows.select(*by, key, moved, "_size"), B, [*by, key]).withColumn(
-        "_h", hash_key(F.lit(seed), *_group_text(by), F.col("b"), F.col(key))
-    )
-    placed = numbered_by_hash(shuffled, [*by, "b"], "_h", key, "_size", "_pos").select(*by, "b", F.col(moved).alias(out), "_pos")
-    return attach(placed, rows.select(*by, "_pos", key, *fixed), [*by, "_pos"], "inner").drop("_pos")
+    rows = drawn.positioned(df, by, key, {c: F.col(c) for c in dict.fromkeys([key, *fixed, moved])}, seed)
+    return placed_pairs(rows, by, [key, *fixed], moved, B, seed, out)
+
+
+def placed_pairs(rows: DataFrame, by: Sequence[str], fixed: Sequence[str], moved: str, B: int, seed: int, out: str = "moved") -> DataFrame:
+    """``permuted_pairs`` of rows that ``drawn.positioned`` gave their position; a pair is a row."""
+    text = F.concat("_pre", F.col("b").cast("string"), F.coalesce("_post", F.lit("")))
+    shuffled = replicate(rows.select(*by, moved, "_pos", "_pre", "_post", "_n"), B, [*by, "_pos"]).withColumn("_h", key_hash(text))
+    # equal hashes are in the order of the key
+    placed = numbered_by_hash(shuffled.withColumnRenamed("_pos", "_own"), [*by, "b"], "_h", "_own", "_n", "_pos").select(*by, "b", F.col(moved).alias(out), "_pos")
+    return attach(placed, rows.select(*by, "_pos", *fixed), [*by, "_pos"], "inner").drop("_pos")
 
 
 def permutation_null(
@@ -117,18 +126,22 @@ def permutation_null(
     The concordance looks at the ``ks`` rows of largest magnitude of ``measured`` (``real`` before it was standardised), which
     no shuffle moves: they are placed once.
     """
-    rows = df.select(*by, key, real, pred, F.col(measured or real).alias("_m"))
-    fixed = [real, "_m"]
+    rows = df.select(*by, key, F.col(real).alias("_r"), F.col(pred).alias("_x"), F.col(measured or real).alias("_m"))
     if ks:
         rows = numbered(rows.withColumn("_a", F.abs("_m")), by, ["-_a", key], "_top")
-        fixed.append("_top")
-    moved = permuted_pairs(rows, by, key, fixed, pred, B, seed)
-    signed = F.signum("moved") != 0
-    agree = (F.signum("moved") == F.signum("_m")).cast("double")
-    each = moved.groupBy(*by, "b").agg(
-        corr_expr(F.col("moved"), F.col(real)).alias("pcc"), rel_rmse_expr(F.col("moved"), F.col(real)).alias("rmse"),
-        *[F.avg(F.when(signed & (F.col("_top") <= int(k)), agree)).alias(f"conc_{k}") for k in ks],
-    )
+    values = {c: F.col(c) for c in ("_r", "_x", "_m", *(["_top"] if ks else []))}
+    held, large, groups = drawn.parted(drawn.positioned(rows, by, key, values, seed))
+    names = ["pcc", "rmse", *[f"conc_{k}" for k in ks]]
+    each = drawn.permuted_statistics(held, by, groups, B, "_r", "_x", ks, "_top", "_m").select(*by, "b", *names)
+    if large is not None:
+        fixed = ["_r", "_m", *(["_top"] if ks else [])]
+        moved = placed_pairs(large, by, fixed, "_x", B, seed)
+        signed = F.signum("moved") != 0
+        agree = (F.signum("moved") == F.signum("_m")).cast("double")
+        each = each.unionByName(moved.groupBy(*by, "b").agg(
+            corr_expr(F.col("moved"), F.col("_r")).alias("pcc"), rel_rmse_expr(F.col("moved"), F.col("_r")).alias("rmse"),
+            *[F.avg(F.when(signed & (F.col("_top") <= int(k)), agree)).alias(f"conc_{k}") for k in ks],
+        ))
     return each.groupBy(*by).agg(
         F.avg("pcc").alias("perm_pcc_mean"), F.percentile("pcc", F.lit(0.95)).alias("perm_pcc_p95"),
         F.avg("rmse").alias("perm_rmse_mean"), F.percentile("rmse", F.lit(0.05)).alias("perm_rmse_p05"),
@@ -144,12 +157,21 @@ def permuted_labels(
     A 0/1 label shuffled over a stratum with P positives lands on the first P rows of a random order, so no labels have
     to be moved by a join, and only the positives (the rows every metric needs) come out.
     """
+    kept = [c for c in df.columns if c not in by]
+    rows = drawn.positioned(df, by, key, {c: F.col(c) for c in kept}, seed)
+    return written_labels(rows, by, stratum, label, B).select(*by, *[c for c in kept if c != label], "b")
+
+
+def written_labels(rows: DataFrame, by: Sequence[str], stratum: str, label: str, B: int) -> DataFrame:
+    """``permuted_labels`` of rows that ``drawn.positioned`` gave their position."""
     y = F.coalesce((F.col(label) == 1).cast("bigint"), F.lit(0))
-    counts = df.groupBy(*by, stratum).agg(F.sum(y).alias("_pos_n"), F.count(F.lit(1)).alias("_size"))
-    rows = attach_stats(df, counts, [*by, stratum]).where(F.col("_pos_n") > 0).drop(label)
-    hashed = replicate(rows, B, [*by, key]).withColumn("_h", hash_key(F.lit(seed), *_group_text(by), F.col("b"), F.col(key)))
-    placed = numbered_by_hash(hashed, [*by, stratum, "b"], "_h", key, "_size", "_at")
-    return placed.where(F.col("_at") <= F.col("_pos_n")).drop("_at", "_h", "_pos_n", "_size")
+    counts = rows.groupBy(*by, stratum).agg(F.sum(y).alias("_pos_n"), F.count(F.lit(1)).alias("_size"))
+    some = attach_stats(rows, counts, [*by, stratum]).where(F.col("_pos_n") > 0).drop(label)
+    text = F.concat("_pre", F.col("b").cast("string"), F.coalesce("_post", F.lit("")))
+    hashed = replicate(some, B, [*by, "_pos"]).withColumn("_h", key_hash(text))
+    # equal hashes are in the order of the key
+    placed = numbered_by_hash(hashed, [*by, stratum, "b"], "_h", "_pos", "_size", "_at")
+    return placed.where(F.col("_at") <= F.col("_pos_n")).drop("_at", "_h", "_pos_n", "_size", "_pre", "_post", "_pos")
 
 
 def null_summary(observed: DataFrame, null: DataFrame, by: Sequence[str], value: str) -> DataFrame:
@@ -186,19 +208,19 @@ def shuffle_null(
 ) -> DataFrame:
     """Projection of the shift on a vector whose entries are shuffled over the items: one row per (group, b)."""
     known = pairs.where(finite(shift, vector))
-    moved = permuted_pairs(known, by, key, [shift], vector, B, seed)
-    return moved.groupBy(*by, "b").agg(
-        F.try_divide(F.sum(F.col(shift) * F.col("moved")), F.sqrt(F.sum(F.col("moved") * F.col("moved"))))
-        .alias("projection")
-    )
+    held, large, groups = drawn.parted(drawn.positioned(known, by, key, {"_s": F.col(shift), "_v": F.col(vector)}, seed))
+    each = drawn.permuted_statistics(held, by, groups, B, "_s", "_v").select(*by, "b", "projection")
+    if large is None:
+        return each
+    return each.unionByName(placed_pairs(large, by, ["_s"], "_v", B, seed).groupBy(*by, "b").agg(
+        F.try_divide(F.sum(F.col("_s") * F.col("moved")), F.sqrt(F.sum(F.col("moved") * F.col("moved")))).alias("projection")))
 
 
 def bootstrap_projection(
     pairs: DataFrame, by: Sequence[str], key: str, shift: str, vector: str, B: int, seed: int
 ) -> DataFrame:
-    counted = replicates.bootstrap_counts(pairs.where(finite(shift, vector)), by, key, [shift, vector], B, seed)
-    s, a = F.col(shift), F.col(vector)
-    sums = replicates.weighted_sums(counted, by, {"_sa": s * a, "_aa": a * a}, B)
+    columns = {"_s": F.col(shift), "_a": F.col(vector)}
+    sums = drawn.resampled_sums(pairs.where(finite(shift, vector)), by, key, columns, {"_sa": ("_s", "_a"), "_aa": ("_a", "_a")}, B, seed)
     return sums.select(*by, "b", F.try_divide("_sa", F.sqrt("_aa")).alias("projection"))
 
 

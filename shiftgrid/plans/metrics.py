@@ -4,19 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shiftgrid.functions.scalars import region_chrom, region_end, region_start
-from shiftgrid.operators import replicates
+from shiftgrid.operators import drawn, replicates
 from shiftgrid.operators.enrichment import normalised_enrichment
 from shiftgrid.operators.intervals import overlap_sets
 from shiftgrid.operators.joins import leave_source_out
 from shiftgrid.operators.ordered import SLICE, attach, attach_stats, numbered, running, running_whole, with_each
 from shiftgrid.operators.ranks import decile_of, percent_of_rank, tie_totals, top_abs
-from shiftgrid.operators.resample import (
-    bootstrap, intervals, permutation_null, permuted_labels,
-)
+from shiftgrid.operators.resample import intervals, permutation_null, written_draws, written_labels
 from shiftgrid.operators.stats import (
     agree_expr, corr_expr, curve_of, finite, metrics_of_hits, rel_rmse_expr, sign_accuracy,
     spearman, zscore_many,
@@ -74,9 +73,14 @@ def bootstrap_contrast(
     columns = ["zr", "zp", "zl", *(["zc"] if loco else []), "real_shift", "predicted_shift"]
     # the k largest measured magnitudes of a replicate are looked for in the order of all rows
     placed = numbered(z.select(*by, gene, *columns, F.abs("real_shift").alias("_a")), by, ["-_a", gene], "_place")
-    counted = cut(replicates.bootstrap_counts(placed, by, gene, [*columns, "_place"], B, seed))
     pairs = {"_pr": ("zp", "zr"), "_lr": ("zl", "zr"), **({"_cr": ("zc", "zr"), "_pc": ("zp", "zc")} if loco else {})}
-    sums = replicates.weighted_sums(counted, by, replicates.pair_sums(pairs), B)
+    scaled = list(dict.fromkeys(c for p in pairs.values() for c in p))
+    terms = {f"_s_{c}": (c,) for c in scaled} | {f"_q_{c}": (c, c) for c in scaled} | {f"_p_{n}": p for n, p in pairs.items()}
+    # the largest k is found among twice as many rows and some, of which a replicate draws as many on average
+    most = 2 * int(max(ks)) + 100
+    drawn_sums = cut(drawn.resampled_sums(
+        placed, by, gene, {c: F.col(c) for c in columns}, terms, B, seed, ("_place", ["predicted_shift", "real_shift"]), most))
+    sums = drawn_sums.drop("_listed")
     sums = sums.select(*by, "b", *[replicates.corr_of_sums(n, x, y) for n, (x, y) in pairs.items()])
 
     def error(rho: str):
@@ -90,7 +94,7 @@ def bootstrap_contrast(
                        least.alias("best_baseline_rel_rmse"), (F.col("_pr") - best).alias("d_pcc"), (error("_pr") - least).alias("d_rel_rmse"),
                        *([F.try_divide(F.col("_pr") - F.col("_pc") - F.col("_cr") + 1,
                                        F.sqrt((F.lit(2.0) - 2 * F.col("_pc")) * (F.lit(2.0) - 2 * F.col("_cr")))).alias("pcc_centroid")] if loco else []))
-    each = attach(each, replicates.top_agreement(counted, by, "_place", "predicted_shift", "real_shift", ks, B), [*by, "b"])
+    each = attach(each, drawn.listed_agreement(drawn_sums, by, "predicted_shift", "real_shift", ks, most), [*by, "b"])
     return intervals(each, by, [c for c in each.columns if c not in {*by, "b"}])
 
 
@@ -254,42 +258,121 @@ def rank_against_gold(cases: DataFrame, ks: Sequence[int] = (10, 20, 50), B_null
     return attach(out, bands.where(F.col("_b") > 20).drop("_b"), CASE).withColumn("underpowered", F.col("n_pos") < int(min_tier))
 
 
-def bootstrap_hits(listed: DataFrame, by: Sequence[str], key: str, B: int, seed: int) -> tuple[DataFrame, DataFrame]:
-    """Positives of every resampled list with position and hit number (each copy a row), and positives per replicate.
+def listed_rows(listed: DataFrame, by: Sequence[str], key: str, seed: int, more: Sequence[str] = ()) -> DataFrame:
+    return drawn.positioned(listed, by, key, {c: F.col(c) for c in ("_position", "y", *more)}, seed)
+
+
+def told_ranking(ks: Sequence[int]):
+    """Average precision, nDCG@k and Recall@k of the positions of a list's positives, which are in order."""
+
+    def told(at: np.ndarray, n: int) -> dict:
+        hit = np.arange(1, len(at) + 1)
+        out = {"ap": float((hit / at).mean())}
+        for k in ks:
+            gained = (1.0 / np.log2(at[at <= k] + 1.0)).sum()
+            out[f"ndcg_at_{k}"] = float(gained / (1.0 / np.log2(hit[:k] + 1.0)).sum())
+            out[f"recall_at_{k}"] = float((at <= k).mean())
+        return out
+
+    ks = [int(k) for k in ks]
+    return told
+
+
+def told_hits(ks: Sequence[int]):
+    """Average precision and the positives within each k."""
+
+    def told(at: np.ndarray, n: int) -> dict:
+        return {"ap": float((np.arange(1, len(at) + 1) / at).mean())} | {f"hits_{k}": int((at <= k).sum()) for k in ks}
+
+    ks = [int(k) for k in ks]
+    return told
+
+
+def told_curve(kmax: int):
+    """The positives up to each k, and their number."""
+
+    def told(at: np.ndarray, n: int) -> dict:
+        return {"_hits": np.searchsorted(at, np.arange(1, min(kmax, n) + 1), "right").tolist(), "n_pos": len(at)}
 
-    ``listed`` has positions: copies stay in their order, so nothing but multiplicities is summed.
+    kmax = int(kmax)
+    return told
+
+
+CURVE = {"_hits": "array<bigint>", "n_pos": "bigint"}
+
+
+def curves_of(found: DataFrame, by: Sequence[str]) -> DataFrame:
+    """The curves of ``told_curve``, one row per (list, b, k)."""
+    each = found.where("n_pos > 0").select(*by, "b", "n_pos", F.posexplode("_hits").alias("_i", "hits"))
+    return each.select(*by, "b", (F.col("_i") + 1).cast("bigint").alias("k"), "hits", (F.col("hits") / F.col("n_pos")).alias("recall"), "n_pos")
+
+
+def written_hits(rows: DataFrame, by: Sequence[str], B: int) -> tuple[DataFrame, DataFrame]:
+    """Positives of every resampled list with position and hit number (each copy a row), and positives and size per replicate.
+
+    ``rows`` are those of lists that no task holds; copies stay in their order, so nothing but multiplicities is summed.
     """
-    drawn = bootstrap(listed.select(*by, key, "_position", "y", "n_ranked"), by, key, ["_position", "y", "n_ranked"], B, seed)
+    resampled = written_draws(rows, by, ["_position", "y", "_n"], B)
     w = F.col("w").cast("bigint")
-    walked = running_whole(drawn, [*by, "b"], "_position", {"_above": ("sum", w), "_hits": ("sum", w * F.col("y"))}, False, F.col("n_ranked"))
+    walked = running_whole(resampled, [*by, "b"], "_position", {"_above": ("sum", w), "_hits": ("sum", w * F.col("y"))}, False, F.col("_n"))
     hits = walked.where("y = 1").select(*by, "b", "_above", "_hits", F.explode(F.sequence(F.lit(1).cast("bigint"), w)).alias("_copy")).select(
         *by, "b", (F.col("_above") + F.col("_copy")).alias("position"), (F.col("_hits") + F.col("_copy")).alias("hit"))
-    totals = drawn.groupBy(*by, "b").agg(F.sum(w * F.col("y")).alias("n_pos"), F.sum(w).alias("n_ranked"))
+    totals = resampled.groupBy(*by, "b").agg(F.sum(w * F.col("y")).alias("n_pos"), F.sum(w).alias("n_ranked"))
     return hits, totals
 
 
 def bootstrap_ranking(listed: DataFrame, by: Sequence[str], key: str, ks: Sequence[int], B: int, seed: int) -> DataFrame:
-    """Average precision, nDCG@k and Recall@k of each resampled list that holds a positive."""
-    hits, _ = bootstrap_hits(listed, by, key, B, seed)
+    """Average precision, nDCG@k and Recall@k of each resampled list; NULL where it holds no positive."""
+    held, large, groups = drawn.parted(listed_rows(listed, by, key, seed))
+    names = ["ap", *[f"{c}_at_{k}" for k in ks for c in ("ndcg", "recall")]]
+    each = drawn.resampled_hits(held, by, groups, B, told_ranking(ks), dict.fromkeys(names, "double"))
+    if large is None:
+        return each
+    hits, _ = written_hits(large, by, B)
     gain, best = F.lit(1.0) / F.log2(F.col("position") + F.lit(1.0)), F.lit(1.0) / F.log2(F.col("hit") + F.lit(1.0))
     aggs = [F.avg(F.col("hit") / F.col("position")).alias("ap")]
     for k in ks:
         within = F.col("position") <= int(k)
         aggs.append((F.sum(F.when(within, gain).otherwise(0.0)) / F.sum(F.when(F.col("hit") <= int(k), best).otherwise(0.0))).alias(f"ndcg_at_{k}"))
         aggs.append(F.avg(within.cast("double")).alias(f"recall_at_{k}"))
-    return hits.groupBy(*by, "b").agg(*aggs)
+    return each.unionByName(hits.groupBy(*by, "b").agg(*aggs))
 
 
 def null_ranking(listed: DataFrame, by: Sequence[str], stratum: str, key: str, ks: Sequence[int], B: int, seed: int) -> DataFrame:
     """Average precision and the positives within each k, per replicate of labels permuted within strata.
 
-    ``listed`` has positions (``_position``, ranked once) and the size of its list (``n_ranked``).
+    ``listed`` has positions (``_position``, ranked once).
     """
-    moved = permuted_labels(listed.select(*by, stratum, key, "y", "_position", "n_ranked"), by, stratum, key, "y", B, seed)
-    hits = running_whole(moved, [*by, "b"], "_position", {"_hit": ("sum", F.lit(1).cast("bigint"))}, reach=F.col("n_ranked"))
-    return hits.groupBy(*by, "b").agg(
+    held, large, groups = drawn.parted(listed_rows(listed, by, key, seed, [stratum]))
+    each = drawn.permuted_hits(held, by, groups, B, stratum, told_hits(ks), {"ap": "double"} | {f"hits_{k}": "bigint" for k in ks})
+    if large is None:
+        return each
+    hits = running_whole(written_labels(large, by, stratum, "y", B), [*by, "b"], "_position", {"_hit": ("sum", F.lit(1).cast("bigint"))}, reach=F.col("_n"))
+    return each.unionByName(hits.groupBy(*by, "b").agg(
         F.avg(F.col("_hit") / F.col("_position")).alias("ap"),
-        *[F.sum((F.col("_position") <= int(k)).cast("bigint")).alias(f"hits_{k}") for k in ks])
+        *[F.sum((F.col("_position") <= int(k)).cast("bigint")).alias(f"hits_{k}") for k in ks]))
+
+
+def null_curves(listed: DataFrame, by: Sequence[str], stratum: str, key: str, kmax: int, B: int, seed: int) -> DataFrame:
+    """Recall at every k of labels permuted within strata, per replicate."""
+    held, large, groups = drawn.parted(listed_rows(listed, by, key, seed, [stratum]))
+    each = curves_of(drawn.permuted_hits(held, by, groups, B, stratum, told_curve(kmax), CURVE), by)
+    if large is None:
+        return each
+    moved = written_labels(large, by, stratum, "y", B).withColumnRenamed("_position", "position")
+    # every replicate has the positives of its list, and the size comes with its rows
+    totals = moved.groupBy(*by, "b").agg(F.count(F.lit(1)).alias("n_pos"), F.max("_n").alias("n_ranked"))
+    return each.unionByName(curve_of(moved, totals, [*by, "b"], kmax).select(*each.columns))
+
+
+def bootstrap_curves(listed: DataFrame, by: Sequence[str], key: str, kmax: int, B: int, seed: int) -> DataFrame:
+    """Recall at every k of each resampled list that holds a positive."""
+    held, large, groups = drawn.parted(listed_rows(listed, by, key, seed))
+    each = curves_of(drawn.resampled_hits(held, by, groups, B, told_curve(kmax), CURVE), by)
+    if large is None:
+        return each
+    hits, totals = written_hits(large, by, B)
+    return each.unionByName(curve_of(hits, totals, [*by, "b"], kmax).select(*each.columns))
 
 
 def signs_against_gold(cases: DataFrame) -> DataFrame:
@@ -308,16 +391,13 @@ def recall_report(cases: DataFrame, kmax: int = 200, B_null: int = 200, seed: in
     listed, totals = listed_cases(cases.where(F.col("subset") == "all"), by)
     hits = listed.where("y = 1").select(*by, F.col("_position").alias("position"), F.col("_hit").alias("hit"))
     observed = curve_of(hits, attach(totals, listed.select(*by).distinct(), by, "inner"), by, kmax)
-    moved = permuted_labels(listed.select(*by, "_decile", "tf", "y", F.col("_position").alias("position"), "n_pos", "n_ranked"), by, "_decile", "tf", "y", B_null, seed)
-    # every replicate has the positives of its list, so its size and positives come with its rows
-    curves = curve_of(moved, moved.groupBy(*by, "b").agg(F.max("n_pos").alias("n_pos"), F.max("n_ranked").alias("n_ranked")), [*by, "b"], kmax)
+    curves = null_curves(listed, by, "_decile", "tf", kmax, B_null, seed)
     band = curves.groupBy(*by, "k").agg(
         F.sum("hits").alias("null_hits"), (F.sum("hits") / F.sum("n_pos")).alias("null_mean"),
         *[F.percentile(c, F.lit(q)).alias(f"{name}_{side}") for name, c in (("null", "recall"), ("null_hits", "hits"))
           for side, q in (("p05", 0.05), ("p95", 0.95))],
     )
-    drawn, each = bootstrap_hits(listed, by, "tf", B_boot, seed)
-    resampled = curve_of(drawn, each, [*by, "b"], kmax).groupBy(*by, "k").agg(
+    resampled = bootstrap_curves(listed, by, "tf", kmax, B_boot, seed).groupBy(*by, "k").agg(
         F.percentile("recall", F.lit(0.025)).alias("ci_lo"), F.percentile("recall", F.lit(0.975)).alias("ci_hi"))
     return attach(attach(observed.drop("hits"), band, [*by, "k"]), resampled, [*by, "k"])
 
