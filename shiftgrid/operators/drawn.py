@@ -12,19 +12,23 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from shiftgrid.operators.ordered import group_size, numbered
 from shiftgrid.operators.replicates import HASH_BITS, codes_of, ddl, doubles, key_text
 from shiftgrid.session import cut
 
 # Rows of a group that one task holds, and of a block of it where blocks can stand alone.
-HELD, BLOCK = 8_000_000, 4_000_000
+HELD, BLOCK = 8_000_000, 3_000_000
 # Tasks that share the replicates of a group; a row travels to each of them.
 DEALT = 8
 # Texts whose digests are taken together, fewest for which that pays, and bytes that one block of the digest holds.
 AT_ONCE, FEW, ONE_BLOCK = 32_768, 512, 55
+# Rows of a held group that one step of an addition takes, so that its products stay small.
+STEP = 1 << 20
 
 SINES = np.array([int(abs(np.sin(i + 1)) * 2**32) & 0xFFFFFFFF for i in range(64)], np.uint32)
 TURNS = [7, 12, 17, 22] * 4 + [5, 9, 14, 20] * 4 + [4, 11, 16, 23] * 4 + [6, 10, 15, 21] * 4
@@ -94,41 +98,56 @@ class Texts:
 
     @classmethod
     def of(cls, column: pa.Array) -> Texts:
-        """The texts of a column; NULL is empty."""
-        column = column.fill_null("").cast(pa.large_binary())
-        # a sliced array shares the buffers of the whole one
-        ends = np.frombuffer(column.buffers()[1], np.int64, len(column) + 1, 8 * column.offset)
-        data = np.frombuffer(column.buffers()[2] or b"", np.uint8)
+        """The texts of a column, or ``|`` and its whole numbers; NULL is empty."""
         parts = []
         for at in range(0, len(column), AT_ONCE):
-            begin, lengths = ends[at:-1][:AT_ONCE], np.diff(ends[at:at + AT_ONCE + 1])
+            some = column.slice(at, AT_ONCE)
+            if pa.types.is_integer(some.type):
+                some = pc.binary_join_element_wise("", some.cast(pa.string()), "|")
+            some = pa.concat_arrays([some.fill_null("").cast(pa.large_binary())])  # of its own, not a part of a longer one
+            begin = np.frombuffer(some.buffers()[1], np.int64, len(some) + 1)
+            data = np.frombuffer(some.buffers()[2] or b"", np.uint8)
+            lengths = np.diff(begin)
             for length in np.unique(lengths):
                 mine = np.flatnonzero(lengths == length)
                 where = slice(at, at + len(lengths)) if len(mine) == len(lengths) else (mine + at).astype(np.int32)
                 parts.append((where, data[begin[mine][:, None] + np.arange(length)]))
         return cls(parts, len(column))
 
+    def ends(self) -> Iterator[tuple[slice | np.ndarray, np.ndarray]]:
+        """The texts by length. Once they are laid out as words, they are only kept there."""
+        yield from self.parts
+        for where, n, words, texts, length in self.laid:
+            if words is None:
+                yield where, np.frombuffer(b"".join(texts), np.uint8).reshape(n, length)
+            else:
+                first = self.width // 4
+                own = [w for w in words if isinstance(w, np.ndarray)]
+                yield where, np.ascontiguousarray(np.column_stack(own)).view(np.uint8)[:, self.width - 4 * first:][:, :length]
+
     def lay(self, width: int) -> None:
         """The words of every text behind a head of ``width`` bytes."""
-        self.width, self.laid = width, []
-        for where, text in self.parts:
-            n, end = len(text), width + text.shape[1]
+        laid = []
+        for where, text in self.ends():
+            n, length = text.shape
+            end = width + length
             if n < FEW or end > ONE_BLOCK:
-                self.laid.append((where, n, None, [t.tobytes() for t in text]))
+                laid.append((where, n, None, [t.tobytes() for t in text], length))
                 continue
             block = np.zeros((n, 64), np.uint8)
             block[:, width:end] = text
             block[:, end] = 0x80
             words = block.view("<u4")
             own = range(width // 4, end // 4 + 1)
-            self.laid.append((where, n, [np.ascontiguousarray(words[:, i]) if i in own else 8 * end if i == 14 else 0 for i in range(16)], None))
+            laid.append((where, n, [np.ascontiguousarray(words[:, i]) if i in own else 8 * end if i == 14 else 0 for i in range(16)], None, length))
+        self.width, self.laid, self.parts = width, laid, []
 
     def hashes(self, head: bytes) -> np.ndarray:
         if self.width != len(head):
             self.lay(len(head))
         first = np.frombuffer(head.ljust(-(-len(head) // 64) * 64 or 64, b"\0"), "<u4")
         out = np.empty(self.n, np.int64)
-        for where, n, words, texts in self.laid:
+        for where, n, words, texts, _ in self.laid:
             if words is None:
                 md5 = hashlib.md5
                 found = np.frombuffer(b"".join([md5(head + t).digest()[:8] for t in texts]), ">u8") >> np.uint64(64 - HASH_BITS)
@@ -142,12 +161,18 @@ def in_order(h: np.ndarray) -> np.ndarray:
     """Numbers of the rows in the order of their hash; equal hashes stay in the order of the rows."""
     bits = np.uint64(max(len(h) - 1, 1).bit_length())
     # the row number takes the place of the last bits of the hash: sorting values is several times faster than sorting numbers of rows
-    packed = ((h.astype(np.uint64) << np.uint64(64 - HASH_BITS)) >> bits << bits) | np.arange(len(h), dtype=np.uint64)
+    packed = h.astype(np.uint64)
+    packed <<= np.uint64(64 - HASH_BITS)
+    packed >>= bits
+    packed <<= bits
+    packed |= np.arange(len(h), dtype=np.uint64)
     packed.sort()
-    equal = np.flatnonzero((packed[1:] ^ packed[:-1]) >> bits == 0)
+    equal = np.concatenate([at + np.flatnonzero((packed[at + 1:at + STEP + 1] ^ packed[at:at + STEP][:len(packed) - 1 - at]) >> bits == 0)
+                            for at in range(0, len(packed), STEP)])
     if len(equal) > 1_000:
         return np.argsort(h, kind="stable")
-    rows = (packed & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+    packed &= (np.uint64(1) << bits) - np.uint64(1)
+    rows = packed.view(np.int64)
     for run in np.split(equal, np.flatnonzero(np.diff(equal) > 1) + 1):
         if len(run):
             mine = rows[run[0]:run[-1] + 2]
@@ -160,7 +185,16 @@ def positioned(df: DataFrame, by: Sequence[str], key: str, values: dict[str, Col
     draw's key around the replicate number (``_pre``, ``_post``)."""
     asked = df.select(*by, F.col(key).alias("_key"), *[c.alias(n) for n, c in values.items()])
     rows = cut(group_size(numbered(asked, by, ["_key"], "_pos"), by, "_n"))
-    return rows.select(*by, "_pos", "_n", *values, *key_text([F.lit(seed), *[F.col(c) for c in by]], F.col("_key")))
+    before, after = key_text([F.lit(seed), *[F.col(c) for c in by]], F.col("_key"))
+    # a whole number is shorter than its text
+    whole = isinstance(df.schema[key].dataType, T.IntegralType)
+    return rows.select(*by, "_pos", "_n", *values, before, F.col("_key").cast("bigint").alias("_post") if whole else after)
+
+
+def text_of(rows: DataFrame) -> Column:
+    """The text of the key of a draw that rows of ``positioned`` make in replicate ``b``."""
+    after = F.col("_post") if isinstance(rows.schema["_post"].dataType, T.StringType) else F.concat(F.lit("|"), F.col("_post").cast("string"))
+    return F.concat("_pre", F.col("b").cast("string"), F.coalesce(after, F.lit("")))
 
 
 def parted(rows: DataFrame) -> tuple[DataFrame, DataFrame | None, int]:
@@ -175,11 +209,11 @@ def each_replicate(
     rows: DataFrame, by: Sequence[str], values: Sequence[str], B: int, groups: int, work: Callable, schema: dict[str, str],
     texts: bool = True, block: int | None = None,
 ) -> DataFrame:
-    """``work(columns, texts, head, n, replicates)`` of every group: columns of one value or list per replicate, by name.
+    """``work(columns, texts, head, n, replicates, low)`` of every group: columns of one value or list per replicate, by name.
 
-    ``rows`` come from ``positioned``. ``work`` gets the named ``values`` (Arrow arrays in the order of the positions, and ``_pos``), the ends
-    of the texts (None without ``texts``), the text before the replicate number as bytes, the size of the group and the replicates it is to make. With
-    ``block``, it gets the rows of that many positions at a time. ``schema`` has the types of what it returns; the result has ``by``, ``b`` and
+    ``rows`` come from ``positioned``. ``work`` gets the named ``values`` (Arrow arrays in the order of the positions), the ends of the texts (None
+    without ``texts``), the text before the replicate number as bytes, the size of the group and the replicates it is to make. With
+    ``block``, it gets the rows of that many positions at a time, which start behind ``low``. ``schema`` has the types of what it returns; the result has ``by``, ``b`` and
     that. No columns, or shorter ones, stand for replicates without a result.
     """
     spark, by = rows.sparkSession, list(by)
@@ -189,7 +223,8 @@ def each_replicate(
     kept = ["_pos", *values, *(["_post"] if texts else [])]
     names = list(schema)
     place = F.floor((F.col("_pos") - 1) / F.lit(block)) if block else F.lit(0)
-    laid = rows.withColumn("_block", place.cast("bigint")).select(*keys, *kept).sortWithinPartitions(*by, "_block")
+    within = (F.col("_pos") - 1 - F.col("_block") * F.lit(block or 0)).cast("int").alias("_pos")
+    laid = rows.withColumn("_block", place.cast("bigint")).select(*keys, within, *kept[1:]).sortWithinPartitions(*by, "_block")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -211,16 +246,18 @@ def each_replicate(
         kinds: list[pa.DataType] = []
 
         def done() -> pa.RecordBatch:
-            table = pa.Table.from_batches(held).combine_chunks()
+            pos = np.concatenate([piece.column("_pos").to_numpy() for piece in held])
+            order = pa.array(np.argsort(pos, kind="stable"))
+            del pos
+            columns = {}
+            for c in kept[1:]:
+                columns[c] = pa.concat_arrays([piece.column(c) for piece in held]).take(order)
             held.clear()
-            order = pa.array(np.argsort(table.column("_pos").to_numpy(), kind="stable"))
-            columns = {c: table.column(c).take(order).combine_chunks() for c in table.column_names}
-            columns = {c: x.chunk(0) if isinstance(x, pa.ChunkedArray) else x for c, x in columns.items()}
-            del table, order
+            del order
             ends = Texts.of(columns.pop("_post")) if texts else None
-            *group, n, head, _, part = at
+            *group, n, head, number, part = at
             some = range(part + 1, B + 1, dealt)
-            found = work(columns, ends, head.encode(), n, some)
+            found = work(columns, ends, head.encode(), n, some, number * (block or 0))
             length = len(next(iter(found.values())))
             return pa.RecordBatch.from_arrays(
                 [*[pa.array([g] * length, k) for g, k in zip(group, kinds)], pa.array(list(some)[:length], pa.int32()), *[found[c] for c in names]], names=[*by, "b", *names])
@@ -253,10 +290,13 @@ def counts_of(ends: Texts, before: bytes, b: int, n: int, low: int, size: int) -
     """How often replicate b of a bootstrap draws each of the ``size`` positions from ``low`` on (0-based)."""
     to = ends.hashes(head_of(before, b))
     to %= n
-    if size < n:
-        to -= low
-        to = to[(to >= 0) & (to < size)]
-    return np.bincount(to, minlength=size)
+    if size == n:
+        return np.bincount(to, minlength=size)
+    counts = np.zeros(size, np.int64)
+    for at in range(0, n, STEP):
+        some = to[at:at + STEP] - low
+        np.add.at(counts, some[(some >= 0) & (some < size)], 1)
+    return counts
 
 
 # ------------------------------------------------------------------------------------------------------------ bootstrap
@@ -278,30 +318,37 @@ def resampled_sums(
         schema["_listed"] = "array<struct<at:bigint,w:bigint" + "".join(f",`{c}`:double" for c in others) + ">>"
     rows = positioned(df, by, key, values, seed)
     kind = pa.list_(pa.struct([("at", pa.int64()), ("w", pa.int64()), *[(c, pa.float64()) for c in others]]))
-    read, inputs, products = bool(listed), list(columns), {n: list(c) for n, c in terms.items()}
+    held, read, inputs, products = BLOCK, bool(listed), list(columns), {n: list(c) for n, c in terms.items()}
 
-    def work(found: dict, _, before: bytes, n: int, some: range) -> dict:
-        size, low = len(found["_pos"]), int(found["_pos"][0].as_py()) - 1
-        ends = Texts.numbers(n)
+    def work(found: dict, _, before: bytes, n: int, some: range, low: int) -> dict:
+        size, ends = min(n - low, held), Texts.numbers(n)
         given = {c: doubles(found[c]) for c in inputs}
         absent = {c: found[c].is_null().to_numpy(zero_copy_only=False) for c in inputs}
         sums, total, lists = np.zeros((len(some), len(products))), np.zeros(len(some)), []
+        absent = {c: x for c, x in absent.items() if x.any()}
         if read:
             at = found["_at"].to_numpy(zero_copy_only=False)
             near = np.flatnonzero(at <= most)
             beside = [doubles(found[f"_o_{c}"])[near] for c in others]
+        found.clear()
         for i, b in enumerate(some):
             w = counts_of(ends, before, b, n, low, size)
             total[i] = w.sum()
-            for start in range(0, size, 1 << 20):
-                part = slice(start, start + (1 << 20))
+            for start in range(0, size, STEP):
+                part = slice(start, start + STEP)
                 times = w[part].astype(float)
                 for j, product in enumerate(products.values()):
-                    x, gone = given[product[0]][part], absent[product[0]][part]
+                    x = given[product[0]][part]
                     for c in product[1:]:
-                        x, gone = x * given[c][part], gone | absent[c][part]
+                        x = x * given[c][part]
+                    if np.isfinite(x).all():
+                        sums[i, j] += times @ x
+                        continue
                     # a row that was not drawn adds nothing, whatever it holds
-                    sums[i, j] += times @ x if np.isfinite(x).all() else np.where((times > 0) & ~gone, times * x, 0.0).sum()
+                    counted = times > 0
+                    for c in product:
+                        counted &= ~absent[c][part] if c in absent else True
+                    sums[i, j] += np.where(counted, times * x, 0.0).sum()
             if read:
                 drawn = np.flatnonzero(w[near])
                 lists.append([dict(zip(("at", "w", *others), row)) for row in zip(
@@ -309,7 +356,7 @@ def resampled_sums(
         out = {"_w": pa.array(total)} | {n: pa.array(sums[:, j].copy()) for j, n in enumerate(products)}
         return out | ({"_listed": pa.array(lists, kind)} if read else {})
 
-    parts = each_replicate(rows, by, list(values), B, rows.where("_pos = 1").count(), work, schema, texts=False, block=BLOCK)
+    parts = each_replicate(rows, by, list(values), B, rows.where("_pos = 1").count(), work, schema, texts=False, block=held)
     return parts.groupBy(*by, "b").agg(
         F.sum("_w").alias("_w"), *[F.sum(n).alias(n) for n in terms], *([F.flatten(F.collect_list("_listed")).alias("_listed")] if listed else []))
 
@@ -349,7 +396,7 @@ def permuted_statistics(
     schema = dict.fromkeys(["pcc", "rmse", "projection", *[f"conc_{k}" for k in ks]], "double")
     ks = [int(k) for k in ks]
 
-    def work(found: dict, ends: Texts, before: bytes, n: int, some: range) -> dict:
+    def work(found: dict, ends: Texts, before: bytes, n: int, some: range, low: int) -> dict:
         r, m = doubles(found[fixed]), doubles(found[moved])
         r_there, m_there = (found[c].is_valid().to_numpy(zero_copy_only=False) for c in (fixed, moved))
         whole = bool(r_there.all() and m_there.all())
@@ -370,10 +417,14 @@ def permuted_statistics(
             # equal values vary by nothing, whatever the last bits of their mean
             vr, vm = (x @ x / n if np.ptp(v) != 0 else 0.0 for x, v in ((rc, r), (mc, m)))
             length = np.sqrt(m @ m)
+            del r, m_there, r_there
+            if not ks:
+                del m
+        found.clear()
         for i, b in enumerate(some):
             order = in_order(ends.hashes(head_of(before, b)))
             if whole:
-                cov = rc @ mc[order] / n
+                cov = sum(float(rc[at:at + STEP] @ mc[order[at:at + STEP]]) for at in range(0, n, STEP)) / n
                 put("pcc", i, cov, np.sqrt(vr) * np.sqrt(vm))
                 out["rmse"][i], has["rmse"][i] = np.sqrt(max(vr + vm - 2 * cov + (mr - mm) ** 2, 0.0) if np.isfinite(cov) else cov), True
                 put("projection", i, n * (cov + mr * mm), length)
@@ -388,7 +439,7 @@ def permuted_statistics(
             for k in ks:
                 mine = listed[number <= k]
                 p, s = np.sign(m[order[mine]]), side[number <= k]
-                used = (p != 0) & m_there[order[mine]] & ~np.isnan(s)
+                used = (p != 0) & ~np.isnan(s) & (whole or m_there[order[mine]])
                 put(f"conc_{k}", i, float((p[used] == s[used]).sum()), float(used.sum()))
         return {c: known(out[c], has[c]) for c in schema}
 
@@ -404,7 +455,7 @@ def permuted_hits(rows: DataFrame, by: Sequence[str], groups: int, B: int, strat
     """
     names = list(schema)
 
-    def work(found: dict, ends: Texts, before: bytes, n: int, some: range) -> dict:
+    def work(found: dict, ends: Texts, before: bytes, n: int, some: range, low: int) -> dict:
         place = found["_position"].to_numpy(zero_copy_only=False).astype(np.int64)
         positive = found["y"].fill_null(0).to_numpy(zero_copy_only=False) == 1
         codes = np.unique(found[stratum].dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False), return_inverse=True)[1]
@@ -427,7 +478,7 @@ def resampled_hits(rows: DataFrame, by: Sequence[str], groups: int, B: int, told
     """
     names = list(schema)
 
-    def work(found: dict, _, before: bytes, n: int, some: range) -> dict:
+    def work(found: dict, _, before: bytes, n: int, some: range, low: int) -> dict:
         place = np.argsort(found["_position"].to_numpy(zero_copy_only=False), kind="stable")
         positive = np.flatnonzero((found["y"].fill_null(0).to_numpy(zero_copy_only=False) == 1)[place])
         ends, each = Texts.numbers(n), []

@@ -110,8 +110,7 @@ def permuted_pairs(
 
 def placed_pairs(rows: DataFrame, by: Sequence[str], fixed: Sequence[str], moved: str, B: int, seed: int, out: str = "moved") -> DataFrame:
     """``permuted_pairs`` of rows that ``drawn.positioned`` gave their position; a pair is a row."""
-    text = F.concat("_pre", F.col("b").cast("string"), F.coalesce("_post", F.lit("")))
-    shuffled = replicate(rows.select(*by, moved, "_pos", "_pre", "_post", "_n"), B, [*by, "_pos"]).withColumn("_h", key_hash(text))
+    shuffled = replicate(rows.select(*by, moved, "_pos", "_pre", "_post", "_n"), B, [*by, "_pos"]).withColumn("_h", key_hash(drawn.text_of(rows)))
     # equal hashes are in the order of the key
     placed = numbered_by_hash(shuffled.withColumnRenamed("_pos", "_own"), [*by, "b"], "_h", "_own", "_n", "_pos").select(*by, "b", F.col(moved).alias(out), "_pos")
     return attach(placed, rows.select(*by, "_pos", *fixed), [*by, "_pos"], "inner").drop("_pos")
@@ -167,8 +166,7 @@ def written_labels(rows: DataFrame, by: Sequence[str], stratum: str, label: str,
     y = F.coalesce((F.col(label) == 1).cast("bigint"), F.lit(0))
     counts = rows.groupBy(*by, stratum).agg(F.sum(y).alias("_pos_n"), F.count(F.lit(1)).alias("_size"))
     some = attach_stats(rows, counts, [*by, stratum]).where(F.col("_pos_n") > 0).drop(label)
-    text = F.concat("_pre", F.col("b").cast("string"), F.coalesce("_post", F.lit("")))
-    hashed = replicate(some, B, [*by, "_pos"]).withColumn("_h", key_hash(text))
+    hashed = replicate(some, B, [*by, "_pos"]).withColumn("_h", key_hash(drawn.text_of(rows)))
     # equal hashes are in the order of the key
     placed = numbered_by_hash(hashed, [*by, stratum, "b"], "_h", "_pos", "_size", "_at")
     return placed.where(F.col("_at") <= F.col("_pos_n")).drop("_at", "_h", "_pos_n", "_size", "_pre", "_post", "_pos")
