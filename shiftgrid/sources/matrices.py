@@ -39,8 +39,9 @@ def read_mtx(spark: SparkSession, folder: str, pattern: str = "*", lines=read_li
     fits, the trio is refused.
     """
     raw = lines(spark, f"{folder}/{pattern}matrix.mtx*")
-    cells = _labels(lines(spark, f"{folder}/{pattern}barcodes.tsv*"), BARCODES_SUFFIX, second=False)
-    feats = _labels(lines(spark, f"{folder}/{pattern}{{features,genes}}.tsv*"), FEATURES_SUFFIX, second=True)
+    # numbered once, read for the sizes and for the names
+    cells = cut(_labels(lines(spark, f"{folder}/{pattern}barcodes.tsv*"), BARCODES_SUFFIX, second=False))
+    feats = cut(_labels(lines(spark, f"{folder}/{pattern}{{features,genes}}.tsv*"), FEATURES_SUFFIX, second=True))
     data = raw.where(~F.startswith("line", F.lit("%")) & (F.trim("line") != "")).withColumn(
         "prefix", F.regexp_replace("file_name", MATRIX_SUFFIX, "")
     )

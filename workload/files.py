@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from shiftgrid.operators.ordered import numbered
-from shiftgrid.session import scratch_folder
+from shiftgrid.session import cut, scratch_folder
 from shiftgrid.sources import matrices, sinks, tables, text
 from workload import standins as S
 from workload.registry import query
@@ -27,10 +27,10 @@ def put_lines(df, folder: str, name: str, columns, sep: str = "\t", header: bool
 
 def trio(t):
     """The counts of each priority as a coordinate matrix: entries, cells, features."""
-    c = S.counts(t)
+    c = cut(S.counts(t))  # read for the cells and for the entries
     cells = numbered(c.select("sample_id", "cell_id").distinct(), ["sample_id"], ["cell_id"], "j")
     feats = numbered(t.part.select(F.col("p_partkey").alias("feature_id"), F.lit(1).alias("one")), ["one"], ["feature_id"], "i").drop("one")
-    return c, cells, feats
+    return c, cut(cells), cut(feats)
 
 
 def write_trios(t) -> str:
@@ -41,9 +41,10 @@ def write_trios(t) -> str:
     """
     folder = scratch(t)
     c, cells, feats = trio(t)
-    body = c.join(cells, ["sample_id", "cell_id"]).join(feats, "feature_id")
+    body = cut(c.join(cells, ["sample_id", "cell_id"]).join(feats, "feature_id").select("sample_id", "i", "j", "count"))  # counted, then written
     n_feats = feats.agg(F.count(F.lit(1)).alias("nf"))
     dims = body.groupBy("sample_id").agg(F.count(F.lit(1)).alias("nnz")).join(cells.groupBy("sample_id").agg(F.count(F.lit(1)).alias("nc")), "sample_id").crossJoin(F.broadcast(n_feats))
+    dims = cut(dims)
     head = dims.select("sample_id", F.lit(0).alias("o"), F.lit("%%MatrixMarket matrix coordinate real general").alias("value")).unionByName(
         dims.select("sample_id", F.lit(1).alias("o"), F.concat_ws(" ", "nf", "nc", "nnz").alias("value")))
     lines = head.unionByName(body.select("sample_id", F.lit(2).alias("o"), F.concat_ws(" ", "i", "j", "count").alias("value")))
@@ -57,13 +58,18 @@ def write_trios(t) -> str:
 
 
 def folder_lines(spark, path: str, column: str, suffix: str):
-    """``read_lines`` for the round-trip layout, where a partition folder stands for the name of a file in it."""
-    file = F.url_decode(F.col("_metadata.file_path"))
-    value = F.regexp_extract(file, f"{column}=([^/]+)/", 1)
-    folder, part = (F.regexp_extract(file, pattern, 1).try_cast("int") for pattern in (r"/o=(\d+)/", r"/part-(\d+)-[^/]*$"))
-    place = F.struct(folder.alias("folder"), part.alias("part"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
-    return spark.read.text(path).select(
-        F.concat(value, F.lit(suffix)).alias("file_name"), place.alias("place"), F.col("value").alias("line"))
+    """``read_lines`` for the round-trip layout, where a partition folder stands for the name of a file in it.
+
+    Spark hands the names of the folders to each file once; only the number of a part is taken from a name for every line.
+    """
+    base, *stars = path.rstrip("/").split("/*")
+    nested = len(stars) > 1
+    lines = spark.read.schema(f"value string, `{column}` string" + (", o int" if nested else "")).option("basePath", base).text(path)
+    value = F.coalesce(column, F.lit("__HIVE_DEFAULT_PARTITION__"))
+    part = F.split_part("_metadata.file_name", F.lit("-"), F.lit(2)).try_cast("int")
+    place = F.struct((F.col("o") if nested else F.lit(None).cast("int")).alias("folder"), part.alias("part"),
+                     F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+    return lines.select(F.concat(value, F.lit(suffix)).alias("file_name"), place.alias("place"), F.col("value").alias("line"))
 
 
 def trio_lines(spark, path: str):
